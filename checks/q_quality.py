@@ -77,7 +77,7 @@ def _tail(c) -> str:
 
 RULES = {
     "filas_duplicadas": issue("filas_duplicadas", f"CASE WHEN d / n > 0.05e0 THEN {CRIT} ELSE {WARN} END", "NULL", "d", "d / n", _DUP, "WHERE d > 0"),
-    "id_duplicado": each(["folio", "sku"], lambda c: issue(
+    "id_duplicado": each(["folio", "sku", "correo"], lambda c: issue(
         "id_duplicado", CRIT, f"'{c}'", f"COUNT({c}) - COUNT(DISTINCT {c})", f"(COUNT({c}) - COUNT(DISTINCT {c})) / COUNT({c})",
         where=f"HAVING COUNT(DISTINCT {c}) / COUNT({c}) >= 0.9 AND COUNT({c}) > COUNT(DISTINCT {c})")),
     "nulos": each(_ALL, lambda c: issue(

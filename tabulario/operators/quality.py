@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -68,81 +69,117 @@ def _frame(df: DataFrame, issues: list[tuple]) -> DataFrame:
     return rows(df.sparkSession, issues, ISSUE)
 
 
+def rule(found: Callable[..., list[tuple]]) -> Callable[..., DataFrame]:
+    """A rule finds at most one issue per column; called, it gives them as a frame, `found` as a list."""
+
+    @wraps(found)
+    def run(df: DataFrame, profiles: Profiles, *args, **kwargs) -> DataFrame:
+        return _frame(df, found(df, profiles, *args, **kwargs))
+
+    run.found = found
+    return run
+
+
+def _size(df: DataFrame, profiles: Profiles) -> int:
+    """Row count, which the profiles know when there are any."""
+    return next(iter(profiles.values())).n if profiles else df.count()
+
+
 # --- rules over rows ---------------------------------------------------------------------
 
 
-def no_rows(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [_issue("sin_filas", CRITICAL, None)] if df.isEmpty() else [])
+@rule
+def no_rows(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [_issue("sin_filas", CRITICAL, None)] if df.isEmpty() else []
 
 
-def repeated_rows(df: DataFrame, profiles: Profiles) -> DataFrame:
-    total = df.count()
+@rule
+def repeated_rows(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    total = _size(df, profiles)
     n = duplicate_rows(df).head()[0] if total else 0
     severity = CRITICAL if total and n / total > 0.05 else WARNING
-    return _frame(df, [_issue("filas_duplicadas", severity, None, n, n / total)] if n else [])
+    return [_issue("filas_duplicadas", severity, None, n, n / total)] if n else []
 
 
-def empty_rows(df: DataFrame, profiles: Profiles) -> DataFrame:
+def _no_cell(df: DataFrame) -> Column:
     nothing = F.lit(True)
     for c in df.columns:
         nothing = nothing & ~present(df, c)
-    total, n = df.agg(F.count(F.lit(1)), F.count_if(nothing)).head()
-    return _frame(df, [_issue("filas_vacias", WARNING, None, n, n / total)] if n else [])
+    return nothing
+
 
+@rule
+def empty_rows(df: DataFrame, profiles: Profiles, counts: Counts | None = None) -> list[tuple]:
+    total = _size(df, profiles)
+    n = (counts or _counted(df, _row_tests(df, profiles)))["filas_vacias", None]
+    return [_issue("filas_vacias", WARNING, None, n, n / total)] if n else []
 
-def few_rows(df: DataFrame, profiles: Profiles) -> DataFrame:
-    n = df.limit(30).count()
-    return _frame(df, [_issue("pocos_registros", WARNING, None)] if 0 < n < 30 else [])
+
+def _row_tests(df: DataFrame, profiles: Profiles) -> Tests:
+    return {("filas_vacias", None): _no_cell(df)}
+
+
+@rule
+def few_rows(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    n = _size(df, profiles)
+    return [_issue("pocos_registros", WARNING, None)] if 0 < n < 30 else []
 
 
 # --- rules over profiles -----------------------------------------------------------------
 
 
-def repeated_keys(df: DataFrame, profiles: Profiles) -> DataFrame:
+@rule
+def repeated_keys(df: DataFrame, profiles: Profiles) -> list[tuple]:
     keys = [p for p in profiles.values()
             if "identificador" in (p.semantic, p.role) and p.unique_ratio >= 0.9 and p.n_present >= 10]
-    return _frame(df, [
+    return [
         _issue("id_duplicado", CRITICAL, p.name, p.n_present - p.n_unique, (p.n_present - p.n_unique) / p.n_present)
         for p in keys if p.n_present > p.n_unique
-    ])
+    ]
 
 
-def missing_values(df: DataFrame, profiles: Profiles) -> DataFrame:
+@rule
+def missing_values(df: DataFrame, profiles: Profiles) -> list[tuple]:
     def severity(share: float) -> str:
         return CRITICAL if share >= 0.6 else WARNING if share >= 0.2 else INFO
 
-    return _frame(df, [_issue("nulos", severity(p.pct_missing), p.name, p.n_missing, p.pct_missing)
-                       for p in profiles.values() if p.n_missing])
+    return [_issue("nulos", severity(p.pct_missing), p.name, p.n_missing, p.pct_missing)
+                       for p in profiles.values() if p.n_missing]
 
 
-def empty_columns(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [_issue("columna_vacia", CRITICAL, p.name, p.n, 1.0)
-                       for p in profiles.values() if p.semantic == "vacia"])
+@rule
+def empty_columns(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [_issue("columna_vacia", CRITICAL, p.name, p.n, 1.0)
+                       for p in profiles.values() if p.semantic == "vacia"]
 
 
-def constant_columns(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [_issue("columna_constante", WARNING, p.name, payload={"valor": p.mode or ""})
-                       for p in profiles.values() if p.semantic == "constante"])
+@rule
+def constant_columns(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [_issue("columna_constante", WARNING, p.name, payload={"valor": p.mode or ""})
+                       for p in profiles.values() if p.semantic == "constante"]
 
 
-def numbers_as_text(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [
+@rule
+def numbers_as_text(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [
         _issue("numero_como_texto", CRITICAL, p.name, 0, 1.0, {"convertible": f"{p.convertible_numeric:.6f}"})
         for p in profiles.values() if p.text_stored == "numero"
-    ])
+    ]
 
 
-def dates_as_text(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [
+@rule
+def dates_as_text(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [
         _issue("fecha_como_texto", WARNING, p.name, 0, 1.0, {"convertible": f"{p.convertible_datetime:.6f}"})
         for p in profiles.values() if p.text_stored == "fecha"
-    ])
+    ]
 
 
-def mixed_types(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [_issue("tipo_mixto", WARNING, p.name, 0, p.convertible_numeric)
+@rule
+def mixed_types(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [_issue("tipo_mixto", WARNING, p.name, 0, p.convertible_numeric)
                        for p in profiles.values()
-                       if p.semantic == "categorico" and 0.2 < p.convertible_numeric < 0.85])
+                       if p.semantic == "categorico" and 0.2 < p.convertible_numeric < 0.85]
 
 
 def _textual(profiles: Profiles) -> list[Profile]:
@@ -153,16 +190,16 @@ def _textual(profiles: Profiles) -> list[Profile]:
 def _fact_rule(code: str, severity: str, fact: str) -> Callable[[DataFrame, Profiles], DataFrame]:
     """A rule whose count the profile already holds, taken over the text columns."""
 
-    def rule(df: DataFrame, profiles: Profiles) -> DataFrame:
+    def found(df: DataFrame, profiles: Profiles) -> list[tuple]:
         picked = _textual(profiles)
         if code in ("email_invalido", "telefono_invalido"):
             mail = code == "email_invalido"
             picked = [p for p in picked if p.role == "contacto"
                       and any(h in p.name.lower() for h in ("mail", "correo")) == mail]
-        return _frame(df, [_issue(code, severity, p.name, p.facts[fact], p.facts[fact] / p.n_present)
-                           for p in picked if p.facts.get(fact)])
+        return [_issue(code, severity, p.name, p.facts[fact], p.facts[fact] / p.n_present)
+                for p in picked if p.facts.get(fact)]
 
-    return rule
+    return rule(found)
 
 
 padded_text = _fact_rule("espacios", WARNING, "n_padded")
@@ -171,26 +208,30 @@ bad_emails = _fact_rule("email_invalido", WARNING, "n_not_email")
 bad_phones = _fact_rule("telefono_invalido", INFO, "n_not_phone")
 
 
-def high_cardinality(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [_issue("alta_cardinalidad", INFO, p.name) for p in profiles.values()
-                       if p.semantic == "categorico" and p.n_unique > 50 and p.unique_ratio > 0.5])
+@rule
+def high_cardinality(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [_issue("alta_cardinalidad", INFO, p.name) for p in profiles.values()
+                       if p.semantic == "categorico" and p.n_unique > 50 and p.unique_ratio > 0.5]
 
 
-def suspicious_negatives(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [_issue("negativos_sospechosos", WARNING, p.name, p.stats["negatives"],
+@rule
+def suspicious_negatives(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [_issue("negativos_sospechosos", WARNING, p.name, p.stats["negatives"],
                               p.stats["negatives"] / p.stats["n"])
-                       for p in _magnitudes(profiles) if p.role in ("monetario", "cantidad") and p.stats["negatives"]])
+                       for p in _magnitudes(profiles) if p.role in ("monetario", "cantidad") and p.stats["negatives"]]
 
 
-def skewed(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [_issue("asimetria", INFO, p.name, payload={"skew": f"{p.stats['skew']:.4f}"})
-                       for p in _magnitudes(profiles) if abs(p.stats["skew"]) > 3])
+@rule
+def skewed(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [_issue("asimetria", INFO, p.name, payload={"skew": f"{p.stats['skew']:.4f}"})
+                       for p in _magnitudes(profiles) if abs(p.stats["skew"]) > 3]
 
 
-def too_many_zeros(df: DataFrame, profiles: Profiles) -> DataFrame:
-    return _frame(df, [_issue("muchos_ceros", WARNING, p.name, p.stats["zeros"], p.stats["zeros"] / p.stats["n"])
+@rule
+def too_many_zeros(df: DataFrame, profiles: Profiles) -> list[tuple]:
+    return [_issue("muchos_ceros", WARNING, p.name, p.stats["zeros"], p.stats["zeros"] / p.stats["n"])
                        for p in _magnitudes(profiles)
-                       if p.role == "monetario" and p.stats["zeros"] / p.stats["n"] > 0.3])
+                       if p.role == "monetario" and p.stats["zeros"] / p.stats["n"] > 0.3]
 
 
 def _magnitudes(profiles: Profiles) -> list[Profile]:
@@ -202,35 +243,52 @@ def _magnitudes(profiles: Profiles) -> list[Profile]:
 # --- rules that need another job over the table ------------------------------------------
 
 
-def _counted(df: DataFrame, tests: dict[str, Column]) -> dict[str, int]:
-    """All tests in one aggregation."""
-    if not tests:
-        return {}
-    return dict(zip(tests, df.agg(*[F.count_if(t) for t in tests.values()]).head()))
+Tests = dict[tuple[str, str | None], Column]
+Counts = dict[tuple[str, str | None], int]
 
 
-def outliers(df: DataFrame, profiles: Profiles) -> DataFrame:
-    picked = {p.name: (p.stats["q1"] - 3 * p.stats["iqr"], p.stats["q3"] + 3 * p.stats["iqr"])
-              for p in _magnitudes(profiles) if p.stats["iqr"] > 0}
-    found = _counted(df, {c: ~number(df, c).between(*ends) for c, ends in picked.items()})
+def _counted(df: DataFrame, tests: Tests) -> Counts:
+    """How many rows pass each test, all in one aggregation."""
+    return dict(zip(tests, df.agg(*[F.count_if(t) for t in tests.values()]).head())) if tests else {}
+
+
+def _fences(profiles: Profiles) -> dict[str, tuple[float, float]]:
+    return {p.name: (p.stats["q1"] - 3 * p.stats["iqr"], p.stats["q3"] + 3 * p.stats["iqr"])
+            for p in _magnitudes(profiles) if p.stats["iqr"] > 0}
+
+
+def _outlier_tests(df: DataFrame, profiles: Profiles) -> Tests:
+    return {("outliers", c): ~number(df, c).between(*ends) for c, ends in _fences(profiles).items()}
+
+
+@rule
+def outliers(df: DataFrame, profiles: Profiles, counts: Counts | None = None) -> list[tuple]:
+    tests = _outlier_tests(df, profiles)
+    counts = counts or _counted(df, tests)
     out = []
-    for c, n in found.items():
-        share = n / profiles[c].stats["n"]
-        low, high = picked[c]
+    for code, c in tests:
+        n, share = counts[code, c], counts[code, c] / profiles[c].stats["n"]
+        low, high = _fences(profiles)[c]
         if n:
-            out.append(_issue("outliers", WARNING if share < 0.05 else CRITICAL, c, n, share,
+            out.append(_issue(code, WARNING if share < 0.05 else CRITICAL, c, n, share,
                               {"low": f"{low:.4f}", "high": f"{high:.4f}"}))
-    return _frame(df, out)
+    return out
+
 
+def _percent_tests(df: DataFrame, profiles: Profiles) -> Tests:
+    return {("porcentaje_fuera_rango", p.name): ~number(df, p.name).between(0, 100)
+            for p in _magnitudes(profiles) if p.role == "porcentaje"}
 
-def percent_out_of_range(df: DataFrame, profiles: Profiles) -> DataFrame:
-    picked = [p for p in _magnitudes(profiles) if p.role == "porcentaje"]
-    found = _counted(df, {p.name: ~number(df, p.name).between(0, 100) for p in picked})
-    return _frame(df, [_issue("porcentaje_fuera_rango", WARNING, c, n, n / profiles[c].stats["n"])
-                       for c, n in found.items() if n])
 
+@rule
+def percent_out_of_range(df: DataFrame, profiles: Profiles, counts: Counts | None = None) -> list[tuple]:
+    tests = _percent_tests(df, profiles)
+    counts = counts or _counted(df, tests)
+    return [_issue(code, WARNING, c, counts[code, c], counts[code, c] / profiles[c].stats["n"])
+            for code, c in tests if counts[code, c]]
 
-def tail_jump(df: DataFrame, columns: list[str]) -> DataFrame:
+
+def tail_jump(df: DataFrame, columns: list[str], p99: list[float | None] | None = None) -> DataFrame:
     """(column, jump, cut): the widest jump between neighbouring values above the 99th percentile.
 
     `jump` is the ratio of `cut` to the distinct value before it. Values are first grouped into
@@ -238,7 +296,8 @@ def tail_jump(df: DataFrame, columns: list[str]) -> DataFrame:
     wide jump; jumps narrower than a band (1.09 times) are not told apart.
     """
     typed = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    p99 = Q.order_statistics(typed, [Q.quantile(f"c{i}", 0.99) for i in range(len(columns))])
+    if p99 is None:
+        p99 = Q.order_statistics(typed, [Q.quantile(f"c{i}", 0.99) for i in range(len(columns))])
     tails = typed.select(F.explode(F.filter(F.array(*[
         F.when((F.col(f"c{i}") > F.lit(cut)) & (F.col(f"c{i}") > 0),
                F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("v")))
@@ -251,14 +310,16 @@ def tail_jump(df: DataFrame, columns: list[str]) -> DataFrame:
         F.max("ratio").alias("jump"), F.max_by("low", F.struct("ratio", -F.col("low"))).alias("cut"))
 
 
-def odd_values(df: DataFrame, profiles: Profiles, row_id: str | None = None) -> DataFrame:
+@rule
+def odd_values(df: DataFrame, profiles: Profiles, row_id: str | None = None) -> list[tuple]:
     """Values separated from all others by a jump of at least five times in the upper tail."""
     columns = [p.name for p in _magnitudes(profiles) if p.n >= 50 and p.stats["n"] >= 50]
     if not columns:
-        return _frame(df, [])
-    cuts = {r["column"]: r for r in tail_jump(df, columns).where("jump >= 5").collect()}
+        return []
+    cuts = {r["column"]: r
+            for r in tail_jump(df, columns, [profiles[c].stats["p99"] for c in columns]).where("jump >= 5").collect()}
     if not cuts:
-        return _frame(df, [])
+        return []
     measured = df.agg(*[
         F.struct(
             F.count_if(number(df, c) >= r["cut"]).alias("n"),
@@ -278,24 +339,22 @@ def odd_values(df: DataFrame, profiles: Profiles, row_id: str | None = None) ->
         out.append(_issue("valor_raro", CRITICAL if weight > 0.05 else WARNING, c, m["n"], m["n"] / p.stats["n"], {
             "umbral": f"{r['cut']:.6g}", "salto": f"{r['jump']:.6g}", "normal": f"{normal:.6g}",
             "peso": f"{weight:.6f}", "mediana": f"{p.stats['median']:.6g}", "col_pos": str(p.position)}))
-    return _listed(df, _frame(df, out), {c: number(df, c) >= cut for c, cut in kept.items()}, row_id)
+    return _listed(df, out, {c: number(df, c) >= cut for c, cut in kept.items()}, row_id)
 
 
-def _listed(df: DataFrame, issues: DataFrame, marks: dict[str, Column], row_id: str | None) -> DataFrame:
-    """Fill `rows` with up to LISTED marked cells per column, in row order."""
+def _listed(df: DataFrame, issues: list[tuple], marks: dict[str, Column], row_id: str | None) -> list[tuple]:
+    """Fill in up to LISTED marked cells per column, in row order."""
     if row_id is None or not marks:
         return issues
     found = None
     for c, test in marks.items():
-        one = df.where(test).select(
-            F.lit(c).alias("_c"), col(row_id).alias("_o"),
-            F.struct(col(row_id).cast("string").alias("row"), col(c).cast("string").alias("value")).alias("_x"),
-        ).orderBy("_o").limit(LISTED)
+        one = df.where(test).select(F.lit(c).alias("c"), col(row_id).alias("row"), col(c).cast("string").alias("value"))
+        one = one.orderBy("row").limit(LISTED)
         found = one if found is None else found.unionByName(one)
-    listed = found.groupBy("_c").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_x"))),
-                                                 lambda x: x["_x"]).alias("_rows"))
-    joined = issues.join(listed, F.col("column") == F.col("_c"), "left")
-    return joined.withColumn("rows", F.coalesce("_rows", "rows")).drop("_c", "_rows")
+    cells: dict[str, list] = {}
+    for r in sorted(found.collect(), key=lambda r: r["row"]):
+        cells.setdefault(r["c"], []).append((str(r["row"]), r["value"]))
+    return [(*i[:-1], cells.get(i[2], [])) for i in issues]
 
 
 def shape_counts(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
@@ -331,8 +390,9 @@ def odd_lengths(shapes: DataFrame) -> DataFrame:
         "rest", lambda x: F.forall("common", lambda c: F.abs(c - x["length"]) >= 2)).alias("odd"))
 
 
+@rule
 def odd_cells(df: DataFrame, profiles: Profiles, row_id: str | None = None, counts: DataFrame | None = None,
-              reported: tuple[str, ...] = ()) -> DataFrame:
+              reported: tuple[str, ...] = ()) -> list[tuple]:
     """Cells whose length is far from the few lengths the column has."""
     columns = [p.name for p in profiles.values()
                if p.n >= 50 and p.n_present >= 50 and p.semantic not in ("fecha", "booleano", "no_soportado")
@@ -349,7 +409,7 @@ def odd_cells(df: DataFrame, profiles: Profiles, row_id: str | None = None, coun
                            "col_pos": str(p.position)}))
         numeric = is_number(dtype_of(df, p.name))
         marks[p.name] = text.shape_length(col(p.name), numeric=numeric).isin(lengths)
-    return _listed(df, _frame(df, out), marks, row_id)
+    return _listed(df, out, marks, row_id)
 
 
 def spelling_groups(counts: DataFrame, columns: list[str]) -> DataFrame:
@@ -365,40 +425,52 @@ def spelling_groups(counts: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def inconsistent_spelling(df: DataFrame, profiles: Profiles, counts: DataFrame | None = None) -> DataFrame:
+@rule
+def inconsistent_spelling(df: DataFrame, profiles: Profiles, counts: DataFrame | None = None) -> list[tuple]:
     columns = [p.name for p in profiles.values()
                if p.semantic in ("categorico", "booleano") and 1 < p.n_unique <= 500]
     if not columns:
-        return _frame(df, [])
+        return []
     counts = counts if counts is not None else value_counts(df, columns)
     groups = spelling_groups(counts, columns).groupBy("column").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"),
         F.slice(F.array_sort(F.collect_list(F.concat_ws(" / ", "spellings"))), 1, 50).alias("listed"))
-    return _frame(df, [
+    return [
         _issue("categorias_inconsistentes", CRITICAL, r["column"], r["n"], r["n"] / profiles[r["column"]].n_present,
                {"grupos": str(r["groups"]), "variantes": "; ".join(r["listed"])})
         for r in groups.collect()
-    ])
+    ]
 
 
 def _dates(profiles: Profiles) -> list[Profile]:
     return [p for p in profiles.values() if p.semantic == "fecha" and p.stats]
 
 
-def _date_rule(df: DataFrame, profiles: Profiles, code: str, severity: str, test: Callable[[Column], Column]) -> DataFrame:
-    found = _counted(df, {f"{p.name}{k}": t for p in _dates(profiles) for k, t in (
-        ("\0n", instant(df, p.name).isNotNull()), ("\0bad", test(instant(df, p.name))))})
-    return _frame(df, [_issue(code, severity, p.name, found[p.name + "\0bad"], found[p.name + "\0bad"] / found[p.name + "\0n"])
-                       for p in _dates(profiles) if found[p.name + "\0bad"]])
+def _date_tests(df: DataFrame, profiles: Profiles, as_of: date) -> Tests:
+    tests: Tests = {}
+    for p in _dates(profiles):
+        d = instant(df, p.name)
+        tests["fechas", p.name] = d.isNotNull()
+        tests["fechas_futuras", p.name] = d > F.lit(as_of).cast("timestamp_ntz")
+        tests["fechas_imposibles", p.name] = d < F.lit(date(1950, 1, 1)).cast("timestamp_ntz")
+    return tests
+
 
+def _date_issues(code: str, severity: str, profiles: Profiles, counts: Counts) -> list[tuple]:
+    return [_issue(code, severity, p.name, counts[code, p.name], counts[code, p.name] / counts["fechas", p.name])
+            for p in _dates(profiles) if counts[code, p.name]]
 
-def future_dates(df: DataFrame, profiles: Profiles, as_of: date) -> DataFrame:
-    return _date_rule(df, profiles, "fechas_futuras", WARNING, lambda d: d > F.lit(as_of).cast("timestamp_ntz"))
 
+@rule
+def future_dates(df: DataFrame, profiles: Profiles, as_of: date, counts: Counts | None = None) -> list[tuple]:
+    counts = counts or _counted(df, _date_tests(df, profiles, as_of))
+    return _date_issues("fechas_futuras", WARNING, profiles, counts)
 
-def impossible_dates(df: DataFrame, profiles: Profiles) -> DataFrame:
-    first = F.lit(date(1950, 1, 1)).cast("timestamp_ntz")
-    return _date_rule(df, profiles, "fechas_imposibles", CRITICAL, lambda d: d < first)
+
+@rule
+def impossible_dates(df: DataFrame, profiles: Profiles, counts: Counts | None = None) -> list[tuple]:
+    counts = counts or _counted(df, _date_tests(df, profiles, date.today()))
+    return _date_issues("fechas_imposibles", CRITICAL, profiles, counts)
 
 
 def day_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -419,18 +491,19 @@ def day_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
              F.col("at.before").alias("gap_start"), F.col("at.day").alias("gap_end"))
 
 
-def time_gap(df: DataFrame, profiles: Profiles) -> DataFrame:
+@rule
+def time_gap(df: DataFrame, profiles: Profiles) -> list[tuple]:
     columns = [p.name for p in _dates(profiles)]
     if not columns:
-        return _frame(df, [])
+        return []
     long_gap = F.col("max_gap") > F.greatest(F.when(F.col("median_gap") == 0, 1.0).otherwise(F.col("median_gap")) * 10, F.lit(30.0))
     found = day_gaps(df, columns).where((F.col("n") > 30) & (F.col("days") > 5) & long_gap)
-    return _frame(df, [
+    return [
         _issue("hueco_temporal", WARNING, r["column"], payload={
             "dias": str(r["max_gap"]), "tipico": f"{r['median_gap']:g}",
             "desde": str(r["gap_start"]), "hasta": str(r["gap_end"])})
         for r in found.collect()
-    ])
+    ]
 
 
 def correlations(df: DataFrame, columns: list[str], complete_rows: bool = False) -> DataFrame:
@@ -454,19 +527,17 @@ def correlations(df: DataFrame, columns: list[str], complete_rows: bool = False)
     return one.select(F.explode(F.array(*one.columns)).alias("x")).select("x.*")
 
 
-def redundant_columns(df: DataFrame, profiles: Profiles) -> DataFrame:
+@rule
+def redundant_columns(df: DataFrame, profiles: Profiles) -> list[tuple]:
     columns = [p.name for p in profiles.values() if p.semantic == "numerico" and p.role != "identificador"]
     if len(columns) < 2:
-        return _frame(df, [])
-    some = F.lit(False)
-    for c in columns:
-        some = some | number(df, c).isNotNull()
-    if df.where(some).limit(10).count() < 10:
-        return _frame(df, [])
-    return _frame(df, [
+        return []
+    if max(profiles[c].n_present for c in columns) < 10 and df.where(~_no_cell(df.select(*columns))).limit(10).count() < 10:
+        return []
+    return [
         _issue("columnas_redundantes", INFO, None, payload={"a": r["a"], "b": r["b"], "r": f"{r['r']:.4f}"})
         for r in correlations(df, columns).where("abs(r) > 0.98 and not isnan(r)").collect()
-    ])
+    ]
 
 
 # --- all rules ---------------------------------------------------------------------------
@@ -485,31 +556,27 @@ def detect_issues(df: DataFrame, profiles: Profiles | None = None, row_id: str |
                   as_of: date | None = None) -> DataFrame:
     """Every rule, ordered. `row_id` is not examined; it names the rows that are listed."""
     table = df.drop(row_id) if row_id else df
-    empty = no_rows(table, {})
-    if not empty.isEmpty():
-        return empty
     counts = value_counts(table).persist()
     try:
         found = profiles if profiles is not None else profile(table, counts)
-        odd = odd_values(df, found, row_id)
-        reported = tuple(r["column"] for r in odd.select("column").collect())
-        parts = [
-            repeated_rows(table, found), empty_rows(table, found), few_rows(table, found),
-            repeated_keys(table, found), empty_columns(table, found), constant_columns(table, found),
-            missing_values(table, found), numbers_as_text(table, found), dates_as_text(table, found),
-            mixed_types(table, found), padded_text(table, found), broken_text(table, found),
-            inconsistent_spelling(table, found, counts), bad_emails(table, found), bad_phones(table, found),
-            suspicious_negatives(table, found), outliers(table, found), skewed(table, found),
-            percent_out_of_range(table, found), too_many_zeros(table, found), odd,
-            odd_cells(df, found, row_id, counts, reported),
-            future_dates(table, found, as_of or date.today()), impossible_dates(table, found), time_gap(table, found),
-            redundant_columns(table, found), high_cardinality(table, found),
+        if not _size(table, found):
+            return no_rows(table, found)
+        as_of = as_of or date.today()
+        passed = _counted(table, {**_row_tests(table, found), **_outlier_tests(table, found),
+                                  **_percent_tests(table, found), **_date_tests(table, found, as_of)})
+        odd = odd_values.found(df, found, row_id)
+        every = [
+            *repeated_rows.found(table, found), *empty_rows.found(table, found, passed), *few_rows.found(table, found),
+            *outliers.found(table, found, passed), *percent_out_of_range.found(table, found, passed),
+            *future_dates.found(table, found, as_of, passed), *impossible_dates.found(table, found, passed),
+            *odd, *odd_cells.found(df, found, row_id, counts, tuple(i[2] for i in odd)),
+            *inconsistent_spelling.found(table, found, counts),
         ]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        # a few rows per column: kept on the driver so that later steps do not run the rules again
-        return ordered(rows(df.sparkSession, [tuple(r) for r in every.collect()], ISSUE))
+        for other in (repeated_keys, empty_columns, constant_columns, missing_values, numbers_as_text, dates_as_text,
+                      mixed_types, padded_text, broken_text, bad_emails, bad_phones, suspicious_negatives, skewed,
+                      too_many_zeros, time_gap, redundant_columns, high_cardinality):
+            every += other.found(table, found)
+        return ordered(_frame(df, every))
     finally:
         counts.unpersist()
 

@@ -42,14 +42,14 @@ def kth_largest(column: str, fraction: float, k: Callable[[int], int]) -> Target
     return Target(column, 1.0 - fraction, lambda n: n - k(n))
 
 
-def order_statistics(df: DataFrame, targets: list[Target]) -> list[float | None]:
+def order_statistics(df: DataFrame, targets: list[Target], sizes: dict[str, int] | None = None) -> list[float | None]:
     """The wanted values over the whole frame, in the order asked; None for an empty column.
 
-    Columns must be DOUBLE without NaN. What reaches the driver is one row per target.
+    Columns must be DOUBLE without NaN. `sizes` gives the count of present values per column when it
+    is known already. What reaches the driver is one row per target.
     """
     columns = sorted({t.column for t in targets})
-    sizes = df.agg(*[F.count(c) for c in columns]).head()
-    n_of = dict(zip(columns, sizes))
+    n_of = sizes or dict(zip(columns, df.agg(*[F.count(c) for c in columns]).head()))
     ranks = [min(max(float(t.rank(n_of[t.column])), 0.0), n_of[t.column] - 1.0) for t in targets]
     found: list[float | None] = [None] * len(targets)
     native: dict[str, list[int]] = {}

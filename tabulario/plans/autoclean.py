@@ -4,6 +4,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tabulario.operators.profile import Profiles, profile, suggest_mapping
@@ -33,5 +34,10 @@ def auto_clean(df: DataFrame, row_id: str | None = None, as_of: date | None = No
     else:
         repaired = apply_plan(df, plan, row_id)
         clean, log = repaired.table, repaired.log
-    found = profile(clean.drop(row_id) if row_id else clean)
+    # several jobs profile the clean table; what is kept meanwhile may spill to disk and is rebuilt if lost
+    held = clean.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = profile(held.drop(row_id) if row_id else held)
+    finally:
+        held.unpersist()
     return Cleaned(df, issues, plan, clean, log, found, suggest_mapping(found))

@@ -155,7 +155,7 @@ def carry_forward(df: DataFrame, column: str, order_by: str, partition_by: list[
     if df.limit(Q.IN_ONE_TASK + 1).count() <= Q.IN_ONE_TASK:
         w = W.partitionBy(*keys).orderBy(order_by)
         back = F.last(value, True).over(w.rowsBetween(W.unboundedPreceding, 0))
-        ahead = F.first(value, True).over(w.rowsBetween(0, W.unboundedFollowing))
+        ahead = F.last(value, True).over(W.partitionBy(*keys).orderBy(F.desc(order_by)).rowsBetween(W.unboundedPreceding, 0))
         return df.withColumn(column, F.coalesce(back, ahead))
     dtype = dtype_of(df, order_by)
     order = number(df, order_by) if is_number(dtype) else F.unix_micros(instant(df, order_by).cast("timestamp"))
@@ -163,7 +163,9 @@ def carry_forward(df: DataFrame, column: str, order_by: str, partition_by: list[
     w = W.partitionBy(*keys, "_bucket").orderBy(order_by)
     local = ranged.withColumns({
         "_back": F.last(value, True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-        "_ahead": F.first(value, True).over(w.rowsBetween(0, W.unboundedFollowing)),
+        # reading backwards is linear; a frame that ends at the last row would be quadratic
+        "_ahead": F.last(value, True).over(
+            W.partitionBy(*keys, "_bucket").orderBy(F.desc(order_by)).rowsBetween(W.unboundedPreceding, 0)),
     })
     at = F.col(order_by)
     ends = ranged.where(value.isNotNull()).groupBy(*keys, "_bucket").agg(

@@ -100,7 +100,7 @@ def period_series(df: DataFrame, date_col: str, value_col: str | None, unit: str
 def _trimmed(series: DataFrame) -> DataFrame:
     nonzero = F.max((F.col("value") != 0).cast("int"))
     seen = nonzero.over(W.orderBy("period").rowsBetween(W.unboundedPreceding, 0))
-    coming = nonzero.over(W.orderBy("period").rowsBetween(0, W.unboundedFollowing))
+    coming = nonzero.over(W.orderBy(F.desc("period")).rowsBetween(W.unboundedPreceding, 0))
     some = nonzero.over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return series.withColumns({"_a": seen, "_b": coming, "_c": some}).where(
         "(_a = 1 and _b = 1) or _c = 0").drop("_a", "_b", "_c")

@@ -312,11 +312,11 @@ query("set-01", f"{W_DEMO} SELECT folio, importe FROM ventas_demo UNION ALL SELE
     lambda spark, sf: (lambda d: d.select("folio", "importe").unionByName(d.where("importe > 1e6").select("folio", "importe")))(ventas_demo(spark, sf)))
 
 
-@query("flt-05", f"{W_DEMO}, raras AS (SELECT cantidad FROM ventas_demo WHERE importe > 2e6 GROUP BY 1 HAVING COUNT(*) < 40) SELECT folio, cantidad FROM ventas_demo WHERE cantidad NOT IN (FROM raras)")
+@query("flt-05", f"{W_DEMO}, raras AS (SELECT estado FROM ventas_demo GROUP BY 1 HAVING COUNT(*) < (SELECT COUNT(*) / 25 FROM ventas_demo)) SELECT folio, estado FROM ventas_demo WHERE estado NOT IN (FROM raras)")
 def flt_05(spark, sf):
     df = ventas_demo(spark, sf)
-    rare = df.where("importe > 2e6").groupBy("cantidad").count().where("count < 40")
-    return df.join(rare, "cantidad", "left_anti").select("folio", "cantidad")
+    rare = df.groupBy("estado").count().where(F.col("count") < df.agg(F.count("*") / 25).scalar())
+    return df.join(rare, "estado", "left_anti").select("folio", "estado")
 
 
 @query("flt-06", f"{W_DEMO}, q AS (SELECT quantile_cont(importe, 0.01) AS lo, quantile_cont(importe, 0.99) AS hi FROM ventas_demo) SELECT folio, importe FROM ventas_demo, q WHERE importe BETWEEN lo AND hi")

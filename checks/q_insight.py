@@ -29,7 +29,7 @@ def _rule(key, rule, code, sql, *names, df=None, digits=6):
     def run(spark, sf):
         frame = (df or ventas_demo)(spark, sf)
         profiles = P.profile(frame, stats=False)
-        return evidence(X.frame(frame, rule(frame, MAPPING, profiles, AS_OF)), code, *names, digits=digits)
+        return evidence(X.frame(frame, rule(X.Context(frame, MAPPING, profiles, AS_OF))), code, *names, digits=digits)
 
     query(key, sql)(run)
 
@@ -42,7 +42,7 @@ _MONTHS = "['enero','febrero','marzo','abril','mayo','junio','julio','agosto','s
 
 @query("ins-07", f"WITH p AS (SELECT CAST(isodow(ts) AS INTEGER) AS position, CAST(COUNT(*) AS DOUBLE) AS value FROM events GROUP BY 1) SELECT position, {_DAYS}[position] AS name, value, {rs('value / sum(value) OVER ()', 6)} AS share FROM p")
 def ins_07(spark, sf):
-    return rounded(X.calendar_shares(table(spark, sf, "events"), "ts", None, "weekday"), share=6)
+    return rounded(X.calendar_shares(S.daily_totals(table(spark, sf, "events"), "ts", None), "weekday"), share=6)
 
 
 _rule("ins-08", X.seasonality, "estacionalidad", f"""{W_DEMO}, p AS (SELECT CAST(month(fecha) AS INTEGER) AS m, sum(importe) AS v FROM ventas_demo GROUP BY 1), s AS (SELECT m, v / sum(v) OVER () AS s FROM p)
@@ -85,7 +85,7 @@ _PCORR = " UNION ALL ".join(f"SELECT '{a} / {b}' AS subject, corr({a}, {b}) AS c
 @query("ins-15", f"WITH v AS ({_PAIR}), c AS ({_PCORR}) SELECT 'hallazgo' AS kind, 'correlacion' AS code, subject, {rs('0.4e0 + abs(c) * 0.2e0', 4)} AS impact, {rs('c', 4)} AS r FROM c WHERE abs(c) >= 0.5 AND abs(c) < 0.98 ORDER BY abs(c) DESC LIMIT 3")
 def ins_15(spark, sf):
     df = spark.sql(_PAIR.replace(" lineitem", " {t}"), t=table(spark, sf, "lineitem"))
-    return evidence(X.frame(df, X.moving_together(df, {}, P.profile(df, stats=False), AS_OF)), "correlacion", "r", digits=4)
+    return evidence(X.frame(df, X.moving_together(X.Context(df, {}, P.profile(df, stats=False), AS_OF))), "correlacion", "r", digits=4)
 
 
 _RARE = "SELECT folio, CASE WHEN folio % 20 = 3 THEN 'devuelto' ELSE 'normal' END AS tipo, segmento FROM ventas_demo"
@@ -94,7 +94,7 @@ _RARE = "SELECT folio, CASE WHEN folio % 20 = 3 THEN 'devuelto' ELSE 'normal' EN
 @query("ins-16", f"{W_DEMO}, v AS ({_RARE}), t AS (SELECT tipo, COUNT(*) / (SELECT COUNT(*) FROM v) AS s FROM v GROUP BY 1) SELECT 'contexto' AS kind, 'desbalance' AS code, 'tipo' AS subject, 0.3e0 AS impact, {rs('max(s)', 6)} AS cuota FROM t HAVING max(s) > 0.9")
 def ins_16(spark, sf):
     df = spark.sql(_RARE.replace("ventas_demo", "{t}"), t=ventas_demo(spark, sf))
-    return evidence(X.frame(df, X.unbalanced(df, {}, P.profile(df, stats=False), AS_OF)), "desbalance", "cuota")
+    return evidence(X.frame(df, X.unbalanced(X.Context(df, {}, P.profile(df, stats=False), AS_OF))), "desbalance", "cuota")
 
 
 @query("ins-17", f"{WITH}, todo AS ({_EVERY}) SELECT 'riesgo' AS kind, 'calidad' AS code, CAST(NULL AS VARCHAR) AS subject, 0.98e0 AS impact, CAST(COUNT(*) AS DOUBLE) AS n_criticos FROM todo WHERE severity = 'crítico'")

@@ -71,7 +71,7 @@ t AS (SELECT sum(n * m) / sum(n) AS gm FROM g)"""
 
 @query("agg-13", f"{W_DEMO}, {_ANOVA.format(dim='segmento')} SELECT COUNT(*) AS groups, CAST(sum(n) AS BIGINT) AS n, {rs('(sum(n * power(m - gm, 2)) / (COUNT(*) - 1)) / (sum((n - 1) * s2) / (sum(n) - COUNT(*)))', 4)} AS f FROM g, t")
 def agg_13(spark, sf):
-    return rounded(G.anova(ventas_demo(spark, sf), "segmento", "importe").select("groups", "n", "f"), 4)
+    return rounded(G.anova(G.group_moments(ventas_demo(spark, sf), "segmento", "importe")).select("groups", "n", "f"), 4)
 
 
 _TOP1 = "k AS (SELECT greatest(1, CAST(floor(COUNT(*) * 0.01e0) AS BIGINT)) AS k, sum(importe) AS total FROM ventas_demo), o AS (SELECT importe, row_number() OVER (ORDER BY importe DESC) AS p FROM ventas_demo)"
@@ -238,7 +238,7 @@ _Q = monthly("quarter")
 @query("ins-01", f"""{W_DEMO}, s AS (SELECT fecha FROM ventas_demo), t AS (SELECT greatest(CAST(floor((quantile_cont(epoch(fecha), 0.99) - quantile_cont(epoch(fecha), 0.01)) / 86400) AS INTEGER), 1) AS dias FROM s)
 SELECT dias, CASE WHEN dias <= 45 THEN 'D' WHEN dias <= 200 THEN 'W' WHEN dias <= 1200 THEN 'M' ELSE 'Q' END AS unidad FROM t""")
 def ins_01(spark, sf):
-    days = S.span_days(S.within_dates(ventas_demo(spark, sf), "fecha"), "fecha")
+    days = S.Scope(ventas_demo(spark, sf), "fecha").span
     return I.rows(spark, [(days, S.choose_unit(days))], "dias int, unidad string")
 
 
@@ -250,7 +250,7 @@ _WEEK = monthly("week", "CAST(COUNT(*) AS DOUBLE)", "v")
 @query("vis-01", f"WITH v AS (SELECT ts AS fecha FROM events), d AS (SELECT CAST(fecha AS DATE) AS period, CAST(COUNT(*) AS DOUBLE) AS value, COUNT(*) AS n FROM v GROUP BY 1), {_WEEK} SELECT 'D' AS unidad, period, value, n FROM d UNION ALL SELECT 'W', CAST(period + INTERVAL 6 DAY AS DATE), value, n FROM serie")
 def vis_01(spark, sf):
     df = table(spark, sf, "events")
-    unit = S.choose_unit(S.full_span_days(df, "ts"), board=True)
+    unit = S.choose_unit(S.Scope(df, "ts").full_days, board=True)
     daily = S.period_series(df, "ts", None, unit, trim=False).select(F.lit(unit).alias("unidad"), "period", "value", "n")
     weekly = S.period_series(df, "ts", None, "W", trim=False)
     return daily.unionByName(weekly.select(F.lit("W").alias("unidad"), S.label_date(F.col("period"), "W").alias("period"), "value", "n"))
@@ -337,4 +337,4 @@ def vis_07(spark, sf):
 
 @query("win-04", f"{W_DEMO}, t AS (SELECT sum(importe) AS v FROM ventas_demo GROUP BY cliente), c AS (SELECT sum(v) OVER (ORDER BY v DESC ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS s FROM t) SELECT COUNT(*) AS n_total, COUNT(*) FILTER (WHERE s > 0.95) AS n_tail FROM c")
 def win_04(spark, sf):
-    return G.long_tail(ventas_demo(spark, sf), "cliente", "importe")
+    return G.long_tail(K.per_value(ventas_demo(spark, sf), "cliente", "importe"))

@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulario.functions.dates import from_seconds, seconds
 from tabulario.functions.text import as_category, label
 from tabulario.operators import quantiles as Q
 from tabulario.operators.intake import col, instant, number, present
-from tabulario.operators.kpi import per_value
 
 MAX_CATEGORIES = 8
 OTHERS = "Otros"
@@ -73,16 +73,15 @@ def pivot(breakdown: DataFrame) -> DataFrame:
     return breakdown.groupBy("period").pivot("category", categories).agg(F.sum("value")).na.fill(0.0).orderBy("period")
 
 
-def halves(df: DataFrame, date_col: str, dimension: str, metric: str | None) -> DataFrame:
+def halves(df: DataFrame, date_col: str, dimension: str, metric: str | None, cut: Column | None = None) -> DataFrame:
     """(category, before, after, change, weight): totals up to and after the median date, in one pass.
 
     Categories that add nothing before are left out, as no change can be told.
     """
-    from tabulario.functions.dates import from_seconds, seconds
-
     d = instant(df, date_col)
-    (median,) = Q.quantiles(df.select(seconds(d).alias("s")), "s", [0.5])
-    cut = from_seconds(F.lit(median))
+    if cut is None:
+        (median,) = Q.quantiles(df.select(seconds(d).alias("s")), "s", [0.5])
+        cut = from_seconds(F.lit(median))
     v = number(df, metric) if metric else F.lit(1.0)
     both = df.where(present(df, dimension) & d.isNotNull()).groupBy(col(dimension).alias("category")).agg(
         F.coalesce(F.sum(F.when(d <= cut, v)), F.lit(0.0)).alias("before"),
@@ -92,64 +91,61 @@ def halves(df: DataFrame, date_col: str, dimension: str, metric: str | None) ->
                              "weight": F.col("before") / whole})
 
 
-def concentration(df: DataFrame, dimension: str, metric: str | None, fraction: float = 0.2) -> DataFrame:
-    """One row: how many values, how many are the top fraction, their share of the total and that of the first.
+def concentration(totals: DataFrame, fraction: float = 0.2) -> DataFrame:
+    """One row from (k, v): how many values, how many are the top fraction, their share and that of the first.
 
     Only values with a positive total count.
     """
-    totals = per_value(df, dimension, metric).where("v > 0").persist()
-    try:
-        sums = Q.top_k_sum(totals, "v", fraction, Q.rounded_share(fraction))
-        first = totals.agg(F.min_by("k", F.struct(-F.col("v"), F.col("k").cast("string")))).head()[0]
-        found = sums.head()
-    finally:
-        totals.unpersist()
-    n, total = found["n"], found["total"]
-    data = [(n, found["k"], found["top_sum"] / total if total else None, str(first) if first is not None else None,
-             found["largest"] / total if total else None)]
-    return df.sparkSession.createDataFrame(data, "n bigint, k bigint, share_top double, first string, share_first double")
-
-
-def long_tail(df: DataFrame, dimension: str, metric: str | None, beyond: float = 0.95) -> DataFrame:
-    """One row: values in all, and those past the given cumulative share when sorted from the largest."""
-    totals = per_value(df, dimension, metric).where("v > 0").select("v")
-    placed = Q.descending_prefix(totals, "v")
+    positive = totals.where("v > 0")
+    first = positive.agg(F.min_by("k", F.struct(-F.col("v"), F.col("k").cast("string"))).cast("string")).scalar()
+    return Q.top_k_sum(positive, "v", fraction, Q.rounded_share(fraction)).select(
+        "n", "k", F.try_divide("top_sum", "total").alias("share_top"), first.alias("first"),
+        F.try_divide("largest", "total").alias("share_first"))
+
+
+def long_tail(totals: DataFrame, beyond: float = 0.95) -> DataFrame:
+    """One row from (k, v): values in all, and those past the given cumulative share when sorted from the largest."""
+    placed = Q.descending_prefix(totals.where("v > 0").select("v"), "v")
     return placed.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("upto") / F.col("total") > beyond).alias("n_tail"))
 
 
-def anova(df: DataFrame, dimension: str, metric: str, least: int = 5) -> DataFrame:
-    """One row: groups, rows, F statistic and its degrees of freedom, over the groups of `least` rows or more.
+def group_moments(df: DataFrame, dimension: str, metric: str) -> DataFrame:
+    """(category, n, mean, variance, total) per category; a missing category is `nan`."""
+    typed = df.select(as_category(col(dimension)).alias("category"), number(df, metric).alias("v")).where("v is not null")
+    return typed.groupBy("category").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("variance"), F.sum("v").alias("total"))
 
-    A missing category is the group `nan`. Groups are reduced to count, mean and variance first.
-    """
-    typed = df.select(as_category(col(dimension)).alias("g"), number(df, metric).alias("v")).where("v is not null")
-    per = typed.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s2")).where(F.col("n") >= least)
-    grand = per.agg(F.sum(F.col("n") * F.col("m")) / F.sum("n")).scalar()
+
+def anova(moments: DataFrame, least: int = 5) -> DataFrame:
+    """One row from group moments: groups, rows, F statistic and its degrees of freedom, over groups of `least` rows."""
+    per = moments.where(F.col("n") >= least)
+    grand = per.agg(F.sum("total") / F.sum("n")).scalar()
     sums = per.agg(
         F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.pow(F.col("m") - grand, 2)).alias("ssb"), F.sum((F.col("n") - 1) * F.col("s2")).alias("ssw"))
+        F.sum(F.col("n") * F.pow(F.col("mean") - grand, 2)).alias("ssb"), F.sum((F.col("n") - 1) * F.col("variance")).alias("ssw"))
     df1, df2 = F.col("groups") - 1, F.col("n") - F.col("groups")
     return sums.select("groups", "n", df1.alias("df1"), df2.alias("df2"),
-                       F.try_divide(F.col("ssb") / df1.cast("double"), F.col("ssw") / df2.cast("double")).alias("f"))
+                       F.try_divide(F.try_divide("ssb", df1.cast("double")), F.try_divide("ssw", df2.cast("double"))).alias("f"))
 
 
-def group_means(df: DataFrame, dimension: str, metric: str) -> DataFrame:
-    """(category, mean, n, total, lift): mean per category and its relative distance from the overall mean."""
-    typed = df.select(as_category(col(dimension)).alias("category"), number(df, metric).alias("v")).where("v is not null")
-    overall = typed.agg(F.avg("v")).scalar()
-    per = typed.groupBy("category").agg(F.avg("v").alias("mean"), F.count("v").alias("n"), F.sum("v").alias("total"))
-    return per.withColumn("lift", F.try_divide(F.col("mean") - overall, F.abs(overall)))
+def group_means(moments: DataFrame) -> DataFrame:
+    """(category, mean, n, total, lift) from group moments: the lift is the relative distance from the overall mean."""
+    overall = moments.agg(F.sum("total") / F.sum("n")).scalar()
+    return moments.select("category", "mean", "n", "total").withColumn(
+        "lift", F.try_divide(F.col("mean") - overall, F.abs(overall)))
 
 
 def dispersion(df: DataFrame, metric: str) -> DataFrame:
     """One row: n, coefficient of variation, median, 90th percentile and the share of the top 1 % of rows."""
     typed = df.select(number(df, metric).alias("v")).where("v is not null")
-    p50, p90 = Q.quantiles(typed, "v", [0.5, 0.9])
+    (n,) = typed.agg(F.count("v")).head()
+    wanted = [Q.quantile("v", 0.5), Q.quantile("v", 0.9), Q.kth_largest("v", 0.01, Q.one_percent)]
+    p50, p90, cut = Q.order_statistics(typed, wanted, {"v": n})
     spread = typed.agg(F.struct(F.stddev_samp("v").alias("sd"), F.avg("v").alias("m"))).scalar()
-    top = Q.top_k_sum(typed, "v", 0.01, Q.one_percent).withColumn("_d", spread)
+    top = Q.sum_above(typed, "v", 0.01, Q.one_percent, cut).withColumn("_d", spread)
     return top.select(
-        "n", F.try_divide(F.col("_d.sd"), F.abs(F.col("_d.m"))).alias("cv"), F.lit(p50).alias("p50"), F.lit(p90).alias("p90"),
-        "k", F.try_divide("top_sum", "total").alias("share_top"))
+        "n", F.try_divide(F.col("_d.sd"), F.abs(F.col("_d.m"))).alias("cv"), F.lit(p50).cast("double").alias("p50"),
+        F.lit(p90).cast("double").alias("p90"), "k", F.try_divide("top_sum", "total").alias("share_top"))
 
 
 def bins_for(n: int) -> int:

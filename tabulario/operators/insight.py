@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date, datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from tabulario.functions import fixed
 from tabulario.functions.statistics import f_tail, t_two_sided
 from tabulario.operators import groups as G
 from tabulario.operators import series as S
-from tabulario.operators.intake import col, instant, number, rows
+from tabulario.operators.intake import rows
+from tabulario.operators.kpi import per_value
 from tabulario.operators.profile import Profiles
 from tabulario.operators.quality import correlations
 from tabulario.operators.values import shares
@@ -25,75 +28,76 @@ def _insight(kind: str, code: str, subject: str | None, title: str, impact: floa
     return (kind, code, subject, title, float(impact), {k: float(v) for k, v in evidence.items() if v is not None})
 
 
-def _slot(df: DataFrame, mapping: Mapping, name: str) -> str | None:
-    c = mapping.get(name)
-    return c if c in df.columns else None
+@dataclass
+class Context:
+    """What the rules look at. Anything several rules need is found once."""
 
+    df: DataFrame
+    mapping: Mapping
+    profiles: Profiles
+    as_of: date
 
-def chosen_series(df: DataFrame, mapping: Mapping) -> tuple[str, DataFrame] | None:
-    """Unit and period series that the span of the dates calls for; None when there is too little."""
-    d, v = _slot(df, mapping, "fecha"), _slot(df, mapping, "ingreso")
-    if d is None:
-        return None
-    kept = S.within_dates(df, d)
-    if kept.limit(10).count() < 10:
-        return None
-    unit = S.choose_unit(S.span_days(kept, d))
-    return unit, S.period_series(df, d, v, unit)
+    def slot(self, name: str) -> str | None:
+        c = self.mapping.get(name)
+        return c if c in self.df.columns else None
 
+    def dimensions(self, *slots: str) -> list[str]:
+        return list(dict.fromkeys(c for c in map(self.slot, slots) if c))
 
-def temporal(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date) -> list[tuple]:
+    @cached_property
+    def scope(self) -> S.Scope | None:
+        return S.Scope(self.df, self.slot("fecha")) if self.slot("fecha") else None
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Totals per believable day: the one pass that every rule about time shares."""
+        return S.daily_totals(self.scope.kept, self.slot("fecha"), self.slot("ingreso")).persist()
+
+    def release(self) -> None:
+        if "daily" in self.__dict__:
+            self.daily.unpersist()
+
+
+def temporal(c: Context) -> list[tuple]:
     """Dates set aside, stale data, trend and an unusual last period."""
-    chosen = chosen_series(df, mapping)
-    if chosen is None:
+    if c.scope is None or c.scope.facts["kept"] < 10:
         return []
-    unit, series = chosen
-    series = series.persist()
-    try:
-        if series.limit(4).count() < 4:
-            return []
-        d = _slot(df, mapping, "fecha")
-        out = []
-        aside = S.set_aside(df, d).head()
-        if aside["descartadas"]:
-            out.append(_insight(CONTEXT, "fechas_apartadas", d, "Hay fechas que no cuadran con las demás", 0.45,
-                                descartadas=aside["descartadas"]))
-        last_day = S.covered(df, d).head()["hasta"]
-        idle = (as_of - last_day.date()).days
-        if idle > 45:
-            out.append(_insight(RISK, "datos_viejos", d, "Los datos dejaron de actualizarse", 0.6, dias_sin_datos=idle))
-        fit = S.trend(series).head()
-        p = t_two_sided(fit["t"], fit["n"] - 2) if fit["t"] is not None else 0.0
-        name = S.UNITS[unit]
-        if p < 0.05 and abs(fit["change"]) > 0.01:
-            up = fit["slope"] > 0
-            out.append(_insight(
-                OPPORTUNITY if up else RISK, "tendencia", mapping.get("ingreso"),
-                f"Cada {name} {'sube' if up else 'baja'} de forma constante",
-                min(0.95, 0.55 + abs(fit["change"]) * 2 + fit["r2"] * 0.2),
-                pendiente=fit["slope"], cambio=fit["change"], r2=fit["r2"], p=p, periodos=fit["n"],
-                proyeccion=fit["last"] + fit["slope"]))
-        else:
-            out.append(_insight(CONTEXT, "sin_tendencia", mapping.get("ingreso"), f"De un {name} a otro no hay rumbo claro",
-                                0.3, p=p, periodos=fit["n"]))
-        end = S.last_against_history(series).head()
-        if end["z"] is not None and end["sd"] and abs(end["z"]) >= 2:
-            out.append(_insight(RISK if end["z"] < 0 else OPPORTUNITY, "ultimo_periodo", mapping.get("ingreso"),
-                                f"El {name} más reciente es inusual", min(0.95, 0.6 + abs(end["z"]) * 0.08),
-                                z=end["z"], ultimo=end["value"], media=end["mean"], variacion=end["change"]))
-        return out
-    finally:
-        series.unpersist()
+    unit = S.choose_unit(c.scope.span)
+    series = S.roll_up(c.daily, unit)
+    if series.limit(4).count() < 4:
+        return []
+    facts, out, income = c.scope.facts, [], c.slot("ingreso")
+    if facts["n"] > facts["kept"]:
+        out.append(_insight(CONTEXT, "fechas_apartadas", c.slot("fecha"), "Hay fechas que no cuadran con las demás", 0.45,
+                            descartadas=facts["n"] - facts["kept"]))
+    idle = (c.as_of - facts["last"].date()).days
+    if idle > 45:
+        out.append(_insight(RISK, "datos_viejos", c.slot("fecha"), "Los datos dejaron de actualizarse", 0.6, dias_sin_datos=idle))
+    fit = S.trend(series).head()
+    p = t_two_sided(fit["t"], fit["n"] - 2) if fit["t"] is not None else 0.0
+    name = S.UNITS[unit]
+    if p < 0.05 and abs(fit["change"]) > 0.01:
+        up = fit["slope"] > 0
+        out.append(_insight(
+            OPPORTUNITY if up else RISK, "tendencia", income, f"Cada {name} {'sube' if up else 'baja'} de forma constante",
+            min(0.95, 0.55 + abs(fit["change"]) * 2 + fit["r2"] * 0.2), pendiente=fit["slope"], cambio=fit["change"],
+            r2=fit["r2"], p=p, periodos=fit["n"], proyeccion=fit["last"] + fit["slope"]))
+    else:
+        out.append(_insight(CONTEXT, "sin_tendencia", income, f"De un {name} a otro no hay rumbo claro", 0.3, p=p, periodos=fit["n"]))
+    end = S.last_against_history(series).head()
+    if end["z"] is not None and end["sd"] and abs(end["z"]) >= 2:
+        out.append(_insight(RISK if end["z"] < 0 else OPPORTUNITY, "ultimo_periodo", income, f"El {name} más reciente es inusual",
+                            min(0.95, 0.6 + abs(end["z"]) * 0.08), z=end["z"], ultimo=end["value"], media=end["mean"],
+                            variacion=end["change"]))
+    return out
 
 
-def calendar_shares(df: DataFrame, date_col: str, value_col: str | None, part: str) -> DataFrame:
-    """(position, name, value, share) per weekday (Monday first) or month; those without rows are zero."""
-    d = instant(df, date_col)
+def calendar_shares(daily: DataFrame, part: str) -> DataFrame:
+    """(position, name, value, share) per weekday (Monday first) or month, from daily totals; those without rows are zero."""
     names = fixed.WEEKDAYS if part == "weekday" else fixed.MONTHS
-    at = F.weekday(d) + 1 if part == "weekday" else F.month(d)
-    v = F.coalesce(F.sum(number(df, value_col)), F.lit(0.0)) if value_col else F.count(F.lit(1)).cast("double")
-    found = S.within_dates(df, date_col).groupBy(at.alias("position")).agg(v.alias("value"))
-    spine = df.sparkSession.range(1, len(names) + 1).select(
+    at = F.weekday("day") + 1 if part == "weekday" else F.month("day")
+    found = daily.groupBy(at.alias("position")).agg(F.sum("value").alias("value"))
+    spine = daily.sparkSession.range(1, len(names) + 1).select(
         F.col("id").cast("int").alias("position"), F.element_at(F.array(*[F.lit(n) for n in names]), F.col("id").cast("int")).alias("name"))
     whole = found.agg(F.sum("value")).scalar()
     return spine.join(found, "position", "left").select(
@@ -101,20 +105,15 @@ def calendar_shares(df: DataFrame, date_col: str, value_col: str | None, part: s
         F.try_divide(F.coalesce("value", F.lit(0.0)), whole).alias("share"))
 
 
-def seasonality(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date) -> list[tuple]:
+def seasonality(c: Context) -> list[tuple]:
     """A weekday above 1.6 times its even share, a month above 1.5 times."""
-    d, v = _slot(df, mapping, "fecha"), _slot(df, mapping, "ingreso")
-    if d is None:
+    if c.scope is None or c.scope.facts["kept"] < 60:
         return []
-    kept = S.within_dates(df, d)
-    if kept.limit(60).count() < 60:
-        return []
-    span = S.span_days(kept, d)
     out = []
     for part, least, limit, impact, code in (("weekday", 28, 1.6 / 7, 0.6, "dia_semana"), ("month", 365, 1.5 / 12, 0.65, "estacionalidad")):
-        if span < least:
+        if c.scope.span < least:
             continue
-        parts = calendar_shares(df, d, v, part).orderBy("position").collect()  # 7 or 12 rows
+        parts = calendar_shares(c.daily, part).orderBy("position").collect()  # 7 or 12 rows
         if sum(r["value"] for r in parts) <= 0:
             continue
         best, worst = max(parts, key=lambda r: r["share"]), min(parts, key=lambda r: r["share"])
@@ -124,65 +123,63 @@ def seasonality(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date
     return out
 
 
-def _dimensions(df: DataFrame, mapping: Mapping, *slots: str) -> list[str]:
-    return list(dict.fromkeys(c for c in (_slot(df, mapping, s) for s in slots) if c))
-
-
-def concentrated(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date) -> list[tuple]:
+def concentrated(c: Context) -> list[tuple]:
     """The top fifth makes 70 % or more; and a long tail that makes under 5 %."""
-    v = _slot(df, mapping, "ingreso")
     out = []
-    for dim in _dimensions(df, mapping, "cliente", "producto", "segmento"):
-        if dim in profiles and profiles[dim].n_unique < 5:
+    for dim in c.dimensions("cliente", "producto", "segmento"):
+        if dim in c.profiles and c.profiles[dim].n_unique < 5:
             continue
-        c = G.concentration(df, dim, v).head()
-        if c["n"] < 5 or c["share_top"] is None:
-            continue
-        if c["share_top"] >= 0.7:
-            alone = c["share_first"] > 0.3
-            out.append(_insight(RISK if alone else FINDING, "concentracion", dim, f"Pocos valores de {dim} hacen casi todo",
-                                min(0.9, 0.5 + c["share_top"] * 0.4 + c["share_first"]),
-                                share_top20=c["share_top"], share_top1=c["share_first"], k=c["k"], n=c["n"]))
-        tail = G.long_tail(df, dim, v).head()
-        if tail["n_tail"] >= max(5, tail["n_total"] * 0.3):
-            out.append(_insight(OPPORTUNITY, "cola_larga", dim, f"Muchos valores de {dim} aportan casi nada", 0.55,
-                                n_cola=tail["n_tail"], n_total=tail["n_total"]))
+        totals = per_value(c.df, dim, c.slot("ingreso")).persist()
+        try:
+            top = G.concentration(totals).head()
+            if top["n"] < 5 or top["share_top"] is None:
+                continue
+            if top["share_top"] >= 0.7:
+                alone = top["share_first"] > 0.3
+                out.append(_insight(RISK if alone else FINDING, "concentracion", dim, f"Pocos valores de {dim} hacen casi todo",
+                                    min(0.9, 0.5 + top["share_top"] * 0.4 + top["share_first"]),
+                                    share_top20=top["share_top"], share_top1=top["share_first"], k=top["k"], n=top["n"]))
+            tail = G.long_tail(totals).head()
+            if tail["n_tail"] >= max(5, tail["n_total"] * 0.3):
+                out.append(_insight(OPPORTUNITY, "cola_larga", dim, f"Muchos valores de {dim} aportan casi nada", 0.55,
+                                    n_cola=tail["n_tail"], n_total=tail["n_total"]))
+        finally:
+            totals.unpersist()
     return out
 
 
-def segments(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date) -> list[tuple]:
+def segments(c: Context) -> list[tuple]:
     """Whether the mean income differs between categories (one-way analysis of variance)."""
-    v = _slot(df, mapping, "ingreso")
-    out = []
-    if v is None:
-        return out
-    for dim in _dimensions(df, mapping, "segmento", "producto"):
-        if dim in profiles and not 1 < profiles[dim].n_unique <= 40:
+    v, out = c.slot("ingreso"), []
+    for dim in c.dimensions("segmento", "producto") if v else []:
+        if dim in c.profiles and not 1 < c.profiles[dim].n_unique <= 40:
             continue
-        test = G.anova(df, dim, v).head()
-        if df.where(number(df, v).isNotNull()).limit(30).count() < 30 or test["groups"] < 2 or test["f"] is None:
+        moments = G.group_moments(c.df, dim, v).persist()  # at most 41 rows
+        try:
+            means = G.group_means(moments).orderBy(F.desc("mean"), "category").collect()
+            test = G.anova(moments).head()
+        finally:
+            moments.unpersist()
+        if sum(r["n"] for r in means) < 30 or test["groups"] < 2 or test["f"] is None:
             continue
         p = f_tail(test["f"], test["df1"], test["df2"])
         if p >= 0.05:
             out.append(_insight(CONTEXT, "segmento_no_explica", dim, f"{dim} no separa niveles de {v}", 0.25, p=p, f=test["f"]))
             continue
-        means = G.group_means(df, dim, v).orderBy(F.desc("mean"), "category").collect()  # at most 41 rows
         best, worst = means[0], means[-1]
         out.append(_insight(OPPORTUNITY, "segmento_discrimina", dim, f"{best['category']} rinde distinto en {v}",
                             min(0.9, 0.6 + abs(best["lift"]) * 0.3), p=p, f=test["f"], lift=best["lift"], drop=worst["lift"]))
     return out
 
 
-def growth(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date) -> list[tuple]:
+def growth(c: Context) -> list[tuple]:
     """The weighty category that fell most and the one that grew most between both halves of the time."""
-    d, v = _slot(df, mapping, "fecha"), _slot(df, mapping, "ingreso")
-    dim = _slot(df, mapping, "segmento") or _slot(df, mapping, "producto")
-    if d is None or dim is None:
+    dim = c.slot("segmento") or c.slot("producto")
+    if c.scope is None or dim is None or c.scope.facts["kept"] < 60:
         return []
-    kept = S.within_dates(df, d)
-    if kept.limit(60).count() < 60 or kept.select(col(dim)).distinct().limit(42).count() > 41:
+    if dim in c.profiles and c.profiles[dim].n_unique > 40:
         return []
-    compared = G.halves(kept, d, dim, v).collect()  # at most 41 rows
+    compared = G.halves(c.scope.kept, c.slot("fecha"), dim, c.slot("ingreso"), c.scope.median).limit(41).collect()
     if not 3 <= len(compared) <= 40:
         return []
     heavy = sorted((r for r in compared if r["weight"] >= 0.05), key=lambda r: (r["change"], str(r["category"])))
@@ -200,14 +197,13 @@ def growth(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date) ->
     return out
 
 
-def dispersed(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date) -> list[tuple]:
+def dispersed(c: Context) -> list[tuple]:
     """Coefficient of variation above 1.2, and a top 1 % of rows above a fifth of the total."""
-    v = _slot(df, mapping, "ingreso")
-    if v is None or df.where(number(df, v).isNotNull()).limit(30).count() < 30:
+    v = c.slot("ingreso")
+    if v is None:
         return []
-    s = G.dispersion(df, v).head()
-    out = []
-    if s["cv"] is None:
+    s, out = G.dispersion(c.df, v).head(), []
+    if s["n"] < 30 or s["cv"] is None:
         return out
     if s["cv"] > 1.2:
         out.append(_insight(FINDING, "dispersion", v, f"{v} varía demasiado para resumirlo en una media", 0.55,
@@ -218,22 +214,22 @@ def dispersed(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date)
     return out
 
 
-def moving_together(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date) -> list[tuple]:
+def moving_together(c: Context) -> list[tuple]:
     """The three strongest correlations between 0.5 and 0.98, over rows without gaps."""
-    columns = [p.name for p in profiles.values() if p.semantic == "numerico" and p.role != "identificador" and p.n_unique > 5]
+    columns = [p.name for p in c.profiles.values() if p.semantic == "numerico" and p.role != "identificador" and p.n_unique > 5]
     if len(columns) < 2:
         return []
-    strong = correlations(df, columns, complete_rows=True).where("n >= 20 and abs(r) >= 0.5 and abs(r) < 0.98")
+    strong = correlations(c.df, columns, complete_rows=True).where("n >= 20 and abs(r) >= 0.5 and abs(r) < 0.98")
     return [
         _insight(FINDING, "correlacion", f"{x['a']} / {x['b']}", f"{x['a']} y {x['b']} van a la par", 0.4 + abs(x["r"]) * 0.2, r=x["r"])
         for x in strong.orderBy(F.desc(F.abs("r")), "a", "b").limit(3).collect()
     ]
 
 
-def unbalanced(df: DataFrame, mapping: Mapping, profiles: Profiles, as_of: date) -> list[tuple]:
+def unbalanced(c: Context) -> list[tuple]:
     """Categories where one value takes more than 90 % of the rows; a missing value counts as one."""
     out = []
-    for p in profiles.values():
+    for p in c.profiles.values():
         if p.semantic in ("categorico", "booleano") and 1 < p.n_unique <= 20:
             # the profile already holds the counts; missing rows may outnumber the most frequent value
             value, n = (p.mode, p.mode_count) if p.mode_count >= p.n_missing else ("nan", p.n_missing)
@@ -252,7 +248,7 @@ def pending_quality(issues: DataFrame) -> list[tuple]:
     return [_insight(RISK, "calidad", None, "Quedan problemas graves en los datos", 0.98, n_criticos=n)] if n else []
 
 
-Rule = Callable[[DataFrame, Mapping, Profiles, date], list[tuple]]
+Rule = Callable[[Context], list[tuple]]
 RULES: list[Rule] = [temporal, seasonality, concentrated, segments, growth, dispersed, moving_together, unbalanced]
 
 
@@ -264,12 +260,15 @@ def generate(df: DataFrame, profiles: Profiles, mapping: Mapping, issues: DataFr
              as_of: date | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """Insights of every rule, strongest first. A rule that fails leaves a note and stops no other."""
     found = pending_quality(issues) if issues is not None else []
-    day = as_of or datetime.now().date()
-    for rule in RULES if rules is None else rules:
-        try:
-            found += rule(df, mapping, profiles, day)
-        except Exception as e:  # noqa: BLE001
-            found.append(_insight(CONTEXT, "regla_fallida", rule.__name__, f"No se pudo evaluar: {type(e).__name__}", 0.05))
+    context = Context(df, mapping, profiles, as_of or datetime.now().date())
+    try:
+        for rule in RULES if rules is None else rules:
+            try:
+                found += rule(context)
+            except Exception as e:  # noqa: BLE001
+                found.append(_insight(CONTEXT, "regla_fallida", rule.__name__, f"No se pudo evaluar: {type(e).__name__}", 0.05))
+    finally:
+        context.release()
     return frame(df, found).orderBy(F.desc("impact"), "code", "subject").limit(limit)
 
 

@@ -186,6 +186,11 @@ def top_k_sum(df: DataFrame, column: str, fraction: float, k: Callable[[int], in
     and as many copies of it as are still missing.
     """
     (cut,) = order_statistics(df, [kth_largest(column, fraction, k)])
+    return sum_above(df, column, fraction, k, cut)
+
+
+def sum_above(df: DataFrame, column: str, fraction: float, k: Callable[[int], int], cut: float | None) -> DataFrame:
+    """`top_k_sum` once the k-th largest value is known."""
     v = F.col(column)
     cut_value = F.lit(cut).cast("double")
     sums = df.agg(

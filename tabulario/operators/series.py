@@ -6,7 +6,10 @@ periods, of which there are few however large the table is.
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,51 +44,37 @@ def robust_bounds(df: DataFrame, date_col: str) -> tuple[Column, Column] | None:
 
 def within_dates(df: DataFrame, date_col: str) -> DataFrame:
     """Rows with a believable date: all present dates, less those far outside the rest."""
-    bounds = robust_bounds(df, date_col)
-    d = instant(df, date_col)
-    return df.where(d.isNotNull() if bounds is None else d.between(*bounds))
-
-
-def span_days(df: DataFrame, date_col: str) -> int:
-    """Whole days from the 1st to the 99th percentile of the dates (from first to last under 20 dates), at least 1."""
-    typed = df.select(dates.seconds(instant(df, date_col)).alias("s"))
-    ends = [0.01, 0.99] if typed.where("s is not null").limit(20).count() == 20 else [0.0, 1.0]
-    low, high = Q.quantiles(typed, "s", ends)
-    return max(int((high - low) // 86400), 1)
-
-
-def full_span_days(df: DataFrame, date_col: str) -> int:
-    low, high = df.agg(F.min(instant(df, date_col)), F.max(instant(df, date_col))).head()
-    return (high - low).days if low is not None else 0
+    return Scope(df, date_col).kept
 
 
 def covered(df: DataFrame, date_col: str) -> DataFrame:
     """One row: first and last believable date."""
+    scope = Scope(df, date_col)
     d = instant(df, date_col)
-    return within_dates(df, date_col).agg(F.min(d).alias("desde"), F.max(d).alias("hasta"))
+    return scope.kept.agg(F.min(d).alias("desde"), F.max(d).alias("hasta"))
 
 
 def set_aside(df: DataFrame, date_col: str) -> DataFrame:
     """One row: dates present, dates believed and dates set aside."""
-    bounds = robust_bounds(df, date_col)
-    d = instant(df, date_col)
-    kept = d.isNotNull() if bounds is None else d.between(*bounds)
-    return df.agg(F.count(d).alias("fechas"), F.count_if(kept).alias("creibles"),
-                  (F.count(d) - F.count_if(kept)).alias("descartadas"))
+    kept = F.count_if(Scope(df, date_col).believed)
+    n = F.count(instant(df, date_col))
+    return df.agg(n.alias("fechas"), kept.alias("creibles"), (n - kept).alias("descartadas"))
 
 
-def period_series(df: DataFrame, date_col: str, value_col: str | None, unit: str, robust: bool = True,
-                  trim: bool = True, drop_incomplete: bool = True) -> DataFrame:
-    """(period, value, n): total and row count per period start; without `value_col` the value is the count.
-
-    Empty periods in between are zero. The last period is dropped while it is not over; `trim` drops
-    zero periods at both ends.
-    """
-    kept = within_dates(df, date_col) if robust else df.where(instant(df, date_col).isNotNull())
+def daily_totals(df: DataFrame, date_col: str, value_col: str | None) -> DataFrame:
+    """(day, value, n, last): total, row count and last instant of every day with rows; without `value_col`
+    the value is the count."""
     d = instant(df, date_col)
     v = F.coalesce(F.sum(number(df, value_col)), F.lit(0.0)) if value_col else F.count(F.lit(1)).cast("double")
-    base = kept.groupBy(dates.period_start(d, unit).alias("period")).agg(
+    return df.where(d.isNotNull()).groupBy(d.cast("date").alias("day")).agg(
         v.alias("value"), F.count(F.lit(1)).alias("n"), F.max(d).alias("last"))
+
+
+def roll_up(daily: DataFrame, unit: str, trim: bool = True, drop_incomplete: bool = True) -> DataFrame:
+    """(period, value, n) from daily totals. Empty periods in between are zero; the last one is dropped while it
+    is not over; `trim` drops zero periods at both ends."""
+    base = daily.groupBy(dates.period_start(F.col("day"), unit).alias("period")).agg(
+        F.sum("value").alias("value"), F.sum("n").alias("n"), F.max("last").alias("last"))
     ends = base.agg(F.min("period").alias("lo"), F.max("period").alias("hi"), F.max("last").alias("last"))
     spine = ends.select(F.explode(F.sequence("lo", "hi", dates.period_step(unit))).alias("period"), "hi", "last")
     whole = spine.join(base.select("period", "value", "n"), "period", "left").select(
@@ -97,6 +86,64 @@ def period_series(df: DataFrame, date_col: str, value_col: str | None, unit: str
     return _trimmed(whole) if trim else whole
 
 
+def period_series(df: DataFrame, date_col: str, value_col: str | None, unit: str, robust: bool = True,
+                  trim: bool = True, drop_incomplete: bool = True) -> DataFrame:
+    """`roll_up` of the daily totals of a table, by default over its believable dates."""
+    kept = within_dates(df, date_col) if robust else df
+    return roll_up(daily_totals(kept, date_col, value_col), unit, trim, drop_incomplete)
+
+
+@dataclass
+class Scope:
+    """The believable dates of a table: found once, then shared by whatever looks at time."""
+
+    df: DataFrame
+    date_col: str
+
+    @cached_property
+    def bounds(self) -> tuple[Column, Column] | None:
+        return robust_bounds(self.df, self.date_col)
+
+    @property
+    def believed(self) -> Column:
+        d = instant(self.df, self.date_col)
+        return d.isNotNull() if self.bounds is None else d.between(*self.bounds)
+
+    @property
+    def kept(self) -> DataFrame:
+        return self.df.where(self.believed)
+
+    @cached_property
+    def facts(self) -> Row:
+        """n (dates present), kept, first and last believable date."""
+        d = instant(self.df, self.date_col)
+        inside = F.when(self.believed, d)
+        return self.df.agg(F.count(d).alias("n"), F.count(inside).alias("kept"), F.min(inside).alias("first"),
+                           F.max(inside).alias("last")).head()
+
+    @cached_property
+    def spread(self) -> tuple[float, float, float]:
+        """1st percentile, median and 99th percentile of the believable dates, in seconds."""
+        typed = self.kept.select(dates.seconds(instant(self.df, self.date_col)).alias("s"))
+        wanted = [Q.quantile("s", p) for p in (0.01, 0.5, 0.99)]
+        return tuple(Q.order_statistics(typed, wanted, {"s": self.facts["kept"]}))
+
+    @property
+    def full_days(self) -> int:
+        return (self.facts["last"] - self.facts["first"]).days if self.facts["kept"] else 0
+
+    @property
+    def span(self) -> int:
+        """Whole days from the 1st to the 99th percentile (from first to last under 20 dates), at least 1."""
+        if self.facts["kept"] < 20:
+            return max(self.full_days, 1)
+        return max(int((self.spread[2] - self.spread[0]) // 86400), 1)
+
+    @property
+    def median(self) -> Column:
+        return dates.from_seconds(F.lit(self.spread[1]))
+
+
 def _trimmed(series: DataFrame) -> DataFrame:
     nonzero = F.max((F.col("value") != 0).cast("int"))
     seen = nonzero.over(W.orderBy("period").rowsBetween(W.unboundedPreceding, 0))
@@ -122,10 +169,10 @@ def last_change(series: DataFrame) -> DataFrame:
     )
 
 
-def measure_series(df: DataFrame, measure: Measure, date_col: str, unit: str) -> DataFrame:
+def measure_series(df: DataFrame, measure: Measure, date_col: str, unit: str, scope: Scope | None = None) -> DataFrame:
     """(period, value) of any measure, computed inside each period; periods without a value are left out
     and the last one is dropped when there are more than three."""
-    kept = within_dates(df, date_col)
+    kept = (scope or Scope(df, date_col)).kept
     per = evaluate(
         kept.withColumn("_period", dates.period_start(instant(df, date_col), unit)), {"value": measure}, ["_period"]
     ).where("value is not null and not isnan(value)").withColumnRenamed("_period", "period")

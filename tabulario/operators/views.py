@@ -41,12 +41,12 @@ def _second_metric(profiles: Profiles, mapping: Mapping, metric: str) -> str | N
 
 
 def board_series(df: DataFrame, date_col: str, value_col: str | None) -> tuple[str, DataFrame] | None:
-    """Unit and series for the board: its own cuts, no trimming of zeros; None under three periods."""
-    kept = S.within_dates(df, date_col)
-    if kept.limit(4).count() <= 3:
+    """Unit and series (value and row count) for the board: its own cuts, no trimming of zeros; None under three periods."""
+    scope = S.Scope(df, date_col)
+    if scope.facts["kept"] <= 3:
         return None
-    unit = S.choose_unit(S.full_span_days(kept, date_col), board=True)
-    series = S.period_series(df, date_col, value_col, unit, trim=False)
+    unit = S.choose_unit(scope.full_days, board=True)
+    series = S.roll_up(S.daily_totals(scope.kept, date_col, value_col), unit, trim=False)
     return (unit, series) if series.limit(3).count() == 3 else None
 
 
@@ -58,10 +58,11 @@ def board_views(df: DataFrame, profiles: Profiles, mapping: Mapping) -> list[Vie
     metric = mapping.get("ingreso") if mapping.get("ingreso") in metrics else metrics[0]
     views: list[View] = []
     when = _date(profiles, mapping)
-    for name, value in (("tiempo", metric), ("volumen", None)) if when else ():
-        found = board_series(df, when, value)
-        if found:
-            views.append(View(name, "line", found[1], found[0]))
+    found = board_series(df, when, metric) if when else None
+    if found:
+        unit, series = found
+        views.append(View("tiempo", "line", series.select("period", "value"), unit))
+        views.append(View("volumen", "line", series.select("period", F.col("n").cast("double").alias("value")), unit))
     able = dimension_columns(profiles)
     wanted = [mapping.get(s) for s in ("segmento", "producto", "cliente")]
     dims = list(dict.fromkeys([d for d in wanted if d in able] + able))
@@ -82,18 +83,16 @@ def board_views(df: DataFrame, profiles: Profiles, mapping: Mapping) -> list[Vie
 def kpi_views(df: DataFrame, profiles: Profiles, mapping: Mapping, kpis: list[Kpi]) -> list[View]:
     """One view per KPI: over time when there are dates, else per category."""
     when = _date(profiles, mapping)
-    unit = None
-    if when:
-        kept = S.within_dates(df, when)
-        if kept.limit(4).count() > 3:
-            unit = S.choose_unit(S.full_span_days(kept, when), board=True)
+    unit, scope = None, S.Scope(df, when) if when else None
+    if scope and scope.facts["kept"] > 3:
+        unit = S.choose_unit(scope.full_days, board=True)
     able = dimension_columns(profiles)
     dim = next((d for d in [mapping.get("segmento"), mapping.get("producto"), *able]
                 if d in able and profiles[d].n_unique <= MAX_KPI_CATEGORIES), None)
     views = []
     for k in kpis:
         if unit:
-            series = S.measure_series(df, k.measure, when, unit)
+            series = S.measure_series(df, k.measure, when, unit, scope)
             if series.limit(3).count() == 3:
                 views.append(View(k.name, "line", series, unit))
                 continue

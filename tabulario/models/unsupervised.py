@@ -12,6 +12,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulario.models.features import usable_features
 from tabulario.models.prepare import fit_features
@@ -156,7 +157,7 @@ def score_forest(vectors: DataFrame, nodes: list, column: str = "score") -> Data
                 depth += leaf[at]
             yield pdf.assign(**{column: -np.power(2.0, -(depth / len(shared.value)) / norm)})
 
-    schema = vectors.schema.add(column, "double")
+    schema = T.StructType([*vectors.schema.fields, T.StructField(column, T.DoubleType())])
     return vectors.mapInPandas(score, schema)
 
 

@@ -556,7 +556,7 @@ def detect_issues(df: DataFrame, profiles: Profiles | None = None, row_id: str |
                   as_of: date | None = None) -> DataFrame:
     """Every rule, ordered. `row_id` is not examined; it names the rows that are listed."""
     table = df.drop(row_id) if row_id else df
-    counts = value_counts(table).persist()
+    counts = value_counts(table, count_rows=True).persist()
     try:
         found = profiles if profiles is not None else profile(table, counts)
         if not _size(table, found):

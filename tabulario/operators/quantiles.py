@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MARGIN = 4.0 / ACCURACY
-IN_ONE_TASK = 100_000
+IN_ONE_TASK = 50_000
 BUCKETS = 255  # cut points of a two-level prefix
 
 
@@ -85,24 +85,21 @@ def _bracket(t: Target) -> tuple[float, float]:
 
 
 def _search(df: DataFrame, targets: list[Target], searched: list[tuple[int, float, float, float]]) -> dict[int, float]:
-    below = df.agg(*[
-        F.count_if(F.col(targets[i].column) < low).alias(f"b{i}") for i, _, low, _ in searched
-    ]).head()
+    # counted in the same job as the candidates, as a subquery of one row
+    below = df.agg(F.array(*[F.count_if(F.col(targets[i].column) < low) for i, _, low, _ in searched])).scalar()
     candidates = F.filter(
         F.array(*[
             F.when(F.col(targets[i].column).between(low, high),
-                   F.struct(F.lit(i).alias("i"), F.col(targets[i].column).alias("v")))
-            for i, _, low, high in searched
+                   F.struct(F.lit(j).alias("i"), F.col(targets[i].column).alias("v")))
+            for j, (i, _, low, high) in enumerate(searched)
         ]),
         lambda x: x.isNotNull(),
     )
     inside = df.select(F.explode(candidates).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    offset = F.element_at(F.create_map(*[
-        F.lit(x) for i, *_ in searched for x in (i, below[f"b{i}"])
-    ]), F.col("i"))
-    rank = F.element_at(F.create_map(*[F.lit(x) for i, r, *_ in searched for x in (i, r)]), F.col("i"))
-    placed = inside.select("i", "v", "c", (offset + upto).alias("end"), rank.alias("r")).withColumn(
+    offset = F.get("below", F.col("i"))
+    rank = F.get(F.array(*[F.lit(r) for _, r, *_ in searched]), F.col("i"))
+    placed = inside.withColumn("below", below).select("i", "v", "c", (offset + upto).alias("end"), rank.alias("r")).withColumn(
         "start", F.col("end") - F.col("c")
     )
 
@@ -110,8 +107,11 @@ def _search(df: DataFrame, targets: list[Target], searched: list[tuple[int, floa
         return F.max(F.when((F.col("start") <= position) & (F.col("end") > position), F.col("v")))
 
     rows = placed.groupBy("i").agg(at(F.floor("r")).alias("low"), at(F.ceil("r")).alias("high")).collect()
-    ranks = {i: r for i, r, *_ in searched}
-    return {r["i"]: r["low"] + (r["high"] - r["low"]) * (ranks[r["i"]] - math.floor(ranks[r["i"]])) for r in rows}
+    out = {}
+    for r in rows:
+        i, rank = searched[r["i"]][:2]
+        out[i] = r["low"] + (r["high"] - r["low"]) * (rank - math.floor(rank))
+    return out
 
 
 def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:

@@ -16,17 +16,21 @@ def text_form(name: str, dtype: T.DataType) -> Column:
     return col(name).cast("string")
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+ROWS = "(filas)"  # stands for a column that every row has
+
+
+def value_counts(df: DataFrame, columns: list[str] | None = None, count_rows: bool = False) -> DataFrame:
     """(column, value, n): how often each value occurs, over all flat columns, missing left out.
 
     One shuffle for every column at once. Counts are combined before it, so a value that holds a
-    large part of the rows travels once per task.
+    large part of the rows travels once per task. With `count_rows` the column ROWS, with the one
+    value ROWS, tells how many rows there are.
     """
     picked = [f for f in df.schema if is_flat(f.dataType) and (columns is None or f.name in columns)]
     long = df.select(
         F.explode(F.array(*[
             F.struct(F.lit(f.name).alias("column"), text_form(f.name, f.dataType).alias("value")) for f in picked
-        ])).alias("x")
+        ], *([F.struct(F.lit(ROWS).alias("column"), F.lit(ROWS).alias("value"))] if count_rows else []))).alias("x")
     ).select("x.column", "x.value")
     return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -66,22 +66,27 @@ def order_statistics(df: DataFrame, targets: list[Target], sizes: dict[str, int]
         for j, which in enumerate(native.values()):
             for position, i in enumerate(which):
                 found[i] = row[j][position]
-    if large:
-        spots = {c: sorted({p for i in large if targets[i].column == c for p in _bracket(targets[i])}) for c in columns}
+    margin = MARGIN
+    while large:  # once, unless a sketch falls outside its stated error
+        spots = {c: sorted({p for i in large if targets[i].column == c for p in _bracket(targets[i], margin)}) for c in columns}
         sketched = [c for c in columns if spots[c]]
         sketch = dict(zip(sketched, df.agg(*[F.percentile_approx(c, spots[c], ACCURACY) for c in sketched]).head()))
         searched = []
         for i in large:
             c = targets[i].column
-            low, high = (sketch[c][spots[c].index(p)] for p in _bracket(targets[i]))
+            low, high = (sketch[c][spots[c].index(p)] for p in _bracket(targets[i], margin))
+            if n_of[c] <= 2 * ACCURACY or margin >= 1.0:
+                low, high = -math.inf, math.inf  # the error of the sketch is under one rank: look at every value
             searched.append((i, ranks[i], low, high))
         for i, value in _search(df, targets, searched).items():
             found[i] = value
+        large = [i for i in large if found[i] is None]
+        margin *= 25
     return found
 
 
-def _bracket(t: Target) -> tuple[float, float]:
-    return max(t.fraction - MARGIN, 0.0), min(t.fraction + MARGIN, 1.0)
+def _bracket(t: Target, margin: float) -> tuple[float, float]:
+    return max(t.fraction - margin, 0.0), min(t.fraction + margin, 1.0)
 
 
 def _search(df: DataFrame, targets: list[Target], searched: list[tuple[int, float, float, float]]) -> dict[int, float]:
@@ -110,7 +115,8 @@ def _search(df: DataFrame, targets: list[Target], searched: list[tuple[int, floa
     out = {}
     for r in rows:
         i, rank = searched[r["i"]][:2]
-        out[i] = r["low"] + (r["high"] - r["low"]) * (rank - math.floor(rank))
+        if r["low"] is not None and r["high"] is not None:
+            out[i] = r["low"] + (r["high"] - r["low"]) * (rank - math.floor(rank))
     return out
 
 

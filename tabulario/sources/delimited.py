@@ -33,20 +33,21 @@ _NOT_CP1252 = "[" + "".join(chr(b) for b in range(0x80, 0xA0) if not bytes([b]).
 
 
 def encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(file, encoding): utf-8-sig, utf-8, cp1252 or latin-1, the first that reads every line of the file."""
+    """(file, encoding): utf-8, cp1252 or latin-1, the first that reads every line of the file.
+
+    The line reader takes a byte order mark away, so UTF-8 with and without it are the same here.
+    """
     text = F.col("raw").cast("string")
     latin = F.decode(F.col("raw"), "ISO-8859-1")
     per = lines(spark, path).groupBy("file").agg(
         F.bool_and(F.is_valid_utf8(text)).alias("utf8"),
-        F.bool_or(F.col("at_start") & F.coalesce(F.is_valid_utf8(text), F.lit(False)) & F.hex("raw").startswith("EFBBBF")).alias("bom"),
         F.bool_and(~latin.rlike(_NOT_CP1252)).alias("cp1252"))
-    return per.select("file", F.when(F.col("utf8") & F.col("bom"), "utf-8-sig").when(F.col("utf8"), "utf-8")
-                      .when(F.col("cp1252"), "cp1252").otherwise("latin-1").alias("encoding"))
+    return per.select("file", F.when(F.col("utf8"), "utf-8").when(F.col("cp1252"), "cp1252").otherwise("latin-1").alias("encoding"))
 
 
 def decoded(raw: Column, encoding: str) -> Column:
-    if encoding in ("utf-8", "utf-8-sig"):
-        return F.regexp_replace(raw.cast("string"), "^﻿", "")
+    if encoding == "utf-8":
+        return raw.cast("string")
     latin = F.decode(raw, "ISO-8859-1")
     return F.translate(latin, _C1, _CP1252) if encoding == "cp1252" else latin
 
@@ -82,17 +83,17 @@ def header_rows(text: DataFrame, separator: str) -> DataFrame:
     A row scores its filled cells, plus half its text cells and half its distinct cells; it needs two
     filled cells. The first best row wins; row 0 when none qualifies.
     """
-    cells = head(text, SCANNED_ROWS).select("file", "row", F.split("value", _literal(separator)).alias("c"))
+    counted = head(text, WIDTH_LINES).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(separator), F.lit("")))))
+    width = (counted.head()[0] or 0) + 1
+    row = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"sep": separator})
+    cells = head(text, SCANNED_ROWS).select("file", "row", row.alias("x")).select(
+        "file", "row", F.filter(F.array(*[F.col("x")[f"c{i}"] for i in range(width)]), lambda x: x.isNotNull()).alias("c"))
     filled = F.filter("c", lambda x: F.trim(x) != "")
     score = F.size(filled) * 1.5 + F.size(F.array_distinct(filled)) * 0.5
     scored = cells.select("file", "row", F.when(F.size(filled) >= 2, score).otherwise(F.lit(-1.0)).alias("score"))
     return scored.groupBy("file").agg(F.max_by("row", F.struct("score", -F.col("row"))).alias("header"), F.max("score").alias("score"))
 
 
-def _literal(separator: str) -> str:
-    return {"|": r"\|"}.get(separator, separator)
-
-
 def repaired_names(names: list[str | None]) -> tuple[list[str], list[str]]:
     """Names without blanks or repeats, and notes on what was changed."""
     seen: dict[str, int] = {}
@@ -130,10 +131,10 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
     raw = lines(spark, path)
     notes = []
     if encoding is None:
-        found = [r["encoding"] for r in encodings(spark, path).select("encoding").distinct().collect()]  # at most four
+        found = [r["encoding"] for r in encodings(spark, path).select("encoding").distinct().collect()]  # at most three
         if not found:
             raise ValueError(f"no hay líneas en {path}")
-        encoding = max(found, key=["utf-8", "utf-8-sig", "cp1252", "latin-1"].index)
+        encoding = max(found, key=["utf-8", "cp1252", "latin-1"].index)
     if encoding == "latin-1":
         notes.append("el texto no es UTF-8; se leyó como latin-1")
     text = raw.select("file", "at_start", "id", decoded(F.col("raw"), encoding).alias("value"))

@@ -20,7 +20,7 @@ def sales(spark):
     x, seg = rng.normal(size=n), rng.choice(["n", "s", "e"], n)
     pdf = pd.DataFrame({
         "gasto": x, "seg": seg, "ruido": rng.normal(size=n), "objetivo": 3 * x + (seg == "n") * 2 + rng.normal(scale=0.3, size=n),
-        "texto_num": [f"$ {v:,.2f}" for v in 1000 + 100 * x], "fecha": pd.date_range("2024-01-01", periods=n).strftime("%d/%m/%Y")})
+        "monto_texto": [f"$ {v:,.2f}" for v in 1000 + 100 * x], "fecha": pd.date_range("2024-01-01", periods=n).strftime("%d/%m/%Y")})
     pdf["clase"] = np.where(x + 0.2 * rng.normal(size=n) > 0, "alto", "bajo")
     pdf["azar"] = rng.normal(size=n)
     return spark.createDataFrame(pdf)
@@ -50,7 +50,7 @@ def test_leaks_are_found(sales):
 
 
 def test_classification_with_all_candidates_then_save_and_score(spark, sales, tmp_path):
-    df = sales.select("texto_num", "seg", "fecha", "ruido", "clase")
+    df = sales.select("monto_texto", "seg", "fecha", "ruido", "clase")
     r = SV.run_supervised(df, P.profile(df), "clase", QUICK)
     assert set(r.candidates) == {"Regresión logística", "Random Forest", "Gradient Boosting"}
     assert r.ok and r.metrics["exactitud_balanceada"] > 0.8 and r.metrics["roc_auc"] > 0.85 and r.features.dates == ("fecha",)
@@ -59,7 +59,7 @@ def test_classification_with_all_candidates_then_save_and_score(spark, sales, tm
     fresh = df.drop("clase").withColumn("extra", F.lit(1))
     out, notes = scoring.score(saved, fresh)
     assert out.columns == [*fresh.columns, "_prediccion", "_confianza", "_prob_bajo"] and len(notes) == 1
-    hits = out.join(df, ["texto_num", "seg", "fecha", "ruido"]).where(F.col("_prediccion") == F.col("clase")).count()
+    hits = out.join(df, ["monto_texto", "seg", "fecha", "ruido"]).where(F.col("_prediccion") == F.col("clase")).count()
     assert hits / df.count() > 0.8
     with pytest.raises(ValueError, match="seg"):
         scoring.score(saved, fresh.drop("seg"))

@@ -193,3 +193,15 @@ def dep_02(spark, sf):
     df, report = _classify(spark, sf, ["Regresión logística"])
     saved = SavedModel(report.model, report.task, report.target, report.features.columns, report.classes, report.metrics, report.baseline, report.beats_baseline, "")
     return score(saved, df.drop("talla"))[0].select("costo", "segmento", "_prediccion", r("_confianza", 6).alias("_confianza"))
+
+
+@query("dep-01")
+def dep_01(spark, sf):
+    from tabulario.models.scoring import load_model, save_model
+    from tabulario.sources.sinks import scratch
+    df, report = _classify(spark, sf, ["Regresión logística"])
+    path = scratch(spark)
+    save_model(report, path, spark, "ventas")
+    saved = load_model(path, spark)
+    again = score(saved, df)[0].groupBy(F.col("talla").alias("real"), F.col("_prediccion").alias("predicho")).agg(F.count("*").alias("n"))
+    return again.withColumn("tarea", F.lit(saved.task))

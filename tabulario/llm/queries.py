@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulario.llm import bpe, compression_rules, packing, token_counts
+from tabulario.llm import bpe, compression_rules, importance, packing, token_counts, toxicity
 from tabulario.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,12 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op3_importance_resampling")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return importance.report(table(spark, sf_dir, "documents"), good)
+
+
 @query("op4_token_counts")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -41,6 +48,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op8_toxicity")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_bpe")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

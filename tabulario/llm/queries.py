@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulario.llm import bpe, compression_rules, importance, packing, token_counts, toxicity
+from tabulario.llm import bpe, compression_rules, importance, packing, permutation_index, token_counts, toxicity, url_rules
 from tabulario.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,27 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: The rules of the url query.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query("op1_url_rules", f"""
+WITH rules(rule, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+split AS (SELECT rule, verdict, regexp_extract(rule, '^[^/]*') AS rule_host, substr(rule, length(regexp_extract(rule, '^[^/]*')) + 1) AS rule_path FROM rules),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_rules.UPPER}', '{url_rules.LOWER}') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest),
+fits AS (SELECT page_id, host, path, rule, verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, length(rule_host) DESC) AS n
+    FROM parsed LEFT JOIN split ON (host = rule_host OR right(host, length(rule_host) + 1) = '.' || rule_host)
+        AND left(path, length(rule_path)) = rule_path)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_rules.report(table(spark, sf_dir, "pages"), rules)
+
+
 @query("op3_importance_resampling")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
@@ -56,3 +77,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bpe")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_permutation_index")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulario.llm import bpe, compression_rules, importance, packing, permutation_index, token_counts, toxicity, url_rules
+from tabulario.llm import bpe, compression_rules, importance, packing, permutation_index, pii, token_counts, toxicity, url_rules
 from tabulario.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op7_pii")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

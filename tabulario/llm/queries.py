@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulario.llm import bpe, compression_rules, importance, packing, permutation_index, pii, token_counts, toxicity, url_rules
+from tabulario.llm import bpe, compression_rules, importance, near_duplicates, packing, permutation_index, pii, token_counts, toxicity, url_rules
 from tabulario.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.report(table(spark, sf_dir, "pages"), rules)
 
 
+@query("op2_near_duplicates")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.find(table(spark, sf_dir, "documents"))
+
+
 @query("op3_importance_resampling")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)

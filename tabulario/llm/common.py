@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulario.session import materialize
 
-__all__ = ["BATCH_ROWS", "Memo", "UNIT", "materialize", "sha_rank", "table", "text_column"]
+__all__ = ["BATCH_ROWS", "Memo", "UNIT", "materialize", "free_name", "small_batches", "table", "text_column"]
 
 #: Rows that a Python worker holds at a time; texts may be long, so far fewer than Spark's 10 000.
 BATCH_ROWS = 512
@@ -20,9 +20,21 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Give Python workers few rows at a time, as long texts need."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; sets the small Arrow batches that long texts need."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,11 +43,6 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def sha_rank(*parts: Column | str) -> Column:
-    """A long that is the same for the same values in every run; used to deal rows out."""
-    return F.xxhash64(*parts)
-
-
 class Memo(dict):
     """Answers per key, computed in batches; at most `bound` recent and as many older ones are kept."""
 

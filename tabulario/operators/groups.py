@@ -106,7 +106,10 @@ def concentration(totals: DataFrame, fraction: float = 0.2) -> DataFrame:
 def long_tail(totals: DataFrame, beyond: float = 0.95) -> DataFrame:
     """One row from (k, v): values in all, and those past the given cumulative share when sorted from the largest."""
     placed = Q.descending_prefix(totals.where("v > 0").select("v"), "v")
-    return placed.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("upto") / F.col("total") > beyond).alias("n_tail"))
+    # of c equal values those count whose own cumulative share is past the limit
+    within = F.floor((F.lit(beyond) * F.col("total") - (F.col("upto") - F.col("v") * F.col("c"))) / F.col("v"))
+    tail = F.col("c") - F.least(F.col("c"), F.greatest(F.lit(0), within))
+    return placed.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_total"), F.coalesce(F.sum(tail), F.lit(0)).alias("n_tail"))
 
 
 def group_moments(df: DataFrame, dimension: str, metric: str) -> DataFrame:

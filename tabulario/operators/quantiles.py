@@ -1,10 +1,11 @@
 """Exact order statistics, top-k sums and prefix sums that never sort a whole table in one task.
 
 Spark's `percentile` keeps every distinct value of a group in one task, and a window without
-partitions sorts a whole table in one. Both are used here only up to IN_ONE_TASK rows, a size that
-is counted first. Beyond it a mergeable sketch (`percentile_approx`) brackets each wanted rank, one
-scan counts the rows below the bracket, and only the rows inside it (about 8 in 10 000) are
-ordered. The sketch only narrows the search, so results are exact either way.
+partitions sorts a whole table in one. Here a mergeable sketch (`percentile_approx`) brackets each
+wanted rank, one scan counts the rows below the bracket, and only the distinct values inside it are
+ordered; brackets that may still hold too many are sketched again from the inside. Prefix sums run
+inside ranges of the order and add what the ranges before hold. The sketch only narrows the search,
+so results are exact, and tables of every size take the same way.
 """
 from __future__ import annotations
 
@@ -12,15 +13,15 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulario.session import materialize
+
 ACCURACY = 10_000
 MARGIN = 4.0 / ACCURACY
-IN_ONE_TASK = 50_000
-BUCKETS = 255  # cut points of a two-level prefix
+CANDIDATES = 1_000_000  # values of one bracket that are ordered together
 
 
 @dataclass(frozen=True)
@@ -42,51 +43,78 @@ def kth_largest(column: str, fraction: float, k: Callable[[int], int]) -> Target
     return Target(column, 1.0 - fraction, lambda n: n - k(n))
 
 
+@dataclass(frozen=True)
+class _Bracket:
+    """Bounds known to hold a rank: values below `low` and values from `low` to `high`, counted."""
+
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    def fractions(self, rank: float, margin: float) -> tuple[float, float]:
+        """Where the two neighbours of the rank lie among the values inside, one rank and the sketch's error around."""
+        local = rank - self.below
+        ends = (local - 1) / self.inside - margin, (local + 2) / self.inside + margin
+        return min(max(ends[0], 0.0), 1.0), min(max(ends[1], 0.0), 1.0)
+
+
 def order_statistics(df: DataFrame, targets: list[Target], sizes: dict[str, int] | None = None) -> list[float | None]:
     """The wanted values over the whole frame, in the order asked; None for an empty column.
 
     Columns must be DOUBLE without NaN. `sizes` gives the count of present values per column when it
-    is known already. What reaches the driver is one row per target.
+    is known already. What reaches the driver are a few rows per target.
     """
     columns = sorted({t.column for t in targets})
     n_of = sizes or dict(zip(columns, df.agg(*[F.count(c) for c in columns]).head()))
     ranks = [min(max(float(t.rank(n_of[t.column])), 0.0), n_of[t.column] - 1.0) for t in targets]
     found: list[float | None] = [None] * len(targets)
-    native: dict[str, list[int]] = {}
-    large: list[int] = []
-    for i, t in enumerate(targets):
-        if n_of[t.column] > IN_ONE_TASK:
-            large.append(i)
-        elif n_of[t.column]:
-            native.setdefault(t.column, []).append(i)
-
-    if native:
-        shares = {c: [ranks[i] / max(n_of[c] - 1, 1) for i in which] for c, which in native.items()}
-        row = df.agg(*[F.percentile(c, shares[c]).alias(f"p{j}") for j, c in enumerate(native)]).head()
-        for j, which in enumerate(native.values()):
-            for position, i in enumerate(which):
-                found[i] = row[j][position]
+    open_ = {i: _Bracket(-math.inf, math.inf, 0, n_of[t.column]) for i, t in enumerate(targets) if n_of[t.column]}
     margin = MARGIN
-    while large:  # once, unless a sketch falls outside its stated error
-        spots = {c: sorted({p for i in large if targets[i].column == c for p in _bracket(targets[i], margin)}) for c in columns}
-        sketched = [c for c in columns if spots[c]]
-        sketch = dict(zip(sketched, df.agg(*[F.percentile_approx(c, spots[c], ACCURACY) for c in sketched]).head()))
-        searched = []
-        for i in large:
-            c = targets[i].column
-            low, high = (sketch[c][spots[c].index(p)] for p in _bracket(targets[i], margin))
-            if n_of[c] <= 2 * ACCURACY or margin >= 1.0:
-                low, high = -math.inf, math.inf  # the error of the sketch is under one rank: look at every value
-            searched.append((i, ranks[i], low, high))
-        for i, value in _search(df, targets, searched).items():
+    while open_:
+        narrowed = _sketch(df, targets, ranks, open_, margin)
+        if max(b.inside for b in open_.values()) * 2 * (margin + 1 / ACCURACY) > CANDIDATES:
+            counted = _count(df, targets, narrowed)
+            done = {i: b.low for i, b in counted.items() if b.low == b.high and b.below <= ranks[i] <= b.below + b.inside - 1}
+            shrunk = {
+                i: b for i, b in counted.items()
+                if i not in done and b.below <= math.floor(ranks[i]) and math.ceil(ranks[i]) < b.below + b.inside
+                and b.inside <= open_[i].inside / 2
+            }
+            for i, value in done.items():
+                found[i] = value
+            if done or shrunk:
+                open_ = {i: shrunk.get(i, b) for i, b in open_.items() if i not in done}
+                continue  # a bracket that no longer shrinks is made of few, frequent values
+        for i, value in _search(df, targets, [(i, ranks[i], low, high) for i, (low, high) in narrowed.items()]).items():
             found[i] = value
-        large = [i for i in large if found[i] is None]
-        margin *= 25
+        open_ = {i: b for i, b in open_.items() if found[i] is None}
+        margin *= 25  # only where a sketch fell outside its stated error
     return found
 
 
-def _bracket(t: Target, margin: float) -> tuple[float, float]:
-    return max(t.fraction - margin, 0.0), min(t.fraction + margin, 1.0)
+def _sketch(df: DataFrame, targets: list[Target], ranks: list[float], open_: dict[int, _Bracket],
+            margin: float) -> dict[int, tuple[float, float]]:
+    """Narrower bounds of each open target, by one pass. Targets that share a column and bounds share a sketch."""
+    wanted: dict[tuple, list[float]] = {}
+    ends = {}
+    for i, b in open_.items():
+        key = (targets[i].column, b.low, b.high)
+        ends[i] = key, b.fractions(ranks[i], margin)
+        wanted[key] = sorted({*wanted.get(key, []), *ends[i][1]})
+    row = df.agg(*[
+        F.percentile_approx(c if low == -math.inf else F.when(F.col(c).between(low, high), F.col(c)), spots, ACCURACY)
+        for (c, low, high), spots in wanted.items()
+    ]).head()
+    sketch = dict(zip(wanted, row))
+    return {i: (sketch[key][wanted[key].index(a)], sketch[key][wanted[key].index(b)]) if margin < 1 else (-math.inf, math.inf)
+            for i, (key, (a, b)) in ends.items()}
+
+
+def _count(df: DataFrame, targets: list[Target], bounds: dict[int, tuple[float, float]]) -> dict[int, _Bracket]:
+    row = df.agg(*[x for i, (low, high) in bounds.items() for x in (
+        F.count_if(F.col(targets[i].column) < low), F.count_if(F.col(targets[i].column).between(low, high)))]).head()
+    return {i: _Bracket(low, high, row[2 * j], row[2 * j + 1]) for j, (i, (low, high)) in enumerate(bounds.items())}
 
 
 def _search(df: DataFrame, targets: list[Target], searched: list[tuple[int, float, float, float]]) -> dict[int, float]:
@@ -124,38 +152,40 @@ def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | No
     return order_statistics(df, [quantile(column, p) for p in probs])
 
 
+#: How far beyond the sketch's error a bracket reaches: for groups of any size by two to four ranks at least.
+REACH = [2.0 ** -j for j in range(1, 13)]
+
+
 def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with a column per name in `probs`; groups may be any size and number."""
     base = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    if base.limit(IN_ONE_TASK + 1).count() <= IN_ONE_TASK:
-        return base.groupBy(*by).agg(*[F.percentile("_v", p).alias(name) for name, p in probs.items()])
-    ends = [min(max(p + s * MARGIN, 0.0), 1.0) for p in probs.values() for s in (-1, 1)]
-    whole = F.col("n") <= 2 * ACCURACY  # a group this small is ordered whole
+    keys = [f"_k_{c}" for c in by]
+    spots = sorted({min(max(p + s * (MARGIN + reach), 0.0), 1.0) for p in probs.values() for reach in REACH for s in (-1, 1)})
+    level = F.least(F.lit(len(REACH)), F.greatest(F.lit(1), F.floor(F.log2("n")).cast("int") - 1))
+
+    def bound(p: float, sign: int) -> Column:
+        at = [spots.index(min(max(p + sign * (MARGIN + reach), 0.0), 1.0)) for reach in REACH]
+        return F.get("_s", F.element_at(F.array(*map(F.lit, at)), level))
+
     brackets = (
-        base.groupBy(*by)
-        .agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-             F.percentile_approx("_v", ends, ACCURACY).alias("_s"))
-        .select(*[F.col(c).alias(f"_k_{c}") for c in by], F.array(*[
-            F.struct(
-                F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(p)).alias("r"),
-                F.when(whole, F.col("_lo")).otherwise(F.col("_s")[2 * i]).alias("lo"),
-                F.when(whole, F.col("_hi")).otherwise(F.col("_s")[2 * i + 1]).alias("hi"),
-            ) for i, p in enumerate(probs.values())
+        base.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile_approx("_v", spots, ACCURACY).alias("_s"))
+        .select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.array(*[
+            F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(p)).alias("r"), bound(p, -1).alias("lo"), bound(p, 1).alias("hi"))
+            for i, p in enumerate(probs.values())
         ]).alias("_t"))
     )
-    joined = base.join(brackets, _same(by, [f"_k_{c}" for c in by])).drop(*[f"_k_{c}" for c in by])
+    joined = base.join(brackets, _same(by, keys)).drop(*keys)
     below = joined.groupBy(*by).agg(F.array(*[
         F.count_if(F.col("_v") < F.col("_t")[i]["lo"]) for i in range(len(probs))
-    ]).alias("_b")).select(*[F.col(c).alias(f"_k_{c}") for c in by], "_b")
+    ]).alias("_b")).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "_b")
     inside = (
         joined.select(*by, "_v", F.explode(
             F.filter("_t", lambda t: F.col("_v").between(t["lo"], t["hi"]))).alias("_x"))
         .groupBy(*by, F.col("_x.i").alias("_i"), F.col("_x.r").alias("_r"), "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .join(below, _same(by, [f"_k_{c}" for c in by]))
     )
-    upto = F.sum("_c").over(W.partitionBy(*by, "_i").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    placed = inside.withColumn("_end", F.get("_b", F.col("_i")) + upto).withColumn("_start", F.col("_end") - F.col("_c"))
+    placed = running_sum(inside, [*by, "_i"], [F.asc("_v")], "_c", "_upto").join(below, _same(by, keys)).withColumn(
+        "_end", F.get("_b", F.col("_i")) + F.col("_upto")).withColumn("_start", F.col("_end") - F.col("_c"))
 
     def at(i: int, position: Column) -> Column:
         hit = (F.col("_i") == i) & (F.col("_start") <= position) & (F.col("_end") > position)
@@ -169,6 +199,31 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str,
     return placed.groupBy(*by).agg(*picked)
 
 
+def ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """`df` in ranges of `order`, one per shuffle partition, numbered in `_range`; written down, so that they stay as they are.
+
+    Rows that are equal in `order` share a range: end it with what tells rows apart where one value may be frequent.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], amount: str, into: str) -> DataFrame:
+    """Add the sum of `amount` up to each row of its group; neither a large group nor the whole is ordered in one task.
+
+    `order` must tell the rows of a group apart.
+    """
+    placed = ranges(df, *keys, *order)
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row per group and range
+    offsets = placed.groupBy(*keys, "_range").agg(F.sum(amount).alias("_s")).select(
+        *[F.col(c).alias(f"_o_{c}") for c in keys], F.col("_range").alias("_o"),
+        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = placed.withColumn(into, F.sum(amount).over(inside))
+    same = _same([*keys, "_range"], [*[f"_o_{c}" for c in keys], "_o"])
+    return local.join(offsets, same).withColumn(into, F.col(into) + F.col("_before")).select(*df.columns, into)
+
+
 def _same(left: list[str], right: list[str]) -> Column:
     condition = F.col(left[0]).eqNullSafe(F.col(right[0]))
     for a, b in zip(left[1:], right[1:]):
@@ -216,38 +271,9 @@ def _k_column(k: Callable[[int], int], fraction: float) -> Column:
     return F.floor(scaled) if k is one_percent else F.bround(scaled, 0)
 
 
-def with_range_bucket(df: DataFrame, order: Column, bucket: str = "_bucket") -> DataFrame:
-    """Add a bucket number that never falls as `order` rises; buckets hold about as many rows each."""
-    cuts = sorted({c for c in cut_points(df, order)})
-    binned = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_order", outputCol=bucket, handleInvalid="keep")
-    return binned.transform(df.withColumn("_order", order.cast("double"))).drop("_order")
-
-
-def cut_points(df: DataFrame, value: Column) -> list[float]:
-    """BUCKETS sketch quantiles that split the rows about evenly."""
-    spots = [i / (BUCKETS + 1) for i in range(1, BUCKETS + 1)]
-    return df.agg(F.percentile_approx(value.cast("double"), spots, ACCURACY)).head()[0] or [0.0] * BUCKETS
-
-
 def descending_prefix(df: DataFrame, value: str) -> DataFrame:
-    """Add `upto` (sum of the values placed up to the row, largest first), `total` and `n`."""
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    if df.limit(IN_ONE_TASK + 1).count() <= IN_ONE_TASK:
-        ordered = W.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({
-            "upto": F.sum(value).over(ordered), "total": F.sum(value).over(everything),
-            "n": F.count(F.lit(1)).over(everything),
-        })
-    ranged = with_range_bucket(df, F.col(value))
-    per_bucket = ranged.groupBy("_bucket").agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c"))
-    above = W.orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)  # at most BUCKETS + 1 rows
-    offsets = per_bucket.select(
-        "_bucket", F.coalesce(F.sum("_s").over(above), F.lit(0.0)).alias("_before"),
-        F.sum("_s").over(everything).alias("total"), F.sum("_c").over(everything).alias("n"),
-    )
-    inside = W.partitionBy("_bucket").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        ranged.join(F.broadcast(offsets), "_bucket")
-        .withColumn("upto", F.col("_before") + F.sum(value).over(inside))
-        .drop("_bucket", "_before")
-    )
+    """The distinct values, how often they come (`c`), the sum up to and with them, largest first (`upto`), `total` and `n`."""
+    counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("c")).withColumn("_sum", F.col(value) * F.col("c"))
+    placed = running_sum(counted, [], [F.desc(value)], "_sum", "upto")
+    whole = counted.agg(F.sum("_sum").alias("total"), F.sum("c").alias("n"))
+    return placed.drop("_sum").crossJoin(F.broadcast(whole))  # one row

@@ -147,43 +147,46 @@ def fill(df: DataFrame, column: str, value: object) -> DataFrame:
 def carry_forward(df: DataFrame, column: str, order_by: str, partition_by: list[str] | None = None) -> DataFrame:
     """Missing cells take the previous value in row order, and the first cells the next one.
 
-    Up to IN_ONE_TASK rows one window does it. Beyond, rows are split into ranges of `order_by`; the
-    window runs inside each range, and what enters a range comes from the ranges beside it.
+    Rows are split into ranges of `order_by`, of any type; the window runs inside each range, and what
+    enters a range comes from the ranges beside it. Rows that are equal in `order_by` follow a hash of
+    all their cells, so a frequent order value is split too.
     """
     keys = list(partition_by or [])
     value = F.when(present(df, column), col(column))
-    if df.limit(Q.IN_ONE_TASK + 1).count() <= Q.IN_ONE_TASK:
-        w = W.partitionBy(*keys).orderBy(order_by)
-        back = F.last(value, True).over(w.rowsBetween(W.unboundedPreceding, 0))
-        ahead = F.last(value, True).over(W.partitionBy(*keys).orderBy(F.desc(order_by)).rowsBetween(W.unboundedPreceding, 0))
-        return df.withColumn(column, F.coalesce(back, ahead))
-    dtype = dtype_of(df, order_by)
-    order = number(df, order_by) if is_number(dtype) else F.unix_micros(instant(df, order_by).cast("timestamp"))
-    ranged = Q.with_range_bucket(df, order)
-    w = W.partitionBy(*keys, "_bucket").orderBy(order_by)
+    ranged = Q.ranges(df.withColumn("_tie", F.xxhash64(*[col(c) for c in df.columns])), col(order_by), "_tie")
+    w = W.partitionBy(*keys, "_range").orderBy(order_by, "_tie")
     local = ranged.withColumns({
         "_back": F.last(value, True).over(w.rowsBetween(W.unboundedPreceding, 0)),
         # reading backwards is linear; a frame that ends at the last row would be quadratic
         "_ahead": F.last(value, True).over(
-            W.partitionBy(*keys, "_bucket").orderBy(F.desc(order_by)).rowsBetween(W.unboundedPreceding, 0)),
+            W.partitionBy(*keys, "_range").orderBy(F.desc(order_by), F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)),
     })
-    at = F.col(order_by)
-    ends = ranged.where(value.isNotNull()).groupBy(*keys, "_bucket").agg(
+    at = F.struct(F.col(order_by), F.col("_tie"))
+    ends = ranged.where(value.isNotNull()).groupBy(*keys, "_range").agg(
         F.max_by(value, at).alias("_last"), F.min_by(value, at).alias("_first"))
-    every = ranged.select(*keys, "_bucket").distinct().join(ends, [*keys, "_bucket"], "left")
-    b = W.partitionBy(*keys).orderBy("_bucket")  # at most BUCKETS + 1 rows per key
-    edges = every.select(
-        *keys, "_bucket",
+    every = ranged.select(*keys, "_range").distinct()
+    b = W.partitionBy(*keys).orderBy("_range")  # one row per key and range
+    edges = _null_safe(every, ends, [*keys, "_range"]).select(
+        *keys, "_range",
         F.last("_last", True).over(b.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
         F.first("_first", True).over(b.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
     )
     return (
-        local.join(edges, [*keys, "_bucket"], "left")
+        _null_safe(local, edges, [*keys, "_range"])
         .withColumn(column, F.coalesce("_back", "_before", "_ahead", "_after"))
         .select(*[col(c) for c in df.columns])
     )
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which a missing key is a key like any other."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, condition, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def clip_bounds(df: DataFrame, column: str, method: str = "iqr") -> tuple[float, float]:
     typed = df.select(number(df, column).alias("v"))
     if method == "p1p99":

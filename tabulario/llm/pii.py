@@ -46,10 +46,12 @@ CUES = (
     r"(?i)\b(?:tel|phone|call|mobile|cell|fax|telefon|tele?fono|appelez|ring)\b",
 )
 COUNTER_CUES = r"(?i)(?:\bv(?:ersion|er)?|\border|\binvoice|\bisbn|\bissn|\bdoi|\bserial|\bticket|\bsection|\btoken|\bsha|[#$€£=])[\s.:#]*$"
+#: Digits of a card and of a phone number, as stated.
+COUNTED = {2: (12, 19), 3: (9, 15)}
 CONTEXT = 40
 VOTES = ("form", "gazetteer", "cue", "touch")
 SHAPES = {"digits": 5, "separators": 3}
-CANDIDATE = "array<struct<start:int,end:int,kind:int,strict:boolean,form:int,gazetteer:int,cue:int,touch:int,digits:int,separators:int>>"
+CANDIDATE = "array<struct<start:int,kind:int,end:int,strict:boolean,form:int,gazetteer:int,cue:int,touch:int,digits:int,separators:int,counted:boolean>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,10 +89,9 @@ def passes(kind: int, value: Column) -> Column:
     if kind == 1:
         part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
         return value.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
-    if kind == 2:
-        return F.length(digits_of(value)).between(12, 19) & luhn(digits_of(value))
-    if kind == 3:
-        return F.length(digits_of(value)).between(9, 15)
+    if kind in COUNTED:
+        right = F.length(digits_of(value)).between(*COUNTED[kind])
+        return right & luhn(digits_of(value)) if kind == 2 else right
     return F.lit(True)
 
 
@@ -109,16 +110,19 @@ def candidates(text: Column, kind: int, strict: bool) -> Column:
             before, after, digits = F.right(between[i], F.lit(CONTEXT)), F.left(between[i + 1], F.lit(1)), F.length(digits_of(value))
             kinds_of_mark = F.size(F.array_distinct(F.regexp_extract_all(value, F.lit(r"[^0-9A-Za-z]"), F.lit(0))))
             return F.struct(
-                (end - F.length(value)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(strict).alias("strict"),
+                (end - F.length(value)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.lit(strict).alias("strict"),
                 (F.when(passes(kind, value), 1).otherwise(-1) if strict else F.lit(0)).alias("form"),
                 F.when(value.rlike(GAZETTEER[kind]), 1).otherwise(-1).alias("gazetteer"),
                 vote(before.rlike(CUES[kind]), before.rlike(COUNTER_CUES)).alias("cue"),
                 F.when(F.right(before, F.lit(1)).rlike(r"[\p{L}_=/\\]") | after.rlike(r"[\p{L}_=/\\]"), -1).otherwise(1).alias("touch"),
                 F.when(digits < 7, 0).when(digits < 9, 1).when(digits < 12, 2).when(digits < 16, 3).otherwise(4).alias("digits"),
-                F.least(kinds_of_mark, F.lit(2)).alias("separators"))
+                F.least(kinds_of_mark, F.lit(2)).alias("separators"),
+                (digits.between(*COUNTED[kind]) if strict and kind in COUNTED else F.lit(True)).alias("counted"))
 
-        return let(sizes, lambda s: let(running(s), lambda base: F.transform(
+        every = let(sizes, lambda s: let(running(s), lambda base: F.transform(
             found, lambda m, i: one(m, i, base[i] + s[i]))))
+        # a number of another length is no failed card or phone but another number
+        return F.filter(every, lambda c: c.counted)
 
     gates = [[text.contains("@"), text.rlike(r"[0-9]\.[0-9]"), text.rlike(r"[0-9][\x20-]?[0-9]"), text.rlike(r"\+[0-9]")],
              [text.rlike(r"[\[(](?:at|AT)[\])]"), text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), text.rlike("[0-9][./_][0-9]{4}[./_]"),
@@ -156,13 +160,14 @@ class Model:
         return total >= math.log(self.cut / (1 - self.cut))
 
     def spans(self, found: Column) -> Column:
-        """Base spans and added ones, by start, then kind. An added span gives way to any earlier span that it meets."""
+        """Base spans and added ones, by start, then kind. An added span gives way to a base span and to a longer added
+        one that it meets, of equally long ones to the earlier."""
         base = F.filter(found, lambda c: c.strict & (c.form == 1))
         extra = F.filter(found, lambda c: ~(c.strict & (c.form == 1)) & self.accepted(c))
         meets = lambda a, b: (a.start < b.end) & (b.start < a.end)
-        first = lambda a, b: (a.start < b.start) | ((a.start == b.start) & (a.kind < b.kind))
+        rank = lambda c: F.struct(c.start - c.end, c.start, c.kind)
         return let(F.struct(base.alias("b"), extra.alias("e")), lambda x: F.array_sort(F.concat(x.b, F.filter(
-            x.e, lambda c: ~F.exists(x.b, lambda b: meets(b, c)) & ~F.exists(x.e, lambda o: first(o, c) & meets(o, c))))))
+            x.e, lambda c: ~F.exists(x.b, lambda b: meets(b, c)) & ~F.exists(x.e, lambda o: (rank(o) < rank(c)) & meets(o, c))))))
 
 
 def expectation(rows: list[tuple], rounds: int = 60) -> tuple[dict, dict]:

@@ -103,12 +103,13 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == sorted(plain_components(rows), key=str)
 
 
-def test_a_large_group_with_outliers(spark):
-    """Buckets of many like and some unlike documents end, and no two comparable components stay apart."""
+@pytest.mark.parametrize("rounds, block", [(0, 4000), (2, 1 << 20)])
+def test_a_large_group_with_outliers(spark, rounds, block):
+    """Many like and some unlike documents in one cluster, in one block or in many: no two similar ones stay apart."""
     rng = random.Random(3)
     base = [rng.choice(WORDS) for _ in range(150)]
     docs = [(i, " ".join(edited(base, 0.01, rng))) for i in range(120)] + [(500 + i, " ".join(edited(base, 0.05, rng))) for i in range(40)]
-    got = sorted(tuple(r) for r in N.find(spark.createDataFrame(docs, "doc_id long, text string"), N.Settings(hubs=1, split=20)).collect())
+    got = sorted(tuple(r) for r in N.find(spark.createDataFrame(docs, "doc_id long, text string"), N.Settings(rounds=rounds, block=block)).collect())
     assert got == sorted(plain_components(docs))
 
 

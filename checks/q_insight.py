@@ -69,7 +69,7 @@ _HALVES = "m AS (SELECT median(epoch(fecha)) AS m FROM ventas_demo), c AS (SELEC
 
 @query("ins-12", f"{W_DEMO}, {_HALVES} SELECT s AS category, {rs('a')} AS before, {rs('b')} AS after, {rs('ch', 6)} AS change, {rs('w', 6)} AS weight, CASE WHEN w >= 0.05 AND ch < -0.15 THEN 'riesgo' WHEN w >= 0.05 AND ch > 0.15 THEN 'oportunidad' END AS kind FROM h")
 def ins_12(spark, sf):
-    h = G.halves(ventas_demo(spark, sf), "fecha", "segmento", "importe")
+    h = G.halves(ventas_demo(spark, sf), "fecha", "segmento", "importe").where("before > 0")
     kind = F.when((F.col("weight") >= 0.05) & (F.col("change") < -0.15), "riesgo").when((F.col("weight") >= 0.05) & (F.col("change") > 0.15), "oportunidad")
     return rounded(h.withColumn("kind", kind), change=6, weight=6)
 

@@ -217,7 +217,7 @@ _MENU = {
 
 @query("kpi-12", f"{W_DEMO} SELECT " + ", ".join(f"{rs(sql, 4)} AS {k}" for k, (sql, _) in _MENU.items()) + " FROM ventas_demo")
 def kpi_12(spark, sf):
-    return rounded(K.evaluate(ventas_demo(spark, sf), {k: K.build_measure(k, *a) for k, (_, a) in _MENU.items()}), 4)
+    return rounded(K.evaluate(ventas_demo(spark, sf), {k: K.choose(k, *a).measure for k, (_, a) in _MENU.items()}), 4)
 
 
 @query("kpi-13", f"{W_DEMO}, v AS (SELECT 'Margen' AS kpi, {_MARGIN} AS value, 0.5e0 AS target FROM ventas_demo UNION ALL SELECT 'Ticket', sum(importe) / COUNT(DISTINCT folio), 200000e0 FROM ventas_demo UNION ALL SELECT 'P90', quantile_cont(importe, 0.9), NULL FROM ventas_demo) SELECT kpi, CASE WHEN value / target >= 1 THEN 'ok' WHEN value / target >= 0.9 THEN 'cerca' WHEN target IS NOT NULL THEN 'bajo' END AS status FROM v")
@@ -303,7 +303,7 @@ def ins_05(spark, sf):
 # --- joins, sets, ranking ----------------------------------------------------------------
 
 
-@query("joi-01", f"{W_DEMO}, m AS (SELECT median(epoch(fecha)) AS m FROM ventas_demo), a AS (SELECT segmento AS c, sum(importe) AS v FROM ventas_demo, m WHERE epoch(fecha) <= m GROUP BY 1), b AS (SELECT segmento AS c, sum(importe) AS v FROM ventas_demo, m WHERE epoch(fecha) > m GROUP BY 1) SELECT COALESCE(a.c, b.c) AS category, {rs('COALESCE(a.v, 0e0)')} AS before, {rs('COALESCE(b.v, 0e0)')} AS after FROM a FULL OUTER JOIN b ON a.c = b.c WHERE a.v > 0")
+@query("joi-01", f"{W_DEMO}, m AS (SELECT median(epoch(fecha)) AS m FROM ventas_demo), a AS (SELECT segmento AS c, sum(importe) AS v FROM ventas_demo, m WHERE epoch(fecha) <= m GROUP BY 1), b AS (SELECT segmento AS c, sum(importe) AS v FROM ventas_demo, m WHERE epoch(fecha) > m GROUP BY 1) SELECT COALESCE(a.c, b.c) AS category, {rs('COALESCE(a.v, 0e0)')} AS before, {rs('COALESCE(b.v, 0e0)')} AS after FROM a FULL OUTER JOIN b ON a.c = b.c")
 def joi_01(spark, sf):
     return rounded(G.halves(ventas_demo(spark, sf), "fecha", "segmento", "importe").select("category", "before", "after"))
 

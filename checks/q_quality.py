@@ -302,7 +302,7 @@ def agg_05(spark, sf):
 # --- repairs -----------------------------------------------------------------------------
 
 
-@query("prp-01")
+@query("prp-01", f"WITH {SQL_SUCIAS} SELECT replace(vendedor, 'MarÃ­a', 'María') AS vendedor, COUNT(*) AS n FROM ventas_sucias GROUP BY 1")
 def prp_01(spark, sf):
     out = R.apply_plan(ventas_sucias(spark, sf), R.Plan(fix_mojibake=["vendedor"]))
     return out.table.groupBy("vendedor").agg(F.count("*").alias("n"))

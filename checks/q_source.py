@@ -12,47 +12,65 @@ from tabulario.sources import delimited as D
 from tabulario.sources import sinks as S
 
 
-def _files(spark, sf, sep=";", junk=3, charset="UTF-8"):
-    """The orders as text files with title lines, a header and a separator; one part file per task."""
+#: What differs from file to file; file p holds the orders whose key leaves p when divided by four.
+_SEPARATORS, _CHARSETS = [";", "|", ",", "\t"], ["UTF-8", "ISO-8859-1"]
+_P = "o_orderkey % 4"
+
+
+def _files(spark, sf):
+    """The orders as four text files, each with its own separator, encoding and number of title lines; some notes hold a line break."""
     path = f"{S.scratch(spark)}/csv"
-    df = table(spark, sf, "orders").repartition(4, "o_orderkey")
-    line = F.concat_ws(sep, F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "dd/MM/yyyy"),
-                       F.concat(F.lit("Región "), F.col("o_orderstatus")), F.translate(F.format_number("o_totalprice", 2), ",", ""))
-    body = df.select(F.spark_partition_id().alias("p"), F.lit(9).alias("k"), line.alias("line"))
-    heads = [("Reporte de ventas", 1), ("Generado por el sistema", 2), ("", 3)][:junk] + [(sep.join(["Folio", "Fecha", "Región", "Monto"]), 4)]
-    parts = body.select("p").distinct()
-    top = parts.withColumn("h", F.explode(F.array(*[F.struct(F.lit(t).alias("line"), F.lit(k).alias("k")) for t, k in heads]))).select("p", "h.k", "h.line")
-    whole = body.unionByName(top).repartition(4, "p").sortWithinPartitions("p", "k")
-    # one directory per original part, so that every file starts with its own title
-    whole.select("p", F.col("line").alias("value")).write.mode("overwrite").option("encoding", charset).partitionBy("p").text(path)
+    df = table(spark, sf, "orders").withColumn("p", F.expr(_P).cast("int"))
+    sep = F.element_at(F.array(*map(F.lit, _SEPARATORS)), F.col("p") + 1)
+    note = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit('"uno\n'), F.col("o_orderkey").cast("string"), F.lit('"'))).otherwise(F.lit("dos"))
+    fields = [F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.concat(F.lit("Región "), F.col("o_orderstatus")),
+              F.translate(F.format_number("o_totalprice", 2), ",", ""), note]
+    join = lambda parts: F.concat(*[x for i, part in enumerate(parts) for x in ([sep] if i else []) + [part]])
+    body = df.select("p", F.lit(9).alias("k"), F.col("o_orderkey").alias("o"), join(fields).alias("line"))
+    parts = df.select("p").distinct()
+    title = join([F.lit(x) for x in ("Folio", "Fecha", "Región", "Monto", "Nota")])
+    heads = parts.select("p", F.explode(F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("p")), lambda i: F.struct(i.alias("k"), F.when(i < F.col("p"), "Reporte").otherwise("").alias("line"))),
+        F.array(F.struct(F.lit(8).alias("k"), title.alias("line"))))).alias("h")).select("p", "h.k", F.lit(0).cast("long").alias("o"), "h.line")
+    whole = body.unionByName(heads).repartition(4, "p").sortWithinPartitions("p", "k", "o")
+    for i, charset in enumerate(_CHARSETS):
+        # one directory per file, so that each starts with its own titles
+        whole.where(F.col("p") % 2 == i).select("p", F.col("line").alias("value")).write.mode("append").option(
+            "encoding", charset).partitionBy("p").text(path)
     return path + "/*"
 
 
-@query("src-01", "SELECT CAST(o_orderkey AS VARCHAR) AS \"Folio\", strftime(o_orderdate, '%d/%m/%Y') AS \"Fecha\", concat('Región ', o_orderstatus) AS \"Región\", format('{:.2f}', o_totalprice) AS \"Monto\" FROM orders")
+def _text(spark, path):
+    return D.joined_records(D.decoded_lines(D.lines(spark, path), D.encodings(spark, path)))[0]
+
+
+def _number(file="file"):
+    return F.regexp_extract(file, "p=([0-9])", 1).cast("int").alias("p")
+
+
+@query("src-01", "SELECT CAST(o_orderkey AS VARCHAR) AS \"Folio\", strftime(o_orderdate, '%d/%m/%Y') AS \"Fecha\", concat('Región ', o_orderstatus) AS \"Región\", format('{:.2f}', o_totalprice) AS \"Monto\", CASE WHEN o_orderkey % 7 = 0 THEN concat('uno', chr(10), o_orderkey) ELSE 'dos' END AS \"Nota\" FROM orders")
 def src_01(spark, sf):
     return D.read_delimited(spark, _files(spark, sf)).table
 
 
-@query("src-02", "SELECT '|' AS separator, COUNT(*) > 0 AS hay FROM orders")
+@query("src-02", f"SELECT CAST({_P} AS INTEGER) AS p, [';', '|', ',', chr(9)][CAST({_P} AS INTEGER) + 1] AS separator, COUNT(*) > 0 AS hay FROM orders GROUP BY 1, 2")
 def src_02(spark, sf):
-    path = _files(spark, sf, "|")
-    text = D.lines(spark, path).select("file", "at_start", "id", D.decoded(F.col("raw"), "utf-8").alias("value"))
-    return D.separators(text).select("separator", (F.col("score") > 0).alias("hay")).distinct()
+    return D.separators(_text(spark, _files(spark, sf))).select(_number(), "separator", (F.col("score") > 0).alias("hay"))
 
 
-@query("src-03", "SELECT CAST(2 AS INTEGER) AS header, CAST(8 AS DOUBLE) AS score FROM orders LIMIT 1")
+@query("src-03", f"SELECT CAST({_P} AS INTEGER) AS p, CAST({_P} AS INTEGER) AS header, 5 * 1.5e0 + COUNT(DISTINCT c) * 0.5e0 AS score FROM orders, (VALUES ('Folio'), ('Fecha'), ('Región'), ('Monto'), ('Nota')) v(c) GROUP BY 1, 2")
 def src_03(spark, sf):
-    text = D.lines(spark, _files(spark, sf)).select("file", "at_start", "id", D.decoded(F.col("raw"), "utf-8").alias("value"))
-    return D.header_rows(text, ";").select("header", "score").distinct()
+    text = _text(spark, _files(spark, sf))
+    found = D.header_rows(text.join(D.separators(text).select("file", "separator"), "file"))
+    return found.select(_number(), "header", "score")
 
 
-@query("src-04")
+@query("src-04", f"SELECT CAST({_P} AS INTEGER) AS p, CASE WHEN {_P} % 2 = 0 THEN 'utf-8' ELSE 'cp1252' END AS encoding, COUNT(*) AS n FROM orders GROUP BY 1, 2")
 def src_04(spark, sf):
-    found = None
-    for name in ("UTF-8", "ISO-8859-1"):
-        one = D.encodings(spark, _files(spark, sf, charset=name)).groupBy("encoding").agg(F.count("*").alias("archivos")).withColumn("escrito", F.lit(name))
-        found = one if found is None else found.unionByName(one)
-    return found
+    path = _files(spark, sf)
+    loaded = D.read_delimited(spark, path)
+    rows_of = table(spark, sf, "orders").groupBy(F.expr(_P).cast("int").alias("p")).agg(F.count("*").alias("n"))
+    return loaded.files.select(_number(), "encoding").join(rows_of, "p")
 
 
 query("src-06", "WITH v AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS a, CASE WHEN o_orderkey % 25 = 0 THEN NULL ELSE o_orderstatus END AS b FROM orders) SELECT COUNT(*) AS n, COUNT(a) AS a, COUNT(b) AS b FROM v WHERE a IS NOT NULL OR b IS NOT NULL")(
@@ -64,7 +82,7 @@ query("src-07", "SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FR
     lambda spark, sf: I.intake(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")))
 
 
-@query("snk-01")
+@query("snk-01", f"WITH {SQL_SUCIAS} SELECT CAST(folio AS VARCHAR) AS folio, vendedor, CAST(cantidad AS VARCHAR) AS cantidad, 'utf-8' AS codificacion FROM ventas_sucias")
 def snk_01(spark, sf):
     path = f"{S.scratch(spark)}/clean"
     S.write_csv(ventas_sucias(spark, sf).select("folio", "vendedor", "cantidad"), path)

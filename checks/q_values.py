@@ -7,6 +7,7 @@ from checks.registry import query, r, rs
 from checks.views import SQL_DEMO, SQL_ESTADOS, SQL_SUCIAS, estados, table, ventas_demo, ventas_sucias
 from tabulario.functions import dates, numbers, text
 from tabulario.operators import intake as I
+from tabulario.operators import choices as C
 from tabulario.operators import profile as P
 from tabulario.operators import quality as QL
 from tabulario.operators import values as V
@@ -72,7 +73,11 @@ def scl_03(spark, sf):
     return df.groupBy("vendedor", text.has_mojibake(F.col("vendedor")).alias("roto")).agg(F.count("*").alias("n"))
 
 
-@query("scl-04")
+#: What the broken texts of the view become; every other text stays.
+_REPAIRED = "CASE vendedor WHEN 'MarÃ­a Solís' THEN 'María Solís' ELSE vendedor END"
+
+
+@query("scl-04", f"WITH {SQL_SUCIAS} SELECT vendedor, {_REPAIRED} AS reparado, COUNT(*) AS n FROM ventas_sucias GROUP BY ALL")
 def scl_04(spark, sf):
     df = ventas_sucias(spark, sf)
     return df.groupBy("vendedor", text.fix_mojibake(F.col("vendedor")).alias("reparado")).agg(F.count("*").alias("n"))
@@ -375,26 +380,26 @@ def _names(*names: str, source: str = "ventas_demo") -> str:
        """) SELECT "column", 'categorico' AS semantic FROM hechos WHERE u > 1 AND u / n <= 0.95""")
 def prj_03(spark, sf):
     df = ventas_sucias(spark, sf)
-    return I.rows(spark, [(c, "categorico") for c in P.columns_by(P.profile(df, stats=False), "categorico")], "column string, semantic string")
+    return I.rows(spark, [(c, "categorico") for c in C.columns_by(P.profile(df, stats=False), "categorico")], "column string, semantic string")
 
 
 @query("prj-04", f"WITH {SQL_DEMO}, t AS (SELECT COUNT(*) AS n, COUNT(DISTINCT folio) AS u, max(folio) - min(folio) + 1 AS rango FROM ventas_demo), m AS (" + _names("cantidad", "importe", "costo") + ") SELECT m.* FROM m, t WHERE u / n > 0.99 AND rango <= 1.2 * u")
 def prj_04(spark, sf):
     df = ventas_demo(spark, sf)
-    return _list(spark, P.metric_columns(P.profile(df)))
+    return _list(spark, C.metric_columns(P.profile(df)))
 
 
 @query("prj-05", f"""WITH {SQL_SUCIAS} SELECT CAST(0 AS INTEGER) AS position, 'fecha' AS "column" FROM ventas_sucias
 HAVING COUNT(COALESCE(try_strptime(fecha,'%d/%m/%Y'), try_strptime(fecha,'%m/%d/%Y'))) / COUNT(fecha) >= 0.85""")
 def prj_05(spark, sf):
-    return _list(spark, P.date_columns(P.profile(ventas_sucias(spark, sf), stats=False)))
+    return _list(spark, C.date_columns(P.profile(ventas_sucias(spark, sf), stats=False)))
 
 
 @query("prj-06", f"""WITH {SQL_SUCIAS}, hechos AS (""" + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", {i} AS orden, COUNT(DISTINCT {c}) AS u FROM ventas_sucias""" for i, c in enumerate(_ALL) if _KINDS[c][0] == "categorico") + """)
 SELECT CAST(row_number() OVER (ORDER BY u, orden) - 1 AS INTEGER) AS position, "column" FROM hechos WHERE u > 1 AND u <= 60""")
 def prj_06(spark, sf):
-    return _list(spark, P.dimension_columns(P.profile(ventas_sucias(spark, sf), stats=False)))
+    return _list(spark, C.dimension_columns(P.profile(ventas_sucias(spark, sf), stats=False)))
 
 
 @query("prj-07", f"""WITH {SQL_DEMO}, h AS (SELECT COUNT(DISTINCT folio) / COUNT(*) AS clave, COUNT(DISTINCT estatus) AS estatus, COUNT(DISTINCT segmento) AS segmento FROM ventas_demo)
@@ -402,7 +407,7 @@ SELECT slot, "column" FROM (VALUES ('fecha','fecha'),('ingreso','importe'),('cos
 ('transaccion','folio'),('segmento','segmento'),('estatus','estatus')) t(slot, "column"), h
 WHERE (slot <> 'transaccion' OR clave >= 0.9) AND (slot <> 'estatus' OR estatus <= 10) AND (slot <> 'segmento' OR segmento BETWEEN 2 AND 30)""")
 def prj_07(spark, sf):
-    mapping = P.suggest_mapping(P.profile(ventas_demo(spark, sf)))
+    mapping = C.suggest_mapping(P.profile(ventas_demo(spark, sf)))
     return I.rows(spark, list(mapping.items()), "slot string, column string")
 
 

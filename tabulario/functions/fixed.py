@@ -10,7 +10,7 @@ MOJIBAKE_MARKERS = ["Ã¡", "Ã©", "Ã­", "Ã³", "Ãº", "Ã±", "Ã‘", "Â
 # hides a longer sequence that starts with it.
 MOJIBAKE_REPAIRS = {
     "Ã¡": "á", "Ã©": "é", "Ã­": "í", "Ã³": "ó", "Ãº": "ú", "Ã¼": "ü", "Ã±": "ñ", "Ã‘": "Ñ",
-    "Ã‰": "É", "Ã“": "Ó", "Ãš": "Ú", "Ã": "Á",
+    "Ã‰": "É", "Ã“": "Ó", "Ãš": "Ú", "Ã": "Í",
     "Â¿": "¿", "Â¡": "¡", "Â°": "°", "Âº": "º", "Âª": "ª", "Â": "",
     "â€™": "'", "â€œ": "“", "â€“": "–", "â€”": "—", "â€¦": "…", "â€": "”", "ï¿½": "",
 }

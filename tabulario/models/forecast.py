@@ -17,8 +17,13 @@ _RESULT = (
 
 
 def monthly_series(df: DataFrame, date_col: str, value_col: str | None, group_cols: list[str] | None = None) -> DataFrame:
-    """(serie, month, value): monthly totals (or row counts) per series; the only pass over the table."""
-    keys = [col(c).cast("string") for c in group_cols or []]
+    """(serie, month, value): monthly totals (or row counts) per series; the only pass over the table.
+
+    `serie` is the group's values joined by ` | `. A missing value is written `\\N`, and a bar or backslash inside a value
+    is escaped, so different groups never share a name.
+    """
+    escaped = [F.replace(F.replace(col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c in group_cols or []]
+    keys = [F.coalesce(k, F.lit("\\N")) for k in escaped]
     series = F.concat_ws(" | ", *keys) if keys else F.lit("total")
     v = F.coalesce(F.sum(number(df, value_col)), F.lit(0.0)) if value_col else F.count(F.lit(1)).cast("double")
     d = instant(df, date_col)

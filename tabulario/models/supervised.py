@@ -12,13 +12,12 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulario.functions.dates import from_seconds, seconds
 from tabulario.functions.text import as_category
 from tabulario.models import evaluate as M
 from tabulario.models.features import CLASSIFICATION, Features, class_counts, detect_leakage, infer_task, usable_features
 from tabulario.models.prepare import fit_features, working_columns
 from tabulario.operators import quantiles as Q
-from tabulario.operators.intake import col, dtype_of, instant, is_instant, number, present, rows
+from tabulario.operators.intake import col, number, present, rows
 from tabulario.operators.profile import Profiles
 from tabulario.session import materialize
 
@@ -66,13 +65,14 @@ class Report:
 def split(df: DataFrame, stratum: Column, settings: Settings) -> DataFrame:
     """Add `_train` and `_fold`: a seeded split with exact shares within each class, and folds of the training rows.
 
-    Rows are placed by a hash of all their values, so copies of a row land on the same side. The
-    cuts are exact quantiles of that hash per class; nothing is sorted in one place.
+    Rows are placed by a hash of all their values and their position, so that many copies of a row are
+    shared out like others. The cuts are exact quantiles of that hash per class; nothing is sorted in one place.
     """
-    hashed = df.withColumns({
+    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    hashed = numbered.withColumns({
         "_class": stratum,
-        "_h": F.pmod(F.xxhash64(F.lit(settings.seed), *[col(c) for c in df.columns]), F.lit(2 ** 40)).cast("double"),
-    })
+        "_h": F.pmod(F.xxhash64(F.lit(settings.seed), *[col(c) for c in numbered.columns]), F.lit(2 ** 40)).cast("double"),
+    }).drop("_row")
     share = 1.0 - settings.test_share
     probs = {f"_q{i}": share * i / settings.folds for i in range(1, settings.folds + 1)}
     cuts = Q.grouped_quantiles(hashed, ["_class"], "_h", probs)
@@ -120,18 +120,15 @@ def run_supervised(df: DataFrame, profiles: Profiles, target: str, settings: Set
         if rare:
             data = data.join(usable.where("usable").select("y"), as_category(col(target)) == F.col("y"), "left_semi")
             warnings.append(f"{rare} clases con menos de 5 casos quedaron fuera")
-        sizes = {r["y"]: r["n"] for r in usable.where("usable").orderBy("y").limit(1001).collect()}
-        if len(sizes) < 2:
+        kept_classes = usable.where("usable")
+        k, n, least, most = kept_classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.min("n"), F.max("n")).head()
+        if k < 2:
             return Report(task, False, "el objetivo tiene una sola clase utilizable", target=target, features=features)
-        if len(sizes) > 1000:
-            return Report(task, False, "el objetivo tiene demasiadas clases", target=target, features=features)
-        classes = sorted(sizes)
-        n = sum(sizes.values())
-        if max(sizes.values()) / n > 0.9:
+        if most / n > 0.9:
             warnings.append("una clase reúne más del 90 % de los casos")
-        folds = max(2, min(s.folds, int(min(sizes.values()) * (1 - s.test_share))))
-        weights = F.create_map(*[F.lit(x) for k, m in sizes.items() for x in (k, n / (len(sizes) * m))])
-        data = data.withColumns({"_y": as_category(col(target)), "_w": F.element_at(weights, as_category(col(target)))})
+        folds = max(2, min(s.folds, int(least * (1 - s.test_share))))
+        weights = kept_classes.select(F.col("y").alias("_y"), (F.lit(float(n)) / (F.lit(k) * F.col("n"))).alias("_w"))
+        data = data.withColumn("_y", as_category(col(target))).join(weights, "_y")
         stratum = F.col("_y")
     else:
         data = data.withColumns({"label": number(df, target), "_w": F.lit(1.0)}).where("label is not null")
@@ -211,44 +208,27 @@ def _judge_numbers(report: Report, predicted: DataFrame, train: DataFrame) -> No
 
 # --- permutation importance --------------------------------------------------------------
 
-GRID = 1000
-
-
-def _draw(df: DataFrame, column: str, features: Features, seed: Column) -> Column:
-    """A value of the column drawn by `seed` from its own distribution: a grid of quantiles, or categories by their counts."""
-    at = F.pmod(seed, F.lit(GRID))
-    spots = [(i + 0.5) / GRID for i in range(GRID)]
-    if column in features.categorical:
-        counts = df.groupBy(col(column).alias("v")).count().orderBy("v").collect()  # at most 51 values
-        total, upto, out = sum(r["count"] for r in counts), 0, F.lit(None)
-        steps = []
-        for r in counts:
-            upto += r["count"]
-            steps.append((upto / total * GRID, r["v"]))
-        for limit, v in reversed(steps):
-            out = F.when(at < F.lit(limit), F.lit(v)).otherwise(out)
-        return out.cast(dtype_of(df, column))
-    dated = column in features.dates
-    v = seconds(instant(df, column)) if dated else number(df, column)
-    grid = df.agg(F.percentile_approx(v, spots, 10_000)).head()[0] or [None]
-    drawn = F.element_at(F.array(*[F.lit(x) for x in grid]), at.cast("int") + 1)
-    if dated and is_instant(dtype_of(df, column)):
-        return from_seconds(drawn).cast(dtype_of(df, column))
-    return F.date_format(from_seconds(drawn), "yyyy-MM-dd").cast(dtype_of(df, column)) if dated else drawn.cast(dtype_of(df, column))
-
-
 def permutation_importance(report: Report, settings: Settings | None = None, top: int = 15) -> DataFrame:
-    """(variable, importancia): loss of score when a column's values are replaced by draws from its distribution.
+    """(variable, importancia): loss of score when a column's values are dealt out among the rows anew.
 
-    All columns and repeats go through the model in one pass; no row is moved.
+    Every repeat is one permutation of the held-out rows: they are numbered in a hashed order, each takes the place of
+    another, and one column at a time takes its new row's value. All columns and repeats go through the model in one pass.
     """
     s = settings or Settings()
-    test, features = report.predictions.select(*report.features.columns, "label", *(["_y"] if report.task == CLASSIFICATION else [])), report.features
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(r).alias("rep")) for c in features.columns for r in range(s.repeats)])
-    spread = test.withColumn("_x", F.explode(pairs)).select("*", "_x.variable", "_x.rep").drop("_x")
-    seed = F.xxhash64(F.col("rep"), F.lit(s.seed), *[col(c) for c in test.columns])
-    swapped = spread.withColumns({
-        c: F.when(F.col("variable") == c, _draw(test, c, features, seed)).otherwise(col(c)) for c in features.columns})
+    features = report.features
+    outcome = ["label", *(["_y"] if report.task == CLASSIFICATION else [])]
+    # rows are numbered once and written down, so that equal rows stay apart and every repeat deals the same rows
+    test = materialize(report.predictions.select(*[col(c) for c in dict.fromkeys([*features.columns, *outcome])]).withColumn(
+        "_n", F.monotonically_increasing_id()).withColumn("_one", F.lit(1)))
+    receivers = Q.running_sum(test, [], [F.asc("_n")], "_one", "_place")
+    order = F.xxhash64(F.lit(s.seed), F.col("rep"), F.col("_n"))
+    dealt = test.select("_n", "_one", F.struct(*[col(c) for c in features.columns]).alias("_d"), F.explode(
+        F.sequence(F.lit(0), F.lit(s.repeats - 1))).alias("rep")).withColumn("_h", order)
+    donors = Q.running_sum(dealt, ["rep"], [F.asc("_h"), F.asc("_n")], "_one", "_place").select("rep", "_place", "_d")
+    variables = F.explode(F.array(*map(F.lit, features.columns))).alias("variable")
+    paired = receivers.join(donors, "_place").select("*", variables)
+    swapped = paired.withColumns({
+        c: F.when(F.col("variable") == c, F.col("_d").getField(c)).otherwise(col(c)) for c in features.columns})
     scored = report.model.transform(swapped)
     by = ["variable", "rep"]
     if report.task == CLASSIFICATION:

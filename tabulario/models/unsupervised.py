@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,8 +10,9 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import pandas_udf
 
 from tabulario.models.features import usable_features
 from tabulario.models.prepare import fit_features
@@ -22,6 +22,10 @@ from tabulario.operators.profile import Profiles
 from tabulario.session import materialize
 
 
+#: Name of the label column of segments.
+SEGMENT = "segmento_kmeans"
+
+
 @dataclass
 class Segments:
     """Rows with their segment, the segment profiles and the silhouette of each number of segments tried."""
@@ -36,7 +40,10 @@ class Segments:
 
 
 def run_clustering(df: DataFrame, profiles: Profiles, k: int | None = None, seed: int = 42) -> Segments:
-    """Segments of the rows; without k, the best silhouette among 2 to 8 (squared Euclidean distance)."""
+    """Segments of the rows; without k, the best silhouette among 2 to 8 (squared Euclidean distance).
+
+    The label column is `SEGMENT`, lengthened where the table has such a column; input columns stay as they are.
+    """
     features = usable_features(profiles, with_dates=False)
     if len(features.columns) < 2:
         return Segments(False, "hacen falta al menos dos columnas utilizables")
@@ -58,18 +65,21 @@ def run_clustering(df: DataFrame, profiles: Profiles, k: int | None = None, seed
     if not tried:
         return Segments(False, "no se formaron grupos distinguibles")
     best = max(tried, key=lambda kk: tried[kk])
+    label = SEGMENT
+    while label.lower() in {c.lower() for c in df.columns}:
+        label += "_"
     out = models[best].transform(ready).withColumn(
-        "segmento", F.concat(F.lit("Segmento "), (F.col("prediction") + 1).cast("string"))).drop("prediction", "features")
+        label, F.concat(F.lit("Segmento "), (F.col("prediction") + 1).cast("string"))).drop("prediction", "features")
     means = [F.avg(number(df, c)).alias(c) for c in features.numeric]
     first = features.categorical[0] if features.categorical else None
     mode = [F.mode(col(first), True).alias(first)] if first else []  # at most 50 values
-    summary = out.groupBy("segmento").agg(F.count(F.lit(1)).alias("registros"), *means, *mode).orderBy("segmento")
+    summary = out.groupBy(label).agg(F.count(F.lit(1)).alias("registros"), *means, *mode).orderBy(label)
     score = tried[best]
     verdict = "claro" if score >= 0.5 else "moderado" if score >= 0.25 else "sin_grupos"
     return Segments(True, f"{best} segmentos, silueta {score:.2f}", best, tried, out, summary, verdict)
 
 
-SAMPLE = 256
+SAMPLE = 256  # rows of one tree, as the method has it
 _NODES = "tree int, node int, feature int, cut double, left int, right int, depth double"
 
 
@@ -104,24 +114,25 @@ def _grow(tree: int, points: np.ndarray, seed: int) -> list[tuple]:
 
 
 def grow_forest(vectors: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
-    """Node rows of every tree. Each tree gets about SAMPLE rows chosen by hash, so its group is small."""
-    h = F.xxhash64(F.lit(seed), "_v")
-    wanted = trees * SAMPLE
-    if n > wanted:
-        # each row may serve one tree
-        picked = vectors.where(F.pmod(h, F.lit(2 ** 31)) < F.lit(int(2 ** 31 * min(1.0, 1.2 * wanted / n))))
-        assigned = picked.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), "_v"), F.lit(trees)).cast("int"))
-    else:
-        # a small table: each row may serve many trees
-        share = int(2 ** 31 * min(1.0, 1.2 * SAMPLE / n))
-        every = vectors.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        assigned = every.where(F.pmod(F.xxhash64(F.lit(seed), "tree", "_v"), F.lit(2 ** 31)) < F.lit(share))
+    """Node rows of every tree, from rows (`_v`, `_n`) whose number `_n` tells copies of a vector apart.
+
+    A row serves as many trees as it takes for each tree to get somewhat over SAMPLE rows: the whole part
+    of that number for certain, one more with the chance of its fraction. Which trees is drawn by a hash of
+    the row's number, and each tree takes the first SAMPLE of its rows, so no group is larger.
+    """
+    drawn = lambda *parts: F.xxhash64(F.lit(seed), "_n", *parts)
+    each = min(float(trees), 1.25 * SAMPLE * trees / n)
+    more = F.pmod(drawn(F.lit("more")), F.lit(1 << 31)) < F.lit(int((each - int(each)) * (1 << 31)))
+    uses = F.lit(int(each)) + more.cast("int")
+    served = vectors.withColumn("_uses", uses).where("_uses > 0").select(
+        "_v", "_n", F.explode(F.sequence(F.lit(1), F.col("_uses"))).alias("_use"))
+    dealt = served.select("_v", F.pmod(drawn(F.col("_use")), F.lit(trees)).cast("int").alias("tree"), drawn(F.lit("rank"), F.col("_use")).alias("_h"))
+    assigned = dealt.withColumn("_k", F.row_number().over(W.partitionBy("tree").orderBy("_h"))).where(F.col("_k") <= SAMPLE).select("tree", "_v")
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         points = np.stack(pdf["_v"].to_numpy())
         points = points[np.lexsort(points.T)]  # Spark gives rows of a group in no fixed order
-        chosen = np.random.default_rng(seed + key[0]).permutation(len(points))[:SAMPLE]
-        return pd.DataFrame(_grow(int(key[0]), points[chosen], seed), columns=[c.split()[0] for c in _NODES.split(", ")])
+        return pd.DataFrame(_grow(int(key[0]), points, seed), columns=[c.split()[0] for c in _NODES.split(", ")])
 
     return assigned.groupBy("tree").applyInPandas(grow, _NODES)
 
@@ -138,27 +149,24 @@ def score_forest(vectors: DataFrame, nodes: list, column: str = "score") -> Data
     shared = vectors.sparkSession.sparkContext.broadcast(packed)
     norm = _path_correction(SAMPLE)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["_v"].to_numpy())
-            depth = np.zeros(len(x))
-            rows_ = np.arange(len(x))
-            for feature, cut, left, right, leaf in shared.value:
-                at = np.zeros(len(x), dtype=np.int64)
-                while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    below = x[rows_, np.maximum(f, 0)] < cut[at]
-                    at = np.where(inner, np.where(below, left[at], right[at]), at)
-                depth += leaf[at]
-            yield pdf.assign(**{column: -np.power(2.0, -(depth / len(shared.value)) / norm)})
-
-    schema = T.StructType([*vectors.schema.fields, T.StructField(column, T.DoubleType())])
-    return vectors.mapInPandas(score, schema)
+    @pandas_udf("double")
+    def score(vectors_: pd.Series) -> pd.Series:
+        x = np.stack(vectors_.to_list()) if len(vectors_) else np.zeros((0, 1))
+        depth = np.zeros(len(x))
+        rows_ = np.arange(len(x))
+        for feature, cut, left, right, leaf in shared.value:
+            at = np.zeros(len(x), dtype=np.int64)
+            while True:
+                f = feature[at]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                below = x[rows_, np.maximum(f, 0)] < cut[at]
+                at = np.where(inner, np.where(below, left[at], right[at]), at)
+            depth += leaf[at]
+        return pd.Series(-np.power(2.0, -(depth / len(shared.value)) / norm))
+
+    return vectors.withColumn(column, score("_v"))
 
 
 @dataclass
@@ -181,12 +189,12 @@ def run_anomalies(df: DataFrame, profiles: Profiles, contamination: float = 0.02
     n = df.count()
     if n < 50:
         return Anomalies(False, f"hacen falta 50 registros; hay {n}")
-    vectors = fit_features(df, features).transform(df).select(
-        *[col(c) for c in df.columns], vector_to_array("features").alias("_v"))
-    nodes = grow_forest(vectors.select("_v"), n, trees, seed).collect()  # at most trees * 511 rows
-    # the scores are read for the threshold and again for the rows
-    scored = materialize(score_forest(vectors, nodes))
+    # written once: the forest, the threshold and the rows read it
+    vectors = materialize(fit_features(df, features).transform(df).select(
+        *[col(c) for c in df.columns], vector_to_array("features").alias("_v"), F.monotonically_increasing_id().alias("_n")))
+    nodes = grow_forest(vectors.select("_v", "_n"), n, trees, seed).collect()  # at most trees * 511 rows
+    scored = materialize(score_forest(vectors, nodes).drop("_v", "_n"))
     (cut,) = Q.quantiles(scored, "score", [contamination])
-    rare = scored.where(F.col("score") < F.lit(cut)).drop("_v")
+    rare = scored.where(F.col("score") < F.lit(cut))
     found = rare.count()
-    return Anomalies(True, f"{found} registros atípicos ({found / n:.1%})", found, cut, rare.orderBy("score"), scored.drop("_v"))
+    return Anomalies(True, f"{found} registros atípicos ({found / n:.1%})", found, cut, rare.orderBy("score"), scored)

@@ -76,7 +76,7 @@ def pivot(breakdown: DataFrame) -> DataFrame:
 def halves(df: DataFrame, date_col: str, dimension: str, metric: str | None, cut: Column | None = None) -> DataFrame:
     """(category, before, after, change, weight): totals up to and after the median date, in one pass.
 
-    Categories that add nothing before are left out, as no change can be told.
+    What is missing on a side is 0 there; without anything before, no change can be told and it is null.
     """
     d = instant(df, date_col)
     if cut is None:
@@ -85,10 +85,10 @@ def halves(df: DataFrame, date_col: str, dimension: str, metric: str | None, cut
     v = number(df, metric) if metric else F.lit(1.0)
     both = df.where(present(df, dimension) & d.isNotNull()).groupBy(col(dimension).alias("category")).agg(
         F.coalesce(F.sum(F.when(d <= cut, v)), F.lit(0.0)).alias("before"),
-        F.coalesce(F.sum(F.when(d > cut, v)), F.lit(0.0)).alias("after")).where("before > 0")
+        F.coalesce(F.sum(F.when(d > cut, v)), F.lit(0.0)).alias("after"))
     whole = both.agg(F.sum("before")).scalar()
-    return both.withColumns({"change": (F.col("after") - F.col("before")) / F.col("before"),
-                             "weight": F.col("before") / whole})
+    change = F.when(F.col("before") > 0, (F.col("after") - F.col("before")) / F.col("before"))
+    return both.withColumns({"change": change, "weight": F.try_divide(F.col("before"), whole)})
 
 
 def concentration(totals: DataFrame, fraction: float = 0.2) -> DataFrame:

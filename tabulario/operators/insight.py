@@ -179,7 +179,7 @@ def growth(c: Context) -> list[tuple]:
         return []
     if dim in c.profiles and c.profiles[dim].n_unique > 40:
         return []
-    compared = G.halves(c.scope.kept, c.slot("fecha"), dim, c.slot("ingreso"), c.scope.median).limit(41).collect()
+    compared = G.halves(c.scope.kept, c.slot("fecha"), dim, c.slot("ingreso"), c.scope.median).where("before > 0").limit(41).collect()
     if not 3 <= len(compared) <= 40:
         return []
     heavy = sorted((r for r in compared if r["weight"] >= 0.05), key=lambda r: (r["change"], str(r["category"])))

@@ -13,7 +13,8 @@ from tabulario.operators import groups as G
 from tabulario.operators import series as S
 from tabulario.operators.intake import col, number, rows
 from tabulario.operators.kpi import Kpi, by_category, per_value
-from tabulario.operators.profile import Profiles, date_columns, dimension_columns, metric_columns
+from tabulario.operators.choices import date_columns, dimension_columns, metric_columns
+from tabulario.operators.profile import Profiles
 
 MAX_VIEWS = 6
 MAX_KPI_CATEGORIES = 40

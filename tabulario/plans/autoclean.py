@@ -7,7 +7,8 @@ from datetime import date
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from tabulario.operators.profile import Profiles, profile, suggest_mapping
+from tabulario.operators.choices import suggest_mapping
+from tabulario.operators.profile import Profiles, profile
 from tabulario.operators.quality import detect_issues
 from tabulario.operators.repair import Plan, apply_plan, plan_from_issues
 

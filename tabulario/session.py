@@ -23,20 +23,23 @@ def build_session(app: str = "tabulario", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data: the one named in `spark.checkpoint.dir`.
 
-    The folder is the shared one the cluster names in `spark.checkpoint.dir`; only a local
-    session that names none (tests) gets a temporary one. Without a folder on a cluster the
-    frame is returned as it is, and Spark recomputes it from its sources.
+    Only a local session that names none (tests) gets a temporary one, under that setting; a cluster without one is refused.
     """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-tabulario-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named:
-            context.setCheckpointDir(named)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tabulario-"))
-        else:
-            return df
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)

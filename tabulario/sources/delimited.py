@@ -1,10 +1,12 @@
-"""Delimited text files: find the encoding, the separator and the header row, then read all columns as text.
+"""Delimited text files: find each file's encoding, separator and header row, then read all columns as text.
 
 Every step is a job over the lines of all files at once. Spark splits large files; the position of
-a line matters only at the start of a file, where the split that holds byte 0 tells it.
+a line is the start of its split and its place in it. Lines that a quoted field joins are put
+together by a running count of quotes, which no single task holds.
 """
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,18 +14,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulario.functions import fixed
+from tabulario.operators import quantiles as Q
+from tabulario.session import materialize
 
 # --- fixed values ------------------------------------------------------------------------
 SEPARATORS = [",", ";", "\t", "|"]
 SNIFFED_LINES = 25
 SCANNED_ROWS = 8
 WIDTH_LINES = 40
+ENCODINGS = ["utf-8", "cp1252", "latin-1"]
+# -----------------------------------------------------------------------------------------
+
+HEAD_ROWS = SCANNED_ROWS
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at_start, id, raw): the bytes of every line; ids rise along a file within a split."""
+    """(file, block, at_start, id, raw): the bytes of every line; (block, id) rises along a file."""
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("at_start"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        (F.col("_metadata.file_block_start") == 0).alias("at_start"),
         F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("raw"))
 
 
@@ -52,11 +61,49 @@ def decoded(raw: Column, encoding: str) -> Column:
     return F.translate(latin, _C1, _CP1252) if encoding == "cp1252" else latin
 
 
+def decoded_lines(raw: DataFrame, encoding: DataFrame) -> DataFrame:
+    """Lines as text (`value`), each file by its own encoding."""
+    text = F.coalesce(*[F.when(F.col("encoding") == e, decoded(F.col("raw"), e)) for e in ENCODINGS])
+    return raw.join(encoding, "file").select("file", "block", "at_start", "id", text.alias("value"))
+
+
+def joined_records(text: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Lines with those that one quoted field spans put together, and the files whose quotes never close.
+
+    A file without such fields passes as it is. Where the last quote stays open nothing can be told, and
+    the lines of that file stay single.
+    """
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    marked = text.withColumn("odd", odd)
+    per = marked.groupBy("file").agg(F.sum("odd").alias("n")).where("n > 0")
+    spread = [r["file"] for r in per.where("n % 2 = 0").select("file").collect()]  # files, not rows
+    broken = [r["file"] for r in per.where("n % 2 = 1").select("file").collect()]
+    if not spread:
+        return text, broken
+    here = marked.where(F.col("file").isin(spread))
+    along = [F.asc("block"), F.asc("id")]
+    opened = Q.running_sum(here, ["file"], along, "odd", "upto").withColumn(
+        "start", F.when((F.col("upto") - F.col("odd")) % 2 == 0, 1).otherwise(0))
+    numbered = Q.running_sum(opened, ["file"], along, "start", "record")
+    lines_of = F.array_sort(F.collect_list(F.struct("block", "id", "at_start", "value")))  # the lines of one record
+    whole = numbered.groupBy("file", "record").agg(lines_of.alias("x")).select(
+        "file", F.col("x")[0]["block"].alias("block"), F.col("x")[0]["at_start"].alias("at_start"), F.col("x")[0]["id"].alias("id"),
+        F.array_join(F.transform("x", lambda line: line["value"]), "\n").alias("value"))
+    return text.where(~F.col("file").isin(spread)).unionByName(whole), broken
+
+
+def cells(value: Column, separator: Column, width: int) -> Column:
+    """The fields of a record as an array of `width`, null where the record is shorter."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    parsed = F.coalesce(*[F.when(separator == s, F.from_csv(value, schema, {"sep": s, "multiLine": "true"})) for s in SEPARATORS])
+    return F.transform(F.array(*[parsed[f"c{i}"] for i in range(width)]), lambda x: x)
+
+
 def head(text: DataFrame, k: int, blank: bool = False) -> DataFrame:
     """(file, row, id, value): the first k lines of each file, blank ones skipped unless asked for."""
     start = text.where("at_start") if blank else text.where("at_start").where(F.trim("value") != "")
-    row = F.row_number().over(W.partitionBy("file").orderBy("id")) - 1
-    return start.withColumn("row", row).where(F.col("row") < k).select("file", "row", "id", "value")
+    row = F.row_number().over(W.partitionBy("file").orderBy("id"))  # compared as it is, so that splits are cut before the shuffle
+    return start.withColumn("row", row).where(F.col("row") <= k).select("file", (F.col("row") - 1).alias("row"), "id", "value")
 
 
 def separators(text: DataFrame) -> DataFrame:
@@ -77,20 +124,29 @@ def separators(text: DataFrame) -> DataFrame:
         F.max_by("separator", F.struct("score", -F.col("i"))).alias("separator"), F.max("score").alias("score"))
 
 
-def header_rows(text: DataFrame, separator: str) -> DataFrame:
+def width_of(text: DataFrame) -> int:
+    """The most fields that any of the first lines of any file may have."""
+    separator = F.col("separator")
+    found = head(text, WIDTH_LINES).join(text.select("file", "separator").distinct(), "file").agg(
+        F.max(F.length("value") - F.length(F.replace("value", separator, F.lit("")))))
+    return (found.head()[0] or 0) + 1
+
+
+def header_rows(text: DataFrame, separator: str | None = None) -> DataFrame:
     """(file, header, score): which of the first rows is the header, counting from 0 without blank lines.
 
     A row scores its filled cells, plus half its text cells and half its distinct cells; it needs two
-    filled cells. The first best row wins; row 0 when none qualifies.
+    filled cells. The first best row wins; row 0 when none qualifies. `text` has a column `separator` or
+    one is given for all files.
     """
-    counted = head(text, WIDTH_LINES).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(separator), F.lit("")))))
-    width = (counted.head()[0] or 0) + 1
-    row = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"sep": separator})
-    cells = head(text, SCANNED_ROWS).select("file", "row", row.alias("x")).select(
-        "file", "row", F.filter(F.array(*[F.col("x")[f"c{i}"] for i in range(width)]), lambda x: x.isNotNull()).alias("c"))
+    marked = text.withColumn("separator", F.lit(separator)) if separator else text
+    own = marked.select("file", "separator").distinct()
+    width = width_of(marked)
+    parsed = head(marked, SCANNED_ROWS).join(own, "file").select(
+        "file", "row", F.filter(cells(F.col("value"), F.col("separator"), width), lambda x: x.isNotNull()).alias("c"))
     filled = F.filter("c", lambda x: F.trim(x) != "")
     score = F.size(filled) * 1.5 + F.size(F.array_distinct(filled)) * 0.5
-    scored = cells.select("file", "row", F.when(F.size(filled) >= 2, score).otherwise(F.lit(-1.0)).alias("score"))
+    scored = parsed.select("file", "row", F.when(F.size(filled) >= 2, score).otherwise(F.lit(-1.0)).alias("score"))
     return scored.groupBy("file").agg(F.max_by("row", F.struct("score", -F.col("row"))).alias("header"), F.max("score").alias("score"))
 
 
@@ -112,50 +168,73 @@ def repaired_names(names: list[str | None]) -> tuple[list[str], list[str]]:
 
 @dataclass
 class Loaded:
-    """A delimited source: its rows as text columns, how it was read, and notes."""
+    """A delimited source: its rows as text columns, how each file was read, notes, and the records left out.
+
+    `separator`, `encoding` and `header_row` are those of most files; `files` has every file's own.
+    """
 
     table: DataFrame
     separator: str
     encoding: str
     header_row: int
     notes: list[str] = field(default_factory=list)
+    files: DataFrame | None = None
+    rejected: DataFrame | None = None
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
                    header_row: int | None = None) -> Loaded:
-    """Read one file or a directory of files of the same layout; whatever is not given is detected.
+    """Read one file or a directory of files with the same columns; whatever is not given is found per file.
 
-    Lines above the header are dropped in every file. Short rows are padded, rows with too many fields
-    and rows without any value are dropped. A quoted field may hold the separator but no line break.
+    Lines above the header are dropped in every file. A quoted field may hold separators and line
+    breaks. Short rows are padded and rows without any value are dropped; rows with too many fields are
+    counted in the notes and kept in `rejected`. Files whose headers differ are refused.
     """
     raw = lines(spark, path)
     notes = []
-    if encoding is None:
-        found = [r["encoding"] for r in encodings(spark, path).select("encoding").distinct().collect()]  # at most three
-        if not found:
-            raise ValueError(f"no hay líneas en {path}")
-        encoding = max(found, key=["utf-8", "cp1252", "latin-1"].index)
-    if encoding == "latin-1":
+    how = encodings(spark, path) if encoding is None else raw.select("file").distinct().withColumn("encoding", F.lit(encoding))
+    text, open_quotes = joined_records(decoded_lines(raw, how))
+    if open_quotes:
+        notes.append(f"{len(open_quotes)} archivos con comillas sin cerrar: {', '.join(open_quotes[:5])}")
+    own = separators(text).select("file", "separator") if separator is None else how.select("file", F.lit(separator).alias("separator"))
+    how = how.join(own, "file")
+    marked = text.join(own, "file")
+    titles = header_rows(marked).select("file", "header") if header_row is None else how.select("file", F.lit(header_row).alias("header"))
+    top = head(text, HEAD_ROWS if header_row is None else header_row + 1).join(titles, "file").where("row = header").select(
+        "file", F.col("id").alias("_header"), F.col("value").alias("title"))
+    how = materialize(how.join(titles, "file").join(top, "file", "left"))
+    files = how.collect()  # one row per file
+    if not files:
+        raise ValueError(f"no hay líneas en {path}")
+    missing = [r["file"] for r in files if r["title"] is None]
+    if missing:
+        notes.append(f"{len(missing)} archivos terminan antes del encabezado: {', '.join(missing[:5])}")
+    width = 1 + max((r["title"] or "").count(r["separator"]) for r in files)
+    heads = how.where("title IS NOT NULL").select("separator", "title").distinct().withColumn(
+        "names", F.filter(cells(F.col("title"), F.col("separator"), width), lambda x: x.isNotNull())).select("names").distinct().collect()
+    layouts = sorted({tuple(r["names"]) for r in heads})
+    if not layouts:
+        raise ValueError(f"ningún archivo de {path} llega al encabezado")
+    if len(layouts) > 1:
+        raise ValueError("los archivos tienen encabezados distintos: " + "; ".join(", ".join(x) for x in layouts[:5]))
+    names, repairs = repaired_names(list(layouts[0]))
+    found = {k: Counter(r[k] for r in files).most_common(1)[0][0] for k in ("encoding", "separator", "header")}
+    for what, key in (("codificaciones", "encoding"), ("separadores", "separator"), ("filas de encabezado", "header")):
+        kinds = sorted({str(r[key]) for r in files})
+        if len(kinds) > 1:
+            notes.append(f"{what} por archivo: {', '.join(map(repr, kinds))}")
+    if any(r["encoding"] == "latin-1" for r in files):
         notes.append("el texto no es UTF-8; se leyó como latin-1")
-    text = raw.select("file", "at_start", "id", decoded(F.col("raw"), encoding).alias("value"))
-    if separator is None:
-        vote = separators(text).groupBy("separator").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "separator")
-        separator = vote.head()["separator"]
-    if header_row is None:
-        vote = header_rows(text, separator).groupBy("header").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "header")
-        header_row = vote.head()["header"]
-    if header_row:
-        notes.append(f"encabezado en la fila {header_row + 1}")
-    top = head(text, header_row + 1).where(F.col("row") == header_row)
-    title = top.orderBy("file").head()
-    options = {"sep": separator}
-    cells = F.from_csv(F.lit(title["value"]), ", ".join(f"c{i} string" for i in range(title["value"].count(separator) + 1)), options)
-    names, repairs = repaired_names(list(spark.range(1).select(cells.alias("x")).head()["x"]))
+    if found["header"]:
+        notes.append(f"encabezado en la fila {found['header'] + 1}")
     notes += repairs
-    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))  # one more to see rows that are too long
-    starts = top.select("file", F.col("id").alias("_header"))
-    body = text.where(F.trim("value") != "").join(starts, "file").where(~F.col("at_start") | (F.col("id") > F.col("_header")))
-    parsed = body.select(F.from_csv("value", schema, options).alias("x"))
-    table = parsed.where(F.col("x")[f"c{len(names)}"].isNull()).select(
-        *[F.col("x")[f"c{i}"].alias(name) for i, name in enumerate(names)]).na.drop("all")
-    return Loaded(table, separator, encoding, header_row, notes)
+    body = text.join(how.select("file", "separator", "_header").where("_header IS NOT NULL"), "file").where(
+        ~F.col("at_start") | (F.col("id") > F.col("_header")))
+    parsed = body.where(F.trim("value") != "").select("file", "value", cells(F.col("value"), F.col("separator"), len(names) + 1).alias("x"))  # one more to see long rows
+    long = F.col("x")[len(names)].isNotNull()
+    rejected = parsed.where(long).select("file", F.col("value").alias("record"))
+    n = rejected.count()
+    if n:
+        notes.append(f"{n} filas con demasiados campos quedaron fuera")
+    table = parsed.where(~long).select(*[F.col("x")[i].alias(name) for i, name in enumerate(names)]).na.drop("all")
+    return Loaded(table, found["separator"], found["encoding"], found["header"], notes, how.drop("_header", "title"), rejected)

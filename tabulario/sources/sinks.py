@@ -1,11 +1,12 @@
 """Writing tables and result bundles."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulario.session import checkpoint_folder
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV in UTF-8 with a byte order mark at the head of every part, for spreadsheets."""
@@ -31,12 +32,5 @@ def preview(df: DataFrame, n: int, order_by: str | None = None) -> tuple[DataFra
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that every executor reaches: under the shared checkpoint folder, or local in a local session."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/tabulario-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="spark-tabulario-")
-    raise ValueError("set spark.checkpoint.dir to a shared folder")
-
-
+    """The name of a new folder that every executor reaches, under the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/tabulario-{uuid.uuid4().hex}"

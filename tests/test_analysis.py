@@ -41,8 +41,8 @@ def test_measures_compose(sales):
 def test_menu_refuses_incomplete_choices():
     for bad in (("nada",), ("sumar",), ("dividir", "a"), ("porcentaje",)):
         with pytest.raises(K.KpiError):
-            K.build_measure(*bad)
-    assert K.suggested_format("margen") == "porcentaje" and "importe" in K.describe("sumar", "importe", None, "seg", "A")
+            K.choose(*bad)
+    assert K.choose("margen", "a", "b").fmt == "porcentaje" and "importe" in K.choose("sumar", "importe", None, "seg", "A").name
 
 
 def test_significant_trend_and_season(spark, sales):

@@ -101,3 +101,37 @@ def test_forecast_follows_trend_and_season(spark):
     assert out.beats.all() and out.mape.max() < 0.05 and np.abs(future.value.to_numpy() / real - 1).max() < 0.1
     short = FC.forecast(FC.monthly_series(df.limit(5), "f", "v")).collect()
     assert [r["tipo"] for r in short] == ["corta"]
+
+
+def test_segments_leave_input_columns_alone(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame(np.vstack([rng.normal(c, 0.2, (60, 2)) for c in (0, 5)]), columns=["a", "b"])
+    pdf["segmento_kmeans"], pdf["segmento"] = np.where(pdf.index < 60, "x", "y"), "s"
+    df = spark.createDataFrame(pdf)
+    seg = U.run_clustering(df, P.profile(df), k=2, seed=1)
+    assert seg.rows.columns == [*df.columns, "segmento_kmeans_"]
+    found = {r["segmento_kmeans"]: r["registros"] for r in seg.summary.collect()}
+    assert found == {"x": 60, "y": 60} and seg.summary.columns[0] == "segmento_kmeans_"
+
+
+def test_trees_are_bounded_with_many_equal_rows(spark):
+    vectors = spark.range(20_000).select(
+        F.array(F.when(F.col("id") < 19_600, 1.0).otherwise(F.col("id") / 1000.0), F.lit(2.0)).alias("_v"), F.col("id").alias("_n"))
+    nodes = U.grow_forest(vectors, 20_000, 50, 1).groupBy("tree").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()
+    assert len(nodes) == 50 and all(r["n"] <= 2 * U.SAMPLE - 1 and r["d"] > 0 for r in nodes)
+    rare = U.score_forest(vectors, U.grow_forest(vectors, 20_000, 50, 1).collect()).orderBy("score").limit(300).collect()
+    assert all(r["_n"] >= 19_600 for r in rare)
+
+
+def test_series_with_missing_and_odd_keys_stay_apart(spark):
+    rows = [("2024-01-01", "a", None, 1.0), ("2024-01-02", None, "a", 2.0), ("2024-01-03", "a | b", "c", 4.0), ("2024-01-04", "a", "b | c", 8.0), ("2024-01-05", None, None, 16.0)]
+    got = FC.monthly_series(spark.createDataFrame(rows, "f string, g string, h string, v double"), "f", "v", ["g", "h"]).collect()
+    assert sorted(r["value"] for r in got) == [1, 2, 4, 8, 16] and len({r["serie"] for r in got}) == 5
+
+
+def test_many_classes_are_no_reason_to_refuse(spark):
+    df = spark.range(12_000).select((F.col("id") % 1200).cast("string").alias("clase"), (F.col("id") % 1200 + F.rand(1)).alias("x"), F.rand(2).alias("y"))
+    counted = FT.class_counts(df, "clase")
+    assert counted.count() == 1200
+    one = SV.split(df.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0)).withColumn("clase", F.lit("a")), F.col("clase"), SV.Settings())
+    assert abs(one.where("_train").count() - 9000) <= 1  # copies of one row are shared out too

@@ -13,7 +13,8 @@ def test_title_lines_semicolons_latin1(spark, tmp_path):
     assert got.table.columns == ["Fecha", "Región", "Monto"] and got.table.count() == 12
     found = {r["Fecha"]: (r["Región"], r["Monto"]) for r in got.table.collect()}
     assert found["01/02/2024"] == ("Bajío", "1.234,50") and found["02/02/2024"] == ("Norte; alto", "5") and found["9/2/2024"] == (None, None)
-    assert any("fila 3" in n for n in got.notes)
+    assert any("fila 3" in n for n in got.notes) and any(n.startswith("1 filas") for n in got.notes)
+    assert [r["record"] for r in got.rejected.collect()] == ["1;2;3;4"]
 
 
 @pytest.mark.parametrize("data, encoding", [
@@ -54,3 +55,35 @@ def test_sinks(spark, tmp_path):
     assert S.load_bundle(spark, str(tmp_path / "b"), ["a"])["a"].count() == 30
     shown, notice = S.preview(df, 10, "i")
     assert shown.count() == 10 and notice and S.preview(df, 30)[1] == ""
+
+
+def test_every_file_by_its_own_layout(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Titulo\nNombre,Monto\nñandú,1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Nombre;Monto\nñu;2\n\"uno\ndos; tres\";10\n", encoding="cp1252")
+    (tmp_path / "c.csv").write_text("T\n\nU\nNombre|Monto\nx|3\ny|4\n")
+    got = D.read_delimited(spark, str(tmp_path))
+    assert sorted(map(tuple, got.table.collect())) == [("uno\ndos; tres", "10"), ("x", "3"), ("y", "4"), ("ñandú", "1"), ("ñu", "2")]
+    assert got.rejected.isEmpty() and len(got.notes) == 4 and sorted(r["header"] for r in got.files.collect()) == [0, 1, 2]
+
+
+def test_different_columns_are_refused_and_short_files_noted(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("a,c\n1,2\n")
+    with pytest.raises(ValueError, match="a, b; a, c"):
+        D.read_delimited(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_text("solo\n")
+    (tmp_path / "a.csv").write_text("x\na,b\n1,2\n")
+    got = D.read_delimited(spark, str(tmp_path), header_row=1)
+    assert got.table.count() == 1 and any("antes del encabezado" in n and "b.csv" in n for n in got.notes)
+
+
+def test_open_quotes_are_noted_and_lines_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a;b\n5" tubo;1\nx;2\ny;3\n')
+    got = D.read_delimited(spark, str(tmp_path / "a.csv"))
+    assert got.table.count() == 3 and any("comillas sin cerrar" in n for n in got.notes)
+
+
+def test_heads_are_cut_before_the_shuffle(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a;b\n" * 50)
+    text = D.decoded_lines(D.lines(spark, str(tmp_path)), D.encodings(spark, str(tmp_path)))
+    assert "WindowGroupLimit" in D.head(text, 3)._jdf.queryExecution().toString()

@@ -66,13 +66,13 @@ def _lengths(columns) -> str:
  SELECT col, SUM(n) AS n, max(total) AS total FROM raro GROUP BY col HAVING SUM(n) <= greatest(5, floor(0.005e0 * max(total))))"""
 
 
-def _tail(c) -> str:
+def _tail(c, least: str = "salto >= 5") -> str:
     return f"""(WITH v AS (SELECT {_NUMERIC[c]} AS v FROM ventas_sucias WHERE {c} IS NOT NULL),
  t AS (SELECT DISTINCT v FROM v WHERE v > (SELECT quantile_cont(v, 0.99) FROM v)),
  j AS (SELECT v, v / CASE WHEN lag(v) OVER (ORDER BY v) > 0 THEN lag(v) OVER (ORDER BY v) END AS razon FROM t),
  m AS (SELECT max(razon) AS salto, arg_min(v, (-razon, v)) AS corte FROM j WHERE razon IS NOT NULL)
  SELECT salto, corte, (SELECT COUNT(*) FROM v WHERE v >= corte) AS n, (SELECT COUNT(*) FROM v) AS total,
-   (SELECT SUM(v) FROM v WHERE v >= corte) / (SELECT SUM(v) FROM v) AS peso FROM m WHERE salto >= 5)"""
+   (SELECT SUM(v) FROM v WHERE v >= corte) / (SELECT SUM(v) FROM v) AS peso FROM m WHERE {least})"""
 
 
 RULES = {
@@ -278,9 +278,9 @@ def win_02(spark, sf):
     return Q.day_gaps(ventas_sucias(spark, sf), ["fecha"]).drop("column")
 
 
-@query("win-03", f"WITH {SQL_SUCIAS} " + each(_NUMERIC, lambda c: f"SELECT '{c}' AS \"column\", {rs('salto', 4)} AS jump, {rs('corte', 2)} AS cut FROM {_tail(c)}"))
+@query("win-03", f"WITH {SQL_SUCIAS} " + each(_NUMERIC, lambda c: f"SELECT '{c}' AS \"column\", {rs('salto', 4)} AS jump, {rs('corte', 2)} AS cut FROM {_tail(c, 'true')} AS t WHERE salto IS NOT NULL"))
 def win_03(spark, sf):
-    found = Q.tail_jump(ventas_sucias(spark, sf), list(_NUMERIC)).where("jump >= 5")
+    found = Q.tail_jump(ventas_sucias(spark, sf), list(_NUMERIC))
     return found.select("column", r("jump", 4).alias("jump"), r("cut").alias("cut"))
 
 

@@ -32,7 +32,7 @@ class Settings:
     trees: int = 250
     forest_depth: int = 12
     rounds: int = 100
-    parallelism: int = 2
+    parallelism: int = 5
     repeats: int = 8
 
 

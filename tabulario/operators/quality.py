@@ -291,9 +291,8 @@ def percent_out_of_range(df: DataFrame, profiles: Profiles, counts: Counts | Non
 def tail_jump(df: DataFrame, columns: list[str], p99: list[float | None] | None = None) -> DataFrame:
     """(column, jump, cut): the widest jump between neighbouring values above the 99th percentile.
 
-    `jump` is the ratio of `cut` to the distinct value before it. Values are first grouped into
-    bands of an eighth of a power of two, so only the ends of bands can be neighbours across a
-    wide jump; jumps narrower than a band (1.09 times) are not told apart.
+    `jump` is the ratio of `cut` to the distinct value before it. Distinct values are put in ranges, and
+    the first of a range is compared with the last of the range before.
     """
     typed = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     if p99 is None:
@@ -303,11 +302,13 @@ def tail_jump(df: DataFrame, columns: list[str], p99: list[float | None] | None
                F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("v")))
         for i, (c, cut) in enumerate(zip(columns, p99)) if cut is not None
     ]), lambda x: x.isNotNull())).alias("x")).select("x.column", "x.v")
-    bands = tails.groupBy("column", F.floor(F.log2("v") * 8).alias("band")).agg(
-        F.min("v").alias("low"), F.max("v").alias("high"))
-    previous = F.lag("high").over(W.partitionBy("column").orderBy("band"))  # a few thousand bands at most
-    return bands.withColumn("ratio", F.col("low") / previous).where("ratio is not null").groupBy("column").agg(
-        F.max("ratio").alias("jump"), F.max_by("low", F.struct("ratio", -F.col("low"))).alias("cut"))
+    placed = Q.ranges(tails.distinct(), "column", "v")
+    ends = placed.groupBy("column", "_range").agg(F.max("v").alias("high"))
+    before = ends.select("column", "_range", F.lag("high").over(W.partitionBy("column").orderBy("_range")).alias("before"))  # a row per range
+    inside = F.lag("v").over(W.partitionBy("column", "_range").orderBy("v"))
+    gaps = placed.withColumn("inside", inside).join(before, ["column", "_range"]).withColumn("ratio", F.col("v") / F.coalesce("inside", "before"))
+    return gaps.where("ratio is not null").groupBy("column").agg(
+        F.max("ratio").alias("jump"), F.max_by("v", F.struct("ratio", -F.col("v"))).alias("cut"))
 
 
 @rule

@@ -55,19 +55,13 @@ def top_values(counts: DataFrame, k: int = 15) -> DataFrame:
 
 def first_values(df: DataFrame, order_by: str, columns: list[str] | None = None, k: int = 5) -> DataFrame:
     """(column, position, value): the first k present values of each column in row order."""
-    out = None
-    for f in df.schema:
-        if not is_flat(f.dataType) or (columns is not None and f.name not in columns):
-            continue
-        head = (
-            df.select(F.lit(f.name).alias("column"), text_form(f.name, f.dataType).alias("value"), col(order_by).alias("_o"))
-            .where(F.col("value").isNotNull())
-            .orderBy("_o", "value")
-            .limit(k)
-        )
-        out = head if out is None else out.unionByName(head)
+    picked = [f for f in df.schema if is_flat(f.dataType) and (columns is None or f.name in columns)]
+    long = df.select(col(order_by).alias("_o"), F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column"), text_form(f.name, f.dataType).alias("value")) for f in picked])).alias("x"))
+    present_ = long.select("_o", "x.column", "x.value").where(F.col("value").isNotNull())
+    # one scan for all columns; only k rows per column and task are shuffled (window group limit)
     position = F.row_number().over(W.partitionBy("column").orderBy("_o", "value"))
-    return out.withColumn("position", position).select("column", "position", "value")
+    return present_.withColumn("position", position).where(F.col("position") <= k).select("column", "position", "value")
 
 
 def mode(counts: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Aggregates, KPIs, period series and windows."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.registry import query, r, rs
@@ -186,10 +188,20 @@ def win_01(spark, sf):
     return rounded(S.last_change(S.period_series(ventas_demo(spark, sf), "fecha", "importe", "M", robust=False, trim=False)), delta_value=6, delta_n=6)
 
 
-@query("kpi-10", f"{W_DEMO}, {monthly()}, d AS (SELECT value, lag(value) OVER (ORDER BY period) AS p, n, lag(n) OVER (ORDER BY period) AS pn, period FROM serie ORDER BY period DESC LIMIT 1) SELECT 'Registros' AS kpi, {rs('(n - pn) / pn', 6)} AS delta FROM d UNION ALL SELECT 'Ingreso total', {rs('(value - p) / abs(p)', 6)} FROM d")
+_UNITS = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
+
+
+def _last_deltas(code: str, unit: str) -> str:
+    return f"""SELECT '{code}' AS unidad, k AS kpi, CASE k WHEN 'Registros' THEN {rs('(n - pn) / pn', 6)} ELSE {rs('(value - p) / abs(p)', 6)} END AS delta
+ FROM (WITH {monthly(unit)} SELECT value, lag(value) OVER (ORDER BY period) AS p, n, lag(n) OVER (ORDER BY period) AS pn, period FROM serie ORDER BY period DESC LIMIT 1), (VALUES ('Registros'), ('Ingreso total')) v(k)"""
+
+
+@query("kpi-10", f"{W_DEMO} " + " UNION ALL ".join(_last_deltas(code, unit) for code, unit in _UNITS.items()))
 def kpi_10(spark, sf):
     df = ventas_demo(spark, sf)
-    return K.with_deltas(K.catalogue(df, MAPPING, ["Registros", "Ingreso total"]), df, MAPPING).select("kpi", r("delta", 6).alias("delta"))
+    found = K.catalogue(df, MAPPING, ["Registros", "Ingreso total"])
+    per = [K.with_deltas(found, df, MAPPING, unit).select(F.lit(unit).alias("unidad"), "kpi", r("delta", 6).alias("delta")) for unit in _UNITS]
+    return reduce(lambda a, b: a.unionByName(b), per)
 
 
 CUSTOM = [

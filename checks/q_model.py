@@ -47,13 +47,15 @@ def mod_03(spark, sf):
     return PR.ColumnCoercer(numeric=["importe"], dates=["fecha"]).transform(df).drop("importe", "fecha")
 
 
-@query("mod-04")
+@query("mod-04", f"{W_DEMO}, k AS (SELECT COUNT(DISTINCT segmento) + COUNT(DISTINCT estado) AS k FROM ventas_demo) SELECT folio, {rs('(importe - avg(importe) OVER ()) / stddev_samp(importe) OVER ()', 4)} AS importe, {rs('(cantidad - avg(cantidad) OVER ()) / stddev_samp(cantidad) OVER ()', 4)} AS cantidad, 2e0 AS marcas, CAST(5 + k AS INTEGER) AS ancho FROM ventas_demo, k")
 def mod_04(spark, sf):
+    """Numbers and date parts centred and scaled, then one mark per category of each column."""
     from pyspark.ml.functions import vector_to_array
     df = ventas_demo(spark, sf)
     features = FT.Features(("importe", "cantidad"), ("segmento", "estado"), ("fecha",), ())
     v = PR.fit_features(df, features).transform(df).select("folio", vector_to_array("features").alias("v"))
-    return v.select("folio", F.size("v").alias("ancho"), r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("suma"))
+    marks = F.aggregate(F.slice("v", F.lit(6), F.size("v")), F.lit(0.0), lambda a, x: a + x)
+    return v.select("folio", r(F.col("v")[0], 4).alias("importe"), r(F.col("v")[1], 4).alias("cantidad"), marks.alias("marcas"), F.size("v").alias("ancho"))
 
 
 _LEAKY = "SELECT segmento, estatus, concat(segmento, '-', folio % 10) AS derivada, estado, importe, CASE segmento WHEN 'BUILDING' THEN 1000e0 ELSE 0e0 END + importe % 500 AS separa, CASE WHEN segmento = 'BUILDING' THEN 'si' ELSE 'no' END AS clase FROM ventas_demo"
@@ -179,9 +181,12 @@ def mod_17(spark, sf):
     return U.run_anomalies(df, P.profile(df)).rows
 
 
-@query("mod-18")
+@query("mod-18", f"""{W_DEMO}, e AS (SELECT segmento AS serie, min(date_trunc('month', fecha)) AS lo, max(date_trunc('month', fecha)) AS hi FROM ventas_demo GROUP BY 1),
+n AS (SELECT serie, hi, CAST(date_diff('month', lo, hi) + 1 AS INTEGER) AS months FROM e), k AS (SELECT *, greatest(3, least(6, months // 4)) AS k FROM n)
+SELECT serie, 'prueba' AS tipo, months, CAST(hi - to_months(CAST(k - i AS INTEGER)) AS DATE) AS month FROM k, generate_series(1, 6) g(i) WHERE i <= k AND months >= 12
+UNION ALL SELECT serie, 'futuro', months, CAST(hi + to_months(CAST(i AS INTEGER)) AS DATE) FROM k, generate_series(1, 6) g(i) WHERE months >= 12""")
 def mod_18(spark, sf):
-    return FC.forecast(FC.monthly_series(ventas_demo(spark, sf), "fecha", "importe", ["segmento"]))
+    return FC.forecast(FC.monthly_series(ventas_demo(spark, sf), "fecha", "importe", ["segmento"])).where("value IS NOT NULL").select("serie", "tipo", "months", "month")
 
 
 @query("mod-18-naive", f"""{W_DEMO}, b AS (SELECT segmento AS serie, CAST(date_trunc('month', fecha) AS DATE) AS month, sum(importe) AS v FROM ventas_demo GROUP BY ALL), e AS (SELECT serie, min(month) AS lo, max(month) AS hi FROM b GROUP BY 1),

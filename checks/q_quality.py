@@ -415,12 +415,15 @@ query("flt-02", f"WITH v AS ({_BLANK.format(t='orders')}) SELECT * FROM v WHERE
     lambda spark, sf: spark.sql(_BLANK, t=table(spark, sf, "orders")).na.drop(subset=["b"]))
 
 
-@query("prp-14")
+@query("prp-14", f"""WITH {SQL_SUCIAS}, c AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE canal <> trim(canal)) AS espacios, COUNT(*) FILTER (WHERE costo IS NULL) AS sin_costo, median(costo) AS mediana FROM ventas_sucias)
+SELECT x.* FROM c, LATERAL (VALUES ('eliminar_columna', 'comentario', NULL, ''), ('recortar_espacios', 'canal', espacios, ''), ('a_numero', 'importe', 0, 'valores que quedaron nulos'),
+ ('imputar', 'costo', sin_costo, concat('mediana=', format('{{:.2f}}', mediana))), ('eliminar_duplicadas', NULL, n - (SELECT COUNT(*) FROM orders), '')) x(action, "column", n_affected, detail)""")
 def prp_14(spark, sf):
     df = ventas_sucias(spark, sf)
     plan = R.Plan(drop_columns=["comentario"], trim=["canal"], normalize_categories=["canal"], to_numeric=["importe"],
                   null_dates=["fecha"], impute={"costo": "mediana"}, clip_outliers={"cantidad": "iqr"}, drop_duplicates=True)
-    return R.apply_plan(df, plan).log
+    log = R.apply_plan(df, plan).log.drop("step")
+    return log.where(~F.col("action").isin("unificar_categorias", "vaciar_fechas", "acotar", "resultado"))
 
 
 _CLEAN = f"""limpia AS (SELECT DISTINCT folio, CASE WHEN {_DATE} >= TIMESTAMP '1950-01-01' THEN {_DATE} END AS fecha, canon.canal AS canal, {_AMOUNT} AS importe, costo, cantidad, estado, estatus, sku

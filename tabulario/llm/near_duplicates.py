@@ -3,10 +3,11 @@
 A document is the set of its five-word shingles. A register keeps the smallest of as many exponential hashes as the set
 has shingles, truncated to a power of the base: registers of a union are the larger ones, and two documents agree in a
 register about as often as their sets overlap. Runs of registers make bands; documents that agree in a whole band meet
-in a bucket. Documents of one bucket are compared through hubs, never all with all: first by the joint likelihood of
-their registers, then, unless that rules a link out, on the full sets. A bucket is done when what is left of it lies in
-one component; hubs come from its smallest components, so every pair of a bucket that could still join two components
-is looked at.
+in a bucket. In a few rounds every document is compared with one hub of its buckets, by the joint likelihood of their
+registers and, unless that rules a link out, on the full sets; this joins most of each group by about one comparison per
+document. Buckets that then still hold several components are settled exactly: clusters of documents that share such
+buckets are brought together in blocks, and whoever is outside the largest component is intersected with all others by
+an inverted list of shingles. Blocks return only links that join components, so copies are never expanded into pairs.
 """
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -36,7 +37,8 @@ class Settings:
     """`bands` of `rows` registers each; base and first level of the registers; pairs link from `percent` similarity on.
 
     At exactly 75 % a pair shares no band with probability (1 - 0.75^5)^40 = 2e-5, at 80 % with 1e-7. A comparison is
-    left to the registers only if their estimate lies `sigmas` standard errors below the threshold.
+    left to the registers only if their estimate lies `sigmas` standard errors below the threshold. Blocks hold about
+    `block` shingles; lists of up to `small` ids are broadcast.
     """
 
     words: int = 5
@@ -46,8 +48,8 @@ class Settings:
     base: float = 1.1
     first: int = 20
     sigmas: float = 5.0
-    hubs: int = 8
-    split: int = 512
+    rounds: int = 2
+    block: int = 1 << 20
     small: int = 500_000
     seed: int = 3
     chars: int = 1 << 20
@@ -163,11 +165,6 @@ class Linker:
         found = self.roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
         return df.join(found, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (x, y) of different components."""
-        both = self.rooted(self.rooted(pairs, "x", "_rx"), "y", "_ry")
-        return both.where("_rx <> _ry").drop("_rx", "_ry")
-
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Pairs that the registers and sizes cannot rule out, with their estimate."""
         s = self.s
@@ -223,45 +220,91 @@ class Linker:
         self.roots = components(stars)
 
     def compare(self, pairs: DataFrame) -> None:
-        """Look at all pairs: for each document the likeliest first, then what still lies in different components."""
+        """Look at all pairs (x, y) and join what is similar enough."""
         pairs = materialize(self.estimated(pairs))
-        if pairs.isEmpty():
-            return
-        sets = self.sets(pairs)
-        first = pairs.groupBy("x").agg(F.max(F.struct("estimate", -F.col("y"))).alias("b")).select("x", (-F.col("b.col2")).alias("y"))
-        self.link(self.confirmed(first, sets))
-        self.link(self.confirmed(self.apart(pairs.join(first, ["x", "y"], "left_anti")), sets))
+        if not pairs.isEmpty():
+            self.link(self.confirmed(pairs, self.sets(pairs)))
+
+    def settle(self, groups: DataFrame) -> None:
+        """Find the links that join components among the members of each group (group, rep)."""
+        s = self.s
+        rooted = self.rooted(groups, "rep", "root").join(self.classes.select("rep", "n"), "rep")
+        parts = rooted.groupBy("group", "root").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
+        sizes = parts.groupBy("group").agg(
+            F.max_by("root", F.struct("c", "root")).alias("largest"), F.sum("shingles").alias("all"),
+            (F.sum("shingles") - F.max_by("shingles", F.struct("c", "root"))).alias("rest"))
+        blocks_of = lambda c: F.ceil(F.col(c) / F.lit(s.block)).cast("int")
+        dealt = lambda c: F.pmod(F.xxhash64("rep"), blocks_of(c)).cast("int")
+        every = lambda c: F.sequence(F.lit(0), blocks_of(c) - 1)
+        placed = rooted.join(sizes, "group").where("rest > 0")
+        here = placed.where("root <> largest").select("group", dealt("rest").alias("i"), F.explode(every("all")).alias("j"), "rep", "root", "n", F.lit(True).alias("outside"))
+        there = placed.select("group", F.explode(every("rest")).alias("i"), dealt("all").alias("j"), "rep", "root", "n", F.lit(False).alias("outside"))
+        sets = self.sets(groups.select(F.col("rep").alias("x"), F.col("rep").alias("y")))
+        percent = s.percent
+
+        def joining(block: pd.DataFrame) -> pd.DataFrame:
+            unpacked = [np.frombuffer(x, np.uint64) for x in block["set"]]
+            outside = block["outside"].to_numpy()
+            others = np.flatnonzero(~outside)
+            rep, root = block["rep"].to_numpy(), block["root"].to_numpy()
+            size = np.array([len(x) for x in unpacked])
+            flat = np.concatenate([unpacked[k] for k in others]) if len(others) else np.zeros(0, np.uint64)
+            order = np.argsort(flat, kind="stable")
+            shingle, owner = flat[order], np.repeat(np.arange(len(others)), size[others])[order]
+            joined: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while joined.get(x, x) != x:
+                    x = joined[x]
+                return x
+
+            links = []
+            for k in np.flatnonzero(outside):
+                low, high = np.searchsorted(shingle, unpacked[k], "left"), np.searchsorted(shingle, unpacked[k], "right")
+                many = high - low
+                at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                common = np.bincount(owner[at], minlength=len(others))
+                close = (100 * common >= percent * (size[k] + size[others] - common)) & (root[others] != root[k])
+                for m in others[close]:
+                    a, b = top(root[k]), top(root[m])
+                    if a != b:
+                        joined[max(a, b)] = min(a, b)
+                        links.append((rep[k], rep[m]))
+            return pd.DataFrame(links, columns=["u", "v"])
+
+        blocks_ = here.unionByName(there).join(sets, "rep")
+        self.link(blocks_.groupBy("group", "i", "j").applyInPandas(joining, "u long, v long"))
 
     def run(self, bands: Column) -> DataFrame | None:
         """All rounds; (node, root) of linked representatives, or None without links."""
         s = self.s
-        keyed = self.classes.select("rep", bands.alias("keys"))
-        active = keyed.select("rep", F.explode("keys").alias("bucket"))
-        shared = active.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub <> other")
-        active = materialize(active.join(shared.select("bucket", "hub"), "bucket"))
-        self.compare(active.where("rep <> hub").select(F.col("rep").alias("x"), F.col("hub").alias("y")).distinct())
-        active, turn = active.where("rep <> hub").select("bucket", "rep"), 1
-        while True:
-            rooted = self.rooted(active, "rep", "root")
-            mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).where("a <> b")
-            active = materialize(rooted.join(mixed.select("bucket", "c"), "bucket"))
-            if active.isEmpty():
-                return self.roots
-            turn += 1
-            if turn > 2 and not (crowd := active.where(F.col("c") > s.split)).isEmpty():
-                # crowded buckets of unlike documents: only those that agree in a second band stay together
-                finer = crowd.select("bucket", "rep", "root").join(keyed, "rep").select(
-                    "rep", "root", F.explode(F.transform("keys", lambda k: F.when(k != F.col("bucket"), F.xxhash64("bucket", k)))).alias("bucket"))
-                active = materialize(active.where(F.col("c") <= s.split).select("bucket", "rep", "root").unionByName(
-                    finer.where("bucket IS NOT NULL").select("bucket", "rep", "root")))
-                turn = 1
-            parts = active.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min("rep").alias("hub"))
-            order = F.row_number().over(Window.partitionBy("bucket").orderBy("c", "hub"))
-            hubs = materialize(parts.withColumn("k", order).where(F.col("k") <= s.hubs).select("bucket", "hub", F.col("root").alias("of")))
-            pairs = active.join(hubs, "bucket").where("root <> of").select(
-                F.greatest("rep", "hub").alias("x"), F.least("rep", "hub").alias("y")).distinct()
-            self.compare(pairs)
-            active = active.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
+        rows = self.classes.select("rep", F.explode(bands).alias("bucket"))
+        shared = rows.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("bucket")
+        rows = materialize(rows.join(shared, "bucket"))
+        for turn in range(s.rounds):
+            h = F.xxhash64(F.lit(turn), "rep")
+            placed = self.rooted(rows, "rep", "root")
+            hubs = placed.groupBy("bucket").agg(F.min_by("rep", h).alias("hub"), F.min_by("root", h).alias("of"), F.min(h).alias("h"))
+            # one comparison per document: with the first of its buckets' hubs that lies in another component
+            self.compare(placed.join(hubs, "bucket").where("root <> of").groupBy("rep").agg(F.min_by("hub", "h").alias("y")).withColumnRenamed("rep", "x"))
+        placed = self.rooted(rows, "rep", "root")
+        mixed = placed.groupBy("bucket").agg(
+            F.min("root").alias("a"), F.max("root").alias("b"), F.min("rep").alias("least"), F.count("*").alias("c")).where("a <> b")
+        placed = materialize(placed.join(mixed.select("bucket", "least", "c"), "bucket").select("bucket", "rep", "least", "c"))
+        if not placed.isEmpty():
+            self.settle(self.groups(placed))
+        return self.roots
+
+    def groups(self, placed: DataFrame) -> DataFrame:
+        """(group, rep): clusters of documents chained by buckets, or the single buckets of a cluster where those hold fewer pairs."""
+        cluster = components(placed.select(F.col("rep").alias("u"), F.col("least").alias("v")))
+        inside = materialize(placed.join(cluster.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("cluster", F.coalesce("root", "rep")).drop("root"))
+        members = inside.select("cluster", "rep").distinct()
+        cost = members.groupBy("cluster").agg(F.count("*").cast("double").alias("s")).join(
+            inside.groupBy("cluster").agg(F.sum("c").cast("double").alias("pairs")), "cluster")  # each bucket row brings its bucket's size
+        whole = cost.select("cluster", (F.col("s") * F.col("s") <= F.col("pairs")).alias("whole"))
+        return materialize(members.join(whole.where("whole"), "cluster").select(F.concat(F.lit("c"), "cluster").alias("group"), "rep").unionByName(
+            inside.join(whole.where("not whole"), "cluster").select(F.concat(F.lit("b"), "bucket").alias("group"), "rep").distinct()))
 
 
 def find(df: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -132,22 +132,34 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return best, np.sqrt(np.maximum(best * (1 - best), 0.02) / m)
 
 
+def compact(df: DataFrame, rows: int = 20_000) -> tuple[DataFrame, int]:
+    """`df` written down, in partitions of at least about `rows` rows, and its number of rows.
+
+    The rounds end with small frames; in as many partitions as the first shuffle had, each later one would write
+    hundreds of nearly empty files.
+    """
+    kept = materialize(df)
+    n = kept.count()
+    return kept.coalesce(max(8, n // rows)), n
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (u, v): its component's smallest node. Large-star and small-star rounds."""
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    edges, n = compact(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     while True:
+        parts = max(8, n // 20_000)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
-            least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if now == before:
+            least.select("u", F.col("m").alias("v"))).coalesce(2 * parts).distinct()
+        edges = materialize(small.coalesce(parts))
+        n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+        if (n, total) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before = n, total
 
 
 class Linker:
@@ -184,15 +196,15 @@ class Linker:
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(rep, set) of the documents in `pairs`: packed shingle hashes of their whole texts."""
         s = self.s
-        wanted = materialize(pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep"))).distinct())
-        if wanted.count() <= s.small:  # a list of known size saves moving all texts; beyond it they are shuffled
+        wanted, n = compact(pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep"))).distinct())
+        if n <= s.small:  # a list of known size saves moving all texts; beyond it they are shuffled
             wanted = F.broadcast(wanted)
 
         @pandas_udf("binary")
         def packed(texts: pd.Series) -> pd.Series:
             return pd.Series([x.tobytes() for b in blocks(texts.tolist(), s.chars) for x in shingle_sets(b, s.words)], dtype=object)
 
-        return materialize(self.texts.join(wanted, "rep").select("rep", packed("text").alias("set")))
+        return compact(self.texts.join(wanted, "rep").select("rep", packed("text").alias("set")), 2_000)[0]
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
@@ -212,8 +224,8 @@ class Linker:
             similar("s_x", "s_y")).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
 
     def link(self, found: DataFrame) -> None:
-        found = materialize(found)
-        if found.isEmpty():
+        found, n = compact(found)
+        if not n:
             return
         self.links = found if self.links is None else self.links.unionByName(found)
         stars = found if self.roots is None else found.unionByName(self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -221,8 +233,8 @@ class Linker:
 
     def compare(self, pairs: DataFrame) -> None:
         """Look at all pairs (x, y) and join what is similar enough."""
-        pairs = materialize(self.estimated(pairs))
-        if not pairs.isEmpty():
+        pairs, n = compact(self.estimated(pairs))
+        if n:
             self.link(self.confirmed(pairs, self.sets(pairs)))
 
     def settle(self, groups: DataFrame) -> None:
@@ -280,7 +292,7 @@ class Linker:
         s = self.s
         rows = self.classes.select("rep", F.explode(bands).alias("bucket"))
         shared = rows.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("bucket")
-        rows = materialize(rows.join(shared, "bucket"))
+        rows, _ = compact(rows.join(shared, "bucket"))
         for turn in range(s.rounds):
             h = F.xxhash64(F.lit(turn), "rep")
             placed = self.rooted(rows, "rep", "root")
@@ -290,21 +302,21 @@ class Linker:
         placed = self.rooted(rows, "rep", "root")
         mixed = placed.groupBy("bucket").agg(
             F.min("root").alias("a"), F.max("root").alias("b"), F.min("rep").alias("least"), F.count("*").alias("c")).where("a <> b")
-        placed = materialize(placed.join(mixed.select("bucket", "least", "c"), "bucket").select("bucket", "rep", "least", "c"))
-        if not placed.isEmpty():
+        placed, n = compact(placed.join(mixed.select("bucket", "least", "c"), "bucket").select("bucket", "rep", "least", "c"))
+        if n:
             self.settle(self.groups(placed))
         return self.roots
 
     def groups(self, placed: DataFrame) -> DataFrame:
         """(group, rep): clusters of documents chained by buckets, or the single buckets of a cluster where those hold fewer pairs."""
         cluster = components(placed.select(F.col("rep").alias("u"), F.col("least").alias("v")))
-        inside = materialize(placed.join(cluster.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("cluster", F.coalesce("root", "rep")).drop("root"))
+        inside, _ = compact(placed.join(cluster.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("cluster", F.coalesce("root", "rep")).drop("root"))
         members = inside.select("cluster", "rep").distinct()
         cost = members.groupBy("cluster").agg(F.count("*").cast("double").alias("s")).join(
             inside.groupBy("cluster").agg(F.sum("c").cast("double").alias("pairs")), "cluster")  # each bucket row brings its bucket's size
         whole = cost.select("cluster", (F.col("s") * F.col("s") <= F.col("pairs")).alias("whole"))
-        return materialize(members.join(whole.where("whole"), "cluster").select(F.concat(F.lit("c"), "cluster").alias("group"), "rep").unionByName(
-            inside.join(whole.where("not whole"), "cluster").select(F.concat(F.lit("b"), "bucket").alias("group"), "rep").distinct()))
+        return compact(members.join(whole.where("whole"), "cluster").select(F.concat(F.lit("c"), "cluster").alias("group"), "rep").unionByName(
+            inside.join(whole.where("not whole"), "cluster").select(F.concat(F.lit("b"), "bucket").alias("group"), "rep").distinct()))[0]
 
 
 def find(df: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,8 +11,10 @@ HEADLINE = [
     "kpi-09", "kpi-12", "kpi-15", "agg-02", "agg-04", "agg-10", "agg-13", "agg-14", "agg-17", "agg-18", "top-01",
     "prf-01", "prf-04", "qlt-12", "qlt-14", "qlt-17", "qlt-20", "qlt-29", "prp-03", "prp-04", "prp-08", "prp-11",
     "ins-02", "ins-05", "ins-09", "ins-12", "exp-02", "exp-06", "win-04", "win-06", "vis-02", "geo-02", "mod-05",
-    "mod-12", "mod-13", "src-01",
+    "mod-12", "mod-13", "mod-16", "mod-17", "mod-18", "src-01",
 ]
+#: Run once before the clock starts: the first query pays for starting Spark, compiling and opening the tables.
+WARM_UP = "kpi-01"
 
 
 def main() -> None:
@@ -22,6 +24,7 @@ def main() -> None:
                           spark_driver_memory=os.environ.get("BENCH_MEMORY", "12g"))
     spark.sparkContext.setLogLevel("OFF")
     load()
+    QUERIES[WARM_UP](spark, sf_dir).collect()
     seconds: dict[str, float] = {}
     for key in HEADLINE:
         start = time.perf_counter()

@@ -328,7 +328,7 @@ query("set-01", f"{W_DEMO} SELECT folio, importe FROM ventas_demo UNION ALL SELE
 def flt_05(spark, sf):
     df = ventas_demo(spark, sf)
     rare = df.groupBy("estado").count().where(F.col("count") < df.agg(F.count("*") / 25).scalar())
-    return df.join(rare, "estado", "left_anti").select("folio", "estado")
+    return G.by_membership(df, "estado", rare.select("estado"), inside=False).select("folio", "estado")
 
 
 @query("flt-06", f"{W_DEMO}, q AS (SELECT quantile_cont(importe, 0.01) AS lo, quantile_cont(importe, 0.99) AS hi FROM ventas_demo) SELECT folio, importe FROM ventas_demo, q WHERE importe BETWEEN lo AND hi")

@@ -142,10 +142,8 @@ def _trained(spark, sf, kind):
     """The table and the report of a training with all candidates at full effort."""
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _TRAINED:
-        if kind == "talla":
-            df = spark.sql(_SALES.replace("ventas_demo", "{t}"), t=ventas_demo(spark, sf)).drop("importe")
-        else:
-            df = table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+        sales = spark.sql(_SALES.replace("ventas_demo", "{t}"), t=ventas_demo(spark, sf))
+        df = sales.drop("importe") if kind == "talla" else sales.drop("talla", "costo")
         _TRAINED[key] = df, SV.run_supervised(df, P.profile(df), kind, SV.Settings())
     return _TRAINED[key]
 
@@ -158,13 +156,13 @@ def mod_09(spark, sf):
 
 @query("mod-10")
 def mod_10(spark, sf):
-    df, report = _trained(spark, sf, "l_extendedprice")
+    df, report = _trained(spark, sf, "importe")
     return report.frame(df).withColumns({"modelo": F.lit(report.headline), "veredicto": F.lit(report.verdict)})
 
 
 @query("mod-14")
 def mod_14(spark, sf):
-    return SV.permutation_importance(_trained(spark, sf, "l_extendedprice")[1])
+    return SV.permutation_importance(_trained(spark, sf, "importe")[1])
 
 
 @query("mod-16", f"{W_DEMO} SELECT COUNT(*) AS registros, {rs('avg(importe)', 1)} AS importe, COUNT(*) >= 20 AS hay FROM ventas_demo")

@@ -289,9 +289,9 @@ _LEN = ["sku", "estatus", "cliente", "canal"]
 
 @query("win-05", f"""WITH {SQL_SUCIAS}, k AS (""" + each(_LEN, lambda c: f"SELECT '{c}' AS \"column\", " + (
     f"length(CAST(abs({c}) AS VARCHAR))" if c == "sku" else f"length(translate(trim({c}), '- ,', ''))") + f" AS length, COUNT(*) AS n FROM ventas_sucias WHERE {c} IS NOT NULL GROUP BY 2")
-    + """) SELECT "column", CAST(length AS INTEGER) AS length, CAST(n AS BIGINT) AS n FROM k""")
+    + """) SELECT "column", CAST(length AS INTEGER) AS length, CAST(n AS BIGINT) AS n, COALESCE(SUM(n) OVER (PARTITION BY "column" ORDER BY n DESC, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.95e0 * SUM(n) OVER (PARTITION BY "column") AS common FROM k""")
 def win_05(spark, sf):
-    return Q.shape_counts(ventas_sucias(spark, sf), _LEN)
+    return Q.covered_lengths(Q.shape_counts(ventas_sucias(spark, sf), _LEN)).select("column", "length", "n", "common")
 
 
 @query("agg-05", f"WITH {SQL_SUCIAS} SELECT CAST(d AS BIGINT) AS n_duplicates FROM {_DUP}")

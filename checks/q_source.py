@@ -32,11 +32,13 @@ def _files(spark, sf):
     heads = parts.select("p", F.explode(F.concat(
         F.transform(F.sequence(F.lit(0), F.col("p")), lambda i: F.struct(i.alias("k"), F.when(i < F.col("p"), "Reporte").otherwise("").alias("line"))),
         F.array(F.struct(F.lit(8).alias("k"), title.alias("line"))))).alias("h")).select("p", "h.k", F.lit(0).cast("long").alias("o"), "h.line")
-    whole = body.unionByName(heads).repartition(4, "p").sortWithinPartitions("p", "k", "o")
+    lines = body.unionByName(heads).select("p", "k", "o", F.posexplode(F.split("line", "\n")).alias("i", "line"))
+    whole = lines.repartition(4, "p").sortWithinPartitions("p", "k", "o", "i")
     for i, charset in enumerate(_CHARSETS):
         # one directory per file, so that each starts with its own titles
-        whole.where(F.col("p") % 2 == i).select("p", F.col("line").alias("value")).write.mode("append").option(
-            "encoding", charset).partitionBy("p").text(path)
+        # one field without quotes is a line as it stands, and only this writer knows other encodings
+        plain = {"encoding": charset, "sep": "\u0001", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        whole.where(F.col("p") % 2 == i).select("p", F.col("line").alias("value")).write.mode("append").options(**plain).partitionBy("p").csv(path)
     return path + "/*"
 
 

@@ -88,13 +88,13 @@ def _candidates(task: str, n_classes: int, s: Settings) -> dict:
         return {
             "Regresión logística": LogisticRegression(labelCol="label", weightCol="_w", maxIter=100, regParam=0.001),
             "Random Forest": RandomForestClassifier(labelCol="label", weightCol="_w", numTrees=s.trees, maxDepth=s.forest_depth,
-                                                    minInstancesPerNode=2, seed=s.seed),
+                                                    minInstancesPerNode=2, maxMemoryInMB=1024, seed=s.seed),
             "Gradient Boosting": boosted if n_classes == 2 else OneVsRest(classifier=boosted, labelCol="label"),
         }
     return {
         "Regresión Ridge": LinearRegression(labelCol="label", elasticNetParam=0.0, regParam=1e-4),
         "Random Forest": RandomForestRegressor(labelCol="label", numTrees=s.trees, maxDepth=s.forest_depth,
-                                               minInstancesPerNode=2, seed=s.seed),
+                                               minInstancesPerNode=2, maxMemoryInMB=1024, seed=s.seed),
         "Gradient Boosting": GBTRegressor(labelCol="label", maxIter=s.rounds, maxDepth=3, stepSize=0.1, seed=s.seed),
     }
 

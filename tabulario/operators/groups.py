@@ -103,6 +103,15 @@ def concentration(totals: DataFrame, fraction: float = 0.2) -> DataFrame:
         F.try_divide("largest", "total").alias("share_first"))
 
 
+def by_membership(df: DataFrame, column: str, classes: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose value of `column` is among the values of the one-column frame `classes`, or those whose value is not.
+
+    A missing value is a value like any other.
+    """
+    listed = classes.toDF("_class").distinct()
+    return df.join(listed, col(column).eqNullSafe(F.col("_class")), "left_semi" if inside else "left_anti")
+
+
 def long_tail(totals: DataFrame, beyond: float = 0.95) -> DataFrame:
     """One row from (k, v): values in all, and those past the given cumulative share when sorted from the largest."""
     placed = Q.descending_prefix(totals.where("v > 0").select("v"), "v")

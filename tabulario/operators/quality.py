@@ -368,18 +368,21 @@ def shape_counts(df: DataFrame, columns: list[str], counts: DataFrame | None = N
     return picked.select("column", size.alias("length"), "n").groupBy("column", "length").agg(F.sum("n").alias("n"))
 
 
-def odd_lengths(shapes: DataFrame) -> DataFrame:
-    """(column, odd, typical, total): lengths at least two away from the few that cover 95 % of the values.
+def covered_lengths(shapes: DataFrame, share: float = 0.95) -> DataFrame:
+    """Add `position`, `total` and `common`: whether a length is one of the most frequent that cover `share` of the values.
 
     There is one row per column and length, so windows by column are small.
     """
     ranked = W.partitionBy("column").orderBy(F.desc("n"), F.asc("length"))
-    everything = W.partitionBy("column")
-    placed = shapes.withColumns({
-        "position": F.row_number().over(ranked),
-        "before": F.coalesce(F.sum("n").over(ranked.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        "total": F.sum("n").over(everything),
-    }).withColumn("common", F.col("before") < F.col("total") * F.lit(0.95))
+    before = F.coalesce(F.sum("n").over(ranked.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(W.partitionBy("column"))
+    return shapes.withColumns({
+        "position": F.row_number().over(ranked), "total": total, "common": before < total * F.lit(share)})
+
+
+def odd_lengths(shapes: DataFrame) -> DataFrame:
+    """(column, odd, typical, total): lengths at least two away from the few that cover 95 % of the values."""
+    placed = covered_lengths(shapes)
     per_column = placed.groupBy("column").agg(
         F.max("total").alias("total"),
         F.count_if("common").alias("n_common"),

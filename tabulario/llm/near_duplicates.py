@@ -38,7 +38,9 @@ class Settings:
 
     At exactly 75 % a pair shares no band with probability (1 - 0.75^5)^40 = 2e-5, at 80 % with 1e-7. A comparison is
     left to the registers only if their estimate lies `sigmas` standard errors below the threshold. Blocks hold about
-    `block` shingles; lists of up to `small` ids are broadcast.
+    `block` shingles. A cluster is settled as a whole, each document moved about once, unless that means over `spread`
+    times the pairs of its buckets, which would move a document once for each of its bands. Lists of up to `small` ids
+    are broadcast.
     """
 
     words: int = 5
@@ -50,6 +52,7 @@ class Settings:
     sigmas: float = 5.0
     rounds: int = 2
     block: int = 1 << 20
+    spread: float = 16.0
     small: int = 500_000
     seed: int = 3
     chars: int = 1 << 20
@@ -308,13 +311,13 @@ class Linker:
         return self.roots
 
     def groups(self, placed: DataFrame) -> DataFrame:
-        """(group, rep): clusters of documents chained by buckets, or the single buckets of a cluster where those hold fewer pairs."""
+        """(group, rep): clusters of documents chained by buckets, or the single buckets of a cluster where those hold far fewer pairs."""
         cluster = components(placed.select(F.col("rep").alias("u"), F.col("least").alias("v")))
         inside, _ = compact(placed.join(cluster.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("cluster", F.coalesce("root", "rep")).drop("root"))
         members = inside.select("cluster", "rep").distinct()
         cost = members.groupBy("cluster").agg(F.count("*").cast("double").alias("s")).join(
             inside.groupBy("cluster").agg(F.sum("c").cast("double").alias("pairs")), "cluster")  # each bucket row brings its bucket's size
-        whole = cost.select("cluster", (F.col("s") * F.col("s") <= F.col("pairs")).alias("whole"))
+        whole = cost.select("cluster", (F.col("s") * F.col("s") <= self.s.spread * F.col("pairs")).alias("whole"))
         return compact(members.join(whole.where("whole"), "cluster").select(F.concat(F.lit("c"), "cluster").alias("group"), "rep").unionByName(
             inside.join(whole.where("not whole"), "cluster").select(F.concat(F.lit("b"), "bucket").alias("group"), "rep").distinct()))[0]
 

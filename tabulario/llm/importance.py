@@ -43,12 +43,12 @@ class Settings:
     pad: float = 20.0
     floor: float = -20.0
     seed: int = 7
-    chars: int = 1 << 20
+    chars: int = 1 << 18
 
 
 @functools.lru_cache(maxsize=1)
 def token_hashes() -> Memo:
-    return Memo(lambda tokens: [zlib.crc32(t.encode("utf-8", "replace")) for t in tokens])
+    return Memo(lambda tokens: [zlib.crc32(t.encode("utf-8", "replace")) for t in tokens], 200_000)
 
 
 def grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ class Settings:
     footrule, `least` at least, are ranked exactly. Blocks hold about `block` vectors and `queries` queries."""
 
     pivots: int = 256
-    places: int = 32
+    places: int = 128
     share: float = 0.2
     least: int = 256
     block: int = 8_192

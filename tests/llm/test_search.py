@@ -179,6 +179,27 @@ def test_recall_and_exact_scores(vectors):
     assert copies == list(range(101, 121))  # ties go to smaller ids
 
 
+def recalls(df, asked, k=20):
+    """Of each query the share of its k nearest that is found at production settings."""
+    ids, x = map(np.array, zip(*((r["vec_id"], r["embedding"]) for r in df.collect())))
+    found = collections.defaultdict(set)
+    for r in P.nearest(df, asked, k).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    out = []
+    for q in np.flatnonzero(np.isin(ids, [r["vec_id"] for r in asked.collect()])):
+        score = (x * x[q]).sum(1)
+        order = [i for i in ids[np.lexsort((ids, -score))] if i != ids[q]][:k]
+        out.append(len(found[ids[q]] & set(order)) / k)
+    return np.array(out)
+
+
+def test_recall_at_production_settings(spark):
+    x = np.random.default_rng(4).normal(size=(2000, 64))  # as near to uniform as the given vectors: the hardest case
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = recalls(df, df.where("vec_id % 20 = 0"))
+    assert len(found) == 100 and found.mean() >= 0.9 and found.min() >= 0.7
+
+
 def test_few_candidates_and_none(vectors):
     few = vectors.where("vec_id < 5")
     rows = P.nearest(few, few.where("vec_id = 0")).collect()

@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by a permutation index (operator 10).
 
-A vector is represented by its nearest pivots in order. Vectors are dealt into blocks of bounded size; each block posts
+A vector is represented by its nearest pivots in order. Distinct vectors, each with its smallest ids, are dealt into blocks of bounded size; each block posts
 its vectors in one inverted file per pivot, with the pivot's place in their order. A query walks the files of its own
 pivots and gathers the footrule distance of the two orders, absent pivots counting as last; the nearest share by
-footrule is ranked again by exact inner product.
+footrule is ranked again by exact inner product. Near copies of a pivot have one place in the share together.
 """
 from __future__ import annotations
 
@@ -16,16 +16,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from tabulario.llm.common import materialize
+
 
 @dataclass(frozen=True)
 class Settings:
     """`pivots` vectors are sampled as pivots, `places` of them represent a vector; of each block the `share` nearest by
-    footrule, `least` at least, are ranked exactly. Blocks hold about `block` vectors and `queries` queries."""
+    footrule, `least` at least, are ranked exactly. Vectors whose cosine with their nearest pivot is `crowd` or more count
+    as one and are ranked all or none. Blocks hold about `block` distinct vectors and `queries` queries."""
 
     pivots: int = 256
     places: int = 128
     share: float = 0.2
     least: int = 256
+    crowd: float = 0.9
     block: int = 8_192
     queries: int = 1_024
     seed: int = 5
@@ -41,6 +45,26 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return whole.where(F.size("_v") == (common[0] if common else 0))
 
 
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """Each vector once: _v and _ids, the k + 1 smallest of its ids in order with the number of rows n of each.
+
+    Without any one of the ids these are still the first k rows of the vector.
+    """
+    counted = rows.groupBy("_v", "_id").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("_v").orderBy("_id"))  # limited before the shuffle, so a hot vector is no hot key
+    return counted.withColumn("_k", place).where(F.col("_k") <= k + 1).groupBy("_v").agg(
+        F.array_sort(F.collect_list(F.struct("_id", "n"))).alias("_ids"))
+
+
+def spread(vectors: np.ndarray, wanted: int, crowd: float) -> np.ndarray:
+    """The first `wanted` unit vectors that are no near copies of earlier ones; near copies only where those are too few."""
+    like = np.tril(vectors @ vectors.T >= crowd, -1)
+    own = np.zeros(len(vectors), bool)
+    for i in range(len(vectors)):
+        own[i] = not (like[i] & own).any()
+    return vectors[np.argsort(~own, kind="stable")[:wanted]]
+
+
 def footrule(post: list[tuple[np.ndarray, np.ndarray]], order: np.ndarray, n: int) -> np.ndarray:
     """Footrule distances of one order to the n posted ones, but for a constant of the query."""
     size = len(order)
@@ -62,13 +86,14 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, settings: Settings =
     candidates all are returned; an empty table gives no rows.
     """
     spark = df.sparkSession
-    rows = usable(df, key, vector)
+    rows = materialize(distinct(usable(df, key, vector), k))
     asked = usable(queries, key, vector).dropDuplicates(["_id"])
     n, dimension = rows.agg(F.count("*"), F.coalesce(F.max(F.size("_v")), F.lit(0))).head()
     asked = asked.where(F.size("_v") == dimension)
-    picked = rows.select("_v").distinct().orderBy(F.xxhash64(F.lit(settings.seed), "_v"), "_v").limit(settings.pivots).collect()
+    picked = rows.select("_v").orderBy(F.xxhash64(F.lit(settings.seed), "_v"), "_v").limit(4 * settings.pivots).collect()
     pivots = np.array([r[0] for r in picked], np.float64).reshape(len(picked), dimension)
-    pivots = spark.sparkContext.broadcast(pivots / np.linalg.norm(pivots, axis=1, keepdims=True))  # `pivots` rows
+    pivots = spread(pivots / np.linalg.norm(pivots, axis=1, keepdims=True), settings.pivots, settings.crowd)
+    pivots = spark.sparkContext.broadcast(pivots)  # `pivots` rows
 
     @pandas_udf("array<smallint>")
     def places(vectors: pd.Series) -> pd.Series:
@@ -76,39 +101,60 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, settings: Settings =
         near = np.einsum("ij,kj->ik", np.stack(vectors.to_list()), pivots.value)
         return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :settings.places].astype(np.int16)))
 
+    @pandas_udf("int")
+    def crowds(vectors: pd.Series, orders: pd.Series) -> pd.Series:
+        # the nearest pivot of near copies, -1 for others
+        own, first = np.stack(vectors.to_list()), np.array([o[0] for o in orders])
+        like = np.einsum("ij,ij->i", own, pivots.value[first]) >= settings.crowd * np.linalg.norm(own, axis=1)
+        return pd.Series(np.where(like, first, -1).astype(np.int32))
+
     vector_blocks = max(1, math.ceil(n / settings.block))
     query_blocks = max(1, math.ceil(asked.count() / settings.queries))
-    dealt = lambda blocks: F.pmod(F.xxhash64(F.lit(settings.seed), "_id", "_v"), F.lit(blocks))
+    dealt = lambda blocks, *by: F.pmod(F.xxhash64(F.lit(settings.seed), *by), F.lit(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    indexed = rows.withColumn("_p", places("_v")).withColumn("_b", dealt(vector_blocks)).withColumn("_q", every(query_blocks))
-    wanted = asked.withColumn("_p", places("_v")).withColumn("_q", dealt(query_blocks)).withColumn("_b", every(vector_blocks))
+    indexed = rows.withColumn("_p", places("_v")).withColumn("_c", crowds("_v", "_p")).withColumn(
+        "_b", dealt(vector_blocks, "_v")).withColumn("_q", every(query_blocks))
+    wanted = asked.withColumn("_p", places("_v")).withColumn("_q", dealt(query_blocks, "_id", "_v")).withColumn("_b", every(vector_blocks))
 
     def search(block: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score"]
         if block.empty or ask.empty:
             return pd.DataFrame([], columns=names)
-        block = block.sort_values("_id", kind="stable")  # ties then go to smaller ids
-        ids, vectors, orders = block["_id"].to_numpy(), np.stack(block["_v"].to_list()), np.stack(block["_p"].to_list())
+        block = block.assign(_id=[x[0]["_id"] for x in block["_ids"]]).sort_values("_id", kind="stable")  # ties then go to smaller ids
+        ids, vectors, orders, every_id = block["_id"].to_numpy(), np.stack(block["_v"].to_list()), np.stack(block["_p"].to_list()), block["_ids"].to_list()
+        after = np.array([x[1]["_id"] if len(x) > 1 else -1 for x in every_id])  # the smallest id where the first is the query's own
+        alone = np.array([len(x) == 1 for x in every_id])
+        # one number per crowd and per vector of none, in the order of their smallest ids
+        code, first, of = np.unique(np.where(block["_c"] < 0, len(pivots.value) + np.arange(len(ids)), block["_c"]), return_index=True, return_inverse=True)
+        of = np.argsort(np.argsort(first))[of]
+        by_unit = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[by_unit], np.arange(len(code)))
         flat, row = orders.ravel(), np.repeat(np.arange(len(ids)), orders.shape[1])
         place = np.tile(np.arange(orders.shape[1], dtype=np.int32), len(ids))
         by_pivot = np.argsort(flat, kind="stable")
         cut = np.searchsorted(flat[by_pivot], np.arange(len(pivots.value) + 1))
         post = [(row[by_pivot[a:b]], place[by_pivot[a:b]]) for a, b in zip(cut, cut[1:])]
-        keep = max(settings.least, math.ceil(settings.share * len(ids)))
+        keep = max(settings.least, math.ceil(settings.share * len(code)))
         out = []
         for own, vector, order in zip(ask["_id"], ask["_v"], ask["_p"]):
-            far = footrule(post, order, len(ids))
-            far[ids == own] = np.iinfo(np.int32).max
-            if keep < len(ids):  # the keep nearest, ties to smaller ids
+            there = ~(alone & (ids == own))
+            if keep < len(code):  # the keep nearest, ties to smaller ids
+                far = footrule(post, order, len(ids))
+                far[~there] = np.iinfo(np.int32).max
+                far = np.minimum.reduceat(far[by_unit], starts)
                 edge = np.partition(far, keep - 1)[keep - 1]
-                near = np.flatnonzero(far < edge)
-                near = np.r_[near, np.flatnonzero(far == edge)[:keep - len(near)]]
+                chosen = far < edge
+                chosen[np.flatnonzero(far == edge)[:keep - chosen.sum()]] = True
+                near = np.flatnonzero(chosen[of] & there)
             else:
-                near = np.arange(len(ids))
-            near = near[ids[near] != own]
+                near = np.flatnonzero(there)
             score = (vectors[near] * vector).sum(1)
-            best = np.lexsort((ids[near], -score))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][best], "score": score[best]}))
+            least = np.where(ids[near] == own, after[near], ids[near])
+            # each vector brings a row at least, so the first k hold the first k rows
+            best = np.lexsort((least, -score))[:k]
+            rows = [(x["_id"], score[i]) for i in best for x in every_id[near[i]] if x["_id"] != own for _ in range(min(k, x["n"]))]
+            rows = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+            out.append(pd.DataFrame({"query_id": own, "vec_id": [r[0] for r in rows], "score": [r[1] for r in rows]}))
         return pd.concat(out) if out else pd.DataFrame([], columns=names)
 
     found = indexed.groupBy("_b", "_q").cogroup(wanted.groupBy("_b", "_q")).applyInPandas(

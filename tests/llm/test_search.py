@@ -200,6 +200,21 @@ def test_recall_at_production_settings(spark):
     assert len(found) == 100 and found.mean() >= 0.9 and found.min() >= 0.7
 
 
+def test_recall_beside_a_hot_vector(spark):
+    """Copies and near copies of one vector take no places from others, and are told apart among themselves."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:800] = x[0]
+    x[800:1200] = x[0] + rng.normal(size=(400, 64)) * 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    others = recalls(df, df.where("vec_id >= 1200 AND vec_id % 12 = 0"))
+    assert others.mean() >= 0.9 and others.min() >= 0.7
+    assert recalls(df, df.where("vec_id < 1200 AND vec_id % 60 = 0")).min() == 1
+    hot = df.where("vec_id < 800").unionByName(df.where("vec_id = 5"))  # a key twice, a query that is itself a copy
+    assert [r["vec_id"] for r in P.nearest(hot, df.where("vec_id = 3")).orderBy("rank").collect()] == [0, 1, 2, 4, 5, 5, *range(6, 20)]
+
+
 def test_few_candidates_and_none(vectors):
     few = vectors.where("vec_id < 5")
     rows = P.nearest(few, few.where("vec_id = 0")).collect()

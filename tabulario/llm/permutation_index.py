@@ -110,7 +110,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, settings: Settings =
 
     vector_blocks = max(1, math.ceil(n / settings.block))
     query_blocks = max(1, math.ceil(asked.count() / settings.queries))
-    dealt = lambda blocks, *by: F.pmod(F.xxhash64(F.lit(settings.seed), *by), F.lit(blocks))
+    # both sides of the cogroup need keys of one type, or equal keys hash to different partitions and are not paired
+    dealt = lambda blocks, *by: F.pmod(F.xxhash64(F.lit(settings.seed), *by), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     indexed = rows.withColumn("_p", places("_v")).withColumn("_c", crowds("_v", "_p")).withColumn(
         "_b", dealt(vector_blocks, "_v")).withColumn("_q", every(query_blocks))

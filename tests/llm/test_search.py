@@ -215,6 +215,22 @@ def test_recall_beside_a_hot_vector(spark):
     assert [r["vec_id"] for r in P.nearest(hot, df.where("vec_id = 3")).orderBy("rank").collect()] == [0, 1, 2, 4, 5, 5, *range(6, 20)]
 
 
+def test_every_block_meets_every_query_in_many_partitions(spark, vectors):
+    df = vectors.where("vec_id < 1500")
+    asked = df.where("vec_id % 25 = 0")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = P.nearest(df, asked, settings=P.Settings(block=300, queries=20)).collect()  # every block is ranked whole or nearly
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+    found = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        found[r["query_id"]].append(r["score"])
+    for q in range(0, 1500, 25):
+        assert found[q] == pytest.approx(np.sort(np.delete(x @ x[q], q))[::-1][:20])
+
+
 def test_few_candidates_and_none(vectors):
     few = vectors.where("vec_id < 5")
     rows = P.nearest(few, few.where("vec_id = 0")).collect()

@@ -52,6 +52,20 @@ def test_bands_reject_repetition_and_noise_only(spark):
     assert judged.columns == ["doc_id", "text", "quality"] and judged.where("quality.kept").count() == 1
 
 
+@pytest.mark.parametrize("size", [1_100, 10_000, 50_000])
+def test_incompressible_words_are_rejected_beside_clean_ones(spark, size):
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = lambda alphabet: " ".join("".join(rng.choices(alphabet, k=rng.randint(4, 12))) for _ in range(size // 9))
+    clean = prose(size, size // 6)
+    texts = {"clean": clean, "base64": words(letters + letters.upper() + "0123456789+/"), "letters": words(letters)}
+    texts["part"] = clean + " " + words(letters)[:len(clean) // 4]  # a fifth of a long text is noise
+    rows = {r["doc_id"]: r for r in C.report(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert rows["clean"]["kept"] and not any(r["base_failed"] for r in rows.values())
+    assert not rows["base64"]["kept"] and not rows["letters"]["kept"]
+    assert size < 10_000 or not rows["part"]["kept"]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     good = [(i, prose(i)) for i in range(300)]

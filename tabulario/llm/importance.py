@@ -3,7 +3,7 @@
 Two bag-of-n-gram models over hashed words and word pairs are fitted: one to labelled good texts, one to all texts. The
 tempered log of their ratio over a whole text is its importance weight; adding Gumbel noise and taking the k largest draws k
 texts without replacement in proportion to their weights. k is not a cap: it is the number of texts whose weight
-reaches `floor`, so a corpus without bad texts is kept whole.
+reaches a floor found from good texts that the models have not seen, so a corpus without bad texts is kept whole.
 """
 from __future__ import annotations
 
@@ -34,6 +34,9 @@ class Settings:
     `prior` is the number of n-grams by which the target model leans on the raw one, so that what was seen too seldom
     decides nothing. The weight of a text is `temper` times its mean log ratio, `pad` n-grams of ratio 1 added: texts of
     all lengths are drawn alike and very short ones stay near 0.
+
+    Of `few` labelled good texts or more every fifth is held back from the target model. The floor lies as far under the
+    `low` quantile of their weights as that lies under their median, but not under `floor`, which holds where labels are fewer.
     """
 
     buckets: int = 10_000
@@ -42,6 +45,8 @@ class Settings:
     temper: float = 200.0
     pad: float = 20.0
     floor: float = -20.0
+    low: float = 0.02
+    few: int = 100
     seed: int = 7
     chars: int = 1 << 18
 
@@ -163,9 +168,26 @@ class Sampler:
             F.col(into).alias("log_ratio"), perturbed.alias("perturbed"), (perturbed >= self.threshold).alias("selected")))
 
 
-def draw(weighed: DataFrame, settings: Settings) -> float:
+def split(good: DataFrame, settings: Settings, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Keys to fit the target model to, and at most `target_rows` held back to find the floor with; none where keys are few."""
+    keys = good.select(key).where(F.col(key).isNotNull()).distinct()
+    if keys.count() < settings.few:
+        return keys, keys.limit(0)
+    h = F.xxhash64(F.lit(settings.seed + 1), key)
+    held = F.pmod(h, F.lit(5)) == 0
+    return keys.where(~held), keys.where(held).orderBy(h, key).limit(settings.target_rows)
+
+
+def floor_of(weighed: DataFrame, held: DataFrame, settings: Settings, key: str) -> float:
+    """The least weight that counts as good, from the weights of the held-back texts."""
+    own = weighed.join(F.broadcast(held.withColumnRenamed(held.columns[0], key)), key, "left_semi")  # at most target_rows keys
+    low, middle = own.agg(F.percentile("log_ratio", F.lit(settings.low)), F.percentile("log_ratio", F.lit(0.5))).head()
+    return settings.floor if low is None else max(settings.floor, 2 * low - middle)
+
+
+def draw(weighed: DataFrame, floor: float) -> float:
     """The threshold of Gumbel top-k for rows with columns log_ratio and perturbed; minus infinity if all are drawn."""
-    k, rows = weighed.agg(F.count_if(F.col("log_ratio") >= settings.floor), F.count("*")).head()
+    k, rows = weighed.agg(F.count_if(F.col("log_ratio") >= floor), F.count("*")).head()
     if k == rows:
         return -math.inf
     return kth_largest(weighed, "perturbed", k) if k else math.inf
@@ -173,15 +195,18 @@ def draw(weighed: DataFrame, settings: Settings) -> float:
 
 def fit_sampler(df: DataFrame, good: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Sampler:
     """Fit both models and the threshold over all rows of `df`. Rows that tie with the k-th are all drawn."""
-    model = fit(df, good, settings, key, text)
+    fitting, held = split(good, settings, key)
+    model = fit(df, fitting, settings, key, text)
     slim = Sampler(model, -math.inf, settings).weigh(df.select(F.col(key), F.col(text)), key, text, "_i")
-    return Sampler(model, draw(materialize(slim.select("_i.log_ratio", "_i.perturbed")), settings), settings)
+    weighed = materialize(slim.select(F.col(key).alias("_key"), "_i.log_ratio", "_i.perturbed"))
+    return Sampler(model, draw(weighed, floor_of(weighed, held, settings, "_key")), settings)
 
 
 def report(df: DataFrame, good: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, log_ratio, perturbed and selected of each row. Null and empty texts weigh 0; equal rows fare alike."""
-    model = fit(df, good, settings, key, text)
+    fitting, held = split(good, settings, key)
+    model = fit(df, fitting, settings, key, text)
     weighed = materialize(Sampler(model, -math.inf, settings).weigh(
         df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text", "_i").select("_key", "_i.*"))
-    threshold = draw(weighed, settings)
+    threshold = draw(weighed, floor_of(weighed, held, settings, "_key"))
     return weighed.select(F.col("_key").alias(key), "log_ratio", "perturbed", (F.col("perturbed") >= threshold).alias("selected"))

@@ -86,6 +86,19 @@ def test_importance_keeps_good_and_drops_bad(spark, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rows if r["selected"])
 
 
+def test_the_floor_follows_the_weights_of_good_texts(spark):
+    """Junk above the least floor but far under all good texts is not drawn."""
+    weights = [(i, 5 + random.Random(i).gauss(0, 1)) for i in range(400)] + [(1000 + i, -12.0 + i / 50) for i in range(100)]
+    weighed = spark.createDataFrame(weights, "_key long, log_ratio double").withColumn("perturbed", F.col("log_ratio"))
+    s = I.Settings()
+    fitting, held = I.split(spark.range(0, 300).withColumnRenamed("id", "doc_id"), s)
+    assert fitting.count() + held.count() == 300 and 30 <= held.count() <= 90 and fitting.join(held, "doc_id").count() == 0
+    floor = I.floor_of(weighed, held, s, "_key")
+    assert -5 < floor < 2 and I.draw(weighed, floor) == min(w for _, w in weights[:400])
+    assert I.draw(weighed, s.floor) == -math.inf  # the constant keeps all of them
+    assert I.floor_of(weighed, held.limit(0), s, "_key") == s.floor
+
+
 def test_importance_by_hand(spark):
     """Counts and ratios against a plain computation."""
     df = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (None, ""), (1, "a b a")], "doc_id long, text string")

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulario.llm import bpe, compression_rules, importance, near_duplicates, packing, permutation_index, pii, token_counts, toxicity, url_rules
+from tabulario.llm import bpe, compression_rules, importance, near_duplicates, packing, permutation_index, pii, target_sampling, token_counts, toxicity, url_rules
 from tabulario.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,32 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return permutation_index.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
+
+
+#: CRC-32 of a word by its table, which is built from the polynomial.
+CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+codes AS (SELECT w, list_transform(range(CAST(length(hex(encode(w))) // 2 AS BIGINT)),
+    lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT)) AS codes FROM (SELECT DISTINCT w FROM words)),
+buckets AS (SELECT w, xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+    FROM codes, crc)"""
+
+
+@query("op13_target_resampling", rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}') AS text, true AS raw FROM documents
+    UNION ALL SELECT 0, NULL, translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), false FROM benchmark),
+words AS (SELECT r, doc_id, raw, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+{CRC_SQL},
+counted AS (SELECT b, count(*) FILTER (WHERE raw) AS s, count(*) FILTER (WHERE NOT raw) AS t FROM words JOIN buckets USING (w) GROUP BY b),
+totals AS (SELECT sum(s) AS ss, sum(t) AS tt FROM counted),
+gains AS (SELECT b, CAST(floor(1000 * ln(CAST((t + 1) * (ss + 10000) AS DOUBLE) / CAST((s + 1) * (tt + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM counted, totals),
+per AS (SELECT r, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM words JOIN buckets USING (w) JOIN gains USING (b) WHERE raw GROUP BY r),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+    FROM texts LEFT JOIN per USING (r) WHERE raw),
+placed AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (WHERE n_features >= 20) OVER () * 10 // 100 AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= k THEN place END AS rank FROM placed
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulario.llm import bpe, compression_rules, importance, near_duplicates, packing, permutation_index, pii, target_sampling, token_counts, toxicity, url_rules
+from tabulario.llm import bpe, compression_rules, cross_polytope, importance, near_duplicates, packing, permutation_index, pii, target_sampling, token_alignment, token_counts, toxicity, url_rules
 from tabulario.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,24 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
 
 
+@query("op11_cross_polytope", """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+links AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reached(r, root) AS (SELECT r, vec_id FROM v UNION SELECT b, root FROM reached JOIN links ON a = r),
+roots AS (SELECT r, min(root) AS root FROM reached GROUP BY r),
+degrees AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept FROM v JOIN roots USING (r) LEFT JOIN degrees USING (r)
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.find(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_token_alignment")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: CRC-32 of a word by its table, which is built from the polynomial.
 CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),

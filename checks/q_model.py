@@ -17,9 +17,6 @@ from tabulario.models.scoring import SavedModel, score
 from tabulario.operators import intake as I
 from tabulario.operators import profile as P
 
-#: Trained models by kind and folder: queries that look at one training share it.
-_TRAINED: dict[tuple, tuple] = {}
-
 
 @query("mod-01", f"""{W_DEMO}, h AS (SELECT COUNT(DISTINCT cliente) AS c, COUNT(DISTINCT folio) / COUNT(*) AS f FROM ventas_demo)
 SELECT v.c AS "column", v.u AS uso, CASE WHEN v.c = 'cliente' THEN concat(h.c, ' categorías') ELSE v.m END AS motivo FROM h, (VALUES ('folio','excluida','identificador'), ('fecha','fecha',''), ('cliente','excluida',''),
@@ -140,29 +137,45 @@ _SALES = "SELECT importe, costo, cantidad, segmento, producto, estatus, CASE WHE
 
 def _trained(spark, sf, kind):
     """The table and the report of a training with all candidates at full effort."""
-    key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _TRAINED:
-        sales = spark.sql(_SALES.replace("ventas_demo", "{t}"), t=ventas_demo(spark, sf))
-        df = sales.drop("importe") if kind == "talla" else sales.drop("talla", "costo")
-        _TRAINED[key] = df, SV.run_supervised(df, P.profile(df), kind, SV.Settings())
-    return _TRAINED[key]
+    sales = spark.sql(_SALES.replace("ventas_demo", "{t}"), t=ventas_demo(spark, sf))
+    df = sales.drop("importe") if kind == "talla" else sales.drop("talla", "costo")
+    return df, SV.run_supervised(df, P.profile(df), kind, SV.Settings())
 
 
-@query("mod-09")
-def mod_09(spark, sf):
-    df, report = _trained(spark, sf, "talla")
-    return report.frame(df).withColumns({"modelo": F.lit(report.headline), "veredicto": F.lit(report.verdict)})
+_TALLA = "CASE WHEN importe > 100000e0 THEN 'grande' ELSE 'chica' END"
 
 
-@query("mod-10")
+@query("mod-09", f"""{W_DEMO} SELECT {_TALLA} AS talla, COUNT(*) AS n, true AS exacta, true AS iguales, true AS dentro, 0.5e0 AS base, 3 AS modelos, 2 AS clases FROM ventas_demo GROUP BY 1""")
+def mod_09(spark, sf):
+    """Rows per class, the exact share held out, and metrics computed anew from the stored predictions."""
+    df, report = _trained(spark, sf, "talla")
+    held = report.predictions.select("talla", "_prediccion")
+    hit = F.col("talla") == F.col("_prediccion")
+    per = held.groupBy("talla").agg(F.count("*").alias("prueba"), F.count_if(hit).alias("aciertos"))
+    balanced, exact = per.agg(F.avg(F.col("aciertos") / F.col("prueba")), F.sum("aciertos") / F.sum("prueba")).head()
+    same = abs(balanced - report.metrics["exactitud_balanceada"]) < 1e-9 and abs(exact - report.metrics["exactitud"]) < 1e-9
+    inside = all(0 <= mean <= 1 for mean, _ in report.candidates.values()) and 0.5 <= report.metrics["roc_auc"] <= 1
+    return df.groupBy("talla").agg(F.count("*").alias("n")).join(per, "talla").select(
+        "talla", "n", (F.abs(F.col("prueba") - 0.25 * F.col("n")) <= 1).alias("exacta"), F.lit(same).alias("iguales"), F.lit(inside).alias("dentro"),
+        F.lit(report.baseline["exactitud_balanceada"]).alias("base"), F.lit(len(report.candidates)).alias("modelos"), F.lit(len(report.classes)).alias("clases"))
+
+
+@query("mod-10", f"""{W_DEMO} SELECT COUNT(*) AS n, COUNT(*) - CAST(floor((COUNT(*) - 1) * 0.75e0) + 1 AS BIGINT) AS prueba, true AS iguales, true AS base_nula, 3 AS modelos FROM ventas_demo""")
 def mod_10(spark, sf):
+    """Rows, rows held out, and metrics computed anew from the stored predictions."""
     df, report = _trained(spark, sf, "importe")
-    return report.frame(df).withColumns({"modelo": F.lit(report.headline), "veredicto": F.lit(report.verdict)})
+    miss = F.col("importe") - F.col("prediction")
+    n, r2, mae, rmse = report.predictions.agg(
+        F.count("*"), 1 - F.sum(miss * miss) / (F.count("*") * F.var_pop("importe")), F.avg(F.abs(miss)), F.sqrt(F.avg(miss * miss))).head()
+    same = all(abs(found / report.metrics[k] - 1) < 1e-9 for k, found in (("r2", r2), ("mae", mae), ("rmse", rmse)))
+    return df.agg(F.count("*").alias("n")).select("n", F.lit(n).alias("prueba"), F.lit(same).alias("iguales"),
+                                                  F.lit(-0.1 < report.baseline["r2"] <= 0).alias("base_nula"), F.lit(len(report.candidates)).alias("modelos"))
 
 
-@query("mod-14")
+@query("mod-14", """SELECT v AS variable, true AS medida, CAST(1 AS BIGINT) AS filas FROM (VALUES ('cantidad'), ('segmento'), ('producto'), ('estatus')) t(v)""")
 def mod_14(spark, sf):
-    return SV.permutation_importance(_trained(spark, sf, "importe")[1])
+    ranked = SV.permutation_importance(_trained(spark, sf, "importe")[1])
+    return ranked.groupBy("variable").agg(F.bool_and(F.col("importancia").between(-5.0, 5.0)).alias("medida"), F.count("*").alias("filas"))
 
 
 @query("mod-16", f"{W_DEMO} SELECT COUNT(*) AS registros, {rs('avg(importe)', 1)} AS importe, COUNT(*) >= 20 AS hay FROM ventas_demo")

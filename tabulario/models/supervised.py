@@ -1,13 +1,15 @@
 """Supervised learning with guards: leakage check, baseline, cross-validated choice, honest verdict."""
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from statistics import fmean, pstdev
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from tabulario.functions.text import as_category
 from tabulario.models import evaluate as M
 from tabulario.models.features import CLASSIFICATION, Features, class_counts, detect_leakage, infer_task, usable_features
 from tabulario.models.prepare import fit_features, working_columns
+from tabulario.models.trees import Effort, Grower, TreeModel
 from tabulario.operators import quantiles as Q
 from tabulario.operators.intake import col, number, present, rows
 from tabulario.operators.profile import Profiles
@@ -24,7 +27,7 @@ from tabulario.session import materialize
 
 @dataclass(frozen=True)
 class Settings:
-    """Effort and seed of a training run."""
+    """Effort and seed of a training run. A tree, or a boosted model, learns from at most about `fit_rows` rows."""
 
     test_share: float = 0.25
     seed: int = 42
@@ -32,6 +35,7 @@ class Settings:
     trees: int = 250
     forest_depth: int = 12
     rounds: int = 100
+    fit_rows: int = 200_000
     parallelism: int = 5
     repeats: int = 8
 
@@ -62,41 +66,56 @@ class Report:
                     "metrica string, valor double, baseline double")
 
 
-def split(df: DataFrame, stratum: Column, settings: Settings) -> DataFrame:
-    """Add `_train` and `_fold`: a seeded split with exact shares within each class, and folds of the training rows.
+def split(df: DataFrame, stratum: Column | None, settings: Settings) -> DataFrame:
+    """Add `_train` and `_fold`: a seeded split with exact shares within each class (or overall), and folds of the training rows.
 
     Rows are placed by a hash of all their values and their position, so that many copies of a row are
     shared out like others. The cuts are exact quantiles of that hash per class; nothing is sorted in one place.
     """
     numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
     hashed = numbered.withColumns({
-        "_class": stratum,
+        "_class": F.lit("") if stratum is None else stratum,
         "_h": F.pmod(F.xxhash64(F.lit(settings.seed), *[col(c) for c in numbered.columns]), F.lit(2 ** 40)).cast("double"),
     }).drop("_row")
     share = 1.0 - settings.test_share
     probs = {f"_q{i}": share * i / settings.folds for i in range(1, settings.folds + 1)}
-    cuts = Q.grouped_quantiles(hashed, ["_class"], "_h", probs)
-    placed = hashed.join(cuts, "_class")
+    if stratum is None:
+        placed = hashed.withColumns({q: F.lit(cut) for q, cut in zip(probs, Q.quantiles(hashed, "_h", list(probs.values())))})
+    else:
+        placed = hashed.join(Q.grouped_quantiles(hashed, ["_class"], "_h", probs), "_class")
     fold = sum((F.when(F.col("_h") > F.col(f"_q{i}"), 1).otherwise(0) for i in range(1, settings.folds)), F.lit(0))
     last = F.col(f"_q{settings.folds}")
     return placed.withColumns({"_train": F.col("_h") <= last, "_fold": fold.cast("int")}).drop(*probs, "_h")
 
 
-def _candidates(task: str, n_classes: int, s: Settings) -> dict:
+LINEAR = {CLASSIFICATION: "Regresión logística"}
+FOREST, BOOSTED = "Random Forest", "Gradient Boosting"
+
+
+def _linear(task: str):
     if task == CLASSIFICATION:
-        boosted = GBTClassifier(labelCol="label", maxIter=s.rounds, maxDepth=3, stepSize=0.1, seed=s.seed)
-        return {
-            "Regresión logística": LogisticRegression(labelCol="label", weightCol="_w", maxIter=100, regParam=0.001),
-            "Random Forest": RandomForestClassifier(labelCol="label", weightCol="_w", numTrees=s.trees, maxDepth=s.forest_depth,
-                                                    minInstancesPerNode=2, maxMemoryInMB=1024, seed=s.seed),
-            "Gradient Boosting": boosted if n_classes == 2 else OneVsRest(classifier=boosted, labelCol="label"),
-        }
-    return {
-        "Regresión Ridge": LinearRegression(labelCol="label", elasticNetParam=0.0, regParam=1e-4),
-        "Random Forest": RandomForestRegressor(labelCol="label", numTrees=s.trees, maxDepth=s.forest_depth,
-                                               minInstancesPerNode=2, maxMemoryInMB=1024, seed=s.seed),
-        "Gradient Boosting": GBTRegressor(labelCol="label", maxIter=s.rounds, maxDepth=3, stepSize=0.1, seed=s.seed),
-    }
+        return LogisticRegression(labelCol="label", weightCol="_w", maxIter=100, regParam=0.001)
+    return LinearRegression(labelCol="label", elasticNetParam=0.0, regParam=1e-4)
+
+
+def _fitted(ready: DataFrame, task: str, classes: int, evaluator, s: Settings, wanted: list[str] | None) -> dict[str, tuple]:
+    """Per candidate the mean and spread of its scores over the folds, and the stage fitted on all rows."""
+    linear = LINEAR.get(task, "Regresión Ridge")
+    out = {}
+    if wanted is None or linear in wanted:
+        cv = CrossValidator(estimator=_linear(task), estimatorParamMaps=[{}], evaluator=evaluator, numFolds=s.folds,
+                            foldCol="_fold", parallelism=s.parallelism).fit(ready)
+        out[linear] = float(cv.avgMetrics[0]), float(cv.stdMetrics[0]), cv.bestModel
+    trees = [name for name in (FOREST, BOOSTED) if wanted is None or name in wanted]
+    if trees:
+        effort = Effort(trees=s.trees, depth=s.forest_depth, rounds=s.rounds, fit_rows=s.fit_rows, seed=s.seed)
+        grower = Grower(ready, classes, s.folds, effort)
+        for name in trees:
+            grown = grower.boosted() if name == BOOSTED else grower.forest()
+            stage = lambda fit: TreeModel(trees=grower.model(grown, fit, name == BOOSTED).dump())  # noqa: B023,E731
+            scores = [evaluator.evaluate(stage(j).transform(ready.where(F.col("_fold") == j))) for j in range(s.folds)]
+            out[name] = fmean(scores), pstdev(scores), stage(s.folds)
+    return out
 
 
 def run_supervised(df: DataFrame, profiles: Profiles, target: str, settings: Settings | None = None,
@@ -132,7 +151,7 @@ def run_supervised(df: DataFrame, profiles: Profiles, target: str, settings: Set
         stratum = F.col("_y")
     else:
         data = data.withColumns({"label": number(df, target), "_w": F.lit(1.0)}).where("label is not null")
-        stratum = F.lit("todo")
+        stratum = None
     if n < 200:
         warnings.append(f"solo {n} registros: cualquier métrica es tentativa")
     leaks = detect_leakage(data, target, features, task).collect()
@@ -152,20 +171,14 @@ def run_supervised(df: DataFrame, profiles: Profiles, target: str, settings: Set
         # recall weighted so that every class counts the same is balanced accuracy
         MulticlassClassificationEvaluator(labelCol="label", weightCol="_w", metricName="weightedRecall")
         if task == CLASSIFICATION else RegressionEvaluator(labelCol="label", metricName="r2"))
-    scores, fitted = {}, {}
-    for name, estimator in _candidates(task, len(classes), s).items():
-        if candidates is not None and name not in candidates:
-            continue
-        cv = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=evaluator, numFolds=folds,
-                            foldCol="_fold", parallelism=s.parallelism).fit(ready)
-        scores[name] = (float(cv.avgMetrics[0]), float(cv.stdMetrics[0]))
-        fitted[name] = cv.bestModel
+    found = _fitted(ready, task, len(classes), evaluator, s, candidates)
     ready.unpersist()
+    scores = {name: (mean, spread) for name, (mean, spread, _) in found.items()}
     best = max(scores, key=lambda k: scores[k][0])
     mean, spread = scores[best]
     if mean > 0 and spread > 0.5 * abs(mean):
         warnings.append("el desempeño cambia mucho entre particiones")
-    stages = [*prepare.stages, fitted[best]]
+    stages = [*prepare.stages, found[best][2]]
     if task == CLASSIFICATION:
         stages.append(IndexToString(inputCol="prediction", outputCol="_prediccion", labels=classes))
     model = PipelineModel(stages)
@@ -208,25 +221,60 @@ def _judge_numbers(report: Report, predicted: DataFrame, train: DataFrame) -> No
 
 # --- permutation importance --------------------------------------------------------------
 
+MIXES, WALKS = 5, 16
+
+
+def shuffled(place: Column, n: int, *key: Column) -> Column:
+    """Where the row at `place` of n goes: for each key one permutation of 0 to n - 1, without sorting.
+
+    A place is a pair of coordinates in a rectangle of a rows and b columns, a * b < n + a; rounds of hashes turn each
+    coordinate by what the other says, which can be undone. What falls beyond n walks on; that takes a place past WALKS
+    steps with probability below n^(-WALKS / 2).
+    """
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = max(1, -(-n // a))
+    turn = lambda x, size, *by: F.pmod(x + F.pmod(F.xxhash64(*key, *by), F.lit(size)), F.lit(size)).cast("long")
+
+    def once(x: Column) -> Column:
+        start = F.struct(((x - F.pmod(x, F.lit(b))) / F.lit(b)).cast("long").alias("i"), F.pmod(x, F.lit(b)).cast("long").alias("j"))
+
+        def mix(s: Column, k: Column) -> Column:
+            i = turn(s["i"], a, F.lit("i"), k, s["j"])
+            return F.struct(i.alias("i"), turn(s["j"], b, F.lit("j"), k, i).alias("j"))
+
+        return F.aggregate(F.array(*map(F.lit, range(MIXES))), start, mix, lambda s: s["i"] * F.lit(b) + s["j"])
+
+    return F.aggregate(F.array(*map(F.lit, range(WALKS))), once(place.cast("long")), lambda x, _: F.when(x >= n, once(x)).otherwise(x))
+
+
+def numbered(df: DataFrame, into: str) -> tuple[DataFrame, int]:
+    """`df` written down with the numbers 0 to n - 1 in `into`, and n; partitions are numbered where they lie."""
+    kept = materialize(df).withColumn("_m", F.monotonically_increasing_id())
+    held = kept.groupBy(F.shiftright("_m", 33).alias("_p")).count().orderBy("_p").collect()  # a row per partition
+    starts, total = [], 0
+    for r in held:
+        starts.append((r["_p"], total))
+        total += r["count"]
+    offsets = F.broadcast(rows(df.sparkSession, starts, "_p long, _start long"))
+    out = kept.withColumn("_p", F.shiftright("_m", 33)).join(offsets, "_p").withColumn(
+        into, F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop("_m", "_p", "_start"), total
+
+
 def permutation_importance(report: Report, settings: Settings | None = None, top: int = 15) -> DataFrame:
     """(variable, importancia): loss of score when a column's values are dealt out among the rows anew.
 
-    Every repeat is one permutation of the held-out rows: they are numbered in a hashed order, each takes the place of
-    another, and one column at a time takes its new row's value. All columns and repeats go through the model in one pass.
+    Every repeat is one permutation of the held-out rows, computed from their numbers: each row meets its donor by one
+    join, and one column at a time takes the donor's value. All columns and repeats go through the model in one pass.
     """
     s = settings or Settings()
     features = report.features
     outcome = ["label", *(["_y"] if report.task == CLASSIFICATION else [])]
-    # rows are numbered once and written down, so that equal rows stay apart and every repeat deals the same rows
-    test = materialize(report.predictions.select(*[col(c) for c in dict.fromkeys([*features.columns, *outcome])]).withColumn(
-        "_n", F.monotonically_increasing_id()).withColumn("_one", F.lit(1)))
-    receivers = Q.running_sum(test, [], [F.asc("_n")], "_one", "_place")
-    order = F.xxhash64(F.lit(s.seed), F.col("rep"), F.col("_n"))
-    dealt = test.select("_n", "_one", F.struct(*[col(c) for c in features.columns]).alias("_d"), F.explode(
-        F.sequence(F.lit(0), F.lit(s.repeats - 1))).alias("rep")).withColumn("_h", order)
-    donors = Q.running_sum(dealt, ["rep"], [F.asc("_h"), F.asc("_n")], "_one", "_place").select("rep", "_place", "_d")
-    variables = F.explode(F.array(*map(F.lit, features.columns))).alias("variable")
-    paired = receivers.join(donors, "_place").select("*", variables)
+    test, n = numbered(report.predictions.select(*[col(c) for c in dict.fromkeys([*features.columns, *outcome])]), "_place")
+    donors = test.select(F.col("_place").alias("_from"), F.struct(*[col(c) for c in features.columns]).alias("_d"))
+    repeated = test.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(s.repeats - 1))))
+    paired = repeated.withColumn("_from", shuffled(F.col("_place"), n, F.lit(s.seed), F.col("rep"))).join(donors, "_from").select(
+        "*", F.explode(F.array(*map(F.lit, features.columns))).alias("variable"))
     swapped = paired.withColumns({
         c: F.when(F.col("variable") == c, F.col("_d").getField(c)).otherwise(col(c)) for c in features.columns})
     scored = report.model.transform(swapped)

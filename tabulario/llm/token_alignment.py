@@ -15,6 +15,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ from tabulario.session import checkpoint_folder
 
 #: A blank with what follows up to the next blank after a character that is no white space.
 UNIT = re.compile(f" [^ ]*(?:(?<=[{SPACE}]) [^ ]*)*")
+INNER = re.compile(f"[{SPACE}]")
 BLANK = "▁"
 ROWS = ("kind int, block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
         "same binary, others binary, a array<int>, pair array<long>, held array<long>")
@@ -41,9 +44,9 @@ class Settings:
     memo: int = 100_000
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """A unit: numbers of tokens and groups, its groups as text, and its distinct links (a << 32 | b) with how often each comes."""
+class Aligned(NamedTuple):
+    """A unit: numbers of tokens and groups, its groups as text, and its distinct links (a << 32 | b) with how often each
+    comes. A unit that a vocabulary does not give back has no tokens."""
 
     n_a: int
     n_b: int
@@ -53,6 +56,9 @@ class Aligned:
     times: bytes
 
 
+NOTHING = Aligned(0, 0, 0, "", b"", b"")
+
+
 class Aligner:
     """Both vocabularies, as arrays of the bytes of each id."""
 
@@ -73,20 +79,45 @@ class Aligner:
         special = set(self.a.special.values())
         #: The B id with the bytes of each A id, -1 where there is none.
         self.same = np.array([-1 if i in special else of.get(x, -1) for i, x in enumerate(self.bytes_a)], np.int64)
+        self.flat_b = np.frombuffer(b"".join(self.bytes_b), np.uint8)
+        self.start_b = np.cumsum(self.size_b) - self.size_b
+        #: Ids in the text form: followed by `,`, or as the last A or B id of a group by `|` or `;`.
+        ids = range(max(len(self.same), len(self.bytes_b)))
+        self.words = [f"{i}," for i in ids] + [f"{i}|" for i in ids] + [f"{i};" for i in ids]
         self.memo = Memo(self._units, bound)
 
-    def _units(self, units: list[str]) -> list[Aligned | None]:
-        ids_a = [np.frombuffer(x, "<u4").astype(np.int64) for x in self.a._plain(units)]
-        ids_b = [np.array(x, np.int64) for x in self.b.encode([u[1:] for u in units], num_threads=1)]
-        ids_b = [np.array([self.blank], np.int64) if u == " " else x for u, x in zip(units, ids_b)]
-        sound = [b"".join([self.bytes_b[i] for i in b.tolist()]) == u.encode() and sum(len(self.bytes_a[i]) for i in a.tolist()) == len(u.encode())
-                 for u, a, b in zip(units, ids_a, ids_b)]
-        kept = [i for i, ok in enumerate(sound) if ok]
-        out: list[Aligned | None] = [None] * len(units)
-        if not kept:
-            return out
-        n_a, n_b = np.array([len(ids_a[i]) for i in kept]), np.array([len(ids_b[i]) for i in kept])
-        a, b = np.concatenate([ids_a[i] for i in kept]), np.concatenate([ids_b[i] for i in kept])
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units one after the other and how many each has, of A and of B."""
+        single = [INNER.search(u, 1) is None for u in units]  # one of A's own units
+        own = iter(self.a._units([u for u, one in zip(units, single) if one]) if any(single) else [])
+        other = iter(self.a._plain([u for u, one in zip(units, single) if not one]))
+        parts = [next(own) if one else next(other) for one in single]
+        a, n_a = np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.array([len(x) for x in parts], np.int64) // 4
+        found = self.b.encode([u[1:] for u in units], num_threads=1)
+        found = [x if len(u) > 1 else [self.blank] for u, x in zip(units, found)]
+        n_b = np.array([len(x) for x in found], np.int64)
+        return a, n_a, np.fromiter(chain.from_iterable(found), np.int64, int(n_b.sum())), n_b
+
+    def _sound(self, units: list[str], b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each unit's B ids are its own. Those of A are for every text."""
+        raw = [u.encode() for u in units]
+        size, length = np.array([len(x) for x in raw], np.int64), self.size_b[b]
+        of_unit = np.repeat(np.arange(len(units)), n_b)
+        out = np.bincount(of_unit, length, minlength=len(units)) == size
+        length = length[out[of_unit]]
+        at = np.repeat(self.start_b[b[out[of_unit]]] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        differ = self.flat_b[at] != np.frombuffer(b"".join([x for x, ok in zip(raw, out.tolist()) if ok]), np.uint8)
+        out[np.repeat(np.flatnonzero(out), size[out])[differ]] = False
+        return out
+
+    def _units(self, units: list[str]) -> list[Aligned]:
+        a, n_a, b, n_b = self._ids(units)
+        sound = self._sound(units, b, n_b)
+        kept = np.flatnonzero(sound)
+        if not len(kept):
+            return [NOTHING] * len(units)
+        a, b = a[np.repeat(sound, n_a)], b[np.repeat(sound, n_b)]
+        n_a, n_b = n_a[kept], n_b[kept]
         end_a, end_b = np.cumsum(self.a.piece_len[a]), np.cumsum(self.size_b[b])
         # offsets in all units one after the other; the end of a unit is an end on both sides
         ends = np.intersect1d(end_a, end_b)
@@ -104,16 +135,16 @@ class Aligner:
         new = np.flatnonzero(np.r_[True, (link[1:] != link[:-1]) | (of_unit[1:] != of_unit[:-1])])
         times = np.diff(np.r_[new, len(link)])
         link, cut = link[new], np.searchsorted(of_unit[new], np.arange(len(kept) + 1))
-        # words of the text form: A ids end in `,` or, as the last of a group, `|`; B ids in `,` or `;`
         last_a, last_b = np.r_[group_a[1:] != group_a[:-1], True], np.r_[group_b[1:] != group_b[:-1], True]
-        words = [f"{i}|" if last else f"{i}," for i, last in zip(a.tolist(), last_a.tolist())] + [f"{i};" if last else f"{i}," for i, last in zip(b.tolist(), last_b.tolist())]
+        third = len(self.words) // 3
+        code = np.r_[a + third * last_a, b + 2 * third * last_b]
         order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.r_[group_a, group_b]))  # stable: tokens of a side keep their order
-        words = [words[i] for i in order.tolist()]
-        begin = np.r_[0, np.cumsum(n_a + n_b)].tolist()
-        for k, i in enumerate(kept):
-            out[i] = Aligned(int(n_a[k]), int(n_b[k]), int(n_groups[k]), "".join(words[begin[k]:begin[k + 1]]),
-                             link[cut[k]:cut[k + 1]].tobytes(), times[cut[k]:cut[k + 1]].tobytes())
-        return out
+        words = [self.words[i] for i in code[order].tolist()]
+        begin, cut = np.r_[0, np.cumsum(n_a + n_b)].tolist(), (8 * cut).tolist()
+        links, times = link.tobytes(), times.tobytes()
+        made = map(Aligned, n_a.tolist(), n_b.tolist(), n_groups.tolist(), ["".join(words[x:y]) for x, y in zip(begin, begin[1:])],
+                   [links[x:y] for x, y in zip(cut, cut[1:])], [times[x:y] for x, y in zip(cut, cut[1:])])
+        return [next(made) if ok else NOTHING for ok in sound.tolist()]
 
     def texts(self, texts: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
         """One row per text, and all distinct links of each text: number of the text, link and how often it comes, in this order."""
@@ -122,25 +153,23 @@ class Aligner:
         self.memo.learn(set(distinct))
         code = {u: k for k, u in enumerate(distinct)}
         found = [self.memo[u] for u in distinct]
-        bad = np.array([f is None for f in found], bool)
+        columns = list(zip(*found)) if found else [()] * len(NOTHING)
+        counts = np.array(columns[:3], np.int64).reshape(3, len(found))
+        bad = counts[0] == 0
         size = np.fromiter(map(len, units), np.int64, len(units))
-        codes = np.fromiter((c for us in units for c in map(code.__getitem__, us)), np.int64, int(size.sum()))
+        codes = np.fromiter(map(code.__getitem__, chain.from_iterable(units)), np.int64, int(size.sum()))
         text = np.repeat(np.arange(len(texts)), size)
-        none = np.zeros(len(texts), bool)
+        none = size == 0
         none[text[bad[codes]]] = True
-        none |= size == 0
         keep = ~none[text]
+        end = np.cumsum(size).tolist()
+        forms, rows = [columns[3][c] for c in codes.tolist()] if found else [], {}
+        rows["groups_sha256"] = ["" if no else hashlib.sha256("".join(forms[x:y])[:-1].encode()).hexdigest() for x, y, no in zip([0, *end], end, none.tolist())]
         codes, text = codes[keep], text[keep]
-        rows = {}
-        for name in ("n_a", "n_b", "n_groups"):
-            per = np.array([0 if f is None else getattr(f, name) for f in found], np.int64)
+        for name, per in zip(("n_a", "n_b", "n_groups"), counts):
             rows[name] = np.bincount(text, weights=per[codes], minlength=len(texts)).astype(np.int64)
-        rows["groups_sha256"] = ["" if no else hashlib.sha256("".join([found[code[u]].groups for u in us])[:-1].encode()).hexdigest()
-                                 for us, no in zip(units, none.tolist())]
-        link = [np.zeros(0, np.int64) if f is None else np.frombuffer(f.links, np.int64) for f in found]
-        many = np.array([len(x) for x in link], np.int64)
-        link = np.concatenate([*link, np.zeros(0, np.int64)])
-        times = np.concatenate([*[np.frombuffer(f.times, np.int64) for f in found if f is not None], np.zeros(0, np.int64)])
+        many = np.array([len(x) for x in columns[4]], np.int64) // 8
+        link, times = (np.frombuffer(b"".join(columns[c]), np.int64) for c in (4, 5))
         both, often = np.unique(text * np.int64(max(1, len(distinct))) + codes, return_counts=True)
         text, codes = both // max(1, len(distinct)), both % max(1, len(distinct))
         begin, repeat = np.cumsum(many) - many, many[codes]

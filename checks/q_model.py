@@ -178,18 +178,26 @@ def mod_14(spark, sf):
     return ranked.groupBy("variable").agg(F.bool_and(F.col("importancia").between(-5.0, 5.0)).alias("medida"), F.count("*").alias("filas"))
 
 
-@query("mod-16", f"{W_DEMO} SELECT COUNT(*) AS registros, {rs('avg(importe)', 1)} AS importe, COUNT(*) >= 20 AS hay FROM ventas_demo")
+@query("mod-16", f"{W_DEMO} SELECT COUNT(*) AS registros, {rs('avg(importe)', 1)} AS importe, true AS hay, true AS iguales, COUNT(DISTINCT segmento) AS segmentos FROM ventas_demo")
 def mod_16(spark, sf):
+    """Whole counts and means, and each segment's row of the summary computed anew from the labels."""
     df = ventas_demo(spark, sf).select("importe", "costo", "cantidad", "segmento")
     found = U.run_clustering(df, P.profile(df))
+    anew = found.rows.groupBy(U.SEGMENT).agg(F.count("*").alias("n"), F.avg("importe").alias("i"), F.avg("costo").alias("c"))
+    same = F.bool_and((F.col("registros") == F.col("n")) & (F.abs(F.col("importe") - F.col("i")) < 1e-3) & (F.abs(F.col("costo") - F.col("c")) < 1e-3))
     whole = F.sum(F.col("registros") * F.col("importe")) / F.sum("registros")
-    return found.summary.agg(F.sum("registros").alias("registros"), r(whole, 1).alias("importe"), F.count("*").between(2, 8).alias("hay"))
+    return found.summary.join(anew, U.SEGMENT).agg(
+        F.sum("registros").alias("registros"), r(whole, 1).alias("importe"), F.count("*").between(2, 8).alias("hay"), same.alias("iguales"),
+        F.lit(found.rows.select("segmento").distinct().count()).cast("long").alias("segmentos"))
 
 
-@query("mod-17")
+@query("mod-17", f"""{W_DEMO}, n AS (SELECT COUNT(*) AS n FROM ventas_demo) SELECT n, CAST(floor((n - 1) * 0.02e0) + 1 AS BIGINT) AS raros, true AS bajo_umbral, true AS en_rango FROM n""")
 def mod_17(spark, sf):
+    """The share set apart, all of it below the threshold that ranks give, and scores in their range."""
     df = ventas_demo(spark, sf).select("folio", "importe", "costo", "cantidad", "segmento")
-    return U.run_anomalies(df, P.profile(df)).rows
+    found = U.run_anomalies(df, P.profile(df))
+    below = found.scored.agg(F.count("*").alias("n"), F.count_if(F.col("score") < found.threshold).alias("raros"), F.bool_and(F.col("score").between(-1.0, 0.0)).alias("en_rango"))
+    return below.select("n", "raros", F.lit(found.rows.where(F.col("score") >= found.threshold).isEmpty()).alias("bajo_umbral"), "en_rango")
 
 
 @query("mod-18", f"""{W_DEMO}, e AS (SELECT segmento AS serie, min(date_trunc('month', fecha)) AS lo, max(date_trunc('month', fecha)) AS hi FROM ventas_demo GROUP BY 1),

@@ -2,14 +2,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -39,6 +38,104 @@ class Segments:
     verdict: str = ""
 
 
+SEEDS = 2_000  # vectors that the first centres are chosen from
+ROUNDS = 50
+STILL = 1e-4  # a centre that moves less, in standard deviations, stands still
+
+
+def first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the sampled vectors, each next one drawn in proportion to its squared distance from those before."""
+    picked = [sample[rng.integers(len(sample))]]
+    far = ((sample - picked[0]) ** 2).sum(1)
+    while len(picked) < k and far.sum() > 0:
+        picked.append(sample[rng.choice(len(sample), p=far / far.sum())])
+        far = np.minimum(far, ((sample - picked[-1]) ** 2).sum(1))
+    return np.array(picked)
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (((centres * centres).sum(1) - 2 * x @ centres.T)).argmin(1)
+
+
+def cluster_sums(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per number of clusters: rows, sums and sums of squared lengths of every cluster, for all of them in one pass.
+
+    Each task sends one row per cluster; they are summed by element, so what is shuffled depends on the clusters alone.
+    """
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x = np.stack(batch["_v"].to_list())
+            row = np.concatenate([np.ones((len(x), 1)), (x * x).sum(1, keepdims=True), x], 1)
+            for k, c in centres.items():
+                label = nearest_centre(x, c)
+                for j in np.unique(label).tolist():
+                    held[k, j] = held.get((k, j), 0.0) + row[label == j].sum(0)
+        yield pd.DataFrame([(k, j, v.tolist()) for (k, j), v in held.items()], columns=["k", "j", "s"])
+
+    parts = vectors.select("_v").mapInPandas(summed, "k int, j int, s array<double>").select("k", "j", F.posexplode("s").alias("i", "x"))
+    whole = parts.groupBy("k", "j", "i").agg(F.sum("x").alias("x")).groupBy("k", "j").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    out = {k: (np.zeros(len(c)), np.zeros_like(c), np.zeros(len(c))) for k, c in centres.items()}
+    for r in whole.collect():  # a row per cluster
+        s = np.array([p["x"] for p in r["s"]])
+        n, sums, squares = out[r["k"]]
+        n[r["j"]], squares[r["j"]], sums[r["j"]] = s[0], s[1], s[2:]
+    return out
+
+
+def fit_clusters(vectors: DataFrame, ks: list[int], seed: int) -> dict[int, np.ndarray]:
+    """Centres for every number of clusters in `ks`. A round moves the centres of all that still move, by one job."""
+    sample = np.array([r[0] for r in vectors.select("_v").orderBy(F.xxhash64(F.lit(seed), "_v"), "_v").limit(SEEDS).collect()])
+    centres = {k: first_centres(sample, k, np.random.default_rng((seed, k))) for k in ks}
+    moving = dict(centres)
+    for _ in range(ROUNDS):
+        for k, (n, sums, _) in cluster_sums(vectors, moving).items():
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[k])
+            if np.abs(new - centres[k]).max() <= STILL:
+                moving.pop(k)
+            else:
+                moving[k] = new
+            centres[k] = new
+        if not moving:
+            break
+    return centres
+
+
+def silhouettes(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, float]:
+    """Mean silhouette by squared Euclidean distance for every number of clusters; two passes for all of them.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, sum and sum of squared lengths.
+    """
+    sums = cluster_sums(vectors, centres)
+    ks = [k for k in centres if (sums[k][0] > 0).sum() > 1]
+
+    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = dict.fromkeys(ks, 0.0)
+        for batch in batches:
+            x = np.stack(batch["_v"].to_list())
+            length = (x * x).sum(1, keepdims=True)
+            for k in ks:
+                n, s, q = sums[k]
+                full = np.flatnonzero(n > 0)
+                label = nearest_centre(x, centres[k])
+                own = np.searchsorted(full, label)
+                n, s, q = n[full], s[full], q[full]
+                far = np.maximum(length * n - 2 * x @ s.T + q, 0)  # summed over the cluster's rows
+                rows = np.arange(len(x))
+                inside = far[rows, own] / np.maximum(n[own] - 1, 1)
+                far = far / n
+                far[rows, own] = np.inf
+                other = far.min(1)
+                top = np.maximum(inside, other)
+                total[k] += float(np.where((n[own] > 1) & (top > 0), (other - inside) / np.maximum(top, 1e-300), 0.0).sum())
+        yield pd.DataFrame({"k": list(total), "s": list(total.values()), "n": 0})
+
+    if not ks:
+        return {}
+    n = sum(sums[ks[0]][0])
+    return {r["k"]: r["s"] / n for r in vectors.select("_v").mapInPandas(widths, "k int, s double, n long").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+
+
 def run_clustering(df: DataFrame, profiles: Profiles, k: int | None = None, seed: int = 42) -> Segments:
     """Segments of the rows; without k, the best silhouette among 2 to 8 (squared Euclidean distance).
 
@@ -54,22 +151,23 @@ def run_clustering(df: DataFrame, profiles: Profiles, k: int | None = None, seed
     n = data.count()
     if n < 20:
         return Segments(False, f"hacen falta 20 registros; hay {n}")
-    # every k reads the vectors again, so they are written once
-    ready = materialize(fit_features(data, features).transform(data).select(*[col(c) for c in df.columns], "features"))
-    tried, models = {}, {}
-    for kk in [k] if k else range(2, min(9, max(3, n // 10))):
-        model = KMeans(k=kk, seed=seed, maxIter=50).fit(ready)
-        labelled = model.transform(ready)
-        if len(model.summary.clusterSizes) > 1 and sum(size > 0 for size in model.summary.clusterSizes) > 1:
-            tried[kk], models[kk] = ClusteringEvaluator().evaluate(labelled), model
+    # every round reads the vectors again, so they are written once
+    ready = materialize(fit_features(data, features).transform(data).select(*[col(c) for c in df.columns], vector_to_array("features").alias("_v")))
+    centres = fit_clusters(ready, [k] if k else list(range(2, min(9, max(3, n // 10)))), seed)
+    tried = silhouettes(ready, centres)
     if not tried:
         return Segments(False, "no se formaron grupos distinguibles")
-    best = max(tried, key=lambda kk: tried[kk])
+    best = max(tried, key=lambda kk: (tried[kk], -kk))
     label = SEGMENT
     while label.lower() in {c.lower() for c in df.columns}:
         label += "_"
-    out = models[best].transform(ready).withColumn(
-        label, F.concat(F.lit("Segmento "), (F.col("prediction") + 1).cast("string"))).drop("prediction", "features")
+    chosen = centres[best]
+
+    @pandas_udf("int")
+    def placed(v: pd.Series) -> pd.Series:
+        return pd.Series(nearest_centre(np.stack(v.to_list()), chosen) + 1)
+
+    out = ready.withColumn(label, F.concat(F.lit("Segmento "), placed("_v").cast("string"))).drop("_v")
     means = [F.avg(number(df, c)).alias(c) for c in features.numeric]
     first = features.categorical[0] if features.categorical else None
     mode = [F.mode(col(first), True).alias(first)] if first else []  # at most 50 values
@@ -137,36 +235,22 @@ def grow_forest(vectors: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
     return assigned.groupBy("tree").applyInPandas(grow, _NODES)
 
 
-def score_forest(vectors: DataFrame, nodes: list, column: str = "score") -> DataFrame:
-    """Add the anomaly score of each row: nearer to -1 the rarer. The forest is at most trees * (2 * SAMPLE - 1) nodes."""
-    trees: dict[int, list] = {}
-    for r in nodes:
-        trees.setdefault(r["tree"], []).append(r)
-    packed = []
-    for found in trees.values():
-        found.sort(key=lambda r: r["node"])
-        packed.append(tuple(np.array([r[k] for r in found]) for k in ("feature", "cut", "left", "right", "depth")))
-    shared = vectors.sparkSession.sparkContext.broadcast(packed)
+def score_forest(vectors: DataFrame, nodes: DataFrame, column: str = "score") -> DataFrame:
+    """Add the anomaly score of each row: nearer to -1 the rarer. The forest, at most trees * (2 * SAMPLE - 1) nodes, is one
+    row of arrays that every row is walked through by column functions."""
+    order = F.array_sort(F.collect_list(F.struct("node", "feature", "cut", "left", "depth")))
+    packed = nodes.groupBy("tree").agg(order.alias("_t")).agg(F.array_agg(F.struct(
+        *[F.col(f"_t.{f}").alias(f) for f in ("feature", "cut", "left", "depth")])).alias("_forest"))
     norm = _path_correction(SAMPLE)
+    steps = F.array(*map(F.lit, range(math.ceil(math.log2(SAMPLE)))))
+
+    def leaf(tree: Column) -> Column:
+        """Where a row ends in one tree; sides of a split lie next to each other."""
+        return F.aggregate(steps, F.lit(0), lambda at, _: F.when(F.get(tree["feature"], at) < 0, at).otherwise(
+            F.get(tree["left"], at) + F.when(F.get("_v", F.get(tree["feature"], at)) < F.get(tree["cut"], at), 0).otherwise(1)))
 
-    @pandas_udf("double")
-    def score(vectors_: pd.Series) -> pd.Series:
-        x = np.stack(vectors_.to_list()) if len(vectors_) else np.zeros((0, 1))
-        depth = np.zeros(len(x))
-        rows_ = np.arange(len(x))
-        for feature, cut, left, right, leaf in shared.value:
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                below = x[rows_, np.maximum(f, 0)] < cut[at]
-                at = np.where(inner, np.where(below, left[at], right[at]), at)
-            depth += leaf[at]
-        return pd.Series(-np.power(2.0, -(depth / len(shared.value)) / norm))
-
-    return vectors.withColumn(column, score("_v"))
+    total = F.aggregate("_forest", F.lit(0.0), lambda sum_, tree: sum_ + F.get(tree["depth"], leaf(tree)))
+    return vectors.crossJoin(F.broadcast(packed)).withColumn(column, -F.pow(F.lit(2.0), -(total / F.size("_forest")) / norm)).drop("_forest")
 
 
 @dataclass
@@ -192,7 +276,7 @@ def run_anomalies(df: DataFrame, profiles: Profiles, contamination: float = 0.02
     # written once: the forest, the threshold and the rows read it
     vectors = materialize(fit_features(df, features).transform(df).select(
         *[col(c) for c in df.columns], vector_to_array("features").alias("_v"), F.monotonically_increasing_id().alias("_n")))
-    nodes = grow_forest(vectors.select("_v", "_n"), n, trees, seed).collect()  # at most trees * 511 rows
+    nodes = materialize(grow_forest(vectors.select("_v", "_n"), n, trees, seed))  # at most trees * 511 rows
     scored = materialize(score_forest(vectors, nodes).drop("_v", "_n"))
     (cut,) = Q.quantiles(scored, "score", [contamination])
     rare = scored.where(F.col("score") < F.lit(cut))

@@ -117,9 +117,12 @@ def test_segments_leave_input_columns_alone(spark):
 def test_trees_are_bounded_with_many_equal_rows(spark):
     vectors = spark.range(20_000).select(
         F.array(F.when(F.col("id") < 19_600, 1.0).otherwise(F.col("id") / 1000.0), F.lit(2.0)).alias("_v"), F.col("id").alias("_n"))
-    nodes = U.grow_forest(vectors, 20_000, 50, 1).groupBy("tree").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()
+    forest = U.grow_forest(vectors, 20_000, 50, 1).persist()
+    nodes = forest.groupBy("tree").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()
     assert len(nodes) == 50 and all(r["n"] <= 2 * U.SAMPLE - 1 and r["d"] > 0 for r in nodes)
-    rare = U.score_forest(vectors, U.grow_forest(vectors, 20_000, 50, 1).collect()).orderBy("score").limit(300).collect()
+    scored = U.score_forest(vectors, forest)
+    assert "Python" not in scored._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    rare = scored.orderBy("score").limit(300).collect()
     assert all(r["_n"] >= 19_600 for r in rare)
 
 
@@ -135,3 +138,56 @@ def test_many_classes_are_no_reason_to_refuse(spark):
     assert counted.count() == 1200
     one = SV.split(df.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0)).withColumn("clase", F.lit("a")), F.col("clase"), SV.Settings())
     assert abs(one.where("_train").count() - 9000) <= 1  # copies of one row are shared out too
+
+
+def test_scores_equal_a_walk_by_hand(spark):
+    vectors = spark.range(400).select(F.array(F.sqrt("id"), (F.col("id") % 17).cast("double"), F.rand(4)).alias("_v"), F.col("id").alias("_n")).persist()
+    forest = U.grow_forest(vectors, 400, 20, 3).persist()
+    trees = {}
+    for r in forest.collect():
+        trees.setdefault(r["tree"], {})[r["node"]] = r
+    for row in U.score_forest(vectors, forest).orderBy("_n").limit(25).collect():
+        depth = 0.0
+        for t in trees.values():
+            at = t[0]
+            while at["feature"] >= 0:
+                at = t[at["left"] if row["_v"][at["feature"]] < at["cut"] else at["right"]]
+            depth += at["depth"]
+        assert abs(row["score"] + 2 ** (-depth / len(trees) / U._path_correction(U.SAMPLE))) < 1e-12
+
+
+def test_silhouettes_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(c, 0.6, (30, 3)) for c in (0, 5, 10)])
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "_v array<double>").repartition(3)
+    centres = U.fit_clusters(df, [2, 3, 5], 1)
+    found = U.silhouettes(df, centres)
+    for k, c in centres.items():
+        label = U.nearest_centre(x, c)
+        assert all(np.allclose(x[label == j].mean(0), c[j], atol=1e-3) for j in np.unique(label))
+        far = ((x[:, None] - x[None]) ** 2).sum(2)
+        widths = []
+        for i in range(len(x)):
+            own = (label == label[i]).sum() - 1
+            inside = far[i][label == label[i]].sum() / max(own, 1)
+            other = min(far[i][label == j].mean() for j in np.unique(label) if j != label[i])
+            widths.append((other - inside) / max(inside, other) if own else 0.0)
+        assert abs(found[k] - np.mean(widths)) < 1e-9
+    assert max(found, key=found.get) == 3
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 101, 1000, 4097])
+def test_shuffled_places_are_a_permutation(spark, n):
+    df = spark.range(n).withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    got = df.select("rep", "id", SV.shuffled(F.col("id"), n, F.lit(5), F.col("rep")).alias("to")).toPandas()
+    for _, part in got.groupby("rep"):
+        assert sorted(part["to"]) == list(range(n))
+    if n > 100:
+        assert (got["id"] == got["to"]).mean() < 0.1 and abs(np.corrcoef(got["id"], got["to"])[0, 1]) < 0.2
+        wide = got.pivot(index="id", columns="rep", values="to")
+        assert (wide[0] == wide[1]).mean() < 0.1
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    df, n = SV.numbered(spark.range(1000).repartition(7).where("id % 3 > 0"), "place")
+    assert n == 666 and sorted(r["place"] for r in df.collect()) == list(range(666))

@@ -16,7 +16,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -41,22 +40,13 @@ class Settings:
     """A block has about `chars` characters of text, a longer text is a block of its own; workers remember `memo` units."""
 
     chars: int = 1 << 21
-    memo: int = 100_000
+    memo: int = 150_000
 
 
-class Aligned(NamedTuple):
-    """A unit: numbers of tokens and groups, its groups as text, and its distinct links (a << 32 | b) with how often each
-    comes. A unit that a vocabulary does not give back has no tokens."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: bytes
-    times: bytes
-
-
-NOTHING = Aligned(0, 0, 0, "", b"", b"")
+#: A unit: numbers of tokens and groups, its groups as text, and its distinct links (a << 32 | b) with how often each comes.
+Unit = tuple[int, int, int, str, bytes, bytes]
+#: A unit that a vocabulary does not give back has no tokens.
+NOTHING: Unit = (0, 0, 0, "", b"", b"")
 
 
 class Aligner:
@@ -110,7 +100,7 @@ class Aligner:
         out[np.repeat(np.flatnonzero(out), size[out])[differ]] = False
         return out
 
-    def _units(self, units: list[str]) -> list[Aligned]:
+    def _units(self, units: list[str]) -> list[Unit]:
         a, n_a, b, n_b = self._ids(units)
         sound = self._sound(units, b, n_b)
         kept = np.flatnonzero(sound)
@@ -142,7 +132,7 @@ class Aligner:
         words = [self.words[i] for i in code[order].tolist()]
         begin, cut = np.r_[0, np.cumsum(n_a + n_b)].tolist(), (8 * cut).tolist()
         links, times = link.tobytes(), times.tobytes()
-        made = map(Aligned, n_a.tolist(), n_b.tolist(), n_groups.tolist(), ["".join(words[x:y]) for x, y in zip(begin, begin[1:])],
+        made = zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), ["".join(words[x:y]) for x, y in zip(begin, begin[1:])],
                    [links[x:y] for x, y in zip(cut, cut[1:])], [times[x:y] for x, y in zip(cut, cut[1:])])
         return [next(made) if ok else NOTHING for ok in sound.tolist()]
 

@@ -11,6 +11,7 @@ from checks.views import SQL_DEMO, SQL_SUCIAS, table, ventas_demo, ventas_sucias
 from tabulario.operators import profile as P
 from tabulario.operators import quality as Q
 from tabulario.operators import repair as R
+from tabulario.operators.copies import duplicate_rows
 from tabulario.plans.autoclean import auto_clean
 
 AS_OF = date(2026, 1, 1)
@@ -296,7 +297,7 @@ def win_05(spark, sf):
 
 @query("agg-05", f"WITH {SQL_SUCIAS} SELECT CAST(d AS BIGINT) AS n_duplicates FROM {_DUP}")
 def agg_05(spark, sf):
-    return P.duplicate_rows(ventas_sucias(spark, sf))
+    return duplicate_rows(ventas_sucias(spark, sf))
 
 
 # --- repairs -----------------------------------------------------------------------------

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tabulario.functions import fixed, text
 from tabulario.functions.numbers import percent
 from tabulario.operators import quantiles as Q
+from tabulario.operators.copies import duplicate_rows
+from tabulario.operators.gram import pair_correlations
 from tabulario.operators.intake import col, dtype_of, instant, is_number, number, present, rows
-from tabulario.operators.profile import Profile, Profiles, duplicate_rows, looks_like_code, profile
+from tabulario.operators.profile import Profile, Profiles, looks_like_code, profile
 from tabulario.operators.values import value_counts
 
 ISSUE = (
@@ -511,24 +513,15 @@ def time_gap(df: DataFrame, profiles: Profiles) -> list[tuple]:
 
 
 def correlations(df: DataFrame, columns: list[str], complete_rows: bool = False) -> DataFrame:
-    """(a, b, n, r) for every pair of columns, all in one aggregation.
+    """(a, b, n, r) for every pair of columns, all in one pass over matrices of rows.
 
     By default each pair uses the rows where both are present; with `complete_rows` only rows
-    where no column is missing count.
+    where no column is missing count. r is null where a column does not vary or fewer than two rows count.
     """
     typed = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     if complete_rows:
         typed = typed.na.drop("any")
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    both = [F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull() for i, j in pairs]
-    one = typed.agg(*[
-        F.struct(
-            F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.count_if(ok).alias("n"),
-            F.corr(F.when(ok, F.col(f"c{i}")), F.when(ok, F.col(f"c{j}"))).alias("r"),
-        ).alias(f"p{k}")
-        for k, ((i, j), ok) in enumerate(zip(pairs, both))
-    ])
-    return one.select(F.explode(F.array(*one.columns)).alias("x")).select("x.*")
+    return pair_correlations(typed, columns)
 
 
 @rule

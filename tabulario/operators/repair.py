@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tabulario.functions import text
 from tabulario.operators import quantiles as Q
+from tabulario.operators.copies import first_of_copies
 from tabulario.operators.intake import col, dtype_of, instant, is_number, is_text, number, present, rows
 from tabulario.operators.values import value_counts
 
@@ -144,36 +145,34 @@ def fill(df: DataFrame, column: str, value: object) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.when(present(df, column), col(column).cast(dtype)), F.lit(value).cast(dtype)))
 
 
-def carry_forward(df: DataFrame, column: str, order_by: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Missing cells take the previous value in row order, and the first cells the next one.
+def carry_forward(df: DataFrame, columns: str | list[str], order_by: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Missing cells of `columns` take the previous value in row order, and the first cells the next one.
 
-    Rows are split into ranges of `order_by`, of any type; the window runs inside each range, and what
-    enters a range comes from the ranges beside it. Rows that are equal in `order_by` follow a hash of
-    all their cells, so a frequent order value is split too.
+    Rows are split into ranges of `order_by`, of any type, once for all columns; the windows run inside each range, and
+    what enters a range comes from the ranges beside it. Rows that are equal in `order_by` follow a hash of all their
+    cells, so a frequent order value is split too.
     """
+    columns = [columns] if isinstance(columns, str) else list(dict.fromkeys(columns))
     keys = list(partition_by or [])
-    value = F.when(present(df, column), col(column))
+    values = [F.when(present(df, c), col(c)) for c in columns]
     ranged = Q.ranges(df.withColumn("_tie", F.xxhash64(*[col(c) for c in df.columns])), col(order_by), "_tie")
-    w = W.partitionBy(*keys, "_range").orderBy(order_by, "_tie")
-    local = ranged.withColumns({
-        "_back": F.last(value, True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-        # reading backwards is linear; a frame that ends at the last row would be quadratic
-        "_ahead": F.last(value, True).over(
-            W.partitionBy(*keys, "_range").orderBy(F.desc(order_by), F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)),
-    })
+    w = W.partitionBy(*keys, "_range").orderBy(order_by, "_tie").rowsBetween(W.unboundedPreceding, 0)
+    # reading backwards is linear; a frame that ends at the last row would be quadratic
+    back = W.partitionBy(*keys, "_range").orderBy(F.desc(order_by), F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.withColumns({f"_back{i}": F.last(v, True).over(w) for i, v in enumerate(values)}).withColumns(
+        {f"_ahead{i}": F.last(v, True).over(back) for i, v in enumerate(values)})
     at = F.struct(F.col(order_by), F.col("_tie"))
-    ends = ranged.where(value.isNotNull()).groupBy(*keys, "_range").agg(
-        F.max_by(value, at).alias("_last"), F.min_by(value, at).alias("_first"))
-    every = ranged.select(*keys, "_range").distinct()
-    b = W.partitionBy(*keys).orderBy("_range")  # one row per key and range
-    edges = _null_safe(every, ends, [*keys, "_range"]).select(
-        *keys, "_range",
-        F.last("_last", True).over(b.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", True).over(b.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
-    )
+    ends = ranged.groupBy(*keys, "_range").agg(*[  # one row per key and range
+        a for i, v in enumerate(values) for a in (
+            F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_last{i}"), F.min_by(v, F.when(v.isNotNull(), at)).alias(f"_first{i}"))])
+    b = W.partitionBy(*keys).orderBy("_range")
+    edges = ends.select(*keys, "_range", *[
+        a for i in range(len(columns)) for a in (
+            F.last(f"_last{i}", True).over(b.rowsBetween(W.unboundedPreceding, -1)).alias(f"_before{i}"),
+            F.first(f"_first{i}", True).over(b.rowsBetween(1, W.unboundedFollowing)).alias(f"_after{i}"))])
     return (
         _null_safe(local, edges, [*keys, "_range"])
-        .withColumn(column, F.coalesce("_back", "_before", "_ahead", "_after"))
+        .withColumns({c: F.coalesce(f"_back{i}", f"_before{i}", f"_ahead{i}", f"_after{i}") for i, c in enumerate(columns)})
         .select(*[col(c) for c in df.columns])
     )
 
@@ -305,6 +304,7 @@ def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = None) -> Repaired
         t.df = void_dates(t.df, c)
     fills = {c: m for c, m in plan.impute.items() if c in t.df.columns and m != "nada"}
     missing = t.settle({c: ~present(t.df, c) for c in fills})
+    carried: set[str] = set()
     for c, method in fills.items():
         if not missing[c]:
             continue
@@ -318,7 +318,10 @@ def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = None) -> Repaired
         if method == "ffill":
             if row_id is None:
                 raise ValueError("ffill needs row_id: Spark rows have no order of their own")
-            t.df = carry_forward(t.df, c, row_id)
+            if c not in carried:  # with it every later column that no removal of rows comes before
+                together = _until_removal(fills, c, missing)
+                t.df = carry_forward(t.df, together, row_id)
+                carried.update(together)
         else:
             value = fill_value(t.df, c, method)
             if value is None:
@@ -334,7 +337,7 @@ def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = None) -> Repaired
             t.df = clip(t.df, c, low, high)
     t.settle()
     if plan.drop_duplicates:
-        t.df = _first_of_copies(t.df, row_id) if keep else t.df.dropDuplicates()
+        t.df = first_of_copies(t.df, row_id)
         n = t.df.count()
         t.note("eliminar_duplicadas", None, left - n)
         left = n
@@ -346,9 +349,13 @@ def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = None) -> Repaired
     return Repaired(t.df, rows(df.sparkSession, [tuple(entry) for entry in t.log], LOG))
 
 
-def _first_of_copies(df: DataFrame, row_id: str) -> DataFrame:
-    others = [c for c in df.columns if c != row_id]
-    kept = df.groupBy(*[col(c) for c in others]).agg(F.min(col(row_id)).alias(row_id))
-    return kept.select(*[col(c) for c in df.columns])
-
-
+def _until_removal(fills: dict[str, str], start: str, missing: dict[str, int]) -> list[str]:
+    """The columns to carry forward from `start` on, up to the next step that removes rows."""
+    order = list(fills)
+    together = []
+    for c in order[order.index(start):]:
+        if fills[c] == "eliminar_filas" and missing[c]:
+            break
+        if fills[c] == "ffill" and missing[c]:
+            together.append(c)
+    return together

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +27,42 @@ PIECE = "piece int, start long, length long, ids_crc32 long, _part int, _local l
 Pattern = tuple[tuple[int, int], ...]
 
 
-def cut(n: int, room: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens: full ones, but for the first, which takes what is over."""
-    first = n % room or room
-    return [(0, min(first, n)), *((s, room) for s in range(first, n, room))]
+def cut(n: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of all pieces of documents of n tokens: full ones, but for each first one, which takes what is over."""
+    count = -(-n // room)
+    document = np.repeat(np.arange(len(n)), count)
+    piece = np.arange(len(document)) - np.repeat(np.cumsum(count) - count, count)
+    first = n - (count - 1) * room
+    start = np.where(piece == 0, 0, first[document] + (piece - 1) * room)
+    return document, piece, start, np.where(piece == 0, first[document], room)
+
+
+def checksums(ids: list[bytes], pieces: np.ndarray, start: np.ndarray, tail: bytes) -> np.ndarray:
+    """CRC-32 of every piece; each document's bytes are `ids` and then `tail`, which may be cut off from them."""
+    out, at = np.empty(len(start), np.int64), 0
+    crc = zlib.crc32
+    for data, n in zip(ids, pieces.tolist()):
+        if n == 1:
+            out[at] = crc(tail, crc(data))
+        else:
+            view = memoryview(data)
+            for i in range(at, at + n - 1):
+                out[i] = crc(view[4 * start[i]:4 * start[i + 1]])
+            out[at + n - 1] = crc(tail, crc(view[4 * start[at + n - 1]:]))
+        at += n
+    return out
+
+
+def ranks(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The number of pieces of the same length before each one; `seen` holds those of earlier calls and is brought forward."""
+    order = np.argsort(length, kind="stable")
+    count = np.bincount(length, minlength=len(seen))
+    begin = np.cumsum(count) - count
+    rank = np.empty(len(length), np.int64)
+    rank[order] = np.arange(len(length)) - begin[length[order]]
+    rank += seen[length]
+    seen += count
+    return rank
 
 
 def fill_patterns(lengths: np.ndarray, room: int) -> np.ndarray:
@@ -149,26 +182,25 @@ def pack(df: DataFrame, path: str, room: int = 1024, end: int = 2, key: str = "d
     key_type = df.schema[key].dataType.simpleString()
     tail = int(end).to_bytes(4, "little")
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, part, seen = byte_bpe(path), TaskContext.get().partitionId(), [0] * (room + 1)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, part, seen = byte_bpe(path), TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
         for batch in batches:
-            at, rows = 0, []
-            for block in blocks(batch["_text"].tolist(), chars):
-                for ids in bpe.encode(block):
-                    ids += tail
-                    for i, (start, length) in enumerate(cut(len(ids) // 4, room)):
-                        own = ids[4 * start:4 * (start + length)]
-                        rows.append((at, i, start, length, zlib.crc32(own), part, seen[length]) + ((own,) if keep_ids else ()))
-                        seen[length] += 1
-                    at += 1
-            names = ["_at", *(c.split()[0] for c in PIECE.split(", "))] + (["_ids"] if keep_ids else [])
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "_key", batch["_key"].to_numpy()[out.pop("_at").to_numpy(np.int64)])
-            if keep_ids:
-                out["_ids"] = [np.frombuffer(x, "<i4") for x in out["_ids"]]
-            yield out
-
-    cut_up = materialize(df.select(F.col(key).alias("_key"), text_column(text).alias("_text")).mapInPandas(
+            keys, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
+            for block in blocks(texts, chars):
+                ids = bpe.encode(block)
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
+                document, piece, start, length = cut(n, room)
+                columns = [keys.take(pa.array(document + at)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                           pa.array(checksums(ids, np.bincount(document, minlength=len(n)), start, tail)),
+                           pa.array(np.full(len(piece), part), pa.int32()), pa.array(ranks(length, seen))]
+                if keep_ids:  # pieces follow each other without gaps
+                    flat = np.frombuffer(tail.join([*ids, b""]), "<i4")
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(block)
+
+    names = ["_key", *(c.split()[0] for c in PIECE.split(", "))] + (["_ids"] if keep_ids else [])
+    cut_up = materialize(df.select(F.col(key).alias("_key"), text_column(text).alias("_text")).mapInArrow(
         pieces, f"_key {key_type}, {PIECE}" + (", _ids array<int>" if keep_ids else "")))
     counts = cut_up.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     histogram = np.zeros(room + 1, np.int64)

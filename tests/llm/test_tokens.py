@@ -124,6 +124,39 @@ def test_packing_with_a_frequent_length(spark, byte_path):
     assert len({r["sequence_id"] for r in rows}) <= 1.1 * lower
 
 
+def test_packing_keeps_ids(spark, odd_docs, byte_path):
+    own = odd_docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    texts = {r["doc_id"]: r["text"] for r in own.collect()}
+    ids = {k: [*i, 2] for k, i in zip(texts, library(byte_path, texts.values()))}
+    rows = packing.pack(own, byte_path, 64, keep_ids=True, chars=40).collect()
+    check_packing(rows, texts, byte_path, 64)
+    assert all(r["ids"] == ids[r["doc_id"]][r["start"]:r["start"] + r["length"]] for r in rows)
+
+
+def test_packing_keeps_large_keys_beside_null_ones(spark, byte_path):
+    keys = [None, 2 ** 62 + 1, 2 ** 53 + 1, 5]
+    df = spark.createDataFrame([(k, f"text {k}") for k in keys], "doc_id long, text string")
+    assert {r["doc_id"] for r in packing.pack(df, byte_path).collect()} == set(keys)
+
+
+@pytest.mark.parametrize("n, room", [([1], 1), ([1, 5, 4, 3, 9], 4), ([64, 65, 128, 1, 63], 64), ([], 8)])
+def test_cut_and_ranks(n, room):
+    document, piece, start, length = packing.cut(np.array(n, np.int64), room)
+    want = []
+    for d, total in enumerate(n):
+        bounds = [0, *range(total % room or room, total + 1, room)]
+        want += [(d, i, a, b - a) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    assert list(zip(document.tolist(), piece.tolist(), start.tolist(), length.tolist())) == want
+    seen, plain = np.zeros(room + 1, np.int64), [0] * (room + 1)
+    for _ in range(2):
+        expected = []
+        for v in length.tolist():
+            expected.append(plain[v])
+            plain[v] += 1
+        assert packing.ranks(length, seen).tolist() == expected
+    assert seen.tolist() == plain
+
+
 @pytest.mark.parametrize("lengths", [[], [1] * 5000, [1024] * 3, [600] * 9, [513, 511] * 40, list(range(1, 1025)), [7, 5, 3] * 999])
 def test_patterns_use_the_histogram_up(lengths):
     h = np.bincount(lengths, minlength=1025)

@@ -222,6 +222,19 @@ def agg_11(spark, sf):
     return Q.correlations(df, df.columns, complete_rows=True).select("a", "b", "n", r("r", 6).alias("r"))
 
 
+_HOLES = ("SELECT CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END AS importe, CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END AS cantidad, "
+          "CASE WHEN l_suppkey % 3 <> 0 THEN l_discount END AS rebaja, l_tax AS impuesto, CASE WHEN l_linenumber > 9 THEN l_tax END AS vacio FROM lineitem")
+_HOLED = ["importe", "cantidad", "rebaja", "impuesto", "vacio"]
+
+
+@query("agg-10-holes", f"WITH v AS ({_HOLES}) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, COUNT(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, {rs(f'corr({a}, {b})', 4)} AS r FROM v"
+    for i, a in enumerate(_HOLED) for b in _HOLED[i + 1:]))
+def agg_10_holes(spark, sf):
+    df = spark.sql(_HOLES.replace(" lineitem", " {t}"), t=table(spark, sf, "lineitem"))
+    return Q.correlations(df, df.columns).select("a", "b", "n", r("r", 4).alias("r"))
+
+
 _EVERY = " UNION ALL ".join(f"({s})" for s in RULES.values())
 
 
@@ -375,6 +388,17 @@ def win_06(spark, sf):
     return R.carry_forward(df, "estado", "folio", ["segmento"]).select("folio", "estado")
 
 
+_SEVERAL = {"estado": "folio % 25 < 3", "producto": "folio % 7 = 0", "importe": "folio % 11 < 4"}
+
+
+@query("win-06-several", f"WITH {SQL_DEMO}, v AS (SELECT folio, segmento, " + ", ".join(
+    f"CASE WHEN {w} THEN NULL ELSE {c} END AS {c}" for c, w in _SEVERAL.items()) + " FROM ventas_demo) SELECT folio, " + ", ".join(
+    _FILL.replace("estado", c).replace("ORDER BY", "PARTITION BY segmento ORDER BY") + f" AS {c}" for c in _SEVERAL) + " FROM v")
+def win_06_several(spark, sf):
+    df = ventas_demo(spark, sf).select("folio", "segmento", *[F.when(~F.expr(w), F.col(c)).alias(c) for c, w in _SEVERAL.items()])
+    return R.carry_forward(df, list(_SEVERAL), "folio", ["segmento"]).drop("segmento")
+
+
 @query("prp-09", f"WITH {SQL_SUCIAS} SELECT folio, estado FROM ventas_sucias WHERE estado IS NOT NULL")
 def prp_09(spark, sf):
     return R.apply_plan(ventas_sucias(spark, sf).select("folio", "estado"), R.Plan(impute={"estado": "eliminar_filas"})).table

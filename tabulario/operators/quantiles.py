@@ -199,6 +199,25 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str,
     return placed.groupBy(*by).agg(*picked)
 
 
+def grouped_quantiles_of(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row per group with a column per name in `wanted`: the quantile p of a value column, as (column, p).
+
+    All columns and quantiles share one search, keyed by group and column, so the number of jobs does not depend on how
+    many there are. A quantile of a column without values in a group is null; groups without any value have no row.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    probs = {f"_p{j}": p for j, p in enumerate(dict.fromkeys(p for _, p in wanted.values()))}
+    of = {p: name for name, p in probs.items()}
+    if len(columns) == 1:
+        found = grouped_quantiles(df, by, columns[0], probs)
+        return found.select(*by, *[F.col(of[p]).alias(name) for name, (_, p) in wanted.items()])
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    long = df.select(*by, cells.alias("_x")).select(*by, F.col("_x.c").alias("_column"), F.col("_x.v").alias("_value")).where("_value is not null")
+    found = grouped_quantiles(long, [*by, "_column"], "_value", probs)
+    return found.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_column") == columns.index(c), F.col(of[p]))).alias(name) for name, (c, p) in wanted.items()])
+
+
 def ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     """`df` in ranges of `order`, one per shuffle partition, numbered in `_range`; written down, so that they stay as they are.
 

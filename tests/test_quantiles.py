@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulario.operators import groups as G
 from tabulario.operators import quantiles as Q
 from tabulario.operators import repair as R
+from tabulario.operators.kpi import evaluate, mediana, percentil
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
 
@@ -96,3 +99,30 @@ def test_carry_forward_by_text_and_ties(spark):
         last = s or last
         if last:
             assert got[got.o == o].s.tolist() == [last]
+
+
+def test_quantiles_of_several_columns_in_one_search(spark, monkeypatch):
+    rng = random.Random(8)
+    pdf = pd.DataFrame({"g": [rng.choice("abbbb") for _ in range(500)], "x": [rng.choice([None, rng.random(), 1.0]) for _ in range(500)],
+                        "y": [rng.gauss(0, 5) for _ in range(500)]})
+    pdf.loc[pdf.g == "a", "x"] = None
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, x double, y double")
+    calls, one = [], Q.grouped_quantiles
+    monkeypatch.setattr(Q, "grouped_quantiles", lambda *a: calls.append(1) or one(*a))
+    wanted = {"xm": ("x", 0.5), "x9": ("x", 0.9), "ym": ("y", 0.5), "y1": ("y", 0.1)}
+    got = Q.grouped_quantiles_of(df, ["g"], wanted).toPandas().set_index("g")
+    assert len(calls) == 1 and set(got.index) == {"a", "b"}
+    for name, (c, p) in wanted.items():
+        want = pdf.groupby("g")[c].quantile(p)
+        for g in "ab":
+            assert (pd.isna(got.at[g, name]) and pd.isna(want[g])) or abs(got.at[g, name] - want[g]) < 1e-9
+    assert Q.grouped_quantiles_of(df.limit(0), ["g"], wanted).count() == 0
+
+
+def test_grouped_measures_share_one_search(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("a", 3.0, None), ("b", 7.0, None), (None, 9.0, 9.0)], "g string, x double, y double")
+    calls, one = [], Q.grouped_quantiles
+    monkeypatch.setattr(Q, "grouped_quantiles", lambda *a: calls.append(1) or one(*a))
+    got = evaluate(df, {"mx": mediana("x"), "my": mediana("y"), "px": percentil("x", 90)}, ["g"]).orderBy("g").collect()
+    assert len(calls) == 1
+    assert [tuple(r) for r in got] == [("a", 2.0, 5.0, 2.8), ("b", 7.0, None, 7.0)]

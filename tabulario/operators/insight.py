@@ -6,6 +6,9 @@ from dataclasses import dataclass
 from datetime import date, datetime
 from functools import cached_property
 
+from py4j.protocol import Py4JError
+from pyspark.errors import (AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException,
+                            NumberFormatException, PySparkException)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from tabulario.operators.values import shares
 INSIGHT = "kind string, code string, subject string, title string, impact double, evidence map<string,double>"
 OPPORTUNITY, RISK, FINDING, CONTEXT = "oportunidad", "riesgo", "hallazgo", "contexto"
 Mapping = dict[str, str | None]
+#: Errors of Spark that lie in a rule and its data; any other one means that the job or the cluster failed.
+OF_A_RULE = (AnalysisException, ArithmeticException, DateTimeException, IllegalArgumentException, NumberFormatException)
 
 
 def _insight(kind: str, code: str, subject: str | None, title: str, impact: float, **evidence: float) -> tuple:
@@ -258,7 +263,7 @@ def frame(df: DataFrame, found: list[tuple]) -> DataFrame:
 
 def generate(df: DataFrame, profiles: Profiles, mapping: Mapping, issues: DataFrame | None = None, limit: int = 12,
              as_of: date | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """Insights of every rule, strongest first. A rule that fails leaves a note and stops no other."""
+    """Insights of every rule, strongest first. A rule that fails leaves a note and stops no other; a failed job is raised."""
     found = pending_quality(issues) if issues is not None else []
     context = Context(df, mapping, profiles, as_of or datetime.now().date())
     try:
@@ -266,6 +271,8 @@ def generate(df: DataFrame, profiles: Profiles, mapping: Mapping, issues: DataFr
             try:
                 found += rule(context)
             except Exception as e:  # noqa: BLE001
+                if isinstance(e, (PySparkException, Py4JError, OSError)) and not isinstance(e, OF_A_RULE):
+                    raise
                 found.append(_insight(CONTEXT, "regla_fallida", rule.__name__, f"No se pudo evaluar: {type(e).__name__}", 0.05))
     finally:
         context.release()

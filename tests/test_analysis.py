@@ -1,6 +1,7 @@
 from datetime import date, datetime, timedelta
 
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 from tabulario.operators import explain as E
@@ -61,6 +62,23 @@ def test_a_failing_rule_stops_no_other(sales):
     assert {"regla_fallida", "segmento_discrimina"} <= {r["code"] for r in found}
 
 
+def test_a_failed_job_is_no_finding(spark, sales):
+    def unknown_column(c):
+        c.df.select("no such column").count()
+
+    def division(c):
+        spark.range(3).select(F.expr("1 div (id - id)")).collect()
+
+    def lost(c):
+        raise Py4JError("job aborted: executor lost")
+
+    profiles = P.profile(sales)
+    notes = X.generate(sales, profiles, MAP, rules=[unknown_column, division]).collect()
+    assert {r["subject"] for r in notes if r["code"] == "regla_fallida"} == {"unknown_column", "division"}
+    with pytest.raises(Py4JError):
+        X.generate(sales, profiles, MAP, rules=[lost])
+
+
 def test_flat_series_has_no_unusual_period(spark):
     flat = spark.createDataFrame([(date(2022 + m // 12, 1 + m % 12, 1), 100.0) for m in range(24)], "period date, value double")
     assert E.unusual_periods(flat).isEmpty()

@@ -43,7 +43,7 @@ def _files(spark, sf):
 
 
 def _text(spark, path):
-    return D.joined_records(D.decoded_lines(D.lines(spark, path), D.encodings(spark, path)))[0]
+    return D.records(spark, path, D.materialize(D.splits(spark, path)))
 
 
 def _number(file="file"):
@@ -63,7 +63,7 @@ def src_02(spark, sf):
 @query("src-03", f"SELECT CAST({_P} AS INTEGER) AS p, CAST({_P} AS INTEGER) AS header, 5 * 1.5e0 + COUNT(DISTINCT c) * 0.5e0 AS score FROM orders, (VALUES ('Folio'), ('Fecha'), ('Región'), ('Monto'), ('Nota')) v(c) GROUP BY 1, 2")
 def src_03(spark, sf):
     text = _text(spark, _files(spark, sf))
-    found = D.header_rows(text.join(D.separators(text).select("file", "separator"), "file"))
+    found = D.header_rows(text, D.separators(text).select("file", "separator"))
     return found.select(_number(), "header", "score")
 
 

@@ -85,5 +85,54 @@ def test_open_quotes_are_noted_and_lines_kept(spark, tmp_path):
 
 def test_heads_are_cut_before_the_shuffle(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a;b\n" * 50)
-    text = D.decoded_lines(D.lines(spark, str(tmp_path)), D.encodings(spark, str(tmp_path)))
+    text = D.records(spark, str(tmp_path), D.splits(spark, str(tmp_path)))
     assert "WindowGroupLimit" in D.head(text, 3)._jdf.queryExecution().toString()
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few bytes, so that records straddle them."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(kept, ("150", "0")):
+        spark.conf.set(k, v)
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def quoted_rows(path):
+    import csv
+    with open(path, newline="") as f:
+        return sorted(tuple(r) for r in list(csv.reader(f))[1:])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_records_that_straddle_splits(spark, tmp_path, small_splits, seed):
+    import random
+    rng = random.Random(seed)
+    for k in range(2):
+        rows = []
+        for i in range(25):
+            lines = ["x" * rng.randrange(1, 12) + str(j) for j in range(rng.choice([1, 1, 1, 2, 3, 40]))]
+            rows.append(f'{k}-{i},"' + "\n".join(lines) + '"' if len(lines) > 1 or rng.random() < 0.3 else f"{k}-{i},{lines[0]}")
+        (tmp_path / f"f{k}.csv").write_text("a,b\n" + "\n".join(rows) + "\n")
+    layout = D.splits(spark, str(tmp_path))
+    assert layout.where("inside").count() > 2 and layout.where("inside AND open AND odd = 0").count() > 0
+    got = D.read_delimited(spark, str(tmp_path))
+    want = sorted(quoted_rows(tmp_path / "f0.csv") + quoted_rows(tmp_path / "f1.csv"))
+    assert sorted(map(tuple, got.table.collect())) == want and got.rejected.isEmpty()
+
+
+def test_lines_are_not_shuffled(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text("a,b\n" + '1,"x\ny"\n' * 30)
+    (tmp_path / "b.csv").write_text("a,b\n" + "1,2\n" * 30)
+    got = D.read_delimited(spark, str(tmp_path))
+    plan = got.table._jdf.queryExecution().executedPlan().toString()
+    assert got.table.count() == 60 and "Exchange hashpartitioning" not in plan and "Exchange range" not in plan and "SortMergeJoin" not in plan
+
+
+def test_an_open_quote_in_one_file_leaves_others_alone(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text("a,b\n" + '1,"x\ny"\n' * 10)
+    (tmp_path / "b.csv").write_text("a,b\n" + "1,z\n" * 20 + '5" tubo,2\n' + "1,z\n" * 20)
+    got = D.read_delimited(spark, str(tmp_path))
+    assert got.table.where("b = 'x\ny'").count() == 10 and got.table.count() == 51 and any("b.csv" in n for n in got.notes)

@@ -94,3 +94,36 @@ def test_running_sums_are_right_beyond_a_block(spark):
     sizes = [i % 7 for i in range(1000)]
     got = spark.createDataFrame([(sizes,)], "s array<int>").select(pii.running(F.col("s"), 16).alias("r")).head()["r"]
     assert got == [sum(sizes[:i]) for i in range(1000)]
+
+
+HEX = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(200)]
+
+
+def spans_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+
+
+@pytest.mark.parametrize("size", [1, 12, 200])
+def test_secrets_are_taken_alike_at_every_size(spark, size):
+    texts = [f'é words token = "{HEX[i]}" more' if i % 2 else f"api_key={HEX[i].upper()}" for i in range(size)]
+    others = [f"commit {HEX[0]} and {HEX[1]} alone", "token " + "a" * 40, "token " + "1" * 40, "token " + "ab12" * 10, f"secret /{HEX[2]}/x", "",
+              "key AKIA" + "A1B2C3D4E5F6G7H8", f"token {HEX[3]}z"]
+    got = spans_of(spark, texts + others)
+    for i in range(size):
+        start = texts[i].lower().index(HEX[i])
+        assert f"secret:{start}:{start + 40}" in got[i].split(","), (texts[i], got[i])
+    rest = [got[size + i] for i in range(len(others))]
+    assert [r for i, r in enumerate(rest) if i != 6 and "secret" in r] == []
+
+
+def test_failed_check_digits_need_a_cue(spark):
+    failed = [n for n in (f"4{i:015d}" for i in range(7 * 10**14, 7 * 10**14 + 40)) if not passes("card", n)][:20]
+    for texts in (["number " + n for n in failed], ["number " + n for n in failed] + ["visa card " + n for n in failed]):
+        got = spans_of(spark, texts)
+        assert all(got[i] == "" for i in range(len(failed)))
+
+
+def test_redaction_of_secrets(spark):
+    df = spark.createDataFrame([(i, f'x token = "{h}" y') for i, h in enumerate(HEX)], "doc_id long, text string")
+    assert {r["text"] for r in pii.redact(df, pii.fit(df)).collect()} == {'x token = "<secret>" y'}

@@ -84,7 +84,8 @@ def is_phone(c: Column) -> Column:
 def shape_length(c: Column, numeric: bool = False) -> Column:
     """Size of a value: integer digits of a number, else length without `-`, `,` and spaces."""
     if numeric:
-        whole = F.abs(c.cast("double")).try_cast("decimal(38,0)")
+        size = F.abs(c.cast("double"))
+        whole = (size - size % 1).try_cast("decimal(38,0)")  # the cast alone would round 999.5 up to four digits
         return F.length(whole.cast("string"))
     bare = F.regexp_replace(strip(c.cast("string")), r"\.0$", "")
     return F.length(F.translate(bare, "- ,", ""))

@@ -83,3 +83,8 @@ def test_functions_run_on_streams(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(r[0] or 0 for r in spark.table("numbers_out").collect()) == [0, 5.0]
+
+
+@pytest.mark.parametrize("given, wanted", [("999.5", 3), ("-999.99", 3), ("1000", 4), ("0.7", 1), ("123456789012345678", 18), ("1e30", 31), ("inf", None), ("nan", None)])
+def test_digits_of_a_number_are_cut_not_rounded(spark, given, wanted):
+    assert one(spark, given, lambda c: text.shape_length(c.cast("double"), numeric=True)) == wanted

@@ -132,6 +132,11 @@ def fill_value(df: DataFrame, column: str, method: str) -> object:
     return Q.quantiles(typed, "v", [0.5])[0] if method == "mediana" else typed.agg(F.avg("v")).head()[0]
 
 
+def _shown(value: object) -> str:
+    """A filling value in the log: numbers with two decimals, those that would read as zero in full."""
+    return f"{value:.2f}" if isinstance(value, float) and (value == 0 or abs(value) >= 0.005) else str(value)
+
+
 def fill(df: DataFrame, column: str, value: object) -> DataFrame:
     """Missing cells take `value`; a number goes into a text column as text and the reverse makes the column text."""
     dtype = dtype_of(df, column)
@@ -327,7 +332,7 @@ def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = None) -> Repaired
             if value is None:
                 continue
             t.df = fill(t.df, c, value)
-            detail = f"{method}={value}"
+            detail = f"{method}={_shown(value)}"
         t.note("imputar", c, missing[c], detail)
     for c, method in plan.clip_outliers.items():
         if c in t.df.columns and is_number(dtype_of(t.df, c)):

@@ -118,3 +118,12 @@ def test_impute_and_clip(spark):
 
 def test_snake_names():
     assert R.snake_names(["Año", "ano", "¡!", "A b"]) == {"Año": "ano", "ano": "ano_1", "¡!": "columna", "A b": "a_b"}
+
+
+def test_fill_value_in_the_log_has_two_decimals(spark):
+    df = spark.createDataFrame([(1, 10.5), (2, 10.53), (3, None)], "i int, v double")
+    log = R.apply_plan(df, R.Plan(impute={"v": "mediana"})).log
+    assert [r["detail"] for r in log.where("action = 'imputar'").collect()] == ["mediana=10.52"]
+    one = spark.createDataFrame([(1, 12.5), (2, None)], "i int, v double")
+    log = R.apply_plan(one, R.Plan(impute={"v": "mediana"})).log
+    assert [r["detail"] for r in log.where("action = 'imputar'").collect()] == ["mediana=12.50"]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -235,22 +235,35 @@ def grow_forest(vectors: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
     return assigned.groupBy("tree").applyInPandas(grow, _NODES)
 
 
+def leaf_depths(x: np.ndarray, forest: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Sum over all trees of the depth at which each row of `x` ends."""
+    total, flat = np.zeros(len(x)), np.where(np.isnan(x), np.inf, x).ravel()  # what is no number goes right
+    first = np.arange(len(x)) * x.shape[1]
+    for feature, cut, left, depth in forest:
+        at = np.zeros(len(x), np.int64)
+        for _ in range(math.ceil(math.log2(SAMPLE))):  # leaves lead to themselves: nothing reaches their cut
+            at = left[at] + (flat[first + feature[at]] >= cut[at])
+        total += depth[at]
+    return total
+
+
 def score_forest(vectors: DataFrame, nodes: DataFrame, column: str = "score") -> DataFrame:
-    """Add the anomaly score of each row: nearer to -1 the rarer. The forest, at most trees * (2 * SAMPLE - 1) nodes, is one
-    row of arrays that every row is walked through by column functions."""
-    order = F.array_sort(F.collect_list(F.struct("node", "feature", "cut", "left", "depth")))
-    packed = nodes.groupBy("tree").agg(order.alias("_t")).agg(F.array_agg(F.struct(
-        *[F.col(f"_t.{f}").alias(f) for f in ("feature", "cut", "left", "depth")])).alias("_forest"))
+    """Add the anomaly score of each row: nearer to -1 the rarer. The forest, at most trees * (2 * SAMPLE - 1) nodes, is
+    broadcast; rows walk through it in batches, all rows of a batch one level at a time."""
+    forest = []
+    for _, t in nodes.toPandas().sort_values(["tree", "node"]).groupby("tree"):
+        inner = t["feature"].to_numpy() >= 0
+        forest.append((np.where(inner, t["feature"], 0), np.where(inner, t["cut"], np.nan), np.where(inner, t["left"], t["node"]), t["depth"].to_numpy()))
+    shared = vectors.sparkSession.sparkContext.broadcast(forest)
     norm = _path_correction(SAMPLE)
-    steps = F.array(*map(F.lit, range(math.ceil(math.log2(SAMPLE)))))
 
-    def leaf(tree: Column) -> Column:
-        """Where a row ends in one tree; sides of a split lie next to each other."""
-        return F.aggregate(steps, F.lit(0), lambda at, _: F.when(F.get(tree["feature"], at) < 0, at).otherwise(
-            F.get(tree["left"], at) + F.when(F.get("_v", F.get(tree["feature"], at)) < F.get(tree["cut"], at), 0).otherwise(1)))
+    @pandas_udf("double")
+    def scored(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=float)
+        return pd.Series(-2.0 ** (-(leaf_depths(np.stack(v.to_list()), shared.value) / len(shared.value)) / norm))
 
-    total = F.aggregate("_forest", F.lit(0.0), lambda sum_, tree: sum_ + F.get(tree["depth"], leaf(tree)))
-    return vectors.crossJoin(F.broadcast(packed)).withColumn(column, -F.pow(F.lit(2.0), -(total / F.size("_forest")) / norm)).drop("_forest")
+    return vectors.withColumn(column, scored("_v"))
 
 
 @dataclass

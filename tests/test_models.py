@@ -191,3 +191,10 @@ def test_shuffled_places_are_a_permutation(spark, n):
 def test_rows_are_numbered_without_gaps(spark):
     df, n = SV.numbered(spark.range(1000).repartition(7).where("id % 3 > 0"), "place")
     assert n == 666 and sorted(r["place"] for r in df.collect()) == list(range(666))
+
+
+def test_depths_of_a_batch():
+    split = (np.array([1, 0, 0]), np.array([2.5, np.nan, np.nan]), np.array([1, 1, 2]), np.array([0.0, 1.0, 4.0]))
+    alone = (np.array([0]), np.array([np.nan]), np.array([0]), np.array([7.0]))
+    x = np.array([[0.0, 2.4], [np.inf, 2.5], [9.0, np.nan], [0.0, np.inf], [np.nan, -np.inf]])
+    assert U.leaf_depths(x, [split, alone]).tolist() == [8.0, 11.0, 11.0, 11.0, 8.0]

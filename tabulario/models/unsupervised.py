@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -248,8 +248,28 @@ def leaf_depths(x: np.ndarray, forest: list[tuple[np.ndarray, ...]]) -> np.ndarr
 
 
 def score_forest(vectors: DataFrame, nodes: DataFrame, column: str = "score") -> DataFrame:
-    """Add the anomaly score of each row: nearer to -1 the rarer. The forest, at most trees * (2 * SAMPLE - 1) nodes, is
-    broadcast; rows walk through it in batches, all rows of a batch one level at a time."""
+    """Add the anomaly score of each row: nearer to -1 the rarer. The forest, at most trees * (2 * SAMPLE - 1) nodes, is one
+    row of arrays that every row is walked through by column functions."""
+    order = F.array_sort(F.collect_list(F.struct("node", "feature", "cut", "left", "depth")))
+    packed = nodes.groupBy("tree").agg(order.alias("_t")).agg(F.array_agg(F.struct(
+        *[F.col(f"_t.{f}").alias(f) for f in ("feature", "cut", "left", "depth")])).alias("_forest"))
+    norm = _path_correction(SAMPLE)
+    steps = F.array(*map(F.lit, range(math.ceil(math.log2(SAMPLE)))))
+
+    def leaf(tree: Column) -> Column:
+        """Where a row ends in one tree; sides of a split lie next to each other."""
+        return F.aggregate(steps, F.lit(0), lambda at, _: F.when(F.get(tree["feature"], at) < 0, at).otherwise(
+            F.get(tree["left"], at) + F.when(F.get("_v", F.get(tree["feature"], at)) < F.get(tree["cut"], at), 0).otherwise(1)))
+
+    total = F.aggregate("_forest", F.lit(0.0), lambda sum_, tree: sum_ + F.get(tree["depth"], leaf(tree)))
+    return vectors.crossJoin(F.broadcast(packed)).withColumn(column, -F.pow(F.lit(2.0), -(total / F.size("_forest")) / norm)).drop("_forest")
+
+
+def score_batches(vectors: DataFrame, nodes: DataFrame, column: str = "score") -> DataFrame:
+    """`score_forest` for large tables: rows walk through the broadcast forest in batches, all of a batch one level at a time.
+
+    A step of a row is a few numbers of an array here, and a dozen interpreted expressions there.
+    """
     forest = []
     for _, t in nodes.toPandas().sort_values(["tree", "node"]).groupby("tree"):
         inner = t["feature"].to_numpy() >= 0
@@ -290,7 +310,7 @@ def run_anomalies(df: DataFrame, profiles: Profiles, contamination: float = 0.02
     vectors = materialize(fit_features(df, features).transform(df).select(
         *[col(c) for c in df.columns], vector_to_array("features").alias("_v"), F.monotonically_increasing_id().alias("_n")))
     nodes = materialize(grow_forest(vectors.select("_v", "_n"), n, trees, seed))  # at most trees * 511 rows
-    scored = materialize(score_forest(vectors, nodes).drop("_v", "_n"))
+    scored = materialize(score_batches(vectors, nodes).drop("_v", "_n"))
     (cut,) = Q.quantiles(scored, "score", [contamination])
     rare = scored.where(F.col("score") < F.lit(cut))
     found = rare.count()

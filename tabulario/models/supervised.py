@@ -182,7 +182,8 @@ def run_supervised(df: DataFrame, profiles: Profiles, target: str, settings: Set
     if task == CLASSIFICATION:
         stages.append(IndexToString(inputCol="prediction", outputCol="_prediccion", labels=classes))
     model = PipelineModel(stages)
-    predicted = model.transform(test)
+    # the metrics and the report read them again, so they are written once
+    predicted = materialize(model.transform(test).drop("features"))
     report = Report(task, True, best, candidates=scores, warnings=warnings, features=features, classes=classes,
                     target=target, model=model, leaks=[r["column"] for r in leaks])
     if task == CLASSIFICATION:

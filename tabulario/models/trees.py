@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import io
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +28,7 @@ from tabulario.session import materialize
 
 BINS = 32
 CELLS = 1 << 22  # cells of the histograms that are held at once
+MEMO = 1 << 18  # numbers of predictions that a task remembers
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,10 @@ class Trees:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """A number per row, or probabilities per class."""
-        raw = self.raw(self.bins(x))
+        return self.outcome(self.bins(x))
+
+    def outcome(self, bins: np.ndarray) -> np.ndarray:
+        raw = self.raw(bins)
         if self.meaning == "mean":
             return raw / len(self.root)
         raw = raw + self.base
@@ -96,6 +101,26 @@ class Trees:
         e = np.exp(raw - raw.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
+    def remembering(self) -> Callable[[np.ndarray], np.ndarray]:
+        """`predict` for batch after batch: what a row of bins gives is kept, up to MEMO numbers, and asked for once."""
+        seen: dict[bytes, int] = {}
+        kept: list[np.ndarray] = []
+
+        def predict(x: np.ndarray) -> np.ndarray:
+            bins = np.ascontiguousarray(self.bins(x))
+            keys, first, place = np.unique(bins.view(f"V{bins.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            names = [k.tobytes() for k in keys]
+            if (len(seen) + len(names)) * max(1, self.slots) > MEMO:
+                seen.clear()
+                kept.clear()
+            new = [i for i, k in enumerate(names) if k not in seen]
+            if new:
+                kept.extend(self.outcome(bins[first[new]]))
+                seen.update({names[i]: len(seen) + j for j, i in enumerate(new)})
+            return np.array([kept[seen[k]] for k in names])[place.ravel()]
+
+        return predict
+
     def dump(self) -> str:
         held = io.BytesIO()
         width = np.array([len(e) for e in self.edges])
@@ -131,13 +156,15 @@ class Growing:
 
 
 def grow(bins: np.ndarray, weight: np.ndarray, amount: np.ndarray, group: np.ndarray, groups: int, depth: int, leaf: int,
-         features: int, rng: np.random.Generator) -> tuple[Growing, np.ndarray]:
+         features: int, rng: np.random.Generator, copies: np.ndarray | None = None) -> tuple[Growing, np.ndarray]:
     """A tree of greatest loss of squares, level by level over histograms, and the node of each row.
 
     `amount` is summed per `group` (the class of a row, or 0) and `weight` over all; a split gains the sum over groups of
     amount² / weight on both sides. Each node looks at `features` of them, drawn anew. With class weights as amounts this
-    is Gini impurity, with weighted targets it is variance, with gradients and curvatures it is a Newton step.
+    is Gini impurity, with weighted targets it is variance, with gradients and curvatures it is a Newton step. A row may
+    stand for several `copies`, with their summed weights and amounts.
     """
+    copies = np.ones(len(bins)) if copies is None else copies
     tree = Growing()
     node = np.zeros(len(bins), np.int64)
     tree.add()
@@ -159,7 +186,7 @@ def grow(bins: np.ndarray, weight: np.ndarray, amount: np.ndarray, group: np.nda
             cell = (k[:, None] * features + np.arange(features)) * BINS + bins[r[:, None], picks[local[part]]]
             shape, size = (n, features, BINS), n * features * BINS
             spread = lambda v: np.repeat(v[r], features)
-            count = np.cumsum(np.bincount(cell.ravel(), minlength=size).reshape(shape), 2)
+            count = np.cumsum(np.bincount(cell.ravel(), spread(copies), minlength=size).reshape(shape), 2)
             w = np.cumsum(np.bincount(cell.ravel(), spread(weight), minlength=size).reshape(shape), 2)
             s = np.cumsum(np.bincount((cell * groups + group[r][:, None]).ravel(), spread(amount), minlength=size * groups).reshape(*shape, groups), 2)
             rest_w, rest_s = w[:, :, -1:] - w, s[:, :, -1:] - s
@@ -203,6 +230,18 @@ def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values("_n", kind="stable", ignore_index=True)
 
 
+def alike(bins: np.ndarray, group: np.ndarray, fold: np.ndarray, folds: int, *amounts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of the same bins and group as one: bins, group, and per fold how many they are and each of `amounts` summed.
+
+    Growing a tree asks for nothing else, and there are at most as many of them as bins can be combined.
+    """
+    wide = np.ascontiguousarray(np.concatenate([bins, group.astype(np.int32)[:, None].view(np.uint8)], 1))
+    _, first, place = np.unique(wide.view(f"V{wide.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    cell, size = place.ravel() * folds + fold, len(first) * folds
+    sums = [np.bincount(cell, a, minlength=size).reshape(-1, folds) for a in (np.ones(len(bins)), *amounts)]
+    return (bins[first], group[first], *sums)
+
+
 class Grower:
     """The candidates of one training over binned rows."""
 
@@ -241,17 +280,22 @@ class Grower:
             pdf = in_order(pdf)
             bins = np.frombuffer(b"".join(pdf["_b"]), np.uint8).reshape(len(pdf), -1)
             label, weight, fold = pdf["label"].to_numpy(), pdf["_w"].to_numpy(), pdf["_fold"].to_numpy()
+            group = label.astype(np.int64) if classes else np.zeros(len(pdf), np.int64)
+            middle = 0.0 if classes else label.mean()  # centred, so that sums of squares keep their digits
+            bins, group, count, w_of, s_of = alike(bins, group, fold, folds, weight, weight if classes else weight * (label - middle))
             out = []
             for j in range(folds + 1):
-                at = np.flatnonzero(fold != j)
+                others = np.arange(folds) != j
+                n, w, amount = count[:, others].sum(1), w_of[:, others].sum(1), s_of[:, others].sum(1)
+                at = np.flatnonzero(n)
                 if not len(at):
                     continue
-                b, y, w = bins[at], label[at], weight[at]
-                group = y.astype(np.int64) if classes else np.zeros(len(at), np.int64)
-                amount = w if classes else w * (y - y.mean())  # centred, so that sums of squares keep their digits
-                tree, node = grow(b, w, amount, group, max(1, classes), e.depth, e.leaf, features, np.random.default_rng((e.seed, key[0], j)))
+                b, g, n, w, amount = bins[at], group[at], n[at], w[at], amount[at]
+                off = 0.0 if classes else amount.sum() / w.sum()
+                tree, node = grow(b, w, amount - off * w if not classes else amount, g, max(1, classes), e.depth, e.leaf, features,
+                                  np.random.default_rng((e.seed, key[0], j)), n)
                 total = np.bincount(node, w, minlength=len(tree.feature))
-                entries = leaves(len(tree.feature), node, group, (w if classes else w * y) / total[node], max(1, classes))
+                entries = leaves(len(tree.feature), node, g, (w if classes else amount + middle * w) / total[node], max(1, classes))
                 out.append(packed(j, key[0], [], tree, entries))
             return pd.DataFrame(out, columns=[c.split()[0] for c in _TREE.split(", ")])
 
@@ -267,16 +311,19 @@ class Grower:
         def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = in_order(pdf)
             bins = np.frombuffer(b"".join(pdf["_b"]), np.uint8).reshape(len(pdf), -1)
-            y, n = pdf["label"].to_numpy(), len(pdf)
+            y, fold = pdf["label"].to_numpy(), np.zeros(len(pdf), np.int64)
+            bins, group, copies, total = alike(bins, y.astype(np.int64) if classes else fold, fold, 1, y)
+            y, n = (total / copies)[:, 0], len(bins)  # one label for each class, else the mean of rows that no tree tells apart
             slots = 1 if classes <= 2 else classes
+            mean = float(total.sum() / copies.sum())
             if not classes:
-                base, target = np.array([y.mean()]), y[:, None]
+                base, target = np.array([mean]), y[:, None]
             elif slots == 1:
-                p = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+                p = np.clip(mean, 1e-6, 1 - 1e-6)
                 base, target = np.array([np.log(p / (1 - p))]), y[:, None]
             else:
-                target = (y[:, None] == np.arange(classes)).astype(float)
-                base = np.log(np.maximum(target.mean(0), 1e-6))
+                target = (group[:, None] == np.arange(classes)).astype(float)
+                base = np.log(np.maximum((target * copies).sum(0) / copies.sum(), 1e-6))
             raw = np.tile(base, (n, 1))
             rng, out = np.random.default_rng((e.seed, key[0])), []
             zero = np.zeros(n, np.int64)
@@ -290,8 +337,9 @@ class Grower:
                     p = np.exp(raw - raw.max(1, keepdims=True))
                     p /= p.sum(1, keepdims=True)
                     slope, bend = target - p, np.maximum(p * (1 - p), 1e-6)
+                slope, bend = slope * copies, bend * copies
                 for k in range(slots):
-                    tree, node = grow(bins, bend[:, k], slope[:, k], zero, 1, e.boost_depth, e.leaf, bins.shape[1], rng)
+                    tree, node = grow(bins, bend[:, k], slope[:, k], zero, 1, e.boost_depth, e.leaf, bins.shape[1], rng, copies[:, 0])
                     value = e.step * np.bincount(node, slope[:, k], minlength=len(tree.feature)) / np.maximum(
                         np.bincount(node, bend[:, k], minlength=len(tree.feature)), 1e-12)
                     used = np.unique(node)
@@ -334,8 +382,10 @@ class TreeModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         shared = dataset.sparkSession.sparkContext.broadcast(model)  # bounded by the effort
 
         @pandas_udf("array<double>")
-        def scored(x: pd.Series) -> pd.Series:
-            return pd.Series(list(shared.value.predict(np.stack(x.to_list()))) if len(x) else [], dtype=object)
+        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            predict = shared.value.remembering()
+            for x in batches:
+                yield pd.Series(list(predict(np.stack(x.to_list()))) if len(x) else [], dtype=object)
 
         out = dataset.withColumn("_scores", scored.asNondeterministic()(vector_to_array("features")))
         if number:

@@ -198,3 +198,33 @@ def test_depths_of_a_batch():
     alone = (np.array([0]), np.array([np.nan]), np.array([0]), np.array([7.0]))
     x = np.array([[0.0, 2.4], [np.inf, 2.5], [9.0, np.nan], [0.0, np.inf], [np.nan, -np.inf]])
     assert U.leaf_depths(x, [split, alone]).tolist() == [8.0, 11.0, 11.0, 11.0, 8.0]
+
+
+def test_rows_alike_grow_the_same_tree_and_are_asked_for_once():
+    from tabulario.models import trees as T
+    rng = np.random.default_rng(0)
+    n = 5_000
+    bins = np.c_[rng.integers(0, 9, n), rng.integers(0, 3, n)].astype(np.uint8)
+    y, fold, none = bins[:, 0] * 2.0 + rng.normal(size=n), rng.integers(0, 5, n), np.zeros(n, np.int64)
+    some, group, count, weight, amount = T.alike(bins, none, fold, 5, np.ones(n), y - y.mean())
+    assert len(some) == 27 and count.sum() == n and np.allclose(count.sum(0), np.bincount(fold))
+    plain, at = T.grow(bins, np.ones(n), y - y.mean(), none, 1, 6, 2, 2, np.random.default_rng(1))
+    merged, _ = T.grow(some, weight.sum(1), amount.sum(1), group, 1, 6, 2, 2, np.random.default_rng(1), count.sum(1))
+    assert (plain.feature, plain.cut, plain.child) == (merged.feature, merged.cut, merged.child)
+    total = np.bincount(at)
+    entries = T.leaves(len(plain.feature), at, none, y / total[at], 1)
+    arrays = [np.array(a) for a in (plain.feature, plain.cut, plain.child)]
+    model = T.Trees([np.arange(8.0), np.arange(2.0)], 1, np.zeros(1), np.array([0]), *arrays, *[entries[k] for k in ("start", "size", "slot", "share")])
+    asked = []
+    whole = model.outcome
+    model.outcome = lambda b: (asked.append(len(b)), whole(b))[1]
+    predict, x = model.remembering(), bins.astype(float)
+    assert all((predict(part) == whole(model.bins(part))).all() for part in (x, x[:70], x[::3]))
+    assert asked == [27]
+
+
+def test_batches_score_as_column_functions_do(spark):
+    vectors = spark.range(400).select(F.array(F.sqrt("id"), (F.col("id") % 17).cast("double"), F.rand(4)).alias("_v"), F.col("id").alias("_n")).persist()
+    forest = U.grow_forest(vectors, 400, 20, 3).persist()
+    both = U.score_batches(U.score_forest(vectors, forest, "a"), forest, "b")
+    assert both.where("abs(a - b) > 1e-12 or b is null").isEmpty()

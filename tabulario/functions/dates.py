@@ -19,17 +19,22 @@ _FORMATS = [
     (r"^\d{1,2}-\d{1,2}-\d{4}$", ["d-M-yyyy", "M-d-yyyy"]),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["d.M.yyyy"]),
 ]
+_SLASHES = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"  # the third shape, with nothing around it
+_BEGINS = r"(?U)^\s*[0-9]{1,4}[-/.]"  # as every shape does
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$"
 
 
 def to_datetime(c: Column) -> Column:
     """Text to TIMESTAMP_NTZ, day first when both orders are possible; null when unreadable."""
-    s = strip(c.cast("string"))
+    def tried(text: Column, formats: list[str]) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+
+    raw = c.cast("string")
+    s = strip(raw)
     parsed = F.when(s.rlike(_ISO), s.try_cast("timestamp_ntz"))
     for shape, formats in _FORMATS:
-        tried = [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in formats]
-        parsed = parsed.when(s.rlike(shape), F.coalesce(*tried))
-    return parsed
+        parsed = parsed.when(s.rlike(shape), tried(s, formats))
+    return F.when(raw.rlike(_SLASHES), tried(raw, ["d/M/yyyy", "M/d/yyyy"])).when(raw.rlike(_BEGINS), parsed)
 
 
 def as_timestamp(c: Column, dtype: T.DataType) -> Column:

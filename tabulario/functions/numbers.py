@@ -8,12 +8,16 @@ from pyspark.sql import types as T
 from tabulario.functions import fixed
 from tabulario.functions.text import strip
 
+# A value that reads as it stands once `$`, spaces and thousands are gone; and characters that no step takes away, so it is no number.
+_PLAIN = r"^(?:\$ ?)?[+-]?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.[0-9]+)?\z"
+_FOREIGN = r"[@#/:;_&*!?|b-cf-kqtv-wy-zB-CF-KQTV-WY-Z]"
 _NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
 
 
 def to_number(c: Column) -> Column:
     """Text to double: currency, percent, thousands, decimal comma, parentheses for negatives."""
-    s = strip(c.cast("string"))
+    raw = c.cast("string")
+    s = strip(raw)
     sign = F.when(s.rlike(r"(?s)^\(.*\)$"), F.lit(-1.0)).otherwise(F.lit(1.0))
     kept = F.when(~F.lower(s).isin(fixed.NULL_TOKENS), s)
     body = F.regexp_replace(kept, r"^[()]+|[()]+$", "")
@@ -26,7 +30,8 @@ def to_number(c: Column) -> Column:
         .when(body.rlike(r"^[^,].*,[^,]{3}$"), no_commas)
         .otherwise(comma_is_point)
     )
-    return F.regexp_extract(plain, _NUMBER, 1).try_cast("double") * sign
+    found = F.regexp_extract(plain, _NUMBER, 1).try_cast("double") * sign
+    return F.when(raw.rlike(_PLAIN), F.translate(raw, "$, ", "").try_cast("double")).when(~raw.rlike(_FOREIGN), found)
 
 
 def as_double(c: Column, dtype: T.DataType) -> Column:

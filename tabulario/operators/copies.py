@@ -44,9 +44,10 @@ class Copies:
         self.names = [_free(df, f"_f{i}") for i in range(len(marks(df, self.columns)))]
         self.marked = df.withColumns(dict(zip(self.names, marks(df, self.columns))))
         self.all_columns = df.columns
-        counted = self.marked.groupBy(*self.names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        self.repeated = materialize(counted.select(*self.names))
-        self.n_repeated = self.repeated.count()
+        n = _free(df, "_n")
+        counted = materialize(self.marked.groupBy(*self.names).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1))
+        self.repeated = counted.select(*self.names)
+        self.n_repeated, self.n_suspects = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum(n), F.lit(0))).head()
 
     def _joined(self, how: str) -> DataFrame:
         few = F.broadcast(self.repeated) if self.n_repeated <= BROADCAST else self.repeated
@@ -76,14 +77,21 @@ def duplicate_rows(df: DataFrame, marks: Fingerprint = fingerprint) -> DataFrame
 
 def first_of_copies(df: DataFrame, row_id: str | None = None, marks: Fingerprint = fingerprint) -> DataFrame:
     """Each row once. With `row_id`, which is not compared, the copy with the smallest one stays, a missing one last."""
+    return without_copies(df, row_id, marks)[0]
+
+
+def without_copies(df: DataFrame, row_id: str | None = None, marks: Fingerprint = fingerprint) -> tuple[DataFrame, int]:
+    """`first_of_copies` and how many rows it leaves out. One copy of each repeated row is written down, so the rest is read once."""
     others = [c for c in df.columns if c != row_id]
     if not others:
-        return df.limit(1) if row_id is None else df.orderBy(col(row_id).asc_nulls_last()).limit(1)
+        first = df.limit(1) if row_id is None else df.orderBy(col(row_id).asc_nulls_last()).limit(1)
+        return first, max(df.count() - 1, 0)
     copies = Copies(df, others, marks)
     if not copies.n_repeated:
-        return df
+        return df, 0
     once = copies.groups(*([F.min(col(row_id)).alias(row_id)] if row_id else [F.count(F.lit(1)).alias(_free(df, "_n"))]))
-    return copies.single().unionByName(once.select(*[col(c) for c in df.columns]))
+    once = materialize(once.select(*[col(c) for c in df.columns]))
+    return copies.single().unionByName(once), copies.n_suspects - once.count()
 
 
 def _free(df: DataFrame, name: str) -> str:

@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 
 from tabulario.functions import text
 from tabulario.operators import quantiles as Q
-from tabulario.operators.copies import first_of_copies
+from tabulario.operators.copies import without_copies
 from tabulario.operators.intake import col, dtype_of, instant, is_number, is_text, number, present, rows
 from tabulario.operators.values import value_counts
+from tabulario.session import materialize
 
 FIRST_VALID_DATE = "1950-01-01 00:00:00"
 LOG = "step int, action string, `column` string, n_affected bigint, detail string"
@@ -100,10 +101,10 @@ def canonical_spellings(df: DataFrame, column: str) -> DataFrame:
 def unify_categories(df: DataFrame, column: str) -> DataFrame:
     """Replace each spelling by the most frequent one of its key.
 
-    The lookup has only spellings that change. It is left to Spark to broadcast it when its measured
+    The lookup has only spellings that change and is found once. It is left to Spark to broadcast it when its measured
     size allows, and to split a hot value when not.
     """
-    lookup = canonical_spellings(df, column).select(F.col("value").alias("_from"), F.col("canonical").alias("_to"))
+    lookup = materialize(canonical_spellings(df, column).select(F.col("value").alias("_from"), F.col("canonical").alias("_to")))
     return (
         df.join(lookup, col(column) == F.col("_from"), "left")
         .withColumn(column, F.coalesce("_to", col(column)))
@@ -342,10 +343,9 @@ def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = None) -> Repaired
             t.df = clip(t.df, c, low, high)
     t.settle()
     if plan.drop_duplicates:
-        t.df = first_of_copies(t.df, row_id)
-        n = t.df.count()
-        t.note("eliminar_duplicadas", None, left - n)
-        left = n
+        t.df, n = without_copies(t.df, row_id)
+        t.note("eliminar_duplicadas", None, n)
+        left -= n
     if plan.snake_case:
         names = snake_names([c for c in t.df.columns if c not in keep])
         t.df = t.df.withColumnsRenamed(names)

@@ -13,6 +13,7 @@ from tabulario.operators import quality as Q
 from tabulario.operators import repair as R
 from tabulario.operators.copies import duplicate_rows
 from tabulario.plans.autoclean import auto_clean
+from tabulario.session import held
 
 AS_OF = date(2026, 1, 1)
 
@@ -126,8 +127,8 @@ WITH_NONE = f"WITH {SQL_SUCIAS}, raros AS (SELECT NULL AS \"column\" WHERE false
 
 def _rule(key, code, f, stats=False, **kw):
     def run(spark, sf):
-        df = ventas_sucias(spark, sf)
-        return short(f(df, P.profile(df, stats=stats), **kw))
+        with held(ventas_sucias(spark, sf)) as df:
+            return short(f(df, P.profile(df, stats=stats), **kw))
 
     query(key, f"{WITH} {RULES[code]}")(run)
 

@@ -11,6 +11,7 @@ from tabulario.operators import choices as C
 from tabulario.operators import profile as P
 from tabulario.operators import quality as QL
 from tabulario.operators import values as V
+from tabulario.session import held
 
 # amounts written in the ways people write them
 _AMOUNTS = """
@@ -358,8 +359,8 @@ v AS (SELECT {' + '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in _AL
 SELECT COUNT(*) AS filas, CAST(15 AS BIGINT) AS columnas, CAST(SUM(e) AS BIGINT) AS celdas_vacias, {rs('SUM(e) / (COUNT(*) * 15)', 6)} AS pct_vacias,
 (SELECT CAST(SUM(c - 1) AS BIGINT) FROM d) AS filas_duplicadas FROM v""")
 def prf_08(spark, sf):
-    df = ventas_sucias(spark, sf)
-    return P.overview(df, P.profile(df, stats=False)).select("filas", "columnas", "celdas_vacias", r("pct_vacias", 6).alias("pct_vacias"), "filas_duplicadas")
+    with held(ventas_sucias(spark, sf)) as df:
+        return P.overview(df, P.profile(df, stats=False)).select("filas", "columnas", "celdas_vacias", r("pct_vacias", 6).alias("pct_vacias"), "filas_duplicadas")
 
 
 # --- choices from profiles ---------------------------------------------------------------

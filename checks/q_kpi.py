@@ -200,7 +200,8 @@ def _last_deltas(code: str, unit: str) -> str:
 def kpi_10(spark, sf):
     df = ventas_demo(spark, sf)
     found = K.catalogue(df, MAPPING, ["Registros", "Ingreso total"])
-    per = [K.with_deltas(found, df, MAPPING, unit).select(F.lit(unit).alias("unidad"), "kpi", r("delta", 6).alias("delta")) for unit in _UNITS]
+    daily = K.totals_by_day(df, MAPPING)
+    per = [K.with_deltas(found, df, MAPPING, unit, daily).select(F.lit(unit).alias("unidad"), "kpi", r("delta", 6).alias("delta")) for unit in _UNITS]
     return reduce(lambda a, b: a.unionByName(b), per)
 
 

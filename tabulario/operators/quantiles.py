@@ -22,6 +22,7 @@ from tabulario.session import materialize
 ACCURACY = 10_000
 MARGIN = 4.0 / ACCURACY
 CANDIDATES = 1_000_000  # values of one bracket that are ordered together
+GROUPS = 20_000  # groups whose brackets may be broadcast: about 100 bytes each and quantile
 
 
 @dataclass(frozen=True)
@@ -174,7 +175,10 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str,
             for i, p in enumerate(probs.values())
         ]).alias("_t"))
     )
-    joined = base.join(brackets, _same(by, keys)).drop(*keys)
+    # counted, not guessed: left to itself, Spark sends all rows of a group to one task and sorts them there
+    brackets = materialize(brackets)
+    few = brackets.count() <= GROUPS
+    joined = base.join(F.broadcast(brackets) if few else brackets, _same(by, keys)).drop(*keys)
     below = joined.groupBy(*by).agg(F.array(*[
         F.count_if(F.col("_v") < F.col("_t")[i]["lo"]) for i in range(len(probs))
     ]).alias("_b")).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "_b")
@@ -184,7 +188,7 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str,
         .groupBy(*by, F.col("_x.i").alias("_i"), F.col("_x.r").alias("_r"), "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    placed = running_sum(inside, [*by, "_i"], [F.asc("_v")], "_c", "_upto").join(below, _same(by, keys)).withColumn(
+    placed = running_sum(inside, [*by, "_i"], [F.asc("_v")], "_c", "_upto").join(F.broadcast(below) if few else below, _same(by, keys)).withColumn(
         "_end", F.get("_b", F.col("_i")) + F.col("_upto")).withColumn("_start", F.col("_end") - F.col("_c"))
 
     def at(i: int, position: Column) -> Column:

@@ -17,6 +17,8 @@ from tabulario.operators import profile as P
 from tabulario.operators import quality as QL
 from tabulario.operators import series as S
 from tabulario.operators import views as V
+from tabulario.operators.intake import rows
+from tabulario.session import held
 
 
 def evidence(insights, code, *names, digits=6):
@@ -27,9 +29,9 @@ def evidence(insights, code, *names, digits=6):
 
 def _rule(key, rule, code, sql, *names, df=None, digits=6):
     def run(spark, sf):
-        frame = (df or ventas_demo)(spark, sf)
-        profiles = P.profile(frame, stats=False)
-        return evidence(X.frame(frame, rule(X.Context(frame, MAPPING, profiles, AS_OF))), code, *names, digits=digits)
+        with held((df or ventas_demo)(spark, sf)) as frame:
+            profiles = P.profile(frame, stats=False)
+            return evidence(X.frame(frame, rule(X.Context(frame, MAPPING, profiles, AS_OF))), code, *names, digits=digits)
 
     query(key, sql)(run)
 
@@ -104,8 +106,8 @@ def ins_17(spark, sf):
 
 
 def _insights(spark, sf):
-    df = ventas_demo(spark, sf)
-    return X.generate(df, P.profile(df), MAPPING, as_of=AS_OF)
+    with held(ventas_demo(spark, sf)) as df:
+        return X.generate(df, P.profile(df), MAPPING, as_of=AS_OF)
 
 
 
@@ -123,11 +125,11 @@ def top_05(spark, sf):
 
 @query("ins-19")
 def ins_19(spark, sf):
-    df = ventas_demo(spark, sf)
-    profiles = P.profile(df)
-    score = QL.quality_score(QL.detect_issues(df, profiles, as_of=AS_OF))
-    return X.executive_summary(X.generate(df, profiles, MAPPING, as_of=AS_OF), P.overview(df, profiles), score).select(
-        "filas", "columnas", "score", "n_riesgos", "n_oportunidades", "texto")
+    with held(ventas_demo(spark, sf)) as df:
+        profiles = P.profile(df)
+        score = QL.quality_score(QL.detect_issues(df, profiles, as_of=AS_OF))
+        return X.executive_summary(X.generate(df, profiles, MAPPING, as_of=AS_OF), P.overview(df, profiles), score).select(
+            "filas", "columnas", "score", "n_riesgos", "n_oportunidades", "texto")
 
 
 # --- explanations ------------------------------------------------------------------------
@@ -220,13 +222,13 @@ UNION ALL SELECT 'rank_segmento', COUNT(*), {rs('sum(v)')} FROM seg UNION ALL SE
 UNION ALL SELECT 'dist', any_value(k), any_value(n) FROM b2 UNION ALL SELECT 'caja', COUNT(*), {rs('sum(v)')} FROM box)
 SELECT view, CAST(filas AS BIGINT) AS filas, CAST(total AS DOUBLE) AS total FROM todo""")
 def vis_02(spark, sf):
-    df = ventas_demo(spark, sf)
     figures = {"line": "value", "bar": "total", "hist": "n", "box": "median"}
     out = None
-    for v in V.board_views(df, P.profile(df), MAPPING):
-        one = v.data.agg(F.lit(v.name).alias("view"), F.count(F.lit(1)).alias("filas"), r(F.sum(figures[v.kind]).cast("double")).alias("total"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    with held(ventas_demo(spark, sf)) as df:
+        for v in V.board_views(df, P.profile(df), MAPPING):
+            one = v.data.agg(F.lit(v.name).alias("view"), F.count(F.lit(1)).alias("filas"), r(F.sum(figures[v.kind]).cast("double")).alias("total"))
+            out = one if out is None else out.unionByName(one)
+        return rows(spark, [tuple(x) for x in out.collect()], out.schema)  # a row per view
 
 
 @query("vis-03", f"{W_DEMO}, s AS (SELECT CAST(date_trunc('month', fecha) AS DATE) AS period, (sum(importe) - sum(costo)) / sum(importe) AS a, sum(importe) / COUNT(DISTINCT folio) AS b FROM ventas_demo GROUP BY 1) SELECT 'Margen' AS kpi, period, {rs('a', 4)} AS value FROM s WHERE period < (SELECT max(period) FROM s) UNION ALL SELECT 'Ticket', period, {rs('b', 4)} FROM s WHERE period < (SELECT max(period) FROM s)")

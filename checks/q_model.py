@@ -16,6 +16,7 @@ from tabulario.models import unsupervised as U
 from tabulario.models.scoring import SavedModel, score
 from tabulario.operators import intake as I
 from tabulario.operators import profile as P
+from tabulario.session import held
 
 
 @query("mod-01", f"""{W_DEMO}, h AS (SELECT COUNT(DISTINCT cliente) AS c, COUNT(DISTINCT folio) / COUNT(*) AS f FROM ventas_demo)
@@ -182,7 +183,8 @@ def mod_14(spark, sf):
 def mod_16(spark, sf):
     """Whole counts and means, and each segment's row of the summary computed anew from the labels."""
     df = ventas_demo(spark, sf).select("importe", "costo", "cantidad", "segmento")
-    found = U.run_clustering(df, P.profile(df))
+    with held(df):
+        found = U.run_clustering(df, P.profile(df))
     anew = found.rows.groupBy(U.SEGMENT).agg(F.count("*").alias("n"), F.avg("importe").alias("i"), F.avg("costo").alias("c"))
     same = F.bool_and((F.col("registros") == F.col("n")) & (F.abs(F.col("importe") - F.col("i")) < 1e-3) & (F.abs(F.col("costo") - F.col("c")) < 1e-3))
     whole = F.sum(F.col("registros") * F.col("importe")) / F.sum("registros")

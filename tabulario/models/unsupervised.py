@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -53,6 +54,25 @@ def first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.nd
     return np.array(picked)
 
 
+def settled(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centres after rounds over the sampled vectors alone, so that fewer rounds over all vectors are left."""
+    for _ in range(ROUNDS):
+        label = nearest_centre(sample, centres)
+        new = np.array([sample[label == j].mean(0) if (label == j).any() else c for j, c in enumerate(centres)])
+        still = np.abs(new - centres).max() <= STILL
+        centres = new
+        if still:
+            break
+    return centres
+
+
+def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The vectors of each batch as the rows of a matrix, without a Python object per row."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
 def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (((centres * centres).sum(1) - 2 * x @ centres.T)).argmin(1)
 
@@ -62,18 +82,19 @@ def cluster_sums(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int
 
     Each task sends one row per cluster; they are summed by element, so what is shuffled depends on the clusters alone.
     """
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            x = np.stack(batch["_v"].to_list())
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for x in matrices(batches):
             row = np.concatenate([np.ones((len(x), 1)), (x * x).sum(1, keepdims=True), x], 1)
             for k, c in centres.items():
-                label = nearest_centre(x, c)
-                for j in np.unique(label).tolist():
-                    held[k, j] = held.get((k, j), 0.0) + row[label == j].sum(0)
-        yield pd.DataFrame([(k, j, v.tolist()) for (k, j), v in held.items()], columns=["k", "j", "s"])
-
-    parts = vectors.select("_v").mapInPandas(summed, "k int, j int, s array<double>").select("k", "j", F.posexplode("s").alias("i", "x"))
+                member = np.zeros((len(x), len(c)))
+                member[np.arange(len(x)), nearest_centre(x, c)] = 1.0
+                held[k] = held.get(k, 0.0) + member.T @ row
+        found = [(k, j, v) for k, s in held.items() for j, v in enumerate(s.tolist()) if v[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], ["k", "j", "s"])
+
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64())]
+    parts = vectors.select("_v").mapInArrow(summed, "k int, j int, s array<double>").select("k", "j", F.posexplode("s").alias("i", "x"))
     whole = parts.groupBy("k", "j", "i").agg(F.sum("x").alias("x")).groupBy("k", "j").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
     out = {k: (np.zeros(len(c)), np.zeros_like(c), np.zeros(len(c))) for k, c in centres.items()}
     for r in whole.collect():  # a row per cluster
@@ -86,7 +107,7 @@ def cluster_sums(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int
 def fit_clusters(vectors: DataFrame, ks: list[int], seed: int) -> dict[int, np.ndarray]:
     """Centres for every number of clusters in `ks`. A round moves the centres of all that still move, by one job."""
     sample = np.array([r[0] for r in vectors.select("_v").orderBy(F.xxhash64(F.lit(seed), "_v"), "_v").limit(SEEDS).collect()])
-    centres = {k: first_centres(sample, k, np.random.default_rng((seed, k))) for k in ks}
+    centres = {k: settled(sample, first_centres(sample, k, np.random.default_rng((seed, k)))) for k in ks}
     moving = dict(centres)
     for _ in range(ROUNDS):
         for k, (n, sums, _) in cluster_sums(vectors, moving).items():
@@ -109,10 +130,9 @@ def silhouettes(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int,
     sums = cluster_sums(vectors, centres)
     ks = [k for k in centres if (sums[k][0] > 0).sum() > 1]
 
-    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = dict.fromkeys(ks, 0.0)
-        for batch in batches:
-            x = np.stack(batch["_v"].to_list())
+        for x in matrices(batches):
             length = (x * x).sum(1, keepdims=True)
             for k in ks:
                 n, s, q = sums[k]
@@ -128,12 +148,12 @@ def silhouettes(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int,
                 other = far.min(1)
                 top = np.maximum(inside, other)
                 total[k] += float(np.where((n[own] > 1) & (top > 0), (other - inside) / np.maximum(top, 1e-300), 0.0).sum())
-        yield pd.DataFrame({"k": list(total), "s": list(total.values()), "n": 0})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64())], ["k", "s"])
 
     if not ks:
         return {}
     n = sum(sums[ks[0]][0])
-    return {r["k"]: r["s"] / n for r in vectors.select("_v").mapInPandas(widths, "k int, s double, n long").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    return {r["k"]: r["s"] / n for r in vectors.select("_v").mapInArrow(widths, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
 
 
 def run_clustering(df: DataFrame, profiles: Profiles, k: int | None = None, seed: int = 42) -> Segments:

@@ -65,14 +65,24 @@ def spread(vectors: np.ndarray, wanted: int, crowd: float) -> np.ndarray:
     return vectors[np.argsort(~own, kind="stable")[:wanted]]
 
 
-def footrule(post: list[tuple[np.ndarray, np.ndarray]], order: np.ndarray, n: int) -> np.ndarray:
-    """Footrule distances of one order to the n posted ones, but for a constant of the query."""
-    size = len(order)
-    out = np.zeros(n, np.int32)
+def posted(orders: np.ndarray, pivots: int) -> np.ndarray:
+    """A file per pivot: its place in every row's order, as far as the end where it is absent."""
+    n, size = orders.shape
+    files = np.full((pivots, n), size, np.uint16 if size < 256 else np.int32)  # sums of `size` places must fit
+    files[orders.ravel(), np.repeat(np.arange(n), size)] = np.tile(np.arange(size), n)
+    return files
+
+
+def footrule(files: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Half the footrule distances of one order to the posted ones, but for a constant of the query.
+
+    A pivot counts |place - places| where it is shared and as far as the end on both sides where it is absent; over the
+    pivots of the query this is twice the larger of both places, less what does not depend on the row.
+    """
+    out, larger = np.zeros(files.shape[1], files.dtype), np.empty(files.shape[1], files.dtype)
     for place, pivot in enumerate(order):
-        rows, places = post[pivot]
-        # a shared pivot counts |place - places| where one that is absent counts as far as the end on both sides
-        out[rows] += np.abs(places - place) - (size - place) - (size - places)
+        np.maximum(files[pivot], files.dtype.type(place), out=larger)
+        out += larger
     return out
 
 
@@ -130,18 +140,14 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, settings: Settings =
         of = np.argsort(np.argsort(first))[of]
         by_unit = np.argsort(of, kind="stable")
         starts = np.searchsorted(of[by_unit], np.arange(len(code)))
-        flat, row = orders.ravel(), np.repeat(np.arange(len(ids)), orders.shape[1])
-        place = np.tile(np.arange(orders.shape[1], dtype=np.int32), len(ids))
-        by_pivot = np.argsort(flat, kind="stable")
-        cut = np.searchsorted(flat[by_pivot], np.arange(len(pivots.value) + 1))
-        post = [(row[by_pivot[a:b]], place[by_pivot[a:b]]) for a, b in zip(cut, cut[1:])]
+        files = posted(orders, len(pivots.value))
         keep = max(settings.least, math.ceil(settings.share * len(code)))
         out = []
-        for own, vector, order in zip(ask["_id"], ask["_v"], ask["_p"]):
+        for own, vector, order in zip(ask["_id"].to_numpy(), ask["_v"], ask["_p"]):
             there = ~(alone & (ids == own))
             if keep < len(code):  # the keep nearest, ties to smaller ids
-                far = footrule(post, order, len(ids))
-                far[~there] = np.iinfo(np.int32).max
+                far = footrule(files, order)
+                far[~there] = np.iinfo(far.dtype).max
                 far = np.minimum.reduceat(far[by_unit], starts)
                 edge = np.partition(far, keep - 1)[keep - 1]
                 chosen = far < edge
@@ -150,13 +156,16 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, settings: Settings =
             else:
                 near = np.flatnonzero(there)
             score = (vectors[near] * vector).sum(1)
+            if len(near) > k:  # only what reaches the k-th score needs an order
+                high = ~(score < np.partition(score, len(score) - k)[len(score) - k])
+                near, score = near[high], score[high]
             least = np.where(ids[near] == own, after[near], ids[near])
             # each vector brings a row at least, so the first k hold the first k rows
             best = np.lexsort((least, -score))[:k]
             rows = [(x["_id"], score[i]) for i in best for x in every_id[near[i]] if x["_id"] != own for _ in range(min(k, x["n"]))]
             rows = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": [r[0] for r in rows], "score": [r[1] for r in rows]}))
-        return pd.concat(out) if out else pd.DataFrame([], columns=names)
+            out += [(own, *r) for r in rows]
+        return pd.DataFrame(out, columns=names)
 
     found = indexed.groupBy("_b", "_q").cogroup(wanted.groupBy("_b", "_q")).applyInPandas(
         search, "query_id long, vec_id long, score double")

@@ -236,3 +236,16 @@ def test_few_candidates_and_none(vectors):
     rows = P.nearest(few, few.where("vec_id = 0")).collect()
     assert sorted(r["vec_id"] for r in rows) == [1, 2, 3, 4]
     assert P.nearest(few.limit(0), few).count() == 0 and P.nearest(few, few.limit(0)).count() == 0
+
+
+def test_footrule_of_files_orders_rows_as_the_definition():
+    rng = np.random.default_rng(8)
+    orders = np.stack([rng.permutation(40)[:25] for _ in range(60)])
+    where = np.full((60, 40), 25)
+    for row, order in zip(where, orders):
+        row[order] = np.arange(25)
+    files = P.posted(orders, 40)
+    for q in (0, 7):
+        want = np.abs(where - where[q]).sum(1)
+        got = P.footrule(files, orders[q]).astype(int)
+        assert len(set((2 * got - want).tolist())) == 1  # equal but for a constant of the query

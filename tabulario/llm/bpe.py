@@ -10,6 +10,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,9 @@ NO_RANK = np.iinfo(np.int32).max
 #: The tokenizer's own pattern for one unit (fixed value); units hold no inner white space.
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+")
 
+#: The same on the bytes of ASCII units.
+ASCII_PRE_TOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+")
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -115,7 +120,9 @@ class ByteBpe:
         return symbol, np.bincount(word, minlength=len(words))
 
     def _pre_tokens(self, unit: str) -> list[bytes]:
-        if not unit.isascii() and max(unit) > "ɏ":  # beyond Latin the library's own Unicode tables decide
+        if unit.isascii():
+            return ASCII_PRE_TOKEN.findall(unit.encode())
+        if max(unit) > "ɏ":  # beyond Latin the library's own Unicode tables decide
             byte_of = byte_alphabet()
             return [bytes(byte_of[c] for c in p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(unit)]
         return [p.encode() for p in PRE_TOKEN.findall(unit)]
@@ -123,12 +130,12 @@ class ByteBpe:
     def _units(self, units: list[str]) -> list[bytes]:
         """Little-endian ids of each unit; each distinct pre-token is encoded once."""
         whole = [(u[1:] if u[0] == " " else u).isalpha() for u in units]  # letters alone are one pre-token
-        parts = [None if w else self._pre_tokens(u) for u, w in zip(units, whole)]
-        words = list({u.encode() for u, w in zip(units, whole) if w}.union(*filter(None, parts)))
+        parts = [u.encode() if w else self._pre_tokens(u) for u, w in zip(units, whole)]
+        words = list(dict.fromkeys(chain([p for p, w in zip(parts, whole) if w], chain.from_iterable([p for p, w in zip(parts, whole) if not w]))))
         ids, count = self.encode_words(words)
         data, end = ids.astype("<u4").tobytes(), (np.cumsum(count) * 4).tolist()
         of = dict(zip(words, [data[a:b] for a, b in zip([0, *end], end)]))
-        return [of[u.encode()] if ps is None else b"".join([of[p] for p in ps]) for u, ps in zip(units, parts)]
+        return [of[p] if w else b"".join([of[x] for x in p]) for p, w in zip(parts, whole)]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         units = [UNIT.findall(t) for t in texts]

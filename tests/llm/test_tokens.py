@@ -169,3 +169,29 @@ def test_patterns_use_the_histogram_up(lengths):
     assert (used == h).all()
     least = max(-(-sum(lengths) // 1024), sum(v > 512 for v in lengths))
     assert sum(n for _, n in packed) <= 1.02 * least + 1
+
+
+def test_ascii_units_split_as_the_pattern_does():
+    """The byte pattern of ASCII units gives the tokenizer's own pre-tokens, control characters included."""
+    from tabulario.llm.bpe import ASCII_PRE_TOKEN, PRE_TOKEN
+
+    rng = random.Random(4)
+    for _ in range(20_000):
+        unit = "".join(chr(rng.choice([rng.randrange(128), 32, 39, 115, 100, 108, 48])) for _ in range(rng.randrange(1, 9)))
+        assert ASCII_PRE_TOKEN.findall(unit.encode()) == [p.encode() for p in PRE_TOKEN.findall(unit)]
+
+
+def test_memo_learns_without_walking_through_what_it_holds():
+    from tabulario.llm.common import Memo
+
+    class Counted(Memo):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+        def keys(self):
+            raise AssertionError("walked")
+
+    memo = Counted(lambda words: [w.upper() for w in words], bound=100)
+    for i in range(20):
+        memo.learn([f"a{i}", "b"])
+    assert memo["b"] == "B" and memo["a3"] == "A3" and len(memo) == 21

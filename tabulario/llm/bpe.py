@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{
 #: The same on the bytes of ASCII units.
 ASCII_PRE_TOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+")
 
+#: Texts that are not cut at blanks and line ends alone: other white space, or runs of it that a token may span.
+UNEVEN = r"[\x00\t\x0b-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| [ \n]|\n\n[ \n]|(?: |\n\n)\z"
+#: Letters, then one of these, are two pre-tokens.
+CLOSING = frozenset(".,;:!?)")
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -67,6 +73,7 @@ class ByteBpe:
         made = np.array([vocab[a + b] for a, b in merges], np.int32)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made[order]
+        self.byte_rank, self.byte_made = self._find(np.repeat(self.first, 256), np.tile(self.first, 256))
         self.memo = Memo(self._units)
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +85,15 @@ class ByteBpe:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and the number of each word's ids. No word may be empty."""
         length = np.array([len(w) for w in words], np.int64)
-        symbol = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        byte = np.frombuffer(b"".join(words), np.uint8)
+        symbol = self.first[byte]
         word = np.repeat(np.arange(len(words)), length)
         last = np.zeros(len(symbol), bool)
         last[np.cumsum(length) - 1] = True
         rank, made = np.full(len(symbol), NO_RANK, np.int32), np.zeros(len(symbol), np.int32)
         inner = np.flatnonzero(~last)
-        rank[inner], made[inner] = self._find(symbol[inner], symbol[inner + 1])
+        pair = byte[inner].astype(np.int64) << 8 | byte[inner + 1]
+        rank[inner], made[inner] = self.byte_rank[pair], self.byte_made[pair]
         done_word, done_symbol = [], []
         while len(symbol):
             begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -129,19 +138,56 @@ class ByteBpe:
 
     def _units(self, units: list[str]) -> list[bytes]:
         """Little-endian ids of each unit; each distinct pre-token is encoded once."""
-        whole = [(u[1:] if u[0] == " " else u).isalpha() for u in units]  # letters alone are one pre-token
-        parts = [u.encode() if w else self._pre_tokens(u) for u, w in zip(units, whole)]
-        words = list(dict.fromkeys(chain([p for p, w in zip(parts, whole) if w], chain.from_iterable([p for p, w in zip(parts, whole) if not w]))))
-        ids, count = self.encode_words(words)
+        parts: list[bytes | list[bytes]] = []
+        words: dict[bytes, None] = {}
+        for u in units:
+            bare = u[1:] if u[0] == " " else u
+            if bare.isalpha():  # letters alone are one pre-token
+                parts.append(word := u.encode())
+                words[word] = None
+            else:
+                parts.append(some := [u[:-1].encode(), u[-1].encode()] if u[-1] in CLOSING and bare[:-1].isalpha() else self._pre_tokens(u))
+                words.update(dict.fromkeys(some))
+        ids, count = self.encode_words(list(words))
         data, end = ids.astype("<u4").tobytes(), (np.cumsum(count) * 4).tolist()
         of = dict(zip(words, [data[a:b] for a, b in zip([0, *end], end)]))
-        return [of[p] if w else b"".join([of[x] for x in p]) for p, w in zip(parts, whole)]
+        return [of[p] if type(p) is bytes else b"".join([of[x] for x in p]) for p in parts]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        units = [UNIT.findall(t) for t in texts]
-        self.memo.learn(set().union(*units))
+        column = pa.array(texts, pa.large_string())
+        uneven = pc.match_substring_regex(column, UNEVEN)
+        even = iter(self._even(column.filter(pc.invert(uneven))))
+        units = [UNIT.findall(t) if u else None for t, u in zip(texts, uneven.to_pylist())]
+        self.memo.learn(set(chain.from_iterable(filter(None, units))))
+        get = self.memo.__getitem__
+        return [next(even) if us is None else b"".join(map(get, us)) for us in units]
+
+    def _even(self, texts: pa.LargeStringArray) -> list[bytes]:
+        """Ids of texts without `UNEVEN` parts, whose units are words with the blank before them and single line ends."""
+        if not len(texts):
+            return []
+        # a word is stored without its blank; one that has none is marked, and so is the nothing between a line end and a blank
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n \0"), " ")
+        start = split.offsets.to_numpy()
+        follows = np.ones(int(start[-1]), bool)
+        follows[start[:-1]] = False
+        words = pc.dictionary_encode(split.values.filter(pa.array(follows)))
+        units = [w[1:] if w[:1] == "\0" else w if w == "\n" else " " + w for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        at = np.empty(len(follows), np.int64)
+        at[follows] = words.indices.to_numpy()
+        at[~follows] = np.arange(len(units), len(units) + len(texts))
+        units += split.values.take(pa.array(start[:-1])).to_numpy(zero_copy_only=False).tolist()
+        self.memo.learn({u for u in units if u})
         get = self.memo.__getitem__
-        return [b"".join(map(get, us)) for us in units]
+        ids = [get(u) if u else b"" for u in units]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(length) - length
+        n = length[at]
+        end = np.cumsum(n)
+        source = np.repeat(begin[at] - (end - n), n) + np.arange(int(end[-1]))
+        data = np.frombuffer(b"".join(ids), "<u4")[source].tobytes()
+        cut = (np.r_[0, end][start] * 4).tolist()
+        return [data[a:b] for a, b in zip(cut, cut[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. A special token's string inside a text is that token."""

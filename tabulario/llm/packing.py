@@ -171,7 +171,7 @@ def places(packed: list[tuple[Pattern, int]], room: int) -> dict[str, np.ndarray
 
 
 def pack(df: DataFrame, path: str, room: int = 1024, end: int = 2, key: str = "doc_id", text: str = "text",
-         keep_ids: bool = False, chars: int = 1 << 20) -> DataFrame:
+         keep_ids: bool = False, chars: int = 1 << 21) -> DataFrame:
     """Pack the tokens of all texts, each followed by id `end`, into sequences of at most `room`.
 
     One row per piece: `key`, piece, start, length, ids_crc32, sequence_id, offset, and with `keep_ids` its `ids`.

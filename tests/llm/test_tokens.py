@@ -195,3 +195,14 @@ def test_memo_learns_without_walking_through_what_it_holds():
     for i in range(20):
         memo.learn([f"a{i}", "b"])
     assert memo["b"] == "B" and memo["a3"] == "A3" and len(memo) == 21
+
+
+def test_even_texts_are_cut_without_a_python_string_per_word(byte_path, monkeypatch):
+    even = ["", "one", "a b.\nC d's (e)\n", "x\n\ny\n z", "12 ñandú\n中文 the, the,"] * 3
+    uneven = ["a  b", "a\n\n b", "a\n\n", "a ", "a\tb", "a\r\nb", "a\x00b", "a \nb", "a\n\n\nb", "a\xa0b", "a　\n", "\n ", " a", "\na"]
+    monkeypatch.setattr(bpe, "UNIT", None)
+    got = bpe.ByteBpe(byte_path).encode(even)
+    assert [np.frombuffer(i, "<u4").tolist() for i in got] == library(byte_path, even)
+    monkeypatch.undo()
+    mixed = [t for pair in zip(even, uneven) for t in pair]
+    assert [np.frombuffer(i, "<u4").tolist() for i in bpe.ByteBpe(byte_path).encode(mixed)] == library(byte_path, mixed)

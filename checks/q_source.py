@@ -15,25 +15,30 @@ from tabulario.sources import sinks as S
 #: What differs from file to file; file p holds the orders whose key leaves p when divided by four.
 _SEPARATORS, _CHARSETS = [";", "|", ",", "\t"], ["UTF-8", "ISO-8859-1"]
 _P = "o_orderkey % 4"
+#: Orders in a text file, about; one task writes a file and sorts its lines, so more orders make more files, not longer ones.
+_FILE_ORDERS = 400_000
 
 
 def _files(spark, sf):
-    """The orders as four text files, each with its own separator, encoding and number of title lines; some notes hold a line break."""
+    """The orders as text files of four kinds, each with its own separator, encoding and number of title lines; some notes hold a line break."""
     path = f"{S.scratch(spark)}/csv"
-    df = table(spark, sf, "orders").withColumn("p", F.expr(_P).cast("int"))
+    orders = table(spark, sf, "orders")
+    shares = max(1, -(-orders.count() // (4 * _FILE_ORDERS)))  # files of a kind
+    df = orders.withColumn("p", F.expr(_P).cast("int")).withColumn(
+        "f", (F.col("p") * shares + F.pmod(F.xxhash64("o_orderkey"), F.lit(shares))).cast("int"))
     sep = F.element_at(F.array(*map(F.lit, _SEPARATORS)), F.col("p") + 1)
     note = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit('"uno\n'), F.col("o_orderkey").cast("string"), F.lit('"'))).otherwise(F.lit("dos"))
     fields = [F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.concat(F.lit("Región "), F.col("o_orderstatus")),
               F.translate(F.format_number("o_totalprice", 2), ",", ""), note]
     join = lambda parts: F.concat(*[x for i, part in enumerate(parts) for x in ([sep] if i else []) + [part]])
-    body = df.select("p", F.lit(9).alias("k"), F.col("o_orderkey").alias("o"), join(fields).alias("line"))
-    parts = df.select("p").distinct()
+    body = df.select("p", "f", F.lit(9).alias("k"), F.col("o_orderkey").alias("o"), join(fields).alias("line"))
+    parts = df.select("p", "f").distinct()
     title = join([F.lit(x) for x in ("Folio", "Fecha", "Región", "Monto", "Nota")])
-    heads = parts.select("p", F.explode(F.concat(
+    heads = parts.select("p", "f", F.explode(F.concat(
         F.transform(F.sequence(F.lit(0), F.col("p")), lambda i: F.struct(i.alias("k"), F.when(i < F.col("p"), "Reporte").otherwise("").alias("line"))),
-        F.array(F.struct(F.lit(8).alias("k"), title.alias("line"))))).alias("h")).select("p", "h.k", F.lit(0).cast("long").alias("o"), "h.line")
-    lines = body.unionByName(heads).select("p", "k", "o", F.posexplode(F.split("line", "\n")).alias("i", "line"))
-    whole = lines.repartition(4, "p").sortWithinPartitions("p", "k", "o", "i")
+        F.array(F.struct(F.lit(8).alias("k"), title.alias("line"))))).alias("h")).select("p", "f", "h.k", F.lit(0).cast("long").alias("o"), "h.line")
+    lines = body.unionByName(heads).select("p", "f", "k", "o", F.posexplode(F.split("line", "\n")).alias("i", "line"))
+    whole = lines.repartitionById(4 * shares, F.col("f")).sortWithinPartitions("p", "k", "o", "i")
     for i, charset in enumerate(_CHARSETS):
         # one directory per file, so that each starts with its own titles
         # one field without quotes is a line as it stands, and only this writer knows other encodings
@@ -47,6 +52,7 @@ def _text(spark, path):
 
 
 def _number(file="file"):
+    # the files of a kind are alike, so `distinct` leaves a row per kind; one that was read otherwise would add a row
     return F.regexp_extract(file, "p=([0-9])", 1).cast("int").alias("p")
 
 
@@ -57,14 +63,14 @@ def src_01(spark, sf):
 
 @query("src-02", f"SELECT CAST({_P} AS INTEGER) AS p, [';', '|', ',', chr(9)][CAST({_P} AS INTEGER) + 1] AS separator, COUNT(*) > 0 AS hay FROM orders GROUP BY 1, 2")
 def src_02(spark, sf):
-    return D.separators(_text(spark, _files(spark, sf))).select(_number(), "separator", (F.col("score") > 0).alias("hay"))
+    return D.separators(_text(spark, _files(spark, sf))).select(_number(), "separator", (F.col("score") > 0).alias("hay")).distinct()
 
 
 @query("src-03", f"SELECT CAST({_P} AS INTEGER) AS p, CAST({_P} AS INTEGER) AS header, 5 * 1.5e0 + COUNT(DISTINCT c) * 0.5e0 AS score FROM orders, (VALUES ('Folio'), ('Fecha'), ('Región'), ('Monto'), ('Nota')) v(c) GROUP BY 1, 2")
 def src_03(spark, sf):
     text = _text(spark, _files(spark, sf))
     found = D.header_rows(text, D.separators(text).select("file", "separator"))
-    return found.select(_number(), "header", "score")
+    return found.select(_number(), "header", "score").distinct()
 
 
 @query("src-04", f"SELECT CAST({_P} AS INTEGER) AS p, CASE WHEN {_P} % 2 = 0 THEN 'utf-8' ELSE 'cp1252' END AS encoding, COUNT(*) AS n FROM orders GROUP BY 1, 2")
@@ -72,7 +78,7 @@ def src_04(spark, sf):
     path = _files(spark, sf)
     loaded = D.read_delimited(spark, path)
     rows_of = table(spark, sf, "orders").groupBy(F.expr(_P).cast("int").alias("p")).agg(F.count("*").alias("n"))
-    return loaded.files.select(_number(), "encoding").join(rows_of, "p")
+    return loaded.files.select(_number(), "encoding").distinct().join(rows_of, "p")
 
 
 query("src-06", "WITH v AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS a, CASE WHEN o_orderkey % 25 = 0 THEN NULL ELSE o_orderstatus END AS b FROM orders) SELECT COUNT(*) AS n, COUNT(a) AS a, COUNT(b) AS b FROM v WHERE a IS NOT NULL OR b IS NOT NULL")(

@@ -8,7 +8,7 @@ how to read its own lines; only records that straddle two splits are moved.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -179,11 +179,38 @@ def cells(value: Column, separator: Column, width: int) -> Column:
     return F.transform(F.array(*[parsed[f"c{i}"] for i in range(width)]), lambda x: x)
 
 
+def _first(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each file's rows that a task reads, the k with the smallest ids; no more than these and a batch are held."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        last: dict[str, int] = {}  # of files with k rows, the largest id among them
+        for batch in batches:
+            file = batch.column("file").dictionary_encode()
+            bound = np.array([last.get(f, np.iinfo(np.int64).max) for f in file.dictionary.to_pylist()], np.int64)
+            near = batch.column("id").to_numpy() < bound[file.indices.to_numpy()]
+            if not near.any():
+                continue
+            few = pa.Table.from_batches([batch.filter(pa.array(near))])
+            few = (few if kept is None else pa.concat_tables([kept, few])).sort_by([("file", "ascending"), ("id", "ascending")])
+            code = few.column("file").combine_chunks().dictionary_encode().indices.to_numpy()
+            begin = np.searchsorted(code, np.arange(code[-1] + 1))  # sorted, so codes rise
+            rank = np.arange(len(code)) - begin[code]
+            kept = few.filter(pa.array(rank < k))
+            full = few.filter(pa.array(rank == k - 1))
+            last.update(zip(full.column("file").to_pylist(), full.column("id").to_pylist()))
+        if kept is not None:
+            yield from kept.to_batches(1000)
+
+    return first
+
+
 def head(text: DataFrame, k: int, blank: bool = False) -> DataFrame:
     """(file, row, id, value): the first k lines of each file, blank ones skipped unless asked for."""
     start = text.where("at_start") if blank else text.where("at_start").where(F.trim("value") != "")
-    row = F.row_number().over(W.partitionBy("file").orderBy("id"))  # compared as it is, so that splits are cut before the shuffle
-    return start.withColumn("row", row).where(F.col("row") <= k).select("file", (F.col("row") - 1).alias("row"), "id", "value")
+    # a window alone would sort all lines of the split, as Spark can't tell that they come in order
+    few = start.select("file", "id", "value").mapInArrow(_first(k), "file string, id long, value string")
+    row = F.row_number().over(W.partitionBy("file").orderBy("id"))
+    return few.withColumn("row", row).where(F.col("row") <= k).select("file", (F.col("row") - 1).alias("row"), "id", "value")
 
 
 def separators(text: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from checks import q_source
 from tabulario.sources import delimited as D
 from tabulario.sources import sinks as S
 
@@ -136,3 +139,35 @@ def test_an_open_quote_in_one_file_leaves_others_alone(spark, tmp_path, small_sp
     (tmp_path / "b.csv").write_text("a,b\n" + "1,z\n" * 20 + '5" tubo,2\n' + "1,z\n" * 20)
     got = D.read_delimited(spark, str(tmp_path))
     assert got.table.where("b = 'x\ny'").count() == 10 and got.table.count() == 51 and any("b.csv" in n for n in got.notes)
+
+
+def test_first_lines_are_found_without_sorting_a_split(spark, tmp_path):
+    for name, n in (("a", 60), ("b", 4)):
+        (tmp_path / f"{name}.csv").write_text("\n\n" + "".join(f"{name}{i}\n" for i in range(n)))
+    text = D.records(spark, str(tmp_path), D.splits(spark, str(tmp_path)))
+    plan = D.head(text, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("MapInArrow")
+    got = sorted((r["row"], r["value"]) for r in D.head(text, 5).collect())
+    assert got == sorted([(i, f"a{i}") for i in range(5)] + [(i, f"b{i}") for i in range(4)])
+    assert sorted((r["row"], r["value"]) for r in D.head(text, 3, blank=True).collect()) == [(0, ""), (0, ""), (1, ""), (1, ""), (2, "a0"), (2, "b0")]
+
+
+def test_first_rows_of_batches_in_any_order():
+    rows = [(f"f{i * 7 % 3}", i * 37 % 101, str(i)) for i in range(101)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("file", "id", "value"), r)) for r in rows[i:i + 9]]) for i in range(0, 101, 9)]
+    got = [tuple(r.values()) for b in D._first(4)(iter(batches)) for r in b.to_pylist()]
+    assert got == [r for f in ("f0", "f1", "f2") for r in sorted(x for x in rows if x[0] == f)[:4]]
+    assert list(D._first(4)(iter([]))) == []
+
+
+def test_more_orders_make_more_files_not_longer_ones(spark, monkeypatch):
+    monkeypatch.setattr(q_source, "_FILE_ORDERS", 100)
+    sf = "/root/testdata/sf0.001"
+    path = q_source._files(spark, sf)
+    monkeypatch.setattr(q_source, "_files", lambda *_: path)
+    sizes = [r["n"] for r in spark.read.text(path).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 4 and max(sizes) < 200
+    assert [tuple(r) for r in q_source.src_02(spark, sf).orderBy("p").collect()] == [(i, s, True) for i, s in enumerate([";", "|", ",", "\t"])]
+    assert [r["header"] for r in q_source.src_03(spark, sf).orderBy("p").collect()] == [0, 1, 2, 3]
+    assert [r["encoding"] for r in q_source.src_04(spark, sf).orderBy("p").collect()] == ["utf-8", "cp1252"] * 2
+    assert q_source.src_01(spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()

@@ -22,6 +22,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from tabulario.llm.bpe import blocks
 from tabulario.llm.common import Memo, materialize, text_column
+from tabulario.operators.quantiles import quantiles
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -29,7 +30,7 @@ PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters; `target_rows` bounds the labelled good texts that the target model is fitted to.
+    """Parameters.
 
     `prior` is the number of n-grams by which the target model leans on the raw one, so that what was seen too seldom
     decides nothing. The weight of a text is `temper` times its mean log ratio, `pad` n-grams of ratio 1 added: texts of
@@ -40,7 +41,6 @@ class Settings:
     """
 
     buckets: int = 10_000
-    target_rows: int = 20_000
     prior: float = 100_000.0
     temper: float = 200.0
     pad: float = 20.0
@@ -72,11 +72,10 @@ def grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(df: DataFrame, good: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> np.ndarray:
     """Log ratio of target to raw probability per bucket.
 
-    `good` holds keys of good texts; of more than `target_rows` those first in hash order are used. The raw model counts
-    every row of `df`. What reaches the driver are two counts per bucket.
+    `good` holds keys of good texts; the target model counts all of them that `df` has, the raw model every row of `df`.
+    What reaches the driver are two counts per bucket.
     """
-    chosen = good.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct().orderBy(
-        F.xxhash64(F.lit(settings.seed), "_key"), "_key").limit(settings.target_rows)
+    chosen = good.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
     n, chars = settings.buckets, settings.chars
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,8 +89,9 @@ def fit(df: DataFrame, good: DataFrame, settings: Settings = Settings(), key: st
         there = np.flatnonzero(total)
         yield pd.DataFrame({"slot": there, "n": total[there]})
 
+    # labels grow with the texts: Spark broadcasts their keys or shuffles, as their size allows
     marked = df.select(F.col(key).alias("_key"), text_column(text).alias("_text")).join(
-        F.broadcast(chosen.withColumn("_hit", F.lit(True))), "_key", "left")  # at most target_rows keys
+        chosen.withColumn("_hit", F.lit(True)), "_key", "left")
     counts = marked.select("_text", F.col("_hit").isNotNull().alias("_good")).mapInPandas(count, "slot long, n long")
     table = np.zeros(2 * n)
     for r in counts.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most 2 * buckets rows
@@ -169,19 +169,18 @@ class Sampler:
 
 
 def split(good: DataFrame, settings: Settings, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Keys to fit the target model to, and at most `target_rows` held back to find the floor with; none where keys are few."""
+    """Keys to fit the target model to, and those held back to find the floor with; none where keys are few."""
     keys = good.select(key).where(F.col(key).isNotNull()).distinct()
     if keys.count() < settings.few:
         return keys, keys.limit(0)
-    h = F.xxhash64(F.lit(settings.seed + 1), key)
-    held = F.pmod(h, F.lit(5)) == 0
-    return keys.where(~held), keys.where(held).orderBy(h, key).limit(settings.target_rows)
+    held = F.pmod(F.xxhash64(F.lit(settings.seed + 1), key), F.lit(5)) == 0
+    return keys.where(~held), keys.where(held)
 
 
 def floor_of(weighed: DataFrame, held: DataFrame, settings: Settings, key: str) -> float:
-    """The least weight that counts as good, from the weights of the held-back texts."""
-    own = weighed.join(F.broadcast(held.withColumnRenamed(held.columns[0], key)), key, "left_semi")  # at most target_rows keys
-    low, middle = own.agg(F.percentile("log_ratio", F.lit(settings.low)), F.percentile("log_ratio", F.lit(0.5))).head()
+    """The least weight that counts as good, from the weights of all held-back texts."""
+    own = materialize(weighed.join(held.withColumnRenamed(held.columns[0], key), key, "left_semi").select("log_ratio"))
+    low, middle = quantiles(own, "log_ratio", [settings.low, 0.5])
     return settings.floor if low is None else max(settings.floor, 2 * low - middle)
 
 

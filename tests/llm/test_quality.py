@@ -99,6 +99,24 @@ def test_the_floor_follows_the_weights_of_good_texts(spark):
     assert I.floor_of(weighed, held.limit(0), s, "_key") == s.floor
 
 
+def test_every_labelled_text_counts(spark):
+    """More labels than any bound of old: the model counts each good text, the floor each one held back."""
+    n = 120_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("text"))
+    s = I.Settings(buckets=50, prior=10)
+    keys = df.select("doc_id")
+    model = I.fit(df, keys.where("doc_id % 3 > 0"), s)
+    count = {side: np.bincount(np.r_[I.grams(["a"], 50)[0], I.grams(["b"], 50)[0]], [m, m], 50) for side, m in (("raw", n / 2), ("good", n / 3))}
+    raw = (count["raw"] + 1) / (n + 50)
+    assert model == pytest.approx(np.log((count["good"] + 10 * raw) / (2 * n / 3 + 10) / raw), rel=1e-12)
+    fitting, held = I.split(keys, s)
+    assert fitting.count() + held.count() == n and held.count() > 20_000
+    weighed = df.select(F.col("doc_id").alias("_key"), F.rand(3).alias("log_ratio"))
+    own = [r[0] for r in weighed.join(held, F.col("_key") == F.col("doc_id")).select("log_ratio").collect()]
+    low, middle = np.quantile(own, [s.low, 0.5])
+    assert I.floor_of(weighed, held, s, "_key") == pytest.approx(2 * low - middle, rel=1e-12)
+
+
 def test_importance_by_hand(spark):
     """Counts and ratios against a plain computation."""
     df = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (None, ""), (1, "a b a")], "doc_id long, text string")

@@ -27,7 +27,7 @@ from tabulario.session import materialize
 
 @dataclass(frozen=True)
 class Settings:
-    """Effort and seed of a training run. A tree, or a boosted model, learns from at most about `fit_rows` rows."""
+    """Effort and seed of a training run. Every model learns from all rows."""
 
     test_share: float = 0.25
     seed: int = 42
@@ -35,7 +35,6 @@ class Settings:
     trees: int = 250
     forest_depth: int = 12
     rounds: int = 100
-    fit_rows: int = 200_000
     parallelism: int = 5
     repeats: int = 8
 
@@ -108,7 +107,7 @@ def _fitted(ready: DataFrame, task: str, classes: int, evaluator, s: Settings, w
         out[linear] = float(cv.avgMetrics[0]), float(cv.stdMetrics[0]), cv.bestModel
     trees = [name for name in (FOREST, BOOSTED) if wanted is None or name in wanted]
     if trees:
-        effort = Effort(trees=s.trees, depth=s.forest_depth, rounds=s.rounds, fit_rows=s.fit_rows, seed=s.seed)
+        effort = Effort(trees=s.trees, depth=s.forest_depth, rounds=s.rounds, seed=s.seed)
         grower = Grower(ready, classes, s.folds, effort)
         for name in trees:
             grown = grower.boosted() if name == BOOSTED else grower.forest()

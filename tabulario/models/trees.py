@@ -1,9 +1,10 @@
 """Forests and boosted trees whose folds are grown together.
 
-Features are put into bins once. The rows of each tree of a forest are drawn by hash, at most about `fit_rows`, and one
-task grows that tree for every fold and for the final model, each without the rows of its fold; boosted models are grown
-one per task on as many rows. So a candidate with all its folds takes one shuffle, whatever the number of trees, levels
-and rounds. Fitted trees predict in batches inside the saved pipeline.
+Features are put into bins once, and rows that agree in all bins, the label and the fold become one row with their number.
+Each tree of a forest draws from all rows with replacement, in the tasks that hold them, and one task grows that tree for
+every fold and for the final model, each without the rows of its fold; boosted models are grown one per task on all rows.
+So a candidate with all its folds takes one shuffle, whatever the number of trees, levels and rounds. A task that grows
+holds what its tree has drawn, summed by bins. Fitted trees predict in batches inside the saved pipeline.
 """
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import TaskContext, keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -29,12 +30,12 @@ from tabulario.session import materialize
 BINS = 32
 CELLS = 1 << 22  # cells of the histograms that are held at once
 MEMO = 1 << 18  # numbers of predictions that a task remembers
+DRAWN = 1 << 21  # draws that are held at once
 
 
 @dataclass(frozen=True)
 class Effort:
-    """What is grown: number of trees or rounds, depth, least rows of a leaf, and how many rows one tree or boosted model
-    learns from. Models see all rows of smaller tables; predictions and scores cover all rows always."""
+    """What is grown: number of trees or rounds, depth and least rows of a leaf. Models, predictions and scores cover all rows."""
 
     trees: int = 250
     depth: int = 12
@@ -42,7 +43,6 @@ class Effort:
     boost_depth: int = 3
     step: float = 0.1
     leaf: int = 2
-    fit_rows: int = 200_000
     seed: int = 42
 
 
@@ -136,6 +136,7 @@ class Trees:
 
 
 ARRAYS = ("root", "feature", "cut", "child", "start", "size", "slot", "share")
+_DEALT = "tree int, part int, turn int, b binary, g binary, fold binary, n binary, w binary, s binary"
 _TREE = "fit int, tree int, base array<double>, feature binary, cut binary, child binary, start binary, size binary, slot binary, share binary"
 _TYPES = {"feature": np.int16, "cut": np.uint8, "child": np.int32, "start": np.int32, "size": np.int32, "slot": np.int32, "share": np.float64}
 
@@ -225,12 +226,13 @@ def packed(fit: int, number: int, base: np.ndarray, tree: Growing, entries: dict
     return (fit, number, list(map(float, base)), *[np.asarray(arrays[k]).astype(t).tobytes() for k, t in _TYPES.items()])
 
 
-def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+def in_order(pdf: pd.DataFrame, *by: str) -> pd.DataFrame:
     """Spark gives the rows of a group in no fixed order."""
-    return pdf.sort_values("_n", kind="stable", ignore_index=True)
+    return pdf.sort_values(list(by), kind="stable", ignore_index=True)
 
 
-def alike(bins: np.ndarray, group: np.ndarray, fold: np.ndarray, folds: int, *amounts: np.ndarray) -> tuple[np.ndarray, ...]:
+def alike(bins: np.ndarray, group: np.ndarray, fold: np.ndarray, folds: int, *amounts: np.ndarray,
+          copies: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Rows of the same bins and group as one: bins, group, and per fold how many they are and each of `amounts` summed.
 
     Growing a tree asks for nothing else, and there are at most as many of them as bins can be combined.
@@ -238,7 +240,7 @@ def alike(bins: np.ndarray, group: np.ndarray, fold: np.ndarray, folds: int, *am
     wide = np.ascontiguousarray(np.concatenate([bins, group.astype(np.int32)[:, None].view(np.uint8)], 1))
     _, first, place = np.unique(wide.view(f"V{wide.shape[1]}").ravel(), return_index=True, return_inverse=True)
     cell, size = place.ravel() * folds + fold, len(first) * folds
-    sums = [np.bincount(cell, a, minlength=size).reshape(-1, folds) for a in (np.ones(len(bins)), *amounts)]
+    sums = [np.bincount(cell, a, minlength=size).reshape(-1, folds) for a in (np.ones(len(bins)) if copies is None else copies, *amounts)]
     return (bins[first], group[first], *sums)
 
 
@@ -249,9 +251,9 @@ class Grower:
         """`ready` has features, label, _w and _fold; `classes` is 0 for numbers."""
         self.classes, self.folds, self.effort = classes, folds, effort
         numbered = materialize(ready.select(vector_to_array("features").alias("_x"), F.col("label").cast("double").alias("label"),
-                                            F.col("_w").cast("double").alias("_w"), F.col("_fold").cast("int").alias("_fold"),
-                                            F.monotonically_increasing_id().alias("_n")))
-        self.n, width = numbered.agg(F.count("*"), F.first(F.size("_x"))).head()
+                                            F.col("_w").cast("double").alias("_w"), F.col("_fold").cast("int").alias("_fold")))
+        width, middle = numbered.agg(F.first(F.size("_x")), F.avg("label")).head()
+        self.middle = 0.0 if classes else middle  # labels are summed from here, so that sums of squares keep their digits
         probs = [i / BINS for i in range(1, BINS)]
         found = numbered.agg(*[F.percentile_approx(F.get("_x", F.lit(f)), probs, 2_000) for f in range(width)]).head()
         self.edges = [np.unique(np.array(e, float)) for e in found]
@@ -263,26 +265,51 @@ class Grower:
             b = np.stack([np.searchsorted(e, m[:, f], "left") for f, e in enumerate(edges)], 1).astype(np.uint8)
             return pd.Series([r.tobytes() for r in b], dtype=object)
 
-        self.rows = materialize(numbered.select(binned("_x").alias("_b"), "label", "_w", "_fold", "_n"))
+        group = F.col("label").cast("int") if classes else F.lit(0)
+        cells = numbered.select(binned("_x").alias("_b"), group.alias("_g"), "_fold", "label", "_w").groupBy(
+            "_b", "_g", "_fold", "label", "_w").agg(F.count("*").alias("_c"))
+        # in order, so that what is drawn does not depend on how rows arrive
+        self.cells = materialize(cells.sortWithinPartitions("_b", "_g", "_fold", "label", "_w"))
 
     def forest(self) -> DataFrame:
-        """Trees of all fits (the folds, then all rows), grown from rows drawn with replacement."""
-        e, classes, folds, width = self.effort, self.classes, self.folds, len(self.edges)
+        """Trees of all fits (the folds, then all rows), grown from all rows drawn with replacement.
+
+        Each tree takes a row as often as a Poisson number of mean 1 says, so n copies as often as one of mean n.
+        """
+        e, classes, folds, width, middle = self.effort, self.classes, self.folds, len(self.edges), self.middle
         features = max(1, round(math.sqrt(width))) if classes else max(1, round(width / 3))
-        each = min(float(e.trees), e.trees * e.fit_rows / max(1, self.n))
-        drawn = lambda *parts: F.xxhash64(F.lit(e.seed), "_n", *parts)
-        more = F.pmod(drawn(F.lit("more")), F.lit(1 << 31)) < F.lit(int((each - int(each)) * (1 << 31)))
-        uses = F.lit(int(each)) + more.cast("int")
-        served = self.rows.withColumn("_uses", uses).where("_uses > 0").withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
-        dealt = served.withColumn("tree", F.pmod(drawn(F.col("_use")), F.lit(e.trees)).cast("int")).drop("_uses", "_use")
+        step = max(1, DRAWN // e.trees)
+
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part, turn = TaskContext.get().partitionId(), 0
+            for pdf in batches:
+                for low in range(0, len(pdf), step):
+                    held = pdf.iloc[low:low + step]
+                    rng = np.random.default_rng((e.seed, part, turn))
+                    bins = np.frombuffer(b"".join(held["_b"]), np.uint8).reshape(len(held), -1)
+                    group, fold = held["_g"].to_numpy(np.int32), held["_fold"].to_numpy(np.int32)
+                    weight = held["_w"].to_numpy()
+                    amount = weight if classes else weight * (held["label"].to_numpy() - middle)
+                    new = np.r_[True, (bins[1:] != bins[:-1]).any(1) | (group[1:] != group[:-1]) | (fold[1:] != fold[:-1])]
+                    first = np.flatnonzero(new)
+                    drawn = rng.poisson(held["_c"].to_numpy(np.float64)[:, None], (len(held), e.trees))
+                    n, w, s = (np.add.reduceat(x, first, 0) for x in (drawn, drawn * weight[:, None], drawn * amount[:, None]))
+                    out = []
+                    for tree in range(e.trees):
+                        at = np.flatnonzero(n[:, tree])
+                        if len(at):
+                            there = first[at]
+                            out.append((tree, part, turn, *[x.tobytes() for x in (
+                                bins[there], group[there], fold[there], n[at, tree].astype(np.float64), w[at, tree], s[at, tree])]))
+                    turn += 1
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in _DEALT.split(", ")])
 
         def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = in_order(pdf)
-            bins = np.frombuffer(b"".join(pdf["_b"]), np.uint8).reshape(len(pdf), -1)
-            label, weight, fold = pdf["label"].to_numpy(), pdf["_w"].to_numpy(), pdf["_fold"].to_numpy()
-            group = label.astype(np.int64) if classes else np.zeros(len(pdf), np.int64)
-            middle = 0.0 if classes else label.mean()  # centred, so that sums of squares keep their digits
-            bins, group, count, w_of, s_of = alike(bins, group, fold, folds, weight, weight if classes else weight * (label - middle))
+            pdf = in_order(pdf, "part", "turn")
+            bins, group, fold, n, weight, amount = (
+                np.frombuffer(b"".join(pdf[c]), t) for c, t in (("b", np.uint8), ("g", np.int32), ("fold", np.int32), ("n", float), ("w", float), ("s", float)))
+            bins, group, count, w_of, s_of = alike(bins.reshape(len(group), -1), group, fold, folds, weight, amount, copies=n)
+            group = group.astype(np.int64)
             out = []
             for j in range(folds + 1):
                 others = np.arange(folds) != j
@@ -299,20 +326,19 @@ class Grower:
                 out.append(packed(j, key[0], [], tree, entries))
             return pd.DataFrame(out, columns=[c.split()[0] for c in _TREE.split(", ")])
 
-        return materialize(dealt.groupBy("tree").applyInPandas(fit, _TREE))
+        return materialize(self.cells.mapInPandas(deal, _DEALT).groupBy("tree").applyInPandas(fit, _TREE))
 
     def boosted(self) -> DataFrame:
-        """Trees of all fits, each fit grown by rounds of gradient boosting from a sample drawn by hash."""
-        e, classes, folds = self.effort, self.classes, self.folds
-        share = F.pmod(F.xxhash64(F.lit(e.seed), F.lit("boost"), "_n"), F.lit(1 << 31)) < F.lit(int(min(1.0, e.fit_rows / max(1, self.n)) * (1 << 31)))
-        served = self.rows.where(share).withColumn("fit", F.explode(F.filter(
-            F.sequence(F.lit(0), F.lit(folds)), lambda j: j != F.col("_fold"))))
+        """Trees of all fits, each fit grown by rounds of gradient boosting from all rows."""
+        e, classes, folds, middle = self.effort, self.classes, self.folds, self.middle
+        served = self.cells.withColumn("fit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda j: j != F.col("_fold")))).groupBy(
+            "fit", "_b", "_g").agg(F.sum("_c").alias("_c"), F.sum(F.col("_c") * (F.col("label") - middle)).alias("_s"))
 
         def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = in_order(pdf)
+            pdf = in_order(pdf, "_b", "_g")
             bins = np.frombuffer(b"".join(pdf["_b"]), np.uint8).reshape(len(pdf), -1)
-            y, fold = pdf["label"].to_numpy(), np.zeros(len(pdf), np.int64)
-            bins, group, copies, total = alike(bins, y.astype(np.int64) if classes else fold, fold, 1, y)
+            group, copies = pdf["_g"].to_numpy(np.int64), pdf["_c"].to_numpy(np.float64)[:, None]
+            total = pdf["_s"].to_numpy()[:, None] + middle * copies
             y, n = (total / copies)[:, 0], len(bins)  # one label for each class, else the mean of rows that no tree tells apart
             slots = 1 if classes <= 2 else classes
             mean = float(total.sum() / copies.sum())

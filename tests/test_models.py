@@ -228,3 +228,26 @@ def test_batches_score_as_column_functions_do(spark):
     forest = U.grow_forest(vectors, 400, 20, 3).persist()
     both = U.score_batches(U.score_forest(vectors, forest, "a"), forest, "b")
     assert both.where("abs(a - b) > 1e-12 or b is null").isEmpty()
+
+
+@pytest.mark.parametrize("classes", [0, 2])
+def test_every_row_is_learned_from_however_many(spark, classes):
+    """A split that needs 110 000 rows on each side, and the mean a boosted model starts from, take all 260 000 rows."""
+    from pyspark.ml.functions import array_to_vector
+
+    from tabulario.models import trees as T
+    n = 260_000
+    half = (F.col("id") % 2).cast("double")
+    label = half if classes else half * 10 + F.col("id") % 7
+    ready = spark.range(n).select(array_to_vector(F.array(half)).alias("features"), label.alias("label"), F.lit(1.0).alias("_w"), F.lit(0).alias("_fold"))
+    grower = T.Grower(ready, classes, 2, T.Effort(trees=3, depth=2, rounds=2, boost_depth=1, leaf=110_000))
+    forest = grower.model(grower.forest(), 2, False)
+    assert len(forest.root) == 3 and (forest.feature[forest.root] == 0).all() and len(forest.feature) == 9
+    boosted = grower.model(grower.boosted(), 2, True)
+    mean = ready.agg(F.avg("label")).head()[0]
+    assert boosted.base[0] == pytest.approx(np.log(mean / (1 - mean)) if classes else mean, abs=1e-12)
+    assert len(boosted.feature) == 6
+    i = np.arange(n)
+    want = [0.0, 1.0] if classes else [(i % 7)[i % 2 == h].mean() + 10 * h for h in (0, 1)]
+    got = forest.predict(np.array([[0.0], [1.0]]))
+    assert (got[:, 1] if classes else got[:, 0]) == pytest.approx(want, abs=0.05)
